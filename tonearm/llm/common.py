@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,15 +40,32 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back, so its lineage ends there.
 
-    The table outlives lost executors. The file system drops it when the session's JVM ends.
+    The table outlives lost executors; :func:`discard` or the end of the session's JVM drops it. Shuffle files of the step that
+    has ended can go at once: Spark drops them when the JVM's collector has seen that nothing refers to them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tonearm-{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, fs = _file(spark, path)
+    fs.deleteOnExit(target)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that :func:`stored` wrote and that nothing will read again."""
+    target, fs = _file(df.sparkSession, df._stored_at)
+    fs.delete(target, True)
+
+
+def _file(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def with_order(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:

@@ -5,21 +5,22 @@ buckets of text positions:
 
 1. Initial buckets. Of the ``LENGTH - Q + 1`` q-grams of each string the one with the least hash is its
    anchor (the first of equals). Equal strings have equal anchors at equal places, so only anchors are
-   shuffled, one for about 35 bytes. Strings next to one another with one anchor form a stretch; an
-   anchor's bucket is its hash. Buckets of one position end here.
-2. Stretches of a bucket that are equal throughout form classes; all but the first of a class go whole.
-3. Buckets with several classes are refined to strings. The task that holds the text gives its positions bucket numbers
-   by 4-grams, sorts them on the pairs of numbers here and ``h`` bytes on, renumbers, and reuses
-   the new numbers with ``h`` doubled until they tell strings of ``LENGTH`` bytes apart. One string of
-   each number leaves the task, named by its digest, to meet those of other tasks.
+   shuffled, one for about 35 bytes. Strings next to one another with one anchor form a stretch; its
+   bucket is the anchor. Buckets of one stretch end here. Stretches of a bucket that are equal throughout
+   form classes; all but the first of a class go whole.
+2. Buckets with several classes are refined by what stands at later and earlier offsets: their stretches are cut into cells
+   of ``CELL`` strings, and a cell's bucket is all that its strings share. The same steps follow.
+3. The same once more, with cells of one string. The task that holds the texts gives positions bucket numbers by
+   4-grams, sorts them on the pairs of numbers here and ``h`` bytes on, renumbers, and reuses the new numbers
+   with ``h`` doubled until they tell strings apart; only the first string of each number meets those of other tasks.
 
 Minima are combined before shuffles and joined back on a unique side, so a passage in a third of all texts
-splits over tasks. The texts are shuffled once, by id; that exchange serves both steps that read them.
+splits over tasks. Each step ends in a stored table of what is left.
 
 Defined results: null and empty texts keep nothing and lose nothing; texts under ``LENGTH`` bytes lose
 nothing; long texts are read whole; rows that repeat an id, or have none, count as documents of their own,
 ordered by id (nulls first) and then by text, and of equal rows all but one count as later; an empty table gives
-no rows. Only ``id_col`` and ``text_col`` are read.
+no rows. Only ``id_col``, ``text_col`` and the columns to carry are read.
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonearm.llm.common import read, stored, with_order
+from tonearm.llm.common import discard, read, stored, with_order
 
 LENGTH = 100
 Q = 32
 #: Bytes that numpy works on at a time.
-CHUNK = 1 << 19
+CHUNK = 1 << 16
+#: Strings that a cell of the second refinement covers.
+CELL = 9
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -73,20 +76,19 @@ class Rolling:
         return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
 
     def all(self, length: int) -> np.ndarray:
-        return mixed((self.sums[length:] - self.sums[:-length]) * self.back[: len(self.sums) - length] + np.uint64(length))
+        """The hashes, unmixed, of all substrings of one length: good in their upper bits."""
+        return (self.sums[length:] - self.sums[:-length]) * self.back[: len(self.sums) - length]
 
 
 def least_in_windows(x: np.ndarray, width: int) -> np.ndarray:
     """For each window of ``width`` hashes the place of the least by its upper half, the first of equals."""
-    packed = (x & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(x), dtype=np.uint64)
-    blocks = -(-len(x) // width)
-    pad = np.full(blocks * width, ~np.uint64(0))
-    pad[: len(x)] = packed
-    pad = pad.reshape(blocks, width)
-    ahead = np.minimum.accumulate(pad, axis=1).ravel()
-    back = np.minimum.accumulate(pad[:, ::-1], axis=1)[:, ::-1].ravel()
-    n = len(x) - width + 1
-    return (np.minimum(back[:n], ahead[width - 1 : width - 1 + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    low = (x & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(x), dtype=np.uint64)
+    n, have = len(x) - width + 1, 1
+    while have < width:
+        step = min(have, width - have)
+        low = np.minimum(low[: len(low) - step], low[step:])
+        have += step
+    return (low[:n] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def chunks(texts, most: int = CHUNK):
@@ -104,24 +106,30 @@ def chunks(texts, most: int = CHUNK):
 
 
 def stretches(texts: list[bytes], length: int = LENGTH, q: int = Q):
-    """The stretches of some texts: (text, bucket, class, first string, strings), in order of the strings."""
+    """The stretches of some texts: (text, bucket, class, first string, strings, anchor), in order of the strings."""
     sizes = np.array([len(x) for x in texts], dtype=np.int64)
     begin = np.cumsum(sizes) - sizes
     n = np.maximum(sizes - length + 1, 0)
     if not n.sum():
         none = np.zeros(0, dtype=np.int64)
-        return none, none.view(np.uint64), none.view(np.uint64), none, none
+        return none, none.view(np.uint64), none.view(np.uint64), none, none, none
     roll = Rolling(np.frombuffer(b"".join(texts), dtype=np.uint8))
     grams = roll.all(q)
-    owner = np.repeat(np.arange(len(texts)), n)
-    window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
-    at = least_in_windows(grams, length - q + 1)[window]
-    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])]))
-    count = np.diff(np.append(first, len(at)))
-    place, start, owner = at[first], window[first], owner[first]
-    whole = roll.of(start, start + count - 1 + length)
-    kind = mixed(whole ^ (place - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return owner, grams[place], kind, start - begin[owner], count
+    at = least_in_windows(grams, length - q + 1)
+    cut = np.empty(len(at) + 1, dtype=bool)
+    cut[0] = cut[-1] = True
+    np.not_equal(at[1:], at[:-1], out=cut[1:-1])
+    for edge in (begin, begin + n):
+        cut[edge[edge < len(at)]] = True
+    first = np.flatnonzero(cut)
+    count, first = np.diff(first), first[:-1]
+    owner = np.searchsorted(begin, first, side="right") - 1
+    inside = first < begin[owner] + n[owner]
+    first, count, owner = first[inside], count[inside], owner[inside]
+    place = at[first]
+    whole = roll.of(first, first + count - 1 + length)
+    kind = mixed(whole ^ (place - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return owner, grams[place], kind, first - begin[owner], count, place - first
 
 
 def leads(owner: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -159,6 +167,32 @@ def refine(codes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return number[starts]
 
 
+def packed(first, count, left):
+    """A stretch as a long: its first string, how many there are, and how far after its start the anchor stands."""
+    return first << 16 | count << 8 | left
+
+
+def judged(rows: DataFrame, length: int) -> DataFrame:
+    """Of ``rows(bucket, kind, rid, place)``: ``span`` of the classes' later members, ``place`` of those to refine.
+
+    Both go by ``rid``. Members of a class are equal throughout; the first of each class in a bucket with several is to be refined.
+    """
+    crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    shared = stored(rows.join(crowded, "bucket"), "stretches")
+    classes = shared.groupBy("bucket", "kind").agg(F.min("rid").alias("first_rid"), F.count("*").alias("n"))
+    several = classes.groupBy("bucket").agg(F.count("*").alias("kinds"))
+    classes = classes.join(several, "bucket").filter("n > 1 or kinds > 1").select("bucket", "kind", "first_rid", "kinds")
+    both = shared.join(classes, ["bucket", "kind"]).filter("rid <> first_rid or kinds > 1")
+    start, count = F.expr("shiftright(place, 16)"), F.expr("shiftright(place, 8) & 255")
+    span = F.when(F.col("rid") != F.col("first_rid"), F.shiftleft(start, 32).bitwiseOR(start + count + (length - 1)))
+    out = stored(both.select("rid", span.alias("span"), F.when(span.isNull(), F.col("place")).alias("place")), "judged")
+    discard(shared)
+    return out
+
+
+ROWS = "bucket long, kind long, rid long, place long"
+
+
 def repeated_spans(docs: DataFrame, dealt: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     """``rid`` and ``span``: runs of bytes (start and end packed in a long) covered by strings that start earlier.
 
@@ -170,69 +204,80 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, length: int = LENGTH, q: i
         for pdf in batches:
             rids = pdf["rid"].to_numpy()
             for at, texts in chunks(pdf["text"]):
-                owner, bucket, kind, first, count = stretches(texts, length, q)
+                owner, bucket, kind, first, count, left = stretches(texts, length, q)
                 lead = leads(owner, kind)
-                yield pd.DataFrame({"bucket": bucket[lead].view(np.int64), "kind": kind[lead].view(np.int64), "rid": rids[at + owner[lead]], "place": first[lead] << 8 | count[lead]})
+                yield pd.DataFrame({"bucket": bucket[lead].view(np.int64), "kind": kind[lead].view(np.int64), "rid": rids[at + owner[lead]], "place": packed(first, count, left)[lead]})
+
+    found = judged(docs.mapInPandas(anchors, ROWS), length)
+    spans = found.filter("span is not null").select("rid", "span")
+    for width in (CELL, 1):
+        wanted = found.filter("place is not null").groupBy("rid").agg(F.collect_list("place").alias("places"))
+
+        def finer(batches, width=width):
+            for pdf in batches:
+                for part in batched(pdf, length):
+                    yield refined(part, length, q, width)
+
+        rows = stored(dealt.join(wanted.hint("shuffle_hash"), "rid").select("rid", "text", "places").mapInPandas(finer, ROWS + ", later boolean"), "cells")
+        start, count = F.expr("shiftright(place, 16)"), F.expr("shiftright(place, 8) & 255")
+        spans = spans.union(rows.filter("later").select("rid", F.shiftleft(start, 32).bitwiseOR(start + count + (length - 1))))
+        found = judged(rows.filter("not later").drop("later"), length)
+        spans = spans.union(found.filter("span is not null").select("rid", "span"))
+    return spans
+
+
+def batched(pdf: pd.DataFrame, length: int):
+    """(rid, text, places) in lists with about ``CHUNK`` bytes of wanted stretches each."""
+    held, size = [], 0
+    for row in zip(pdf["rid"], pdf["text"], pdf["places"]):
+        held.append(row)
+        size += len(row[2]) * length
+        if size > CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
-    rows = docs.mapInPandas(anchors, "bucket long, kind long, rid long, place long")
-    crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    shared = stored(rows.join(crowded, "bucket"), "stretches")
-    classes = shared.groupBy("bucket", "kind").agg(F.min("rid").alias("first_rid"), F.count("*").alias("n"))
-    several = classes.groupBy("bucket").agg(F.count("*").alias("kinds"))
-    classes = classes.join(several, "bucket").filter("n > 1 or kinds > 1").select("bucket", "kind", "first_rid", "kinds")
-    judged = shared.join(classes, ["bucket", "kind"])
-    start, count = F.expr("shiftright(place, 8)"), F.col("place").bitwiseAND(255)
-    span = F.shiftleft(start, 32).bitwiseOR(start + count + (length - 1))
-    whole = judged.filter("rid <> first_rid").select("rid", span.alias("span"))
-    wanted = judged.filter("rid = first_rid and kinds > 1").groupBy("rid").agg(F.collect_list("place").alias("places"))
 
-    def strings(batches):
-        for pdf in batches:
-            held, size = [], 0
-            for row in zip(pdf["rid"], pdf["text"], pdf["places"]):
-                held.append(row)
-                size += sum((int(p) & 255) + length for p in row[2])
-                if size > CHUNK:
-                    yield refined(held, length)
-                    held, size = [], 0
-            yield refined(held, length)
-
-    finer = stored(dealt.join(wanted.hint("shuffle_hash"), "rid").mapInPandas(strings, "name long, more long, rid long, start long, own boolean"), "strings")
-    firsts = finer.filter("own")
-    least = firsts.groupBy("name", "more").agg(F.min("rid").alias("first_rid"), F.count("*").alias("n")).filter("n > 1")
-    later = firsts.join(least.select("name", "more", "first_rid"), ["name", "more"]).filter("rid <> first_rid")
-    piece = F.shiftleft("start", 32).bitwiseOR(F.col("start") + length).alias("span")
-    return whole.union(later.select("rid", piece)).union(finer.filter("not own").select("rid", piece))
-
-
-def refined(rows: list, length: int) -> pd.DataFrame:
-    """The strings of the wanted stretches of some (rid, text, places), told apart by :func:`refine`.
-
-    One row for each string of a text is ``own``: its first place there; the others are later places.
-    Strings are named by digests, which other tasks compute alike.
+def refined(rows: list, length: int, q: int, width: int) -> pd.DataFrame:
+    """The wanted stretches of some (rid, text, places), cut where the anchor's distance is a multiple of ``width``.
+
+    A cut's bucket is what all strings of its cell have in common; its class is all that it covers.
+    Within the batch, equal cuts are found by :func:`refine`'s numbers for single strings and by digests for longer
+    cuts; the first stands for all, and the others are ``later``.
     """
+    none = np.zeros(0, dtype=np.int64)
     codes, origin, at = [], [], 0
     gap = np.array([256], dtype=np.int64)
     for rid, text, places in rows:
         data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.int64)
-        for s, c in sorted((int(p) >> 8, int(p) & 255) for p in places):
+        for s, c, left in sorted((int(p) >> 16, int(p) >> 8 & 255, int(p) & 255) for p in places):
             codes += [data[s : s + c - 1 + length], gap]
-            origin.append((rid, s, c, at))
+            origin.append((rid, s, c, left, at))
             at += c + length
     if not origin:
-        return pd.DataFrame({**{c: np.zeros(0, np.int64) for c in ("name", "more", "rid", "start")}, "own": np.zeros(0, bool)})
+        return pd.DataFrame({"bucket": none, "kind": none, "rid": none, "place": none, "later": np.zeros(0, bool)})
     flat = np.concatenate(codes)
-    rid, start, count, place = (np.array(x, dtype=np.int64) for x in zip(*origin))
+    rid, start, count, left, place = (np.array(x, dtype=np.int64) for x in zip(*origin))
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    rids, starts, places = np.repeat(rid, count), np.repeat(start, count) + step, np.repeat(place, count) + step
-    number = refine(flat, places, length)
-    order = np.lexsort((starts, rids, number))
-    number, rids, starts, places = number[order], rids[order], starts[order], places[order]
-    own = np.concatenate([[True], (number[1:] != number[:-1]) | (rids[1:] != rids[:-1])])
+    rids, starts, places, lefts = np.repeat(rid, count), np.repeat(start, count) + step, np.repeat(place, count) + step, np.repeat(left, count) - step
+    cell = lefts // width
+    head = np.flatnonzero((step == 0) | np.concatenate([[True], cell[1:] != cell[:-1]]))
+    n = np.diff(np.append(head, len(cell)))
+    rids, starts, places, lefts, cell = rids[head], starts[head], places[head], lefts[head], cell[head]
     roll = Rolling(np.minimum(flat, 255).astype(np.uint8))
-    name = roll.of(places, places + length)
-    more = roll.of(places, places + length // 2) ^ mixed(name)
-    return pd.DataFrame({"name": name.view(np.int64), "more": more.view(np.int64), "rid": rids, "start": starts, "own": own})
+    anchor = places + lefts
+    far = np.minimum((cell + 1) * width - 1, length - q)
+    bucket = mixed(roll.of(anchor - cell * width, anchor - far + length) + cell.astype(np.uint64))
+    whole = roll.of(places, places + n - 1 + length)
+    kind = mixed(whole ^ mixed((lefts << 8 | n).astype(np.uint64) + roll.of(places, places + length // 2)))
+    if width == 1:
+        same = refine(flat, places, length)
+    else:
+        same = np.unique(mixed(kind + bucket * _BASE64), return_inverse=True)[1]
+    order = np.lexsort((starts, rids, same))
+    later = np.concatenate([[False], same[order][1:] == same[order][:-1]])
+    return pd.DataFrame({"bucket": bucket[order].view(np.int64), "kind": kind[order].view(np.int64), "rid": rids[order], "place": packed(starts, n, lefts)[order], "later": later})
 
 
 def cut(data: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, list]:
@@ -260,7 +305,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def apply(batches):
         for pdf in batches:
             for at, texts in chunks(pdf["text"]):
-                owner, _, kind, first, count = stretches(texts, length, q)
+                owner, _, kind, first, count, _ = stretches(texts, length, q)
                 later = ~leads(owner, kind)
                 ends = first + count - 1 + length
                 runs = [[] if x is None else [(int(v) >> 32, int(v) & 0xFFFFFFFF) for v in x] for x in pdf["spans"].iloc[at : at + len(texts)]]
