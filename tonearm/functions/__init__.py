@@ -1 +1 @@
-
+"""Column functions: text clean-up, formatting and similarity."""

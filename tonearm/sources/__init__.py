@@ -1 +1 @@
-
+"""Readers of tables, logs and reports."""
