@@ -37,9 +37,9 @@ _SPLIT = r"[\s\p{Punct}]+"
 _ALWAYS = 0
 
 
-def terms(text: Column) -> Column:
-    """The hashes of a text's distinct lower-case terms."""
-    return F.transform(F.array_distinct(F.split(F.lower(text), _SPLIT)), lambda t: F.xxhash64(t))
+def terms(text: Column, mark: int = 0) -> Column:
+    """The hashes of a text's distinct lower-case terms; their two lowest bits hold ``mark``."""
+    return F.array_distinct(F.transform(F.split(F.lower(text), _SPLIT), lambda t: F.xxhash64(t).bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(mark).cast("long"))))
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", band=BAND, subsets: int = SUBSETS) -> DataFrame:
@@ -76,25 +76,32 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.select("id", "rid", "part", "text", "last", F.when(F.col("last"), F.col("guest_id")).otherwise(F.col("next_id")).alias("next_id"), F.when(F.col("last"), F.col("guest_text")).otherwise(F.col("next_text")).alias("next_text"))
 
 
-def hashes(codes: Column, subsets: int) -> Column:
-    """The hash of the sorted codes of each subset; null for a subset without any."""
-    none = F.xxhash64(F.expr("cast(array() as array<bigint>)"))
-    return F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda k: F.nullif(F.xxhash64(F.filter(codes, lambda c: F.shiftright(c, 56) == k)), none))
+def hashes(codes: Column) -> Column:
+    """For each subset with terms, in order, a long: the subset in the upper 8 bits, the hash of its sorted codes below.
+
+    Sorted codes stand subset by subset, so one pass chains the hash of each.
+    """
+    subset = lambda c: F.shiftright(c, 56)
+    packed = lambda a: F.shiftleft(a["subset"], 56).bitwiseOR(F.shiftrightunsigned(a["hash"], 8))
+    state = lambda s, h, done: F.struct(s.alias("subset"), h.alias("hash"), done.alias("done"))
+    none = F.expr("cast(array() as array<bigint>)")
+    closed = lambda a: F.when(a["subset"] < 0, none).otherwise(F.array_append(a["done"], packed(a)))
+    step = lambda a, c: F.when(a["subset"] == subset(c), state(a["subset"], F.xxhash64(a["hash"], c), a["done"])).otherwise(state(subset(c), F.xxhash64(c), closed(a)))
+    return F.aggregate(codes, state(F.lit(-1).cast("long"), F.lit(0).cast("long"), none), step, closed)
 
 
 def written(codes: Column, prints: Column, own: Column) -> Column:
-    """The fingerprint as text: the hash of all terms, then 4 hex digits a subset (dashes: no terms)."""
+    """The fingerprint as text: the hash of all terms, then 6 hex digits a subset with terms, its number and hash."""
     whole = F.when(F.size(codes) > 0, F.lpad(F.hex(F.xxhash64(codes)), 16, "0")).otherwise(F.concat(F.lit("t"), F.lpad(F.hex(own), 16, "0")))
-    parts = F.transform(prints, lambda x: F.coalesce(F.substring(F.lpad(F.hex(x), 16, "0"), 13, 4), F.lit("----")))
+    parts = F.transform(prints, lambda x: F.substring(F.lpad(F.hex(x), 16, "0"), 1, 6))
     return F.lower(F.concat(whole, F.lit("."), F.array_join(parts, "")))
 
 
 def likeness(a: Column, b: Column, a_text: Column, b_text: Column) -> Column:
     """Equal subset hashes over subsets with terms; texts without any are alike only if equal."""
-    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    filled = F.size(F.filter(pairs, lambda p: p["x"].isNotNull() | p["y"].isNotNull()))
-    equal = F.size(F.filter(pairs, lambda p: p["x"] == p["y"]))
-    return F.when(filled > 0, equal / filled).otherwise((a_text == b_text).cast("double"))
+    subsets = lambda p: F.transform(p, lambda x: F.shiftright(x, 56))
+    filled = F.size(F.array_union(subsets(a), subsets(b)))
+    return F.when(filled > 0, F.size(F.array_intersect(a, b)) / filled).otherwise((a_text == b_text).cast("double"))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band=BAND, subsets: int = SUBSETS) -> DataFrame:
@@ -104,19 +111,19 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         words = F.broadcast(words)
     rows = in_order(docs, id_col, text_col)
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(F.expr("left(text, int(n_chars - n_chars div 2))"), F.expr("left(next_text, int(n_chars div 2))")))
-    tagged = lambda c, v: F.transform(c, lambda h: F.struct(F.lit(v).alias("v"), h.alias("h")))
     every = F.concat(
-        F.array(F.struct(F.lit(0).alias("v"), F.lit(_ALWAYS).cast("long").alias("h"))),
-        tagged(terms(F.col("text")), 0),
-        tagged(terms(F.col("edited")), 1),
-        F.when(F.col("last"), tagged(terms(F.col("next_text")), 2)).otherwise(F.expr("cast(array() as array<struct<v:int,h:bigint>>)")),
+        F.array(F.lit(_ALWAYS).cast("long")),
+        terms(F.col("text"), 0),
+        terms(F.col("edited"), 1),
+        F.when(F.col("last"), terms(F.col("next_text"), 2)).otherwise(F.expr("cast(array() as array<bigint>)")),
     )
     keys = ["part", "rid", "id", "n_chars", "edited_sha256", "own", "edited_own", "next_own", "next_id", "last"]
-    flat = rows.select("part", "rid", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("own"), F.xxhash64("edited").alias("edited_own"), F.xxhash64("next_text").alias("next_own"), "next_id", "last", F.explode(every).alias("t"))
-    flat = flat.select(*keys, "t.v", "t.h").join(words, "h")
+    flat = rows.select("part", "rid", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("own"), F.xxhash64("edited").alias("edited_own"), F.xxhash64("next_text").alias("next_own"), "next_id", "last", every.alias("every"))
+    # A select of its own: what stands beside explode is computed again for every term.
+    flat = flat.select(*keys, F.explode("every").alias("t")).select(*keys, F.col("t").bitwiseAND(F.lit(3)).alias("v"), F.col("t").bitwiseAND(F.lit(-4)).alias("h")).join(words, "h")
     pick = lambda v: F.sort_array(F.collect_list(F.when((F.col("v") == v) & (F.col("code") >= 0), F.col("code")))).alias(f"codes{v}")
     whole = flat.groupBy(*keys).agg(pick(0), pick(1), pick(2))
-    whole = whole.select("*", *[hashes(F.col(f"codes{v}"), subsets).alias(f"prints{v}") for v in (0, 1, 2)])
+    whole = whole.select("*", *[hashes(F.col(f"codes{v}")).alias(f"prints{v}") for v in (0, 1, 2)])
     down = Window.partitionBy("part").orderBy(F.desc("rid"))
     whole = whole.withColumn("next_prints", F.when(F.col("last"), F.col("prints2")).otherwise(F.lead("prints0").over(down)))
     return whole.select(
