@@ -86,9 +86,9 @@ def with_order(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | N
     base = spans.groupBy("part").agg(F.sum("n").alias("all"))
     base = base.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("base"))
     within = F.sum("n").over(Window.partitionBy("part").orderBy("id")) - F.col("n")
-    begin = spans.withColumn("within", within).join(F.broadcast(base), "part").select("id", (F.col("base") + F.col("within")).alias("begin"))
+    begin = spans.withColumn("within", within).join(F.broadcast(base), "part").select(F.col("id").alias("_id"), (F.col("base") + F.col("within")).alias("begin"))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.md5("text"), "text")) - 1
-    return rows.withColumn("place", place).join(begin, rows["id"].eqNullSafe(begin["id"])).select(rows["id"], "text", "other", (F.col("begin") + F.col("place")).alias("rid"))
+    return rows.withColumn("place", place).join(begin, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "other", (F.col("begin") + F.col("place")).alias("rid"))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, max_rows: int, extra: tuple = ()) -> list:

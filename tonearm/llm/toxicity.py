@@ -110,8 +110,9 @@ def pool(model: ToxicityModel, ids: list[np.ndarray], want_at: bool = False):
                     where[i, cols] = s + best
         elif len(ids):
             live = np.array([len(x) > 0 for x in ids])
-            top = np.maximum.reduceat(resp, np.array(starts)[live]) if live.any() else out[:0, cols]
-            out[live, cols] = top
+            # From start to end of each text: windows that start in the gap after it may reach into the next.
+            edges = np.array([(s, s + len(x)) for s, x in zip(starts, ids) if len(x)], dtype=np.int64).ravel()
+            out[live, cols] = np.maximum.reduceat(resp, edges)[::2] if live.any() else out[:0, cols]
     where[out <= 0] = -1
     return np.maximum(out, 0.0), where, flat
 
