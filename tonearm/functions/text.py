@@ -46,7 +46,7 @@ def volume(c: Column) -> Column:
 
 def embedded_artist(title: Column) -> Column:
     """(artist, rest) of a title parted by spaced dashes; no dash: (null, title)."""
-    parts = F.filter(F.transform(F.split(title, r"\s+[-–—]\s+"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(title, r"\s+[-–—]\s+"), lambda x: F.trim(x)), lambda x: x != "")
     two = F.size(parts) >= 2
     rest = F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), " - ")
     return F.struct(F.when(two, F.get(parts, F.lit(0))).alias("artist"), F.when(two, rest).otherwise(title).alias("title"))

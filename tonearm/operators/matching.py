@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonearm.functions.similarity import ratio_udf, sorted_tokens
+from tonearm.functions.similarity import partial_ratio_udf, ratio_udf, sorted_tokens, token_sort_ratio
 from tonearm.functions.text import tier
 
 #: Names on the smaller side that every task may hold.
@@ -41,3 +41,88 @@ def known_by(rows: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
     for name, check in reversed(checks):
         out = F.when(F.coalesce(check, F.lit(False)), name).otherwise(out)
     return rows.withColumn("reason", out)
+
+
+def band_candidates(name: Column) -> Column:
+    """Names that a store's band name may stand for: parts between spaced dashes, the likeliest first, then the name itself."""
+    p, none = F.split(name, r"\s+[-–—]\s+"), F.expr("cast(array() as array<string>)")
+    n = F.size(p)
+    three = F.when(n >= 3, F.array(F.get(p, F.lit(1)), F.get(p, n - 2))).otherwise(none)
+    two = F.when(n >= 2, F.array(F.get(p, n - 1), F.get(p, F.lit(0)))).otherwise(none)
+    return F.array_distinct(F.concat(three, two, F.array(name)))
+
+
+def safe_partial(query: Column, target: Column, least: int = 4) -> Column:
+    """Partial ratio, lowered where lengths differ much; short names are compared whole.
+
+    A shorter name of two or more words that all stand in the longer one loses at most 15 %.
+    """
+    q, t = F.length(query), F.length(target)
+    share = F.least(q, t) / F.greatest(q, t)
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda x: x != ""))
+    short, long_ = F.when(q <= t, query).otherwise(target), F.when(q <= t, target).otherwise(query)
+    inside = (F.size(words(short)) >= 2) & (F.size(F.array_except(words(short), words(long_))) == 0)
+    factor = F.when(share >= 0.5, 1.0).when(inside, F.greatest(2 * share, F.lit(0.85))).otherwise(2 * share)
+    whole = F.least(q, t) < least
+    score = F.when(whole, token_sort_ratio(query, target)).otherwise(partial_ratio_udf(query, target) * factor)
+    return F.when((q > 0) & (t > 0), score).otherwise(F.lit(0.0))
+
+
+def url_matches(releases: DataFrame, tracks: DataFrame, url: str, release_id: str, key: str) -> DataFrame:
+    """Releases met by exact URL: score 100, tier exact; a URL may meet many of both."""
+    a = releases.filter(F.col(url).isNotNull()).select(release_id, url)
+    b = tracks.filter(F.col(url).isNotNull()).select(key, url)
+    return a.join(b, url).select(release_id, key, F.lit(100.0).alias("score"), F.lit("exact").alias("tier"))
+
+
+def folder_votes(candidates: DataFrame, release_id: str, folder: str, score: str) -> DataFrame:
+    """Each release's folder: the one with most candidates, then the largest sum of scores, then by name; with their average."""
+    by = candidates.groupBy(release_id, folder).agg(F.count("*").alias("n"), F.sum(score).alias("total"), F.avg(score).alias("score"))
+    best = Window.partitionBy(release_id).orderBy(F.desc("n"), F.desc("total"), folder)
+    return by.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(release_id, folder, "n", "score")
+
+
+def claim_folders(best: DataFrame, release_id: str, folder: str, score: str, seq: str) -> DataFrame:
+    """Greedy claims: a folder goes to the release that scores highest, the earlier one of equals.
+
+    Every release has one best folder, so what all folders' first claims give is what claiming in the order of scores over all gives.
+    """
+    first = F.max_by(F.struct(release_id, score, seq), F.struct(score, -F.col(seq)))
+    return best.groupBy(folder).agg(first.alias("m")).select(folder, "m.*")
+
+
+def one_to_one(pairs: DataFrame, group: list[str], left: str, right: str, order: str, score: str, least: float = 50.0) -> DataFrame:
+    """Within each group every left row, in order, takes its best free right row that scores ``least`` or more.
+
+    Rows are sorted within tasks and read once, so a task holds no group, only what the one at hand has taken.
+    """
+    schema = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in (*group, left, right, score))
+    kept = pairs.filter(F.col(score) >= least)
+    rows = kept.repartition(*group).sortWithinPartitions(*group, order, left, F.desc(score), right).select(*group, left, right, score)
+
+    def assign(batches):
+        own, at, taken = None, None, set()
+        for pdf in batches:
+            keep = []
+            for n, row in enumerate(zip(*[pdf[c].tolist() for c in (*group, left, right)])):
+                if row[:-2] != own:
+                    own, at, taken = row[:-2], None, set()
+                if row[-2] != at and row[-1] not in taken:
+                    at = row[-2]
+                    taken.add(row[-1])
+                    keep.append(n)
+            yield pdf.iloc[keep]
+
+    return rows.mapInPandas(assign, schema)
+
+
+def known_reason(post: DataFrame, local_urls: DataFrame, comments: DataFrame, fuzzy: DataFrame, key: str, url: str) -> DataFrame:
+    """Why a post counts as a duplicate: its URL was downloaded, a comment holds the URL, or the names are alike; else null.
+
+    ``comments(url)`` are the URLs found in comments; ``fuzzy(key, score, album_score)`` holds each post's best partner.
+    """
+    flag = lambda d, c: d.select(F.col(url)).filter(F.col(url).isNotNull()).distinct().withColumn(c, F.lit(True))
+    near = fuzzy.filter((F.col("score") >= 80) & (F.col("album_score") >= 50)).select(key, F.lit(True).alias("_near"))
+    rows = post.join(flag(local_urls, "_url"), url, "left").join(flag(comments, "_comment"), url, "left").join(near, key, "left")
+    reason = F.when(F.col("_url"), "url").when(F.col("_comment"), "comment").when(F.col("_near"), "names")
+    return rows.withColumn("reason", reason).drop("_url", "_comment", "_near")

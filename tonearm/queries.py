@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonearm.functions import media
 from tonearm.functions import text as T
-from tonearm.operators import changelog, library, matching
+from tonearm.operators import changelog, cue, library, matching, releases
 from tonearm.plans import template
 from tonearm.plans.search import Catalog, ordered, search
 from tonearm.sources.tables import table
+from tonearm.streaming import refresh
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -323,3 +325,145 @@ SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'overdrawn' WHEN s_nationkey IN (
 def match_reasons(spark, d):
     s, n = table(spark, d, "supplier"), table(spark, d, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"), F.lit(True).alias("near"))
     return matching.known_by(s.join(n, "s_nationkey", "left"), [("overdrawn", F.col("s_acctbal") < 0), ("region", F.col("near"))]).select("s_suppkey", "reason")
+
+
+# Media attributes and decisions.
+
+@query("media_attributes", """
+SELECT p_partkey, 'name=' || p_name || CASE WHEN p_size % 6 <> 0 THEN ',rating=' || (p_size % 6) ELSE '' END || ',bpm=' || printf('%.2f', p_retailprice) AS attributes FROM part""")
+def media_attributes(spark, d):
+    p = table(spark, d, "part")
+    made = media.attributes({"name": F.col("p_name"), "rating": media.rating_text(F.col("p_size") % 6), "bpm": media.bpm_text(F.col("p_retailprice"))})
+    return p.select("p_partkey", F.array_join(F.transform(F.map_entries(made), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("attributes"))
+
+
+@query("export_actions", """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'not_present' WHEN l_quantity < 25 AND l_linenumber <> 1 AND l_linestatus <> 'O' THEN 'file_copied'
+  WHEN l_quantity < 25 THEN 'stream_copied' ELSE 'encoded' END AS action FROM lineitem""")
+def export_actions(spark, d):
+    c = F.col
+    action = media.export_action(c("l_returnflag") != "R", c("l_quantity") < 25, c("l_linenumber") == 1, c("l_linestatus") == "O")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", action.alias("action"))
+
+
+@query("check_statuses", """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'not_present' WHEN o_orderkey % 7 = 0 THEN 'skipped' WHEN o_orderkey % 5 = 0 THEN 'checker_missing'
+  WHEN o_orderkey % 3 > 1 THEN 'error' WHEN o_orderkey % 2 > 0 THEN 'warning' ELSE 'ok' END AS status FROM orders""")
+def check_statuses(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", media.check_status(F.col("o_orderstatus") != "P", k % 7 != 0, k % 5 != 0, (k % 3 > 1).cast("int"), k % 2).alias("status"))
+
+
+@query("copy_eligible", "SELECT p_partkey, p_size % 3 = 0 AND p_size > 10 AS copied FROM part")
+def copy_eligible(spark, d):
+    codec = F.when(F.col("p_size") % 3 == 0, "pcm_s24be").otherwise("mp3")
+    rate = F.when(F.col("p_size") > 10, 44100).otherwise(48000)
+    preset = {"codec": "pcm_s16be", "rate": 44100, "bits": None}
+    return table(spark, d, "part").select("p_partkey", media.may_copy(codec, rate, F.lit(None), F.lit(2), preset).alias("copied"))
+
+
+@query("paths_below", "SELECT page_id, CASE WHEN url LIKE 'https:/%' THEN substr(url, 8) END AS relative, url LIKE '/%' OR url = '' OR url LIKE 'https:/%' AS under FROM pages")
+def paths_below(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", media.below(u, "https:").alias("relative"), media.under_any(u, ["", "https:"]).alias("under"))
+
+
+@query("cue_sheets", """
+SELECT l_orderkey AS key, 'Order ' || l_orderkey || '.wav' AS file, l_linenumber AS track_num, 'Part ' || l_partkey AS title, 'Customer' AS performer, 'Orders' AS album,
+  (l_linenumber * 60 * 44100 + l_linenumber * 588)::BIGINT AS start_samples, (lead(l_linenumber) OVER w * (60 * 44100 + 588))::BIGINT AS end_samples
+FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)""")
+def cue_sheets(spark, d):
+    n, two = F.col("l_linenumber"), lambda c: F.lpad(c.cast("string"), 2, "0")
+    line = lambda at, *parts: F.struct((n * 10 + at).alias("line_no"), F.concat(*parts).alias("line"))
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    body = F.array(line(1, F.lit("  TRACK "), two(n), F.lit(" AUDIO")), line(2, F.lit('    TITLE "Part '), F.col("l_partkey").cast("string"), F.lit('"')), line(3, F.lit("    INDEX 00 00:00:00")), line(4, F.lit("    INDEX 01 "), two(n), F.lit(":00:"), two(n)))
+    k = F.col("l_orderkey").cast("string")
+    head = F.array(F.struct(F.lit(0).alias("line_no"), F.lit('PERFORMER "Customer"').alias("line")), F.struct(F.lit(1).alias("line_no"), F.lit('TITLE "Orders"').alias("line")), F.struct(F.lit(2).alias("line_no"), F.concat(F.lit('FILE "Order '), k, F.lit('.wav" WAVE')).alias("line")))
+    lines = li.select("l_orderkey", F.explode(body).alias("x")).union(li.select("l_orderkey").distinct().select("l_orderkey", F.explode(head).alias("x")))
+    tracks = cue.cue_tracks(lines.select(F.col("l_orderkey").alias("key"), "x.*"))
+    return tracks.select("key", "file", "track_num", "title", "performer", "album", "start_samples", "end_samples")
+
+
+# Releases and their matches.
+
+@query("category_kinds", "SELECT p_partkey, CASE WHEN p_size IN (1, 2, 3) THEN 'ignored' WHEN p_size IN (7, 8, 9, 10, 11, 12, 14, 15, 16, 28, 29, 30, 33, 44, 47, 48, 69) THEN 'genre' ELSE 'label' END AS kind FROM part")
+def category_kinds(spark, d):
+    return table(spark, d, "part").select("p_partkey", releases.category_kind(F.col("p_size"), (1, 2, 3)).alias("kind"))
+
+
+@query("release_titles", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'Various Artists' ELSE s_name END AS artist, 'Album ' || s_nationkey AS album FROM supplier")
+def release_titles(spark, d):
+    album = F.concat(F.lit("Album "), F.col("s_nationkey").cast("string"))
+    title = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("V/A "), album)).otherwise(F.concat("s_name", F.lit(" &#8211; "), album, F.lit(" (Some Records)")))
+    return table(spark, d, "supplier").select("s_suppkey", releases.parse_title(title).alias("t")).select("s_suppkey", "t.artist", "t.album")
+
+
+@query("release_discography", "SELECT DISTINCT ON (release_id) l_partkey AS release_id, 'Part' AS title FROM lineitem WHERE l_linenumber > 1 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 20)")
+def release_discography(spark, d):
+    li, known = table(spark, d, "lineitem"), table(spark, d, "part").filter("p_size < 20").select(F.col("p_partkey").alias("release_id"))
+    item = F.struct(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey")).alias("id"), F.col("l_partkey").alias("art_id"), F.when(F.col("l_linenumber") > 1, "Part").alias("title"))
+    return releases.discography(li.groupBy("l_orderkey").agg(F.collect_list(item).alias("items")), known, "release_id", "items")
+
+
+@query("match_by_url", "SELECT c_custkey, s_suppkey, 100.0::DOUBLE AS score, 'exact' AS tier FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey % 10 = 0 AND s_suppkey % 5 = 0")
+def match_by_url(spark, d):
+    c = table(spark, d, "customer").filter("c_custkey % 10 = 0").select("c_custkey", F.col("c_nationkey").alias("url"))
+    s = table(spark, d, "supplier").filter("s_suppkey % 5 = 0").select("s_suppkey", F.col("s_nationkey").alias("url"))
+    return matching.url_matches(c, s, "url", "c_custkey", "s_suppkey")
+
+
+_VOTES = """
+SELECT l_orderkey AS release_id, l_suppkey AS folder, n, total / n AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, total DESC, l_suppkey) AS place FROM (
+    SELECT l_orderkey, l_suppkey, count(*) AS n, sum(l_quantity) AS total FROM lineitem GROUP BY ALL)) WHERE place = 1"""
+
+
+def votes(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("release_id"), F.col("l_suppkey").alias("folder"), F.col("l_quantity").alias("score"))
+    return matching.folder_votes(rows, "release_id", "folder", "score")
+
+
+@query("match_folder_votes", _VOTES)
+def match_folder_votes(spark, d):
+    return votes(spark, d)
+
+
+@query("match_folder_claims", f"""
+SELECT folder, release_id, score FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY score DESC, release_id) AS place FROM ({_VOTES})) WHERE place = 1""")
+def match_folder_claims(spark, d):
+    best = votes(spark, d).withColumn("seq", F.col("release_id"))
+    return matching.claim_folders(best, "release_id", "folder", "score", "seq").drop("seq")
+
+
+@query("match_one_to_one", """
+WITH RECURSIVE p AS (SELECT l_orderkey AS g, l_linenumber AS a, (l_partkey * 7 + l_linenumber) % 4 AS b, (l_quantity * 2) % 101 AS score FROM lineitem),
+best AS (SELECT g, a, b, max(score) AS score FROM p GROUP BY ALL),
+go AS (
+  SELECT DISTINCT g, 0 AS a, NULL::BIGINT AS b, NULL::DOUBLE AS score, []::BIGINT[] AS used FROM p
+  UNION ALL
+  SELECT go.g, go.a + 1, x.b, x.score, CASE WHEN x.b IS NULL THEN used ELSE list_append(used, x.b) END
+  FROM go LEFT JOIN LATERAL (SELECT arg_max(b, score * 10 - b) AS b, max(score) AS score FROM best WHERE best.g = go.g AND best.a = go.a + 1 AND best.score >= 50 AND NOT list_contains(go.used, best.b)) x ON true
+  WHERE go.a < 7)
+SELECT g, a::INT AS a, b, score FROM go WHERE b IS NOT NULL""")
+def match_one_to_one(spark, d):
+    li = table(spark, d, "lineitem")
+    p = li.select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("a"), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 4).alias("b"), ((F.col("l_quantity") * 2) % 101).alias("score"))
+    best = p.groupBy("g", "a", "b").agg(F.max("score").alias("score"))
+    return matching.one_to_one(best.withColumn("place", F.col("a")), ["g"], "a", "b", "place", "score")
+
+
+@query("match_known_reasons", """
+SELECT c_custkey, CASE WHEN c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0) THEN 'url' WHEN c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) THEN 'comment'
+  WHEN c_acctbal >= 8000 AND c_custkey % 100 >= 50 THEN 'names' END AS reason FROM customer""")
+def match_known_reasons(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").alias("url"))
+    local = table(spark, d, "supplier").filter("s_acctbal < 0").select(F.col("s_nationkey").alias("url"))
+    said = table(spark, d, "nation").filter("n_regionkey = 2").select(F.col("n_nationkey").alias("url"))
+    fuzzy = c.select("c_custkey", (F.col("c_acctbal") / 100).alias("score"), (F.col("c_custkey") % 100).alias("album_score"))
+    return matching.known_reason(c, local, said, fuzzy, "c_custkey", "url").select("c_custkey", "reason")
+
+
+@query("stream_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def stream_counts(spark, d):
+    """Events per hour and type, counted by a stream that reads the table's files and ends once all are read."""
+    return refresh.hourly_counts(spark, f"{d}/events.parquet", "ts", "event_type")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tonearm.operators.changelog import current_values, operations, replace_keys
 
@@ -24,3 +27,22 @@ def follow_changes(spark: SparkSession, log_dir: str, schema: str, state: Callab
         save(fresh if base is None else replace_keys(base, fresh, keys, "key"))
 
     return lines.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def hourly_counts(spark: SparkSession, path: str, ts: str, kind: str, lateness: str = "1 hour") -> DataFrame:
+    """``start``, ``kind`` and ``n``: rows per hour and kind, by a windowed aggregation with a watermark over a file stream.
+
+    The stream ends once all files are read. Each batch replaces the counts of the hours that it changed, so a batch
+    that is run again gives the same table; the table and the stream's progress lie in the shared checkpoint folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    home = f"{base}/hourly-{uuid.uuid4().hex}"
+    # As a pattern, the path may name a file as well as a folder.
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn(ts, F.col(ts).cast("timestamp"))
+    counts = rows.withWatermark(ts, lateness).groupBy(F.window(ts, "1 hour").alias("w"), kind).agg(F.count("*").alias("n"))
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.select(F.col("w.start").cast("timestamp_ntz").alias("start"), kind, "n", F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{home}/counts/run={number}")
+
+    counts.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{home}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{home}/counts").groupBy("start", kind).agg(F.max_by("n", "batch").alias("n"))
