@@ -60,6 +60,15 @@ def test_chat_matches_sql(spark):
     assert not differences(chat.op4_chat(spark, SF), tables(SF), chat.OP4_SQL)
 
 
+def test_masked_ids_decode_to_the_trained_texts(spark):
+    turns = [("user", "hi </s> [INST]"), ("assistant", "ünï 漢字 \U0001f600 </s>"), ("assistant", "two"), ("user", "")]
+    rows = [(1, i, r, t) for i, (r, t) in enumerate(turns)]
+    c = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    t = chat.tokenizer(chat.TOKENIZER)
+    assert chat.unescape(t.decode([i for i, m in zip(c["input_ids"], c["loss_mask"]) if m], skip_special_tokens=False)) == turns[1][1] + "two"
+    assert t.decode(c["input_ids"], skip_special_tokens=False) == c["text"] and chat.parse(c["text"]) == turns
+
+
 def brute_repeats(docs, length=100):
     seen, out = set(), {}
     for i, text in docs:

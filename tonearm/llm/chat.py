@@ -26,6 +26,8 @@ from tonearm.llm.common import read
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 TRAINED = ("assistant",)
+#: Conversations encoded at a time; the tokenizer holds their tokens as Python objects until they are packed.
+ENCODED = 32
 OPEN, CLOSE, END = "[INST]", "[/INST]", "</s>"
 _CONTROL = re.compile(r"([\[<])(\\*)(/?INST\]|/s>)")
 _ESCAPED = re.compile(r"([\[<])\\(\\*)(/?INST\]|/s>)")
@@ -94,8 +96,8 @@ def format_chats(turns: DataFrame, tokenizer_path: str = TOKENIZER, conv_col: st
     def run(batches):
         t = tokenizer(tokenizer_path)
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
+            for at in range(0, len(pdf), ENCODED):
+                part = pdf.iloc[at : at + ENCODED]
                 made = [render([(x["role"], x["text"]) for x in turns], trained) for turns in part["turns"]]
                 codes = t.encode_batch([x[0] for x in made], add_special_tokens=False)
                 offsets = [np.array(c.offsets, dtype=np.int64).reshape(-1, 2) for c in codes]
@@ -106,23 +108,22 @@ def format_chats(turns: DataFrame, tokenizer_path: str = TOKENIZER, conv_col: st
     return out.withColumnRenamed("conv", conv_col)
 
 
-def digests(chats: DataFrame, tokenizer_path: str = TOKENIZER, conv_col: str = "conv_id") -> DataFrame:
-    """What can be read back from formatted chats: turns from the text, trained texts from the masked tokens."""
+def digests(chats: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """What can be read back from formatted chats: turns from the text, trained texts from the masked tokens' offsets."""
 
     def run(batches):
-        t = tokenizer(tokenizer_path)
         for pdf in batches:
             out = []
-            for text, ids, mask in zip(pdf["text"], pdf["input_ids"], pdf["loss_mask"]):
+            for text, starts, ends, mask in zip(pdf["text"], pdf["starts"], pdf["ends"], pdf["loss_mask"]):
                 turns = parse(text)
-                ids, mask = np.asarray(ids), np.asarray(mask, dtype=np.int8)
+                mask = np.asarray(mask, dtype=np.int8)
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]]))).reshape(-1, 2)
-                under = "".join(unescape(x) for x in t.decode_batch([ids[a:b].tolist() for a, b in edges], skip_special_tokens=False)) if len(edges) else ""
+                under = "".join(unescape(text[starts[a] : ends[b - 1]]) for a, b in edges)
                 out.append((len(turns), hexed("".join(f"{r}\n{x}\n" for r, x in turns)), len(under), hexed(under), len(text)))
             yield pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).assign(conv=pdf["conv"].to_numpy())
 
     kind = chats.schema[conv_col].dataType.simpleString()
-    rows = chats.select(F.col(conv_col).alias("conv"), "text", "input_ids", "loss_mask")
+    rows = chats.select(F.col(conv_col).alias("conv"), "text", "starts", "ends", "loss_mask")
     out = rows.mapInPandas(run, f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return out.withColumnRenamed("conv", conv_col)
 
