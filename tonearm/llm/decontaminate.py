@@ -124,18 +124,19 @@ def aligned(item: bytes, region: bytes, k: int) -> tuple[int, int, int] | None:
     at = region.find(item)
     if at >= 0:
         return 0, at, at + len(item)
-    d, end = banded(item, region)
+    d, end = banded(item, region, most=k)
     if d > k:
         return None
     _, back = banded(item[::-1], region[:end][::-1], anchored=True)
     return d, end - back, end
 
 
-def banded(item: bytes, region: bytes, anchored: bool = False) -> tuple[int, int]:
+def banded(item: bytes, region: bytes, anchored: bool = False, most: int = 10**6) -> tuple[int, int]:
     """Least edits from the item to a part of the region, and where that part ends.
 
     Rows of the table run along the diagonals of the band, which is as wide as the region is longer than
-    the item. ``anchored``: the part starts where the region does.
+    the item. ``anchored``: the part starts where the region does. The least of a row never falls from one row to
+    the next, so a table ends as soon as it exceeds ``most``.
     """
     m = len(item)
     wide = max(len(region) - m, 0) + m // 5 + 2
@@ -150,25 +151,39 @@ def banded(item: bytes, region: bytes, anchored: bool = False) -> tuple[int, int
         fresh = row + (text[i : i + width] != chars[i])
         fresh[:-1] = np.minimum(fresh[:-1], row[1:] + 1)
         row = np.minimum.accumulate(fresh - step) + step
+        if i & 7 == 7 and row.min() > most:
+            return most + 1, 0
     ends = m + step - pad
     row = np.where((ends >= 0) & (ends <= len(region)), row, 10**6)
     best = int(row.argmin())
     return int(row[best]), int(ends[best])
 
 
+def places(text: str) -> np.ndarray:
+    """For each byte of the text's normalised form the code point that it comes from."""
+    low = text.lower()
+    raw = np.frombuffer(low.encode("utf-8", "surrogatepass").translate(_KEEP), dtype=np.uint8)
+    lead = np.frombuffer(low.encode("utf-8", "surrogatepass"), dtype=np.uint8) & 0xC0 != 0x80
+    of = np.cumsum(lead) - 1
+    if len(low) != len(text):
+        # Some letters have several code points in lower case.
+        of = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])[of] if len(low) == sum(len(c.lower()) for c in text) else np.minimum(of, len(text) - 1)
+    solid = raw != 32
+    if not solid.any():
+        return of[:0]
+    first, last = np.flatnonzero(solid)[[0, -1]]
+    # Of a run of blanks the last stands for the one that stays; blanks at the ends go.
+    keep = solid.copy()
+    keep[:-1] |= ~solid[:-1] & solid[1:]
+    keep[:first] = False
+    keep[last + 1 :] = False
+    return of[keep]
+
+
 def original_span(text: str, start: int, end: int) -> tuple[int, int]:
     """Code points of ``text`` that the bytes start to end of its normalised form come from."""
-    out, gap, at = [], False, 0
-    for i, c in enumerate(text):
-        for b in c.lower().encode("utf-8", "surrogatepass").translate(_KEEP):
-            if b == 32:
-                gap = bool(out)
-            else:
-                if gap:
-                    out.append(i - 1)
-                gap = False
-                out.append(i)
-    return (out[start], out[min(end, len(out)) - 1] + 1) if out and start < len(out) else (at, at)
+    out = places(text)
+    return (int(out[start]), int(out[min(end, len(out)) - 1]) + 1) if start < len(out) else (0, 0)
 
 
 def chunked(texts):
