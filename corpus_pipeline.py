@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.llm import decontaminate, mixing, quality, simhash, substrings
-from tonearm.llm.common import fold, read, stored
+from tonearm.llm.common import fold, read, stored, with_order
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,13 +20,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component; rows without an id stay."""
-    named = simhash.simhash_components(docs)
-    first = named.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.filter("doc_id is null").select(*kept.columns)).select(*docs.columns)
+    """The first row of each SimHash component, by id and text; rows without an id come after those with one.
+
+    Rows are told apart by their own number, not by ``doc_id``, so ids may repeat or be null.
+    """
+    own = F.when(F.col("id").isNull(), F.col("rid") + F.lit(1 << 62)).otherwise(F.col("rid"))
+    rows = with_order(docs, "doc_id", "text", docs.columns).select(own.alias("rid"), "text", "other")
+    named = simhash.simhash_components(rows.select("rid", "text"), "rid")
+    kept = rows.join(named.filter("rid = component_id").select("rid"), "rid", "left_semi")
+    return kept.select(*[F.col(f"other.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,14 @@ def test_one_document_of_each_group(steps):
     assert set(ids(steps[1][1])) == {c for _, c in brute_components(before).values()}
 
 
+def test_one_row_of_each_group_whatever_its_id(spark):
+    texts = {k: " ".join(f"{k}{i % 89}x{i}" for i in range(60)) for k in "abcdef"}
+    rows = [(1, "a"), (1, "b"), (1, "b"), (2, "c"), (2, "a"), (None, "d"), (None, "d"), (None, "c"), (None, "e"), (3, "f"), (None, None), (None, "")]
+    docs = docs_df(spark, [(i, texts.get(k, k), "en", "web", 1) for i, k in rows])
+    kept = Counter((r["doc_id"], r["text"] or "") for r in pipeline.keep_one_of_each_group(spark, docs, SF).collect())
+    assert kept == Counter([(1, texts["a"]), (1, texts["b"]), (2, texts["c"]), (None, texts["d"]), (None, texts["e"]), (3, texts["f"]), (None, "")])
+
+
 def test_repeats_go(steps):
     before = sorted((r["doc_id"], r["text"] or "") for r in steps[2][0].collect())
     want = brute_repeats(before)
