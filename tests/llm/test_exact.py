@@ -47,6 +47,20 @@ def test_fingerprints(spark, docs):
     assert near[:, 0].mean() > near[:, 1].mean() + 0.1
 
 
+def test_fingerprints_of_large_groups_and_short_texts(spark):
+    own = [" ".join(f"w{(i * 31 + k * 7) % 4000}" for k in range(120)) for i in range(400)]
+    common = " ".join(f"c{k}" for k in range(120))
+    copies = [f"{common} e{i}a e{i}b" for i in range(200)]
+    short = ["red green blue lamp one", "red green blue lamp two", "Alone.", "...", ""]
+    texts = own + copies + short
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    near = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(df).collect()}
+    # Half of an edited text is gone, so about a third of its subsets stay as they were.
+    assert min(near[i]["near_next"] for i in range(401, 600)) >= 0.85 and min(near[i]["near_edited"] for i in range(401, 600)) > 0.15
+    assert 0.5 <= near[601]["near_next"] < 1 and near[602]["near_next"] == near[604]["near_next"] == 0
+    assert near[400]["near_next"] == 0 and near[600]["near_next"] == 0 and not near[603]["near_next"]
+
+
 def test_fingerprint_subsets_hash_sorted_terms(spark):
     from pyspark.sql import functions as F
 

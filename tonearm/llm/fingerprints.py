@@ -5,6 +5,10 @@ very frequent and very rare terms have no say. Its terms fall at random into ``S
 lexicon terms are sorted and hashed as a whole and subset by subset; the fingerprint is those hashes. Likeness is the
 share of equal ones among the subsets that either text has terms of.
 
+Short texts and those of a large group of near copies, whose terms are all too frequent, have few terms within the band. A
+text with fewer than ``FEW`` of them, or than the share ``LEAST_SHARE`` of its terms, is fingerprinted by all its terms, dealt over
+the same subsets; a likeness that such a text takes part in compares all terms of both.
+
 A document's edited text takes code points from the next document. Documents are dealt out by ranges of their
 order, the next one is a window's lead, and the first document of each range also visits the range before
 it. The texts are shuffled once; every later step works within that partitioning.
@@ -12,7 +16,7 @@ it. The texts are shuffled once; every later step works within that partitioning
 The lexicon is broadcast: by the band's lower bound it holds at most (mean distinct terms of a document) /
 ``BAND[0]`` terms at any corpus size. If that exceeds ``MOST_TERMS``, it is joined by shuffle.
 
-Defined results: null and empty texts count as empty; texts without a lexicon term have the hash of the text as
+Defined results: null and empty texts count as empty; texts without a term have the hash of the text as
 fingerprint, so equal texts still agree, and are like others (1) only if equal; the only document is its own next one;
 long texts are read whole; rows that repeat an id, or have none, follow one another by id (nulls first) and text; an
 empty table gives no rows. Only ``id_col`` and ``text_col`` are read.
@@ -27,7 +31,11 @@ from tonearm.llm.common import read, stored, with_order
 
 #: Lowest and highest document frequency of lexicon terms, as shares of the documents.
 BAND = (0.002, 0.01)
+#: At most 64: a subset takes 6 bits of a code.
 SUBSETS = 64
+#: Band terms, and their share of a text's terms, below which all terms count.
+FEW = 8
+LEAST_SHARE = 0.1
 MOST_TERMS = 400_000
 DOCS_PER_RANGE = 512
 MOST_RANGES = 1 << 16
@@ -35,6 +43,8 @@ SEED = "i-match-1"
 _SPLIT = r"[\s\p{Punct}]+"
 #: A term that every text has, so that texts without lexicon terms keep their rows.
 _ALWAYS = 0
+#: Bit of a code whose term is outside the band.
+_WIDE = 1 << 62
 
 
 def terms(text: Column, mark: int = 0) -> Column:
@@ -42,6 +52,11 @@ def terms(text: Column, mark: int = 0) -> Column:
     return F.array_distinct(F.transform(F.split(F.lower(text), _SPLIT), lambda t: F.xxhash64(t).bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(mark).cast("long"))))
 
 
+def coded(h: Column, subsets: int) -> Column:
+    """A term's subset in the upper bits, its hash below."""
+    return F.shiftleft(F.pmod(F.xxhash64(h, F.lit(SEED)), F.lit(subsets)), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+
 def lexicon(docs: DataFrame, text_col: str = "text", band=BAND, subsets: int = SUBSETS) -> DataFrame:
     """``h`` (a term's hash) and ``code`` (its subset in the upper bits) for each term within the band."""
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -49,9 +64,7 @@ def lexicon(docs: DataFrame, text_col: str = "text", band=BAND, subsets: int = S
     low = max(2, round(band[0] * n))
     high = max(low, round(band[1] * n))
     df = texts.select(F.explode(terms(F.col("text"))).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
-    subset = F.pmod(F.xxhash64("h", F.lit(SEED)), F.lit(subsets))
-    code = F.shiftleft(subset, 56).bitwiseOR(F.expr("shiftrightunsigned(h, 8)"))
-    kept = df.filter(F.col("df").between(low, high)).select("h", code.alias("code"))
+    kept = df.filter(F.col("df").between(low, high)).select("h", coded(F.col("h"), subsets).alias("code"))
     return stored(kept.union(docs.sparkSession.range(1).select(F.lit(_ALWAYS).cast("long"), F.lit(-1).cast("long"))), "lexicon")
 
 
@@ -120,20 +133,32 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keys = ["part", "rid", "id", "n_chars", "edited_sha256", "own", "edited_own", "next_own", "next_id", "last"]
     flat = rows.select("part", "rid", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("own"), F.xxhash64("edited").alias("edited_own"), F.xxhash64("next_text").alias("next_own"), "next_id", "last", every.alias("every"))
     # A select of its own: what stands beside explode is computed again for every term.
-    flat = flat.select(*keys, F.explode("every").alias("t")).select(*keys, F.col("t").bitwiseAND(F.lit(3)).alias("v"), F.col("t").bitwiseAND(F.lit(-4)).alias("h")).join(words, "h")
-    pick = lambda v: F.sort_array(F.collect_list(F.when((F.col("v") == v) & (F.col("code") >= 0), F.col("code")))).alias(f"codes{v}")
-    whole = flat.groupBy(*keys).agg(pick(0), pick(1), pick(2))
-    whole = whole.select("*", *[hashes(F.col(f"codes{v}")).alias(f"prints{v}") for v in (0, 1, 2)])
+    # What is known of the text stands beside one of its terms only, so that few bytes are spilled.
+    flat = flat.select(*keys, F.explode("every").alias("t")).withColumns({"v": F.col("t").bitwiseAND(F.lit(3)), "h": F.col("t").bitwiseAND(F.lit(-4))})
+    flat = flat.select("part", "rid", F.when(F.col("t") == _ALWAYS, F.struct(*keys[2:])).alias("head"), "v", "h").join(words, "h", "left")
+    # The empty string between marks is no term.
+    wide = coded(F.col("h"), subsets).bitwiseOR(F.lit(_WIDE))
+    code = F.when(F.col("h") != F.xxhash64(F.lit("")).bitwiseAND(F.lit(-4)), F.coalesce("code", wide))
+    pick = lambda v: F.sort_array(F.collect_list(F.when((F.col("v") == v) & (code >= 0), code))).alias(f"all{v}")
+    whole = flat.groupBy("part", "rid").agg(F.first("head", ignorenulls=True).alias("head"), pick(0), pick(1), pick(2)).select("part", "rid", "head.*", "all0", "all1", "all2")
+    band_of = lambda v: F.filter(f"all{v}", lambda c: c < _WIDE).alias(f"codes{v}")
+    every_of = lambda v: F.sort_array(F.transform(f"all{v}", lambda c: c.bitwiseAND(F.lit(_WIDE - 1)))).alias(f"every{v}")
+    whole = whole.select(*keys, *[x for v in (0, 1, 2) for x in (band_of(v), every_of(v))])
+    few = lambda v: F.size(f"codes{v}") < F.greatest(F.lit(float(FEW)), F.size(f"every{v}") * LEAST_SHARE)
+    whole = whole.select("*", *[few(v).alias(f"few{v}") for v in (0, 1, 2)])
+    whole = whole.select("*", *[hashes(F.col(f"codes{v}")).alias(f"prints{v}") for v in (0, 1, 2)], *[hashes(F.col(f"every{v}")).alias(f"wide{v}") for v in (0, 1, 2)])
     down = Window.partitionBy("part").orderBy(F.desc("rid"))
-    whole = whole.withColumn("next_prints", F.when(F.col("last"), F.col("prints2")).otherwise(F.lead("prints0").over(down)))
+    whole = whole.select("*", *[F.when(F.col("last"), F.col(f"{c}2")).otherwise(F.lead(f"{c}0").over(down)).alias(f"next_{c}") for c in ("prints", "wide", "few")])
+    own = lambda v, c: F.when(F.col(f"few{v}"), F.col(f"every{v}" if c == "codes" else f"wide{v}")).otherwise(F.col(f"{c}{v}"))
+    near = lambda other, text: F.when(F.col("few0") | F.col(other.format("few")), likeness(F.col("wide0"), F.col(other.format("wide")), F.col("own"), F.col(text))).otherwise(likeness(F.col("prints0"), F.col(other.format("prints")), F.col("own"), F.col(text)))
     return whole.select(
         F.col("id").alias(id_col),
         "n_chars",
         "edited_sha256",
-        written(F.col("codes0"), F.col("prints0"), F.col("own")).alias("fingerprint"),
-        written(F.col("codes1"), F.col("prints1"), F.col("edited_own")).alias("edited_fingerprint"),
-        likeness(F.col("prints0"), F.col("prints1"), F.col("own"), F.col("edited_own")).alias("near_edited"),
-        likeness(F.col("prints0"), F.col("next_prints"), F.col("own"), F.col("next_own")).alias("near_next"),
+        written(own(0, "codes"), own(0, "prints"), F.col("own")).alias("fingerprint"),
+        written(own(1, "codes"), own(1, "prints"), F.col("edited_own")).alias("edited_fingerprint"),
+        near("{}1", "edited_own").alias("near_edited"),
+        near("next_{}", "next_own").alias("near_next"),
         "next_id",
     )
 
