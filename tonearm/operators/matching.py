@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tonearm.functions.similarity import partial_ratio_udf, ratio_udf, sorted_tokens, token_sort_ratio
 from tonearm.functions.text import tier
 
-#: Names on the smaller side that every task may hold.
+#: Names on the right side that every task may hold; more are met through shared letter pairs, with the same result.
 MOST_NAMES = 20_000
 
 
 def name_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(a, b, score) of distinct names whose token-sort ratio reaches ``least``.
 
-    Few right names are sent to all tasks; more are met through shared tokens, so pairs without a token in common are not looked at then. Lengths that can't
+    Few right names are sent to all tasks; more are met by :func:`sharing_pairs`, which loses no pair. Lengths that can't
     reach the score are dropped before any string is compared.
     """
     a = left.select(F.col(left.columns[0]).alias("a")).filter("a is not null").distinct().withColumn("sa", sorted_tokens(F.col("a")))
@@ -24,11 +24,39 @@ def name_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     if b.limit(MOST_NAMES + 1).count() <= MOST_NAMES:
         pairs = a.join(F.broadcast(b), near)
     else:
-        by = lambda d, s: d.withColumn("token", F.explode(F.array_distinct(F.split(s, " "))))
-        pairs = by(a, "sa").join(by(b, "sb"), "token").filter(near).select("a", "b", "sa", "sb").distinct()
+        pairs = sharing_pairs(a, b, near, least)
     return pairs.withColumn("score", ratio_udf("sa", "sb")).filter(F.col("score") >= least).select("a", "b", "score")
 
 
+def sharing_pairs(a: DataFrame, b: DataFrame, near: Column, least: float) -> DataFrame:
+    """Pairs (a, b, sa, sb) of ``a(a, sa)`` and ``b(b, sb)`` among which are all whose ratio reaches ``least``.
+
+    A common subsequence of L of m and n letters leaves 3L - m - n - 1 pairs of neighbouring letters in common, repeats told
+    apart. With the least L and n that reach the score, that is a bound for each name alone, so two such names
+    share one of the rarest letter pairs of each. Names too short for the bound are compared with one another.
+    """
+    def bound(s):
+        m = F.length(s)
+        return F.ceil(m * ((3.0 * least - 200.0) / (200.0 - least)) - 1.000001) if least < 200 else m
+
+    def rows(d, name, s):
+        pairs = F.when(F.length(s) > 1, F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(F.col(s), i, F.lit(2)))).otherwise(F.expr("cast(array() as array<string>)"))
+        d = d.withColumn("_pairs", pairs)
+        told = F.transform("_pairs", lambda g, i: F.concat(g, F.size(F.filter(F.slice("_pairs", F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+        return d.select(name, s, F.explode(told).alias("pair"))
+
+    left, right = rows(a, "a", "sa"), rows(b, "b", "sb")
+    seen = left.select("pair").union(right.select("pair")).groupBy("pair").agg(F.count("*").alias("seen"))
+
+    def rarest(d, name, s):
+        place = F.row_number().over(Window.partitionBy(name).orderBy("seen", "pair"))
+        return d.join(seen, "pair").withColumn("_place", place).filter(F.col("_place") <= F.length(s) - F.greatest(bound(s), F.lit(1))).select(name, s, "pair")
+
+    met = rarest(left, "a", "sa").join(rarest(right, "b", "sb"), "pair").filter(near).select("a", "b", "sa", "sb").distinct()
+    short = a.filter(bound("sa") < 1).join(b.filter(bound("sb") < 1), near).select("a", "b", "sa", "sb")
+    return met.union(short).distinct()
+
+
 def best_match(pairs: DataFrame) -> DataFrame:
     """The best partner of each name, the first by name of equal ones, with its tier; combined before the shuffle."""
     best = pairs.groupBy("a").agg(F.max(F.struct("score", F.struct((-F.length("b")).alias("n")), "b")).alias("m"))
