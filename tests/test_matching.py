@@ -2,8 +2,11 @@
 
 import random
 
+from tests.conftest import SF
+from tonearm import queries as library
 from tonearm.functions.similarity import ratio
 from tonearm.operators import matching
+from tonearm.sources.tables import table
 
 
 def names():
@@ -29,3 +32,10 @@ def test_more_names_than_tasks_may_hold_lose_no_pair(spark, monkeypatch):
         got = [(r["a"], r["b"]) for r in matching.name_pairs(df, df, least).collect()]
         assert len(got) == len(set(got)) and set(got) == want
         assert ("gizmo", "gizmoo") in want
+
+
+def test_urls_of_whole_tables_meet(spark):
+    keys = lambda t, k: [r[0] for r in table(spark, SF, t).select(k).collect()]
+    want = {(c, s) for c in keys("customer", "c_custkey") for s in keys("supplier", "s_suppkey") if c // 3 == s // 2 * 2}
+    got = [(r["c_custkey"], r["s_suppkey"]) for r in library.QUERIES["match_by_url_all"](spark, SF).collect()]
+    assert want and len(got) == len(want) and set(got) == want

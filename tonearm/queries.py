@@ -412,6 +412,17 @@ def match_by_url(spark, d):
     return matching.url_matches(c, s, "url", "c_custkey", "s_suppkey")
 
 
+@query("match_by_url_all", """
+SELECT c_custkey, s_suppkey, 100.0::DOUBLE AS score, 'exact' AS tier FROM customer JOIN supplier
+ON 'https://shop.example/' || (c_custkey // 3) = 'https://shop.example/' || (s_suppkey // 2 * 2)""")
+def match_by_url_all(spark, d):
+    """Whole tables: a URL meets up to three customers and two suppliers, and many URLs meet nobody."""
+    url = lambda k: F.concat(F.lit("https://shop.example/"), F.expr(k).cast("string")).alias("url")
+    c = table(spark, d, "customer").select("c_custkey", url("c_custkey div 3"))
+    s = table(spark, d, "supplier").select("s_suppkey", url("s_suppkey div 2 * 2"))
+    return matching.url_matches(c, s, "url", "c_custkey", "s_suppkey")
+
+
 _VOTES = """
 SELECT l_orderkey AS release_id, l_suppkey AS folder, n, total / n AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, total DESC, l_suppkey) AS place FROM (
