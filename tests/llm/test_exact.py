@@ -83,6 +83,15 @@ def test_masked_ids_decode_to_the_trained_texts(spark):
     assert t.decode(c["input_ids"], skip_special_tokens=False) == c["text"] and chat.parse(c["text"]) == turns
 
 
+def test_masked_ids_of_all_conversations_decode(spark):
+    t = chat.tokenizer(chat.TOKENIZER)
+    rows = chat.format_chats(read(spark, SF, "conversations")).select("text", "input_ids", "loss_mask").collect()
+    assert rows
+    for c in rows:
+        said = "".join(text for role, text in chat.parse(c["text"]) if role == "assistant")
+        assert chat.unescape(t.decode([i for i, m in zip(c["input_ids"], c["loss_mask"]) if m], skip_special_tokens=False)) == said
+
+
 def brute_repeats(docs, length=100):
     seen, out = set(), {}
     for i, text in docs:

@@ -175,6 +175,16 @@ def cdc_early_stop(spark, d):
     return changelog.until_known(e, e.filter("event_id % 97 = 96").select("event_id"), "event_id", "event_id")
 
 
+@query("cdc_early_stop_half", """
+SELECT event_id, user_id FROM events WHERE event_id < (SELECT min(event_id) FROM events WHERE event_id * 2 > (SELECT max(event_id) FROM events))""")
+def cdc_early_stop_half(spark, d):
+    """The known events are the later half, so the page before them grows with the table."""
+    e = table(spark, d, "events").select("event_id", "user_id")
+    top = e.agg(F.max("event_id").alias("top"))
+    known = e.join(F.broadcast(top), F.col("event_id") * 2 > F.col("top")).select("event_id")
+    return changelog.until_known(e, known, "event_id", "event_id")
+
+
 # Library joins.
 
 @query("library_ordered", """
