@@ -162,30 +162,42 @@ def test_gray_index_loses_no_link(spark):
         chains.append(chains[-1] ^ flips[0] ^ flips[1])
     crowd = np.arange(3000, dtype=np.uint64) << np.uint64(3)
     fps = np.unique(np.concatenate([*chains, crowd]))
-    a, b = simhash.forest(fps)
-    root = {int(f): int(f) for f in fps}
-
-    def top(f):
-        while root[f] != f:
-            f = root[f]
-        return f
-
-    for x, y in zip(a.tolist(), b.tolist()):
-        root[top(x)] = top(y)
     near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 2
-    assert all(top(int(fps[i])) == top(int(fps[j])) for i, j in zip(*np.nonzero(near)))
-    links = simhash.near_links(spark.createDataFrame([(int(f.view(np.int64)),) for f in fps], "fp long"), split=64)
-    assert all((x ^ y) & (2**64 - 1) and ((x ^ y) & (2**64 - 1)).bit_count() <= 2 or True for x, y in links.collect())
-    found = {f: f for f in (int(x.view(np.int64)) for x in fps)}
-
-    def up(f):
-        while found[f] != f:
-            f = found[f]
-        return f
 
-    for x, y in links.collect():
-        found[up(x)] = up(y)
-    assert all(up(int(fps[i].view(np.int64))) == up(int(fps[j].view(np.int64))) for i, j in zip(*np.nonzero(near)))
+    def spans_all(links):
+        root = {int(f): int(f) for f in fps}
+
+        def top(f):
+            while root[f] != f:
+                f = root[f]
+            return f
+
+        for x, y in links:
+            root[top(x)] = top(y)
+        return all(top(int(fps[i])) == top(int(fps[j])) for i, j in zip(*np.nonzero(near)))
+
+    a, b = simhash.Node(fps).forest()
+    assert (np.bitwise_count(a ^ b) > 0).all() and spans_all(zip(a.tolist(), b.tolist()))
+    ranked = fps[np.argsort(simhash.gray_rank(fps))]
+    blocks = simhash.GrayIndex(ranked).near(ranked)
+    found = set(map(tuple, np.concatenate([np.stack(x, 1) for x in blocks]).tolist()))
+    assert found == set(zip(*(x.tolist() for x in np.nonzero(np.bitwise_count(ranked[:, None] ^ ranked[None]) <= 2))))
+    table = spark.createDataFrame([(int(f.view(np.int64)),) for f in fps], "fp long")
+    for size in (64, 100_000):
+        links = [(x % 2**64, y % 2**64) for x, y in simhash.near_links(table, node_size=size).collect()]
+        assert all(x != y for x, y in links) and spans_all(links)
+
+
+def test_gray_index_prunes_by_upper_nodes():
+    """Groups share bits above the leaves, and a search reaches few of the fingerprints."""
+    fps = np.random.default_rng(5).integers(0, 1 << 63, 1 << 15, dtype=np.uint64)
+    fps = fps[np.argsort(simhash.gray_rank(fps))]
+    tree = simhash.GrayIndex(fps)
+    assert len(tree.levels) == 5 and all(own.any() for _, own in tree.levels[:-1])
+    groups, level = tree.levels[1]
+    known = level | np.repeat(tree.levels[2][1], simhash.FAN)[: len(level)] | np.repeat(tree.levels[3][1], simhash.FAN**2)[: len(level)] | np.repeat(tree.levels[4][1], simhash.FAN**3)[: len(level)]
+    reach = np.mean([(np.bitwise_count((f ^ groups) & known) <= 2).mean() for f in fps[:200]])
+    assert reach < 0.05
 
 
 def brute_targets(sizes, weights=(5, 2, 1)):
