@@ -121,6 +121,28 @@ def test_substrings_of_repetitive_texts(spark):
     assert {i: (hashlib.sha256(k).hexdigest(), n) for i, (k, n) in got.items()} == {i: (w[3], w[2]) for i, w in want.items()}
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_substrings_of_crowded_buckets(spark, hot):
+    """Buckets beyond ``hot`` stretches are cut into cells and single strings, with the same result."""
+    common = "Copyright of this text is held by its author, and all rights of every kind are kept by them. "
+    texts = [f"{i * 7 % 5} {common}{i % 9} see page {i % 4} of the book {'abc'[i % 3] * 80}" for i in range(60)] + [common * 5]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: hashlib.sha256(r["kept"]).hexdigest() for r in substrings.drop_repeats(docs_df(spark, rows), hot=hot).collect()}
+    assert got == {i: w[3] for i, w in brute_repeats([(i, t) for i, t in enumerate(texts)]).items()}
+
+
+@pytest.mark.parametrize("length,gram", [(100, 8), (20, 4), (5, 8)])
+def test_bucket_pointers_sort_suffixes(length, gram):
+    rng = np.random.default_rng(length)
+    parts = [rng.integers(0, 3, 400), np.zeros(300, int), np.tile(rng.integers(0, 200, 37), 20), rng.integers(0, 256, 500)]
+    data = np.concatenate([*parts, *parts[::-1], parts[2][:150]]).astype(np.uint8)
+    order, same = substrings.suffixes(data, length, gram)
+    raw = data.tobytes() + bytes(length)
+    heads = [raw[i : i + length] for i in order.tolist()]
+    assert sorted(order.tolist()) == list(range(len(data))) and heads == sorted(heads)
+    assert same.tolist() == [False] + [a == b for a, b in zip(heads, heads[1:])]
+
+
 def brute_components(prints):
     kinds = sorted(set(prints.values()))
     root = {f: f for f in kinds}

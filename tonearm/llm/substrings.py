@@ -1,21 +1,18 @@
 """Removal of repeated byte strings by distributed bucket-pointer refinement.
 
-A byte goes if a string of ``LENGTH`` bytes over it also starts earlier. Equal strings are found by refining
-buckets of text positions:
+A byte goes if a string of ``LENGTH`` bytes over it also starts earlier.
 
 1. Initial buckets. Of the ``LENGTH - Q + 1`` q-grams of each string the one with the least hash is its
-   anchor (the first of equals). Equal strings have equal anchors at equal places, so only anchors are
-   shuffled, one for about 35 bytes. Strings next to one another with one anchor form a stretch; its
-   bucket is the anchor. Buckets of one stretch end here. Stretches of a bucket that are equal throughout
-   form classes; all but the first of a class go whole.
-2. Buckets with several classes are refined by what stands at later and earlier offsets: their stretches are cut into cells
-   of ``CELL`` strings, and a cell's bucket is all that its strings share. The same steps follow.
-3. The same once more, with cells of one string. The task that holds the texts gives positions bucket numbers by
-   4-grams, sorts them on the pairs of numbers here and ``h`` bytes on, renumbers, and reuses the new numbers
-   with ``h`` doubled until they tell strings apart; only the first string of each number meets those of other tasks.
-
-Minima are combined before shuffles and joined back on a unique side, so a passage in a third of all texts
-splits over tasks. Each step ends in a stored table of what is left.
+   anchor (the first of equals). Equal strings have equal anchors at equal places, so they stand in the bucket of one q-gram, and
+   only anchors are shuffled, one for about 35 bytes. Strings next to one another with one anchor form a stretch. Buckets of one stretch end here.
+2. The bytes of the other stretches are refined where their text is: :func:`suffixes` sorts buckets on the bucket pointers
+   of later offsets. Of equal strings the first stays for all and the others are found to be later, so a passage in a
+   third of all texts leaves one stretch for each batch.
+3. The stretches that stay meet in the task of their bucket and are refined once more, which compares strings of different
+   tasks. A bucket of more than ``HOT`` stretches is first cut into cells of ``CELL`` strings, whose buckets are all that
+   their strings share, and then into single strings, so it spreads over tasks.
+
+Hashes only deal stretches out to tasks; which strings are equal is read off the buckets of the refined order.
 
 Defined results: null and empty texts keep nothing and lose nothing; texts under ``LENGTH`` bytes lose
 nothing; long texts are read whole; rows that repeat an id, or have none, count as documents of their own,
@@ -25,21 +22,29 @@ no rows. Only ``id_col``, ``text_col`` and the columns to carry are read.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonearm.llm.common import discard, read, stored, with_order
+from tonearm.llm.common import read, stored, with_order
 
 LENGTH = 100
 Q = 32
-#: Bytes that numpy works on at a time.
-CHUNK = 1 << 16
-#: Strings that a cell of the second refinement covers.
+#: Bytes of the first buckets inside a task.
+GRAM = 8
+#: Bytes that are refined together, and slots of the order that one block of buckets has.
+CHUNK = 1 << 20
+SLOTS = 1 << 15
+#: Texts that numpy cuts into stretches at a time, in bytes.
+CUT = 1 << 16
+#: Strings of a cell, and stretches of the largest bucket that one task takes whole.
 CELL = 9
+HOT = 20_000
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -75,6 +80,10 @@ class Rolling:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
 
+    def at(self, start: np.ndarray, length: int) -> np.ndarray:
+        """As :meth:`all`, at some places only."""
+        return (self.sums[start + length] - self.sums[start]) * self.back[start]
+
     def all(self, length: int) -> np.ndarray:
         """The hashes, unmixed, of all substrings of one length: good in their upper bits."""
         return (self.sums[length:] - self.sums[:-length]) * self.back[: len(self.sums) - length]
@@ -91,7 +100,7 @@ def least_in_windows(x: np.ndarray, width: int) -> np.ndarray:
     return (low[:n] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def chunks(texts, most: int = CHUNK):
+def chunks(texts, most: int = CUT):
     """Index ranges of texts of ``most`` bytes together, and their bytes; a longer text stands alone."""
     at, size, held = 0, 0, []
     for i, text in enumerate(texts):
@@ -106,15 +115,14 @@ def chunks(texts, most: int = CHUNK):
 
 
 def stretches(texts: list[bytes], length: int = LENGTH, q: int = Q):
-    """The stretches of some texts: (text, bucket, class, first string, strings, anchor), in order of the strings."""
+    """The stretches of some texts: (text, bucket, first string, strings, anchor's distance), in order of the strings."""
     sizes = np.array([len(x) for x in texts], dtype=np.int64)
     begin = np.cumsum(sizes) - sizes
     n = np.maximum(sizes - length + 1, 0)
     if not n.sum():
         none = np.zeros(0, dtype=np.int64)
-        return none, none.view(np.uint64), none.view(np.uint64), none, none, none
-    roll = Rolling(np.frombuffer(b"".join(texts), dtype=np.uint8))
-    grams = roll.all(q)
+        return none, none.view(np.uint64), none, none, none
+    grams = Rolling(np.frombuffer(b"".join(texts), dtype=np.uint8)).all(q)
     at = least_in_windows(grams, length - q + 1)
     cut = np.empty(len(at) + 1, dtype=bool)
     cut[0] = cut[-1] = True
@@ -127,44 +135,84 @@ def stretches(texts: list[bytes], length: int = LENGTH, q: int = Q):
     inside = first < begin[owner] + n[owner]
     first, count, owner = first[inside], count[inside], owner[inside]
     place = at[first]
-    whole = roll.of(first, first + count - 1 + length)
-    kind = mixed(whole ^ (place - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return owner, grams[place], kind, first - begin[owner], count, place - first
-
-
-def leads(owner: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Which stretches are the first of their class in their text."""
-    out = np.zeros(len(owner), bool)
-    out[np.unique(mixed(kind + owner.astype(np.uint64) * _BASE64), return_index=True)[1]] = True
-    return out
+    return owner, grams[place], first - begin[owner], count, place - first
 
 
-def refine(codes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Bucket numbers of the strings of ``length`` bytes at ``starts``: equal strings have equal numbers.
+def suffixes(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``data`` in the order of what starts there, and which share ``length`` bytes with the one before.
 
-    ``codes`` are bytes with separators; every position that a string covers must stand in it. Positions
-    are numbered by their first 4 bytes and refined by sorting on (number here, number h on), doubling h.
+    Bucket-pointer refinement. A pointer names the first slot of a place's bucket. Buckets are first those of the places' q-grams
+    (``gram`` bytes). Block after block of neighbouring buckets is sorted on the pointers ``gram``, ``2 * gram`` and so on
+    bytes later, until all in a bucket share ``length`` bytes; buckets that split are cut at once, their new pointers
+    are written back, and the offsets and blocks that follow read them. Pointers only get finer, in the order of the bytes, so
+    places that share ``length`` bytes end up side by side.
     """
-    n = len(codes)
-    padded = np.concatenate([codes.astype(np.int64) + 1, np.zeros(length, dtype=np.int64)])
-    h = min(4, length)
-    key = np.zeros(n, dtype=np.int64)
-    for j in range(h):
-        key = key * 258 + padded[j : j + n]
-    number = np.unique(key, return_inverse=True)[1]
-    while h < length:
-        step = min(h, length - h)
-        later = np.full(n, -1, dtype=np.int64)
-        later[: n - step] = number[step:]
-        size = np.bincount(number)
-        open_ = np.flatnonzero(size[number] > 1)
-        key = number[open_] * (n + 1) + later[open_] + 1
-        fresh = np.unique(key, return_inverse=True)[1]
-        number = number.copy()
-        number[open_] = fresh + len(size)
-        number = np.unique(number, return_inverse=True)[1]
-        h += step
-    return number[starts]
+    n, gram = len(data), min(gram, length)
+    padded = np.concatenate([data, np.zeros(length + gram, dtype=np.uint8)])
+    word = np.zeros(n + length, dtype=np.uint64)
+    for j in range(gram):
+        word = word << np.uint64(8) | padded[j : j + n + length]
+    order = np.argsort(word[:n], kind="stable")
+    head = np.concatenate([[True], word[order[1:]] != word[order[:-1]]])
+    starts = np.flatnonzero(head)
+    sizes = np.diff(np.append(starts, n))
+    bucket = np.repeat(starts, sizes)
+    pointer = np.full(n + length, -1, dtype=np.int64)
+    pointer[order] = bucket
+    crowded = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    filled = np.cumsum(sizes[sizes > 1])
+    for slots in np.split(crowded, filled[:-1][np.diff(filled // SLOTS) > 0]):
+        refine(slots, bucket, order, pointer, length, gram)
+    same = np.zeros(n, dtype=bool)
+    left, right = order[:-1], order[1:]
+    settled = pointer[left] == pointer[right]
+    same[1:] = settled
+    open_ = np.flatnonzero(~settled)
+    for k in (*range(0, length - gram, gram), length - gram):
+        open_ = open_[word[left[open_] + k] == word[right[open_] + k]]
+    same[1 + open_] = True
+    return order, same
+
+
+def refine(slots: np.ndarray, bucket: np.ndarray, order: np.ndarray, pointer: np.ndarray, length: int, gram: int) -> None:
+    """Sorts the buckets that ``slots`` hold until each shares ``length`` bytes; writes ``order`` and ``pointer``."""
+    own = bucket[slots]
+    for k in range(gram, length, gram):
+        key = pointer[order[slots] + k]
+        edge = own[1:] != own[:-1]
+        splits = ~edge & (key[1:] != key[:-1])
+        if not splits.any():
+            continue
+        run = np.concatenate([[0], np.cumsum(edge)])
+        torn = np.zeros(run[-1] + 1, dtype=bool)
+        torn[run[1:][splits]] = True
+        part = np.flatnonzero(torn[run])
+        both = own[part] << 32 | (key[part] + 1)
+        turn = np.argsort(both, kind="stable")
+        both = both[turn]
+        places = order[slots[part]][turn]
+        fresh = np.maximum.accumulate(np.where(np.concatenate([[True], both[1:] != both[:-1]]), slots[part], 0))
+        order[slots[part]] = places
+        pointer[places] = own[part] = fresh
+        lone = np.concatenate([[True], own[1:] != own[:-1]])
+        lone &= np.concatenate([lone[1:], [True]])
+        slots, own = slots[~lone], own[~lone]
+        if not len(slots):
+            return
+
+
+def later_strings(data: np.ndarray, strings: np.ndarray, length: int) -> np.ndarray:
+    """Which of the strings that start at the given places (in order) also start at an earlier one of them."""
+    order, same = suffixes(data, length)
+    member = np.zeros(len(data), dtype=bool)
+    member[strings] = True
+    own = member[order]
+    kind, places = np.cumsum(~same)[own], order[own]
+    heads = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]])) if len(kind) else np.zeros(0, np.int64)
+    first = np.repeat(np.minimum.reduceat(places, heads), np.diff(np.append(heads, len(kind)))) if len(heads) else places
+    member[:] = False
+    member[places] = places != first
+    return member[strings]
 
 
 def packed(first, count, left):
@@ -172,112 +220,156 @@ def packed(first, count, left):
     return first << 16 | count << 8 | left
 
 
-def judged(rows: DataFrame, length: int) -> DataFrame:
-    """Of ``rows(bucket, kind, rid, place)``: ``span`` of the classes' later members, ``place`` of those to refine.
-
-    Both go by ``rid``. Members of a class are equal throughout; the first of each class in a bucket with several is to be refined.
-    """
-    crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    shared = stored(rows.join(crowded, "bucket"), "stretches")
-    classes = shared.groupBy("bucket", "kind").agg(F.min("rid").alias("first_rid"), F.count("*").alias("n"))
-    several = classes.groupBy("bucket").agg(F.count("*").alias("kinds"))
-    classes = classes.join(several, "bucket").filter("n > 1 or kinds > 1").select("bucket", "kind", "first_rid", "kinds")
-    both = shared.join(classes, ["bucket", "kind"]).filter("rid <> first_rid or kinds > 1")
-    start, count = F.expr("shiftright(place, 16)"), F.expr("shiftright(place, 8) & 255")
-    span = F.when(F.col("rid") != F.col("first_rid"), F.shiftleft(start, 32).bitwiseOR(start + count + (length - 1)))
-    out = stored(both.select("rid", span.alias("span"), F.when(span.isNull(), F.col("place")).alias("place")), "judged")
-    discard(shared)
-    return out
+def unpacked(place):
+    return place >> 16, place >> 8 & 255, place & 255
 
 
-ROWS = "bucket long, kind long, rid long, place long"
+PIECES = "bucket long, rid long, place long, bytes binary, span long"
 
 
-def repeated_spans(docs: DataFrame, dealt: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
-    """``rid`` and ``span``: runs of bytes (start and end packed in a long) covered by strings that start earlier.
+def judged(data: np.ndarray, at: np.ndarray, rid: np.ndarray, first: np.ndarray, count: np.ndarray, length: int):
+    """Spans of the strings that also start earlier, by ``rid``, and for each stretch its strings from the first to the last other one.
 
-    ``docs`` has ``rid`` and ``text``; ``dealt`` is the same dealt out by ``rid``. Classes that repeat within
-    a text are left to the caller, which finds them without a shuffle.
+    A stretch has ``count`` strings, which start in its text at ``first`` and in ``data`` at ``at``; stretches are in the order of their texts.
     """
+    begin = np.cumsum(count) - count
+    step = np.arange(count.sum()) - np.repeat(begin, count)
+    later = later_strings(data, np.repeat(at, count) + step, length)
+    turn = np.flatnonzero(np.concatenate([[True], (later[1:] != later[:-1]) | (step[1:] == 0)])) if len(later) else np.zeros(0, np.int64)
+    n = np.diff(np.append(turn, len(later)))
+    of = np.repeat(np.arange(len(count)), count)[turn]
+    start = first[of] + step[turn]
+    gone = later[turn]
+    spans = pd.DataFrame({"rid": rid[of[gone]], "span": start[gone] << 32 | (start[gone] + n[gone] + length - 1)})
+    low, high = np.full(len(count), 1 << 60), np.zeros(len(count), dtype=np.int64)
+    np.minimum.at(low, of[~gone], step[turn[~gone]])
+    np.maximum.at(high, of[~gone], step[turn[~gone]] + n[~gone])
+    return spans, low, high
+
+
+def cut_out(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some ranges one after another, and where each range begins among them."""
+    begin = np.cumsum(size) - size
+    return flat[np.arange(size.sum()) + np.repeat(start - begin, size)], begin
+
+
+def sent(bucket, rid, place, data, at, first, count, left, length):
+    """Pieces to send on and spans found, in the columns of ``PIECES``; ``data`` holds each stretch's bytes from ``at`` on."""
+    spans, low, high = judged(data, at, rid, first, count, length)
+    stay = np.flatnonzero(low < high)
+    low, high = low[stay], high[stay]
+    size = high - low + length - 1
+    blob, begin = cut_out(data, at[stay] + low, size)
+    raw = blob.tobytes()
+    pieces = pd.DataFrame({"bucket": bucket[stay], "rid": rid[stay], "place": packed(first[stay] + low, high - low, left[stay] - low), "bytes": [raw[b : b + s] for b, s in zip(begin.tolist(), size.tolist())], "span": pd.array([None] * len(stay), dtype="Int64")})
+    found = pd.DataFrame({"bucket": 0, "rid": spans["rid"], "place": 0, "bytes": None, "span": spans["span"].astype("Int64")})
+    return pd.concat([pieces, found])
+
+
+def pieces_of(rows: list, length: int, q: int) -> pd.DataFrame:
+    """The wanted stretches of some (rid, text, places) as ``PIECES``; stretches side by side are judged as one run of bytes."""
+    rows = sorted(rows, key=lambda r: r[0])
+    texts = [np.frombuffer(r[1].encode("utf-8", "surrogatepass"), dtype=np.uint8) for r in rows]
+    begin = np.cumsum([0, *map(len, texts)])[:-1]
+    owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+    place = np.sort(np.concatenate([np.asarray(r[2], dtype=np.int64) + (b << 16) for r, b in zip(rows, begin)]))
+    first, count, left = unpacked(place)
+    flat = np.concatenate(texts)
+    bucket = Rolling(flat).at(first + left, q).view(np.int64)
+    fresh = np.concatenate([[True], first[1:] != first[:-1] + count[:-1]])
+    run = np.flatnonzero(fresh)
+    last = np.append(run[1:], len(first)) - 1
+    data, at = cut_out(flat, first[run], first[last] + count[last] + length - 1 - first[run])
+    of = np.cumsum(fresh) - 1
+    rid = np.array([r[0] for r in rows], dtype=np.int64)[owner]
+    return sent(bucket, rid, place, data, at[of] + first - first[run][of], first - begin[owner], count, left, length)
+
+
+def finer(rows: list, length: int, q: int, width: int) -> pd.DataFrame:
+    """Pieces cut where the anchor's distance is a multiple of ``width``; a cut's bucket is what all its strings share."""
+    rows = sorted(rows, key=lambda r: (r[1], r[2]))
+    rid, place = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2))
+    flat = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8)
+    begin = np.cumsum([0, *(len(r[3]) for r in rows)])[:-1]
+    first, count, left = unpacked(place)
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    of = np.repeat(np.arange(len(rows)), count)
+    cell = (left[of] - step) // width
+    head = np.flatnonzero((step == 0) | np.concatenate([[True], cell[1:] != cell[:-1]]))
+    n, of, step, cell = np.diff(np.append(head, len(cell))), of[head], step[head], cell[head]
+    anchor = begin[of] + left[of]
+    far = np.minimum((cell + 1) * width - 1, length - q)
+    bucket = mixed(Rolling(flat).of(anchor - cell * width, anchor - far + length) + cell.astype(np.uint64))
+    data, at = cut_out(flat, begin[of] + step, n + length - 1)
+    return sent(bucket.view(np.int64), rid[of], place, data, at, first[of] + step, n, left[of] - step, length)
 
-    def anchors(batches):
-        for pdf in batches:
-            rids = pdf["rid"].to_numpy()
-            for at, texts in chunks(pdf["text"]):
-                owner, bucket, kind, first, count, left = stretches(texts, length, q)
-                lead = leads(owner, kind)
-                yield pd.DataFrame({"bucket": bucket[lead].view(np.int64), "kind": kind[lead].view(np.int64), "rid": rids[at + owner[lead]], "place": packed(first, count, left)[lead]})
-
-    found = judged(docs.mapInPandas(anchors, ROWS), length)
-    spans = found.filter("span is not null").select("rid", "span")
-    for width in (CELL, 1):
-        wanted = found.filter("place is not null").groupBy("rid").agg(F.collect_list("place").alias("places"))
-
-        def finer(batches, width=width):
-            for pdf in batches:
-                for part in batched(pdf, length):
-                    yield refined(part, length, q, width)
-
-        rows = stored(dealt.join(wanted.hint("shuffle_hash"), "rid").select("rid", "text", "places").mapInPandas(finer, ROWS + ", later boolean"), "cells")
-        start, count = F.expr("shiftright(place, 16)"), F.expr("shiftright(place, 8) & 255")
-        spans = spans.union(rows.filter("later").select("rid", F.shiftleft(start, 32).bitwiseOR(start + count + (length - 1))))
-        found = judged(rows.filter("not later").drop("later"), length)
-        spans = spans.union(found.filter("span is not null").select("rid", "span"))
-    return spans
-
-
-def batched(pdf: pd.DataFrame, length: int):
-    """(rid, text, places) in lists with about ``CHUNK`` bytes of wanted stretches each."""
-    held, size = [], 0
-    for row in zip(pdf["rid"], pdf["text"], pdf["places"]):
+
+def gathered(rows, size, most: int = CHUNK):
+    """Lists of rows that have ``most`` bytes together by ``size`` of a row."""
+    held, have = [], 0
+    for row in rows:
         held.append(row)
-        size += len(row[2]) * length
-        if size > CHUNK:
+        have += size(row)
+        if have > most:
             yield held
-            held, size = [], 0
+            held, have = [], 0
     if held:
         yield held
 
 
-def refined(rows: list, length: int, q: int, width: int) -> pd.DataFrame:
-    """The wanted stretches of some (rid, text, places), cut where the anchor's distance is a multiple of ``width``.
+def repeated_spans(docs: DataFrame, dealt: DataFrame, length: int = LENGTH, q: int = Q, hot: int = HOT) -> DataFrame:
+    """``rid`` and ``span``: runs of bytes (start and end packed in a long) covered by strings that start earlier.
 
-    A cut's bucket is what all strings of its cell have in common; its class is all that it covers.
-    Within the batch, equal cuts are found by :func:`refine`'s numbers for single strings and by digests for longer
-    cuts; the first stands for all, and the others are ``later``.
+    ``docs`` has ``rid`` and ``text``; ``dealt`` is the same dealt out by ``rid``.
     """
-    none = np.zeros(0, dtype=np.int64)
-    codes, origin, at = [], [], 0
-    gap = np.array([256], dtype=np.int64)
-    for rid, text, places in rows:
-        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.int64)
-        for s, c, left in sorted((int(p) >> 16, int(p) >> 8 & 255, int(p) & 255) for p in places):
-            codes += [data[s : s + c - 1 + length], gap]
-            origin.append((rid, s, c, left, at))
-            at += c + length
-    if not origin:
-        return pd.DataFrame({"bucket": none, "kind": none, "rid": none, "place": none, "later": np.zeros(0, bool)})
-    flat = np.concatenate(codes)
-    rid, start, count, left, place = (np.array(x, dtype=np.int64) for x in zip(*origin))
-    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    rids, starts, places, lefts = np.repeat(rid, count), np.repeat(start, count) + step, np.repeat(place, count) + step, np.repeat(left, count) - step
-    cell = lefts // width
-    head = np.flatnonzero((step == 0) | np.concatenate([[True], cell[1:] != cell[:-1]]))
-    n = np.diff(np.append(head, len(cell)))
-    rids, starts, places, lefts, cell = rids[head], starts[head], places[head], lefts[head], cell[head]
-    roll = Rolling(np.minimum(flat, 255).astype(np.uint8))
-    anchor = places + lefts
-    far = np.minimum((cell + 1) * width - 1, length - q)
-    bucket = mixed(roll.of(anchor - cell * width, anchor - far + length) + cell.astype(np.uint64))
-    whole = roll.of(places, places + n - 1 + length)
-    kind = mixed(whole ^ mixed((lefts << 8 | n).astype(np.uint64) + roll.of(places, places + length // 2)))
-    if width == 1:
-        same = refine(flat, places, length)
-    else:
-        same = np.unique(mixed(kind + bucket * _BASE64), return_inverse=True)[1]
-    order = np.lexsort((starts, rids, same))
-    later = np.concatenate([[False], same[order][1:] == same[order][:-1]])
-    return pd.DataFrame({"bucket": bucket[order].view(np.int64), "kind": kind[order].view(np.int64), "rid": rids[order], "place": packed(starts, n, lefts)[order], "later": later})
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def anchors(batches):
+        for pdf in batches:
+            rids = pdf["rid"].to_numpy()
+            for at, texts in chunks(pdf["text"]):
+                owner, bucket, first, count, left = stretches(texts, length, q)
+                yield pd.DataFrame({"bucket": bucket.view(np.int64), "rid": rids[at + owner], "place": packed(first, count, left)})
+
+    def pieces(batches):
+        rows = (row for pdf in batches for row in zip(pdf["rid"], pdf["text"], pdf["places"]))
+        for some in gathered(rows, lambda r: len(r[2]) * length):
+            yield pieces_of(some, length, q)
+
+    def met(batches):
+        rows = (row for pdf in batches for row in zip(pdf["bucket"], pdf["rid"], pdf["place"], pdf["bytes"]))
+        buckets = (list(some) for _, some in groupby(rows, key=itemgetter(0)))
+        for some in gathered(buckets, lambda b: len(b) * 2 * length):
+            rows = [row for one in some for row in one]
+            size = np.array([len(r[3]) for r in rows])
+            first, count, _ = unpacked(np.array([r[2] for r in rows], dtype=np.int64))
+            rid = np.array([r[1] for r in rows], dtype=np.int64)
+            spans, _, _ = judged(np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8), np.cumsum(size) - size, rid, first, count, length)
+            yield spans
+
+    anchor_rows = stored(docs.mapInPandas(anchors, "bucket long, rid long, place long"), "anchors")
+    crowded = anchor_rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    wanted = anchor_rows.join(crowded, "bucket").groupBy("rid").agg(F.collect_list("place").alias("places"))
+    rows = stored(dealt.join(wanted.hint("shuffle_hash"), "rid").select("rid", "text", "places").mapInPandas(pieces, PIECES), "pieces")
+    spans = [rows.filter("span is not null").select("rid", "span")]
+    for width in (CELL, 1, None):
+        here = rows.filter("span is null").drop("span")
+        crowds = stored(here.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("bucket"), "crowds")
+        more = width is not None and not crowds.isEmpty()
+        calm = here.join(crowds, "bucket", "left_anti") if more else here
+        dealt_rows = calm.repartition(parts, "bucket").sortWithinPartitions("bucket", "rid", "place")
+        spans.append(dealt_rows.mapInPandas(met, "rid long, span long"))
+        if not more:
+            break
+
+        def cells(batches, width=width):
+            every = (row for pdf in batches for row in zip(pdf["bucket"], pdf["rid"], pdf["place"], pdf["bytes"]))
+            for some in gathered(every, lambda r: len(r[3]) if width > 1 else length * (len(r[3]) - length + 1)):
+                yield finer(some, length, q, width)
+
+        rows = stored(here.join(crowds, "bucket", "left_semi").mapInPandas(cells, PIECES), "pieces")
+        spans.append(rows.filter("span is not null").select("rid", "span"))
+    return reduce(DataFrame.union, spans)
 
 
 def cut(data: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, list]:
@@ -293,24 +385,19 @@ def cut(data: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, list]:
     return np.frombuffer(data, dtype=np.uint8)[~gone].tobytes(), edge.reshape(-1, 2).tolist()
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, length: int = LENGTH, q: int = Q) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, length: int = LENGTH, q: int = Q, hot: int = HOT) -> DataFrame:
     """Per document its id, the bytes kept, the removed runs as (start, end) of the input's bytes, and the columns to carry."""
     carry = carry or []
     rows = with_order(docs, id_col, text_col, carry)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "rid")
-    found = repeated_spans(rows.select("rid", "text"), dealt, length, q)
+    found = repeated_spans(rows.select("rid", "text"), dealt, length, q, hot)
     found = found.groupBy("rid").agg(F.collect_set("span").alias("spans"))
 
     def apply(batches):
         for pdf in batches:
             for at, texts in chunks(pdf["text"]):
-                owner, _, kind, first, count, _ = stretches(texts, length, q)
-                later = ~leads(owner, kind)
-                ends = first + count - 1 + length
                 runs = [[] if x is None else [(int(v) >> 32, int(v) & 0xFFFFFFFF) for v in x] for x in pdf["spans"].iloc[at : at + len(texts)]]
-                for i, s, e in zip(owner[later].tolist(), first[later].tolist(), ends[later].tolist()):
-                    runs[i].append((s, e))
                 out = [cut(data, own) for data, own in zip(texts, runs)]
                 yield pd.DataFrame({"id": pdf["id"].iloc[at : at + len(texts)].to_numpy(), "kept": [x[0] for x in out], "removed": [x[1] for x in out], "other": pdf["other"].iloc[at : at + len(texts)].to_numpy()})
 
