@@ -131,16 +131,33 @@ def test_substrings_of_crowded_buckets(spark, hot):
     assert got == {i: w[3] for i, w in brute_repeats([(i, t) for i, t in enumerate(texts)]).items()}
 
 
-@pytest.mark.parametrize("length,gram", [(100, 8), (20, 4), (5, 8)])
+@pytest.mark.parametrize("length,gram", [(100, 8), (20, 4), (5, 5)])
 def test_bucket_pointers_sort_suffixes(length, gram):
     rng = np.random.default_rng(length)
     parts = [rng.integers(0, 3, 400), np.zeros(300, int), np.tile(rng.integers(0, 200, 37), 20), rng.integers(0, 256, 500)]
     data = np.concatenate([*parts, *parts[::-1], parts[2][:150]]).astype(np.uint8)
-    order, same = substrings.suffixes(data, length, gram)
+    word = np.concatenate([substrings.grams(data, np.arange(len(data)), gram), np.zeros(length, np.uint64)])
+    order, _ = substrings.suffixes(word, np.ones(len(data), bool), gram, length)
     raw = data.tobytes() + bytes(length)
     heads = [raw[i : i + length] for i in order.tolist()]
     assert sorted(order.tolist()) == list(range(len(data))) and heads == sorted(heads)
-    assert same.tolist() == [False] + [a == b for a, b in zip(heads, heads[1:])]
+    strings, seen, want = np.arange(len(data) - length), set(), []
+    for i in strings.tolist():
+        want.append(raw[i : i + length] in seen)
+        seen.add(raw[i : i + length])
+    assert substrings.later_strings(data, strings, length).tolist() == want
+
+
+def test_bucket_pointers_find_equal_pieces():
+    rng = np.random.default_rng(2)
+    kinds = [rng.integers(0, 2, n).astype(np.uint8).tobytes() for n in (3, 8, 9, 16, 100, 101, 168, 168)]
+    kinds += [kinds[4][:-1] + b"x", kinds[6][:50] + b"y" + kinds[6][51:]]
+    pieces = [kinds[i] for i in rng.integers(0, len(kinds), 400)]
+    left = rng.integers(0, 2, 400)
+    size = np.array([len(x) for x in pieces])
+    got = substrings.later_pieces(np.frombuffer(b"".join(pieces), dtype=np.uint8), np.cumsum(size) - size, size, left)
+    keys = list(zip(pieces, left.tolist()))
+    assert got.tolist() == [keys.index(k) < i for i, k in enumerate(keys)]
 
 
 def brute_components(prints):

@@ -5,11 +5,11 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts earlier.
 1. Initial buckets. Of the ``LENGTH - Q + 1`` q-grams of each string the one with the least hash is its
    anchor (the first of equals). Equal strings have equal anchors at equal places, so they stand in the bucket of one q-gram, and
    only anchors are shuffled, one for about 35 bytes. Strings next to one another with one anchor form a stretch. Buckets of one stretch end here.
-2. The bytes of the other stretches are refined where their text is: :func:`suffixes` sorts buckets on the bucket pointers
-   of later offsets. Of equal strings the first stays for all and the others are found to be later, so a passage in a
+2. The other stretches are refined where their text is: :func:`suffixes` sorts buckets on the bucket pointers
+   of later offsets. Of equal stretches the first stays for all and the others are found to be later, so a passage in a
    third of all texts leaves one stretch for each batch.
-3. The stretches that stay meet in the task of their bucket and are refined once more, which compares strings of different
-   tasks. A bucket of more than ``HOT`` stretches is first cut into cells of ``CELL`` strings, whose buckets are all that
+3. The stretches that stay meet in the task of their bucket. They are refined once more, first from their starts on, which finds those equal
+   throughout, and then, where a bucket still holds several, from each of their strings on. A bucket of more than ``HOT`` stretches is first cut into cells of ``CELL`` strings, whose buckets are all that
    their strings share, and then into single strings, so it spreads over tasks.
 
 Hashes only deal stretches out to tasks; which strings are equal is read off the buckets of the refined order.
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonearm.llm.common import read, stored, with_order
+from tonearm.llm.common import discard, read, stored, with_order
 
 LENGTH = 100
 Q = 32
@@ -122,8 +122,8 @@ def stretches(texts: list[bytes], length: int = LENGTH, q: int = Q):
     if not n.sum():
         none = np.zeros(0, dtype=np.int64)
         return none, none.view(np.uint64), none, none, none
-    grams = Rolling(np.frombuffer(b"".join(texts), dtype=np.uint8)).all(q)
-    at = least_in_windows(grams, length - q + 1)
+    roll = Rolling(np.frombuffer(b"".join(texts), dtype=np.uint8)).all(q)
+    at = least_in_windows(roll, length - q + 1)
     cut = np.empty(len(at) + 1, dtype=bool)
     cut[0] = cut[-1] = True
     np.not_equal(at[1:], at[:-1], out=cut[1:-1])
@@ -135,49 +135,45 @@ def stretches(texts: list[bytes], length: int = LENGTH, q: int = Q):
     inside = first < begin[owner] + n[owner]
     first, count, owner = first[inside], count[inside], owner[inside]
     place = at[first]
-    return owner, grams[place], first - begin[owner], count, place - first
+    return owner, roll[place], first - begin[owner], count, place - first
 
 
-def suffixes(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``data`` in the order of what starts there, and which share ``length`` bytes with the one before.
+def grams(data: np.ndarray, at: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """The ``gram`` bytes from each place on as a number; zeros follow the data."""
+    padded = np.concatenate([data, np.zeros(GRAM, dtype=np.uint8)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, GRAM)
+    return np.ascontiguousarray(windows[at]).view(">u8")[:, 0].astype(np.uint64) >> np.uint64(8 * (GRAM - gram))
 
-    Bucket-pointer refinement. A pointer names the first slot of a place's bucket. Buckets are first those of the places' q-grams
-    (``gram`` bytes). Block after block of neighbouring buckets is sorted on the pointers ``gram``, ``2 * gram`` and so on
-    bytes later, until all in a bucket share ``length`` bytes; buckets that split are cut at once, their new pointers
-    are written back, and the offsets and blocks that follow read them. Pointers only get finer, in the order of the bytes, so
-    places that share ``length`` bytes end up side by side.
+
+def suffixes(word: np.ndarray, wanted: np.ndarray, step: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of the words that start there, and the pointer of each to its bucket; ``wanted`` has a flag for each place.
+
+    Bucket-pointer refinement. A pointer names the first slot of a place's bucket. Buckets are first those of the places' words,
+    which are q-grams. Block after block of neighbouring buckets is sorted on the pointers ``step``, ``2 * step`` and so on
+    places later, until all in a bucket agree as far as ``depth``; buckets that split are cut at once, their new pointers
+    are written back, and the offsets and blocks that follow read them. Pointers only get finer, in the order of the words, so
+    places that agree that far end up side by side. Buckets with less than two wanted places stay as they are.
     """
-    n, gram = len(data), min(gram, length)
-    padded = np.concatenate([data, np.zeros(length + gram, dtype=np.uint8)])
-    word = np.zeros(n + length, dtype=np.uint64)
-    for j in range(gram):
-        word = word << np.uint64(8) | padded[j : j + n + length]
+    n = len(wanted)
     order = np.argsort(word[:n], kind="stable")
     head = np.concatenate([[True], word[order[1:]] != word[order[:-1]]])
     starts = np.flatnonzero(head)
     sizes = np.diff(np.append(starts, n))
     bucket = np.repeat(starts, sizes)
-    pointer = np.full(n + length, -1, dtype=np.int64)
+    pointer = np.full(len(word) + step, -1, dtype=np.int64)
     pointer[order] = bucket
-    crowded = np.flatnonzero(np.repeat(sizes > 1, sizes))
-    filled = np.cumsum(sizes[sizes > 1])
+    open_ = np.add.reduceat(wanted[order].astype(np.int64), starts) > 1
+    crowded = np.flatnonzero(np.repeat(open_, sizes))
+    filled = np.cumsum(sizes[open_])
     for slots in np.split(crowded, filled[:-1][np.diff(filled // SLOTS) > 0]):
-        refine(slots, bucket, order, pointer, length, gram)
-    same = np.zeros(n, dtype=bool)
-    left, right = order[:-1], order[1:]
-    settled = pointer[left] == pointer[right]
-    same[1:] = settled
-    open_ = np.flatnonzero(~settled)
-    for k in (*range(0, length - gram, gram), length - gram):
-        open_ = open_[word[left[open_] + k] == word[right[open_] + k]]
-    same[1 + open_] = True
-    return order, same
+        refine(slots, bucket, order, pointer, step, depth)
+    return order, pointer
 
 
-def refine(slots: np.ndarray, bucket: np.ndarray, order: np.ndarray, pointer: np.ndarray, length: int, gram: int) -> None:
-    """Sorts the buckets that ``slots`` hold until each shares ``length`` bytes; writes ``order`` and ``pointer``."""
+def refine(slots: np.ndarray, bucket: np.ndarray, order: np.ndarray, pointer: np.ndarray, step: int, depth: int) -> None:
+    """Sorts the buckets that ``slots`` hold until each agrees as far as ``depth``; writes ``order`` and ``pointer``."""
     own = bucket[slots]
-    for k in range(gram, length, gram):
+    for k in range(step, depth, step):
         key = pointer[order[slots] + k]
         edge = own[1:] != own[:-1]
         splits = ~edge & (key[1:] != key[:-1])
@@ -201,18 +197,56 @@ def refine(slots: np.ndarray, bucket: np.ndarray, order: np.ndarray, pointer: np
             return
 
 
+def not_first(kind: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """Of ``n`` places those that are not the first of their kind; equal kinds stand side by side."""
+    later = np.zeros(n, dtype=bool)
+    if len(kind):
+        heads = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+        first = np.repeat(np.minimum.reduceat(places, heads), np.diff(np.append(heads, len(kind))))
+        later[places] = places != first
+    return later
+
+
 def later_strings(data: np.ndarray, strings: np.ndarray, length: int) -> np.ndarray:
     """Which of the strings that start at the given places (in order) also start at an earlier one of them."""
-    order, same = suffixes(data, length)
-    member = np.zeros(len(data), dtype=bool)
-    member[strings] = True
-    own = member[order]
-    kind, places = np.cumsum(~same)[own], order[own]
-    heads = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]])) if len(kind) else np.zeros(0, np.int64)
-    first = np.repeat(np.minimum.reduceat(places, heads), np.diff(np.append(heads, len(kind)))) if len(heads) else places
-    member[:] = False
-    member[places] = places != first
-    return member[strings]
+    gram = min(GRAM, length)
+    word = np.concatenate([grams(data, np.arange(len(data)), gram), np.zeros(length, dtype=np.uint64)])
+    wanted = np.zeros(len(data), dtype=bool)
+    wanted[strings] = True
+    order, _ = suffixes(word, wanted, gram, length)
+    order = order[wanted[order]]
+    same = np.zeros(len(order), dtype=bool)
+    open_ = np.arange(1, len(order))
+    for k in (*range(0, length - gram, gram), length - gram):
+        open_ = open_[word[order[open_ - 1] + k] == word[order[open_] + k]]
+    same[open_] = True
+    return not_first(np.cumsum(~same), order, len(data))[strings]
+
+
+def later_pieces(data: np.ndarray, at: np.ndarray, size: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Which pieces (``size`` bytes from ``at``, their anchor ``left`` bytes on) are equal to an earlier one.
+
+    Refined as :func:`later_strings`, but only at every eighth byte of a piece: its places are a word for size and anchor, then
+    its q-grams side by side, the last one reaching back so that it ends with the piece.
+    """
+    n = -(-size // GRAM) + 1
+    begin = np.cumsum(n) - n
+    step = np.arange(n.sum()) - np.repeat(begin, n)
+    of = np.repeat(np.arange(len(n)), n)
+    place = at[of] + np.clip(np.minimum((step - 1) * GRAM, size[of] - GRAM), 0, None)
+    depth = int(n.max())
+    word = grams(data, place) >> (8 * np.maximum(GRAM - size[of], 0)).astype(np.uint64)
+    word = np.concatenate([word, np.zeros(depth, dtype=np.uint64)])
+    word[begin] = (size << 8 | left).astype(np.uint64)
+    order, _ = suffixes(word, step == 0, 1, depth)
+    order = order[step[order] == 0]
+    same = np.zeros(len(order), dtype=bool)
+    open_ = np.arange(1, len(order))
+    for k in range(depth):
+        one, two = order[open_ - 1], order[open_]
+        open_ = open_[(word[one + k] == word[two + k]) | (k >= n[of[two]])]
+    same[open_] = True
+    return not_first(np.cumsum(~same), of[order], len(n))
 
 
 def packed(first, count, left):
@@ -224,27 +258,11 @@ def unpacked(place):
     return place >> 16, place >> 8 & 255, place & 255
 
 
-PIECES = "bucket long, rid long, place long, bytes binary, span long"
-
+def span(start, end):
+    return start << 32 | end
 
-def judged(data: np.ndarray, at: np.ndarray, rid: np.ndarray, first: np.ndarray, count: np.ndarray, length: int):
-    """Spans of the strings that also start earlier, by ``rid``, and for each stretch its strings from the first to the last other one.
 
-    A stretch has ``count`` strings, which start in its text at ``first`` and in ``data`` at ``at``; stretches are in the order of their texts.
-    """
-    begin = np.cumsum(count) - count
-    step = np.arange(count.sum()) - np.repeat(begin, count)
-    later = later_strings(data, np.repeat(at, count) + step, length)
-    turn = np.flatnonzero(np.concatenate([[True], (later[1:] != later[:-1]) | (step[1:] == 0)])) if len(later) else np.zeros(0, np.int64)
-    n = np.diff(np.append(turn, len(later)))
-    of = np.repeat(np.arange(len(count)), count)[turn]
-    start = first[of] + step[turn]
-    gone = later[turn]
-    spans = pd.DataFrame({"rid": rid[of[gone]], "span": start[gone] << 32 | (start[gone] + n[gone] + length - 1)})
-    low, high = np.full(len(count), 1 << 60), np.zeros(len(count), dtype=np.int64)
-    np.minimum.at(low, of[~gone], step[turn[~gone]])
-    np.maximum.at(high, of[~gone], step[turn[~gone]] + n[~gone])
-    return spans, low, high
+PIECES = "bucket long, rid long, place long, bytes binary, span long"
 
 
 def cut_out(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,45 +271,40 @@ def cut_out(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.n
     return flat[np.arange(size.sum()) + np.repeat(start - begin, size)], begin
 
 
-def sent(bucket, rid, place, data, at, first, count, left, length):
-    """Pieces to send on and spans found, in the columns of ``PIECES``; ``data`` holds each stretch's bytes from ``at`` on."""
-    spans, low, high = judged(data, at, rid, first, count, length)
-    stay = np.flatnonzero(low < high)
-    low, high = low[stay], high[stay]
-    size = high - low + length - 1
-    blob, begin = cut_out(data, at[stay] + low, size)
-    raw = blob.tobytes()
-    pieces = pd.DataFrame({"bucket": bucket[stay], "rid": rid[stay], "place": packed(first[stay] + low, high - low, left[stay] - low), "bytes": [raw[b : b + s] for b, s in zip(begin.tolist(), size.tolist())], "span": pd.array([None] * len(stay), dtype="Int64")})
-    found = pd.DataFrame({"bucket": 0, "rid": spans["rid"], "place": 0, "bytes": None, "span": spans["span"].astype("Int64")})
-    return pd.concat([pieces, found])
+def sent(bucket, rid, first, count, left, flat, at, length) -> pd.DataFrame:
+    """Stretches (bytes of ``flat`` from ``at`` on, in the order of their texts) as ``PIECES``; those equal to an earlier one are spans."""
+    data, begin = cut_out(flat, at, count + length - 1)
+    later = later_pieces(data, begin, count + length - 1, left)
+    size = count + length - 1
+    raw = data.tobytes()
+    piece = [None if x else raw[b : b + s] for x, b, s in zip(later.tolist(), begin.tolist(), size.tolist())]
+    gone = pd.arrays.IntegerArray(span(first, first + size), ~later)
+    return pd.DataFrame({"bucket": bucket, "rid": rid, "place": packed(first, count, left), "bytes": piece, "span": gone})
 
 
 def pieces_of(rows: list, length: int, q: int) -> pd.DataFrame:
-    """The wanted stretches of some (rid, text, places) as ``PIECES``; stretches side by side are judged as one run of bytes."""
+    """The wanted stretches of some (rid, text, places) as ``PIECES``."""
     rows = sorted(rows, key=lambda r: r[0])
     texts = [np.frombuffer(r[1].encode("utf-8", "surrogatepass"), dtype=np.uint8) for r in rows]
     begin = np.cumsum([0, *map(len, texts)])[:-1]
     owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
-    place = np.sort(np.concatenate([np.asarray(r[2], dtype=np.int64) + (b << 16) for r, b in zip(rows, begin)]))
-    first, count, left = unpacked(place)
+    first, count, left = unpacked(np.sort(np.concatenate([np.asarray(r[2], dtype=np.int64) + (b << 16) for r, b in zip(rows, begin)])))
     flat = np.concatenate(texts)
     bucket = Rolling(flat).at(first + left, q).view(np.int64)
-    fresh = np.concatenate([[True], first[1:] != first[:-1] + count[:-1]])
-    run = np.flatnonzero(fresh)
-    last = np.append(run[1:], len(first)) - 1
-    data, at = cut_out(flat, first[run], first[last] + count[last] + length - 1 - first[run])
-    of = np.cumsum(fresh) - 1
     rid = np.array([r[0] for r in rows], dtype=np.int64)[owner]
-    return sent(bucket, rid, place, data, at[of] + first - first[run][of], first - begin[owner], count, left, length)
+    return sent(bucket, rid, first - begin[owner], count, left, flat, first, length)
 
 
-def finer(rows: list, length: int, q: int, width: int) -> pd.DataFrame:
-    """Pieces cut where the anchor's distance is a multiple of ``width``; a cut's bucket is what all its strings share."""
-    rows = sorted(rows, key=lambda r: (r[1], r[2]))
+def joined(rows: list):
+    """(rid, first, count, left, bytes, where each begins) of some pieces."""
     rid, place = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2))
     flat = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8)
-    begin = np.cumsum([0, *(len(r[3]) for r in rows)])[:-1]
-    first, count, left = unpacked(place)
+    return rid, *unpacked(place), flat, np.cumsum([0, *(len(r[3]) for r in rows)])[:-1]
+
+
+def finer(rows: list, length: int, q: int, width: int) -> pd.DataFrame:
+    """Pieces cut where the anchor's distance is a multiple of ``width``; a cut's bucket is what all its strings share."""
+    rid, first, count, left, flat, begin = joined(sorted(rows, key=lambda r: (r[1], r[2])))
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     of = np.repeat(np.arange(len(rows)), count)
     cell = (left[of] - step) // width
@@ -300,8 +313,28 @@ def finer(rows: list, length: int, q: int, width: int) -> pd.DataFrame:
     anchor = begin[of] + left[of]
     far = np.minimum((cell + 1) * width - 1, length - q)
     bucket = mixed(Rolling(flat).of(anchor - cell * width, anchor - far + length) + cell.astype(np.uint64))
-    data, at = cut_out(flat, begin[of] + step, n + length - 1)
-    return sent(bucket.view(np.int64), rid[of], place, data, at, first[of] + step, n, left[of] - step, length)
+    return sent(bucket.view(np.int64), rid[of], first[of] + step, n, left[of] - step, flat, begin[of] + step, length)
+
+
+def repeats_of(rows: list, length: int) -> pd.DataFrame:
+    """Spans of strings that also start earlier, for pieces of whole buckets, in the order of buckets and texts."""
+    rid, first, count, left, flat, begin = joined(rows)
+    later = later_pieces(flat, begin, count + length - 1, left)
+    gone = [(rid[later], span(first[later], (first + count)[later] + length - 1))]
+    bucket = np.cumsum([False, *(a[0] != b[0] for a, b in zip(rows, rows[1:]))])
+    open_ = np.flatnonzero(~later & (np.bincount(bucket[~later], minlength=len(rows))[bucket] > 1))
+    if len(open_):
+        rid, first, count = rid[open_], first[open_], count[open_]
+        data, at = cut_out(flat, begin[open_], count + length - 1)
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        of = np.repeat(np.arange(len(count)), count)
+        later = later_strings(data, at[of] + step, length)
+        turn = np.flatnonzero(np.concatenate([[True], (later[1:] != later[:-1]) | (step[1:] == 0)]))
+        n = np.diff(np.append(turn, len(later)))[later[turn]]
+        turn = turn[later[turn]]
+        start = first[of[turn]] + step[turn]
+        gone.append((rid[of[turn]], span(start, start + n + length - 1)))
+    return pd.DataFrame({"rid": np.concatenate([x[0] for x in gone]), "span": np.concatenate([x[1] for x in gone])})
 
 
 def gathered(rows, size, most: int = CHUNK):
@@ -326,45 +359,50 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, length: int = LENGTH, q: i
 
     def anchors(batches):
         for pdf in batches:
-            rids = pdf["rid"].to_numpy()
+            rids, out = pdf["rid"].to_numpy(), []
             for at, texts in chunks(pdf["text"]):
                 owner, bucket, first, count, left = stretches(texts, length, q)
-                yield pd.DataFrame({"bucket": bucket.view(np.int64), "rid": rids[at + owner], "place": packed(first, count, left)})
+                out.append((bucket.view(np.int64), rids[at + owner], packed(first, count, left)))
+            if out:
+                bucket, rid, place = map(np.concatenate, zip(*out))
+                # One row of each bucket counts for all of its batch; the others are known to have company.
+                _, lead, times = np.unique(bucket, return_index=True, return_counts=True)
+                n = np.zeros(len(bucket), dtype=np.int64)
+                n[lead] = times
+                yield pd.DataFrame({"bucket": bucket, "rid": rid, "place": place, "n": n})
 
     def pieces(batches):
         rows = (row for pdf in batches for row in zip(pdf["rid"], pdf["text"], pdf["places"]))
-        for some in gathered(rows, lambda r: len(r[2]) * length):
+        for some in gathered(rows, lambda r: len(r[2]) * 2 * length):
             yield pieces_of(some, length, q)
 
     def met(batches):
         rows = (row for pdf in batches for row in zip(pdf["bucket"], pdf["rid"], pdf["place"], pdf["bytes"]))
         buckets = (list(some) for _, some in groupby(rows, key=itemgetter(0)))
-        for some in gathered(buckets, lambda b: len(b) * 2 * length):
-            rows = [row for one in some for row in one]
-            size = np.array([len(r[3]) for r in rows])
-            first, count, _ = unpacked(np.array([r[2] for r in rows], dtype=np.int64))
-            rid = np.array([r[1] for r in rows], dtype=np.int64)
-            spans, _, _ = judged(np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8), np.cumsum(size) - size, rid, first, count, length)
-            yield spans
-
-    anchor_rows = stored(docs.mapInPandas(anchors, "bucket long, rid long, place long"), "anchors")
-    crowded = anchor_rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    wanted = anchor_rows.join(crowded, "bucket").groupBy("rid").agg(F.collect_list("place").alias("places"))
+        for some in gathered((b for b in buckets if len(b) > 1), lambda b: len(b) * 2 * length):
+            yield repeats_of([row for one in some for row in one], length)
+
+    found = stored(docs.mapInPandas(anchors, "bucket long, rid long, place long, n long"), "anchors")
+    leads = found.filter("n > 0")
+    crowded = leads.groupBy("bucket").agg(F.sum("n").alias("_n")).filter("_n > 1").select("bucket")
+    wanted = leads.join(crowded, "bucket").select("rid", "place").union(found.filter("n = 0").select("rid", "place"))
+    wanted = wanted.groupBy("rid").agg(F.collect_list("place").alias("places"))
     rows = stored(dealt.join(wanted.hint("shuffle_hash"), "rid").select("rid", "text", "places").mapInPandas(pieces, PIECES), "pieces")
+    discard(found)
     spans = [rows.filter("span is not null").select("rid", "span")]
     for width in (CELL, 1, None):
         here = rows.filter("span is null").drop("span")
         crowds = stored(here.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("bucket"), "crowds")
         more = width is not None and not crowds.isEmpty()
         calm = here.join(crowds, "bucket", "left_anti") if more else here
-        dealt_rows = calm.repartition(parts, "bucket").sortWithinPartitions("bucket", "rid", "place")
-        spans.append(dealt_rows.mapInPandas(met, "rid long, span long"))
+        calm = calm.repartition(parts, "bucket").sortWithinPartitions("bucket", "rid", "place")
+        spans.append(calm.mapInPandas(met, "rid long, span long"))
         if not more:
             break
 
         def cells(batches, width=width):
             every = (row for pdf in batches for row in zip(pdf["bucket"], pdf["rid"], pdf["place"], pdf["bytes"]))
-            for some in gathered(every, lambda r: len(r[3]) if width > 1 else length * (len(r[3]) - length + 1)):
+            for some in gathered(every, lambda r: 2 * len(r[3]) if width > 1 else length * (len(r[3]) - length + 1)):
                 yield finer(some, length, q, width)
 
         rows = stored(here.join(crowds, "bucket", "left_semi").mapInPandas(cells, PIECES), "pieces")
