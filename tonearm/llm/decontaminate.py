@@ -6,11 +6,12 @@ lemma such a match shares ``m + 1 - q - k * q`` q-grams with the item, all withi
 shared q-grams are counted in diagonal bands that overlap by half, so that each match lies whole in one.
 Bands that reach the bound are verified by alignment within the band.
 
-The benchmark is held by the tasks in blocks of at most ``BLOCK_BYTES``; a larger one takes more passes
-over the documents.
+The benchmark is held by the tasks in blocks of at most ``BLOCK_BYTES``, one at a time; a larger one takes more passes
+over the documents, whose hits meet in a join.
 
 Defined results: null and empty texts, and texts shorter than an item less its edits, have no match with it;
-items that are null or under ``MIN_ITEM`` bytes once normalised match nothing; for short items ``k`` is reduced until the bound is at
+items under ``MIN_ITEM`` bytes once normalised are matched without edits, between blanks; those under ``Q`` bytes only by a text that
+is equal to them; those that are null or empty match nothing. For others ``k`` is reduced until the bound is at
 least one q-gram; long texts are read whole; repeated rows and repeated items are each reported; an empty
 benchmark leaves every document clean. Only the named columns are read; the filter returns all columns as they are.
 """
@@ -18,14 +19,14 @@ benchmark leaves every document clean. Only the named columns are read; the filt
 from __future__ import annotations
 
 import string
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonearm.llm.common import read
+from tonearm.llm.common import read, stored, with_order
 
 Q = 8
 RATE = 0.1
@@ -57,11 +58,16 @@ class Index:
     """The q-grams of normalised items: where each stands in which item."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], rate: float = RATE):
-        kept = [(i, n) for i, n in ((i, normalised(t)) for i, t in items) if len(n) >= MIN_ITEM]
+        every = [(i, normalised(t)) for i, t in items]
+        kept = [(i, n) for i, n in every if len(n) >= Q] + [(i, n) for i, n in every if 0 < len(n) < Q]
         self.ids = [i for i, _ in kept]
         self.items = [n for _, n in kept]
         self.sizes = np.array([len(n) for n in self.items], dtype=np.int64)
-        self.edits = np.minimum((self.sizes * rate).astype(np.int64), (self.sizes - Q) // Q)
+        self.edits = np.where(self.sizes < MIN_ITEM, 0, np.minimum((self.sizes * rate).astype(np.int64), (self.sizes - Q) // Q))
+        self.tiny: dict[bytes, list[int]] = {}
+        for place, (_, n) in enumerate(kept):
+            if len(n) < Q:
+                self.tiny.setdefault(n, []).append(place)
         self.least = self.sizes + 1 - Q - self.edits * Q
         self.step = 2 * self.edits + 1
         codes = [grams(n) for n in self.items]
@@ -105,12 +111,15 @@ class Index:
 
     def matches(self, texts: list[bytes]):
         """(text, item, distance, start, end) of verified matches; the best of each text and item."""
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        best = {(t, i): (0, 0, len(x)) for t, x in enumerate(texts) for i in self.tiny.get(x, ())} if self.tiny else {}
         for text, item, band in self.candidates(texts).tolist():
             k, m, step = int(self.edits[item]), int(self.sizes[item]), int(self.step[item])
             low = band * step - m
             begin, end = max(0, low - k), min(len(texts[text]), low + 2 * step + m + k)
-            found = aligned(self.items[item], texts[text][begin:end], k)
+            if m < MIN_ITEM:
+                found, begin = between_blanks(self.items[item], texts[text]), 0
+            else:
+                found = aligned(self.items[item], texts[text][begin:end], k)
             if found:
                 d, s, e = found[0], begin + found[1], begin + found[2]
                 if (text, item) not in best or best[text, item] > (d, s, e):
@@ -118,6 +127,17 @@ class Index:
         return sorted((t, i, *x) for (t, i), x in best.items())
 
 
+def between_blanks(item: bytes, text: bytes) -> tuple[int, int, int] | None:
+    """The first place where the item stands as words of its own."""
+    at = text.find(item)
+    while at >= 0:
+        end = at + len(item)
+        if text[at - 1 : at] in (b"", b" ") and text[end : end + 1] in (b"", b" "):
+            return 0, at, end
+        at = text.find(item, at + 1)
+    return None
+
+
 @lru_cache(maxsize=4096)
 def aligned(item: bytes, region: bytes, k: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best match of the item within the region, if it takes at most k edits."""
@@ -200,53 +220,87 @@ def chunked(texts):
         yield at, held
 
 
-def blocks(benchmark: DataFrame, most_bytes: int = BLOCK_BYTES):
-    """The benchmark's items as indexes over at most about ``most_bytes`` of text (and 2 ** 18 items) each."""
+def blocks(benchmark: DataFrame, most_bytes: int = BLOCK_BYTES) -> tuple[int, object]:
+    """How many indexes the benchmark takes, and those, each of about ``most_bytes`` of text (and 100,000 items) at most."""
     items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
     total, n = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     parts = max(1, -(-(total or 0) // most_bytes), -(-n // 100_000))
-    for i in range(parts):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i)
-        yield Index(sorted(((r[0], r[1]) for r in own.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
+    def made():
+        for i in range(parts):
+            own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i)
+            yield Index(sorted(((r[0], r[1]) for r in own.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+
+    return parts, made()
+
+
+HIT = "array<struct<item_id:long,edits:long,start:long,end:long>>"
+
+
+def hits_of(index: Index, texts: list) -> list[list]:
+    """The hits of each text."""
+    out = [[] for _ in texts]
+    for at, part in chunked(texts):
+        for t, i, d, s, e in index.matches(part):
+            s, e = original_span(texts[at + t], s, e)
+            out[at + t].append({"item_id": index.ids[i], "edits": d, "start": s, "end": e})
+    return out
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``hits`` of every document: item_id, edits and the matched code points (start, end)."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    hit = "array<struct<item_id:long,edits:long,start:long,end:long>>"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast(hit).alias("hits"))
-    for index in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+def hits_by_block(rows: DataFrame, indexes) -> DataFrame:
+    """``rid`` and ``hits`` of the rows ``(rid, text)`` with any, one pass for each index; only hits are stored."""
+    found = []
+    for index in indexes:
+        shared = rows.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
             for pdf in batches:
-                texts, hits = pdf["text"].tolist(), [[] if h is None else list(h) for h in pdf["hits"]]
-                for at, part in chunked(texts):
-                    for t, i, d, s, e in shared.value.matches(part):
-                        s, e = original_span(texts[at + t], s, e)
-                        hits[at + t].append({"item_id": shared.value.ids[i], "edits": d, "start": s, "end": e})
-                yield pd.DataFrame({"id": pdf["id"], "text": pdf["text"], "hits": hits})
+                hits = hits_of(shared.value, pdf["text"].tolist())
+                hit = [bool(h) for h in hits]
+                yield pd.DataFrame({"rid": pdf["rid"][hit], "hits": pd.Series([h for h in hits if h], index=pdf["rid"][hit].index, dtype=object)})
 
-        rows = rows.mapInPandas(run, f"id {kind}, text string, hits {hit}")
-    return rows.select(F.col("id").alias(id_col), "hits")
+        found.append(stored(rows.select("rid", "text").mapInPandas(run, f"rid long, hits {HIT}"), "hits"))
+        shared.unpersist()
+    return reduce(DataFrame.union, found).groupBy("rid").agg(F.flatten(F.collect_list("hits")).alias("hits"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents without a match, with all their columns."""
-    for index in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        place = docs.columns.index(text_col)
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``id_col`` and ``hits`` of every document: item_id, edits and the matched code points (start, end)."""
+    parts, indexes = blocks(benchmark, most_bytes)
+    if parts > 1:
+        rows = with_order(docs, id_col, text_col)
+        found = rows.select("rid", "id").join(hits_by_block(rows, indexes), "rid", "left")
+        return found.select(F.col("id").alias(id_col), F.coalesce("hits", F.array().cast(HIT)).alias("hits"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(next(indexes))
 
-        def run(batches, shared=shared, place=place):
-            for pdf in batches:
-                keep = np.ones(len(pdf), dtype=bool)
-                for at, part in chunked(pdf.iloc[:, place].tolist()):
-                    for t, *_ in shared.value.matches(part):
-                        keep[at + t] = False
-                yield pdf[keep]
-
-        docs = docs.mapInPandas(run, docs.schema)
-    return docs
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "hits": hits_of(shared.value, pdf["text"].tolist())})
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInPandas(run, f"id {kind}, hits {HIT}").select(F.col("id").alias(id_col), "hits")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without a match, with all their columns."""
+    parts, indexes = blocks(benchmark, most_bytes)
+    if parts > 1:
+        rows = with_order(docs, id_col, text_col, docs.columns)
+        clean = rows.join(hits_by_block(rows, indexes).select("rid"), "rid", "left_anti")
+        return clean.select(*[F.col(f"other.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    shared = docs.sparkSession.sparkContext.broadcast(next(indexes))
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for pdf in batches:
+            keep = np.ones(len(pdf), dtype=bool)
+            for at, part in chunked(pdf.iloc[:, place].tolist()):
+                for t, *_ in shared.value.matches(part):
+                    keep[at + t] = False
+            yield pdf[keep]
+
+    return docs.mapInPandas(run, docs.schema)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
