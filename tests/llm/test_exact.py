@@ -14,7 +14,7 @@ import xxhash
 from tests.conftest import SF
 from tests.llm.fixtures import by_id, docs_df
 from tests.oracle import differences, tables
-from tonearm.llm import brown, chat, fingerprints, mixing, simhash, substrings
+from tonearm.llm import brown, chat, decontaminate, fingerprints, mixing, simhash, substrings
 from tonearm.llm.common import read
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
@@ -294,13 +294,59 @@ def test_brown_counts_and_base(spark, docs):
     assert gain > 0
 
 
+def test_brown_scores_by_their_formula(spark):
+    """The score of every text, recomputed word by word from the classes and brute-force counts; head and seeds are small, so all kinds of words occur."""
+    docs = read(spark, SF, "documents").select("doc_id", "text")
+    train = docs.filter("doc_id % 3 > 0").select("text")
+    counts = brown.word_counts(train).cache()
+    m = brown.fit(train, counts, seeds=50, most_head=400)
+    assert len(set(m.cls[52:402].tolist())) > 3 and len(set(m.cls[402:].tolist())) > 3
+    rows = {r["doc_id"]: r["score"] for r in brown.score_brown(docs, m, counts).collect()}
+    cls_of = lambda w: int(m.cls[m.units.of([w])[0]])
+    c, n, v, moves = Counter(), Counter(), Counter(), Counter()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for i, text in texts.items():
+        if i % 3 > 0:
+            seq = [brown.END, *words(text or ""), brown.END]
+            c.update(seq[1:])
+            moves.update((cls_of(a), cls_of(b)) for a, b in zip(seq, seq[1:]))
+    for w, k in c.items():
+        n[cls_of(w)] += k
+        v[cls_of(w)] += 1
+    k = len(m.gain)
+    share = {b: (n[b] + 0.5) / sum(n[x] + 0.5 for x in range(k)) for b in range(k)}
+    out = Counter()
+    for (a, _), t in moves.items():
+        out[a] += t
+    for i, text in list(texts.items())[:60]:
+        seq = [brown.END, *words(text or ""), brown.END]
+        want = 0.0
+        for x, y in zip(seq, seq[1:]):
+            a, b = cls_of(x), cls_of(y)
+            want += math.log10((moves[a, b] + brown.SMOOTH * share[b]) / (out[a] + brown.SMOOTH)) + math.log10((c[y] + 0.5) / (n[b] + 0.5 * (v[b] + 1)))
+        assert math.isclose(rows[i], want, rel_tol=1e-9, abs_tol=1e-6)
+
+
 def test_brown_is_a_distribution(spark):
     """Given any class before, the words of all classes and one unseen word each have probability 1 together."""
     train = spark.createDataFrame([("a b a b c end",), ("b a b c c",), (None,), ("d a b",)], "text string")
     counts = brown.word_counts(train).cache()
     m = brown.fit(train, counts)
     known = {bytes(r["word"]): r["n"] for r in counts.collect()}
-    cls = {w: m.cls[brown.clustered([w], m.ids)[0]] if w != brown.END else 0 for w in known}
+    cls = {w: m.cls[m.units.of([w])[0]] for w in known}
     for before in range(len(m.gain)):
         mass = sum((n + 0.5) * 10 ** m.gain[before, cls[w]] for w, n in known.items()) + sum(0.5 * 10 ** m.gain[before, c] for c in range(len(m.gain)))
         assert math.isclose(mass, 1.0, rel_tol=1e-9)
+
+
+def test_short_items_and_several_blocks(spark):
+    texts = ["Yes!", "yes, the cat sat on a mat.", "The CAT -- sat on a mat", "the cat sat on a matter", "a cat sat on a mat the", "yes no", "42", None]
+    texts.append("Long benchmark passages are compared with some edits allowed, and this is one of those passages.")
+    items = [(1, "the cat sat on a mat"), (2, "yes"), (3, "yes no"), (4, "Long benchmark passages are compare with some edits allowed, and this is one of these passages."), (5, ""), (6, None), (7, "42 yes")]
+    df = docs_df(spark, [(i, t, "en", "web", None) for i, t in enumerate(texts)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {0: [2], 1: [1], 2: [1], 3: [], 4: [], 5: [3], 6: [], 7: [], 8: [4]}
+    for most in (decontaminate.BLOCK_BYTES, 60):
+        got = {r["doc_id"]: sorted(h["item_id"] for h in r["hits"]) for r in decontaminate.find_leaks(df, bench, most_bytes=most).collect()}
+        assert got == want
+        assert {r["doc_id"] for r in decontaminate.drop_leaks(df, bench, most_bytes=most).collect()} == {i for i, x in want.items() if not x}

@@ -71,7 +71,7 @@ def _file(spark: SparkSession, path: str):
 def with_order(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
     """``id``, ``text``, ``other`` (a struct of the columns to carry) and ``rid``, a unique long in the documents' order.
 
-    Unique ids serve as they are. Where ids repeat or are null, distinct rows are numbered by (id, text);
+    Unique ids serve as they are. Where ids repeat or are null, rows are numbered by (id, text) and then by a hash of what they carry;
     repeats of a row come after it. Numbers are counted within ranges of ids, so no task sees all rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry or [])]).alias("other"))
@@ -87,7 +87,7 @@ def with_order(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | N
     base = base.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("base"))
     within = F.sum("n").over(Window.partitionBy("part").orderBy("id")) - F.col("n")
     begin = spans.withColumn("within", within).join(F.broadcast(base), "part").select(F.col("id").alias("_id"), (F.col("base") + F.col("within")).alias("begin"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.md5("text"), "text")) - 1
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.md5("text"), "text", F.xxhash64(F.to_json("other")))) - 1
     return rows.withColumn("place", place).join(begin, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "other", (F.col("begin") + F.col("place")).alias("rid"))
 
 
@@ -107,7 +107,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         .limit(max_rows)
     )
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", *extra)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", *extra).limit(2 * max_rows).collect()
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", *extra)
+    # Where ids repeat there are more texts than labels; the same max_rows of them stay in every run.
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.md5("text"), *extra).limit(max_rows).collect()
     return sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
 
 

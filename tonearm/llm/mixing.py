@@ -10,7 +10,10 @@ of the rows is spread over many tasks. Points meet sources by an equality join o
 
 Defined results: null and empty texts have size 0 and are never taken; a null source is a source of its own, the
 last; repeated rows are separate documents, laid side by side; an empty table, or one without words,
-takes nothing. The result depends on ids, sizes and sources only, so reruns agree. Other columns are not read.
+takes nothing. Rows without an id are told apart by their texts. The result depends on nothing else, so reruns agree. Other columns are not read.
+
+Words are counted once, in one pass over the texts; ids, sizes and sources are stored. Windows without a partition run over the sources,
+one row each; :func:`targets` refuses more than ``MOST_SOURCES``.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonearm.llm.common import WORD_PATTERN, read
+from tonearm.llm.common import WORD_PATTERN, read, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -31,6 +34,8 @@ SEED = "mix-1"
 STEP = 1327217885
 UNIT = 1 << 31
 CELLS = 1 << 12
+#: Sources that one task may weigh against each other.
+MOST_SOURCES = 1_000_000
 SLOT_RUN = 1 << 16
 
 
@@ -47,7 +52,9 @@ def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     The sources are one small table: a row each, however many documents. Ordered by the level at which they
     fill up, those below the common level stop at ``most`` times their size.
     """
-    sizes = rows.groupBy("src").agg(F.sum("size").alias("source_size"))
+    sizes = stored(rows.groupBy("src").agg(F.sum("size").alias("source_size")), "sources")
+    if sizes.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     by_name = Window.orderBy("src")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1)
     full = most * F.col("source_size")
@@ -89,7 +96,7 @@ def schedule(plan: DataFrame) -> DataFrame:
 
 def laid_out(rows: DataFrame, seed: str = SEED) -> DataFrame:
     """The rows with ``begin``, their first word's place in the shuffled source."""
-    key = F.md5(F.concat_ws("#", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat_ws("#", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("mark").cast("string")))
     keyed = rows.withColumn("key", key).withColumn("bucket", F.substring("key", 1, 3))
     sums = keyed.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
     base = F.coalesce(F.sum("words").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -109,7 +116,8 @@ def pieces(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per document: id, size, ``src``, source_size, target, and taken: the words that the mix takes of it."""
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    rows = with_size(named).select("id", "size", "src")
+    mark = F.when(F.col("id").isNull(), F.xxhash64("text")).alias("mark")
+    rows = stored(with_size(named).select("id", "size", "src", mark), "sizes")
     plan = targets(rows)
     placed = laid_out(rows)
     times = schedule(plan).groupBy("src", "block").agg(F.count("*").alias("times"))
