@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of
 documents; the last adds size, source_size, target and taken, and leaves out documents of which the mix takes nothing.
+
+Defined results of every stage: a null text counts as empty, an empty table gives an empty one, rows that repeat an id or have none are rows of
+their own. Extra columns stay as they are, whatever their names. An empty text is rejected or kept by its score like any other; of all empty
+ones the SimHash stage keeps the first; the stages after it leave it alone, and the mix never takes it. Of equal rows the first in order stays.
 """
 
 from __future__ import annotations
@@ -48,12 +52,16 @@ def drop_leaked_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the words that the mix takes of them; repeated rows share theirs evenly."""
-    found = mixing.mix(docs).groupBy("doc_id", "src", "size").agg(F.first("source_size"), F.first("target"), F.floor(F.avg("taken")).cast("long"))
-    found = found.toDF("_id", "_src", "_size", "source_size", "target", "taken").filter("taken > 0")
-    rows = mixing.with_size(docs)
-    on = rows["doc_id"].eqNullSafe(found["_id"]) & (rows["src"] == found["_src"]) & (rows["size"] == found["_size"])
-    return rows.join(found, on).select(*docs.columns, "size", "source_size", "target", "taken")
+    """Documents with size, source_size, target and taken, the words that the mix takes of each; they replace columns of those names.
+
+    Rows are told apart by their own number, so ids may repeat or be null.
+    """
+    rows = with_order(docs, "doc_id", "text", docs.columns)
+    source = F.col(f"other.c{docs.columns.index('source')}").alias("source")
+    found = mixing.mix(rows.select("rid", "text", source), "rid").filter("taken > 0").drop("src")
+    added = ["size", "source_size", "target", "taken"]
+    kept = [F.col(f"other.c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in added]
+    return rows.join(found, "rid").select(*kept, *added)
 
 
 STAGES = [
