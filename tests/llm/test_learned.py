@@ -1,6 +1,7 @@
 """Trained operators: accuracy on rows that they did not learn from, and planted leaks."""
 
 import random
+import time
 from zlib import crc32
 
 import numpy as np
@@ -78,6 +79,41 @@ def test_pages_not_trained_on():
     assert 2 * hit / (2 * hit + miss + extra) > 0.95
 
 
+PROSE = "The harbour was quiet that morning, and the boats lay still. Nobody had expected the storm to pass so soon. "
+OTHER_LAYOUTS = {
+    "whole page in a form": (f"<form action=/p><div id=top>Home <a href=/>Start</a></div><div class=content><h1>Quiet harbour</h1><p>{PROSE}</p><p>{PROSE}</p></div><input type=hidden name=v></form>", f"Quiet harbour {PROSE.strip()} {PROSE.strip()}"),
+    "article in a form": (f"<article><form><p>{PROSE}</p><p>{PROSE}</p></form></article>", f"{PROSE.strip()} {PROSE.strip()}"),
+    "control in a sentence": (f"<article><p>{PROSE}</p><p>Use the <button>Go</button> key.</p><p>{PROSE}</p></article>", f"{PROSE.strip()} Use the key. {PROSE.strip()}"),
+    "table layout": (f"<table><tr><td><a href=a>One</a> <a href=b>Two</a> <a href=c>Three</a></td><td><p>{PROSE}<p>{PROSE}</td></tr></table>", f"{PROSE.strip()} {PROSE.strip()}"),
+    "line breaks": (f"<body><div>{PROSE}<br><br>{PROSE}</div><div class=footer>&copy; 2020 Some House</div>", f"{PROSE.strip()} {PROSE.strip()}"),
+    "search form": (f"<form class=search><label>Find</label><input name=q><button>Go</button></form><main><p>{PROSE}</p><p>{PROSE}</p></main>", f"{PROSE.strip()} {PROSE.strip()}"),
+    "quotation marks": (f"<main><p title=it's>{PROSE}</p><p data-x='a>b'>{PROSE}</p><p>1 < 2 &amp; 3 &gt; 2, as everybody knows by now.</p></main>", f"{PROSE.strip()} {PROSE.strip()} 1 < 2 & 3 > 2, as everybody knows by now."),
+}
+
+
+@pytest.mark.parametrize("name", OTHER_LAYOUTS)
+def test_layouts_that_the_samples_do_not_have(name):
+    page, want = OTHER_LAYOUTS[name]
+    assert html.trained_model().extract(f"<html><body>{page}</body></html>") == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 50_000, "<p>" * 50_000 + "</div>" * 50_000, "<a b=\"" * 100_000, "<b><div>" * 20_000 + "</b>" * 20_000, "<li>" * 50_000, "<!" * 100_000, "<form>" * 20_000 + "x"])
+def test_time_grows_with_the_page(page):
+    model, began = html.trained_model(), time.perf_counter()
+    model.extract(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_query_takes_what_the_model_takes(spark):
+    """Every page's text is the join of the runs whose exact marginal, by the enumeration-tested messages, is at least a half."""
+    model = html.trained_model()
+    for r in html.op2_pages(spark, "/root/testdata/sf0.001").collect():
+        page = next(x["html"] for x in read(spark, "/root/testdata/sf0.001", "pages").filter(f"page_id = {r['page_id']}").collect()) if r["page_id"] % 20 == 0 else None
+        if page is not None:
+            nodes = html.tree(page)
+            assert r["text"] == " ".join(x.text for x, p in zip(nodes, model.marginals(nodes)) if x.text is not None and p >= 0.5) and r["n_chars"] == len(r["text"])
+
+
 @pytest.fixture(scope="module")
 def items(spark):
     return [(r[0], r[1]) for r in read(spark, SF, "benchmark").select("item_id", "text").collect()]

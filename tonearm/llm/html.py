@@ -6,9 +6,11 @@ it with its parent. Messages pass up from the leaves and down from the root (sum
 run's exact marginal; the runs likelier content than not are the main text. Both potentials are
 trained on labelled pages, which :mod:`tonearm.llm.page_samples` makes.
 
-Scripts, styles, templates, the head, forms and other elements that never show prose are left out when the tree is built, as are comments.
+Scripts, styles, templates, the head, controls and other elements that never show prose are left out when the tree is built, as are comments.
+A form is a block like any other, and the model judges it: some pages stand in a form as a whole. Controls don't cut the block they stand in.
+Reading takes time in proportion to the page: tags are found in one pass forward, and open tags are kept by name.
 
-Defined results: null, empty and text-less pages give an empty text; markup that never ends, stray and
+Defined results: null, empty and text-less pages give an empty text; a tag or comment that never ends takes the rest of the page; stray and
 misnested tags are read as browsers recover from them, roughly; long pages are read whole; repeated rows give the
 same text; an empty table gives no rows. Only the named columns are read.
 """
@@ -27,15 +29,17 @@ from pyspark.sql import functions as F
 
 from tonearm.llm.common import read
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("area base br col embed hr img link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
-SKIPPED = frozenset("head script style noscript template form select option button input textarea svg math canvas iframe object audio video dialog".split())
-BLOCK = frozenset("html body address article aside blockquote center dd details div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption legend".split())
+CONTROLS = frozenset("select button input textarea".split())
+SKIPPED = frozenset("head script style noscript template select option button input textarea svg math canvas iframe object audio video dialog".split())
+BLOCK = frozenset("html body address article aside blockquote center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption legend".split())
 #: What an opening tag closes when it is open nearer than the tags after it.
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 #: Groups of words in class, id, role and label attributes that speak for or against content.
@@ -56,11 +60,11 @@ _HINT_OF = {w: k for k, words in HINTS.items() for w in words.split()}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "hints", "text", "linked", "kids", "skip")
+    __slots__ = ("tag", "parent", "hints", "text", "linked", "kids", "controls", "size")
 
-    def __init__(self, tag, parent, hints=frozenset(), skip=False):
-        self.tag, self.parent, self.hints, self.skip = tag, parent, hints, skip
-        self.text, self.linked, self.kids = None, 0, 0
+    def __init__(self, tag, parent, hints=frozenset()):
+        self.tag, self.parent, self.hints = tag, parent, hints
+        self.text, self.linked, self.kids, self.controls, self.size = None, 0, 0, 0, 0
 
 
 def hints_of(attrs: str) -> frozenset:
@@ -75,11 +79,31 @@ def hints_of(attrs: str) -> frozenset:
     return frozenset(found)
 
 
+def tag_end(html: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag that is open at ``at`` ends, or -1; ``last`` has the last place of each quotation mark.
+
+    A mark counts only as the start of a value, and only if it has a partner.
+    """
+    while m := _STOP.search(html, at):
+        if m[0] == ">":
+            return m.start()
+        before = m.start() - 1
+        while before > 0 and html[before].isspace():
+            before -= 1
+        if html[before] == "=" and m.start() < last[m[0]]:
+            at = html.find(m[0], m.end()) + 1
+        else:
+            at = m.end()
+    return -1
+
+
 def tree(html: str) -> list[Node]:
     """The page's blocks and text runs, parents before children; runs hold text in page order."""
     root = Node("#root", -1)
     nodes = [root]
     stack = [("#root", 0)]  # open tags and the node each stands for; inline ones stand for their block's
+    where: dict[str, list[int]] = {}  # where in the stack each tag is open
+    blocks = [0]
     pieces, linked, links, skip = [], 0, 0, 0
 
     def flush():
@@ -92,11 +116,27 @@ def tree(html: str) -> list[Node]:
             nodes.append(run)
         pieces, linked = [], 0
 
-    def leave():
+    def enter(tag, owner):
+        nonlocal links, skip
+        where.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            blocks.append(len(stack))
+        stack.append((tag, owner))
+        links += tag == "a"
+        skip += tag in SKIPPED
+
+    def close(to):
         nonlocal links, skip
-        tag, _ = stack.pop()
-        links -= tag == "a"
-        skip -= tag in SKIPPED
+        while len(stack) > to:
+            tag, _ = stack.pop()
+            where[tag].pop()
+            if tag in BLOCK:
+                blocks.pop()
+            links -= tag == "a"
+            skip -= tag in SKIPPED
+
+    def open_at(*tags):
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
 
     def say(raw):
         nonlocal linked
@@ -106,85 +146,104 @@ def tree(html: str) -> list[Node]:
             if links:
                 linked += len(text)
 
-    at = 0
-    for m in _TAG.finditer(html):
-        if m.start() < at:
-            continue
-        say(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            if tag == "br":
-                say(" ")
-            elif tag == "p" and not any(t == "p" for t, _ in stack):
-                flush()
-            elif any(t == tag for t, _ in stack):
-                if tag in BLOCK or tag in SKIPPED:
-                    flush()
-                    while stack[-1][0] != tag:
-                        leave()
-                    leave()
-                else:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] in BLOCK:
-                            break
-                        if stack[i][0] == tag:
-                            while len(stack) > i:
-                                leave()
-                            break
-            continue
+    def opened(tag, attrs):
         if tag in BLOCK:
             flush()
-            if any(t == "p" for t, _ in stack):
-                at_p = max(i for i, (t, _) in enumerate(stack) if t == "p")
-                if not any(t in ("td", "th", "table") for t, _ in stack[at_p:]):
-                    while len(stack) > at_p:
-                        leave()
+            if (p := open_at("p")) and open_at("td", "th", "table") < p:
+                close(p)
         if tag in CLOSES:
             closed, walls = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in walls:
-                    break
-                if stack[i][0] in closed.split():
-                    flush()
-                    while len(stack) > i:
-                        leave()
-                    break
-        if tag == "body":
-            while skip and any(t == "head" for t, _ in stack):
-                leave()
+            own = open_at(*closed.split())
+            if own > open_at(*walls):
+                flush()
+                close(own)
+        if tag == "body" and skip and open_at("head"):
+            close(where["head"][0])
         if tag in VOID:
             if tag != "wbr":
                 say(" ")
-            continue
-        if tag in RAW:
-            end = _RAW_END[tag].search(html, at)
-            at = end.end() if end else len(html)
-            continue
-        if m[3].endswith("/") and tag not in BLOCK:
-            continue
+            return
         owner = stack[-1][1]
+        if tag in CONTROLS:
+            form = open_at("form")
+            if form and 'type="hidden"' not in attrs and "type=hidden" not in attrs:
+                nodes[stack[form][1]].controls += 1
+            if tag == "input":
+                say(" ")
+                return
+        if attrs.endswith("/") and tag not in BLOCK:
+            return
         if tag in BLOCK:
-            node = Node(tag, owner, hints_of(m[3]) if m[3] else frozenset())
             nodes[owner].kids += 1
-            nodes.append(node)
+            nodes.append(Node(tag, owner, hints_of(attrs) if attrs else frozenset()))
             owner = len(nodes) - 1
-        elif m[3] and tag not in SKIPPED and tag != "a":
-            own = hints_of(m[3])
+        elif attrs and tag not in SKIPPED and tag != "a":
+            own = hints_of(attrs)
             if "hide" in own or own and tag in ("span", "ins", "font", "custom"):
                 flush()
                 nodes.append(Node(tag, owner, own))
                 owner = len(nodes) - 1
-        stack.append((tag, owner))
-        links += tag == "a"
-        skip += tag in SKIPPED
+        enter(tag, owner)
+
+    def ended(tag):
+        own = open_at(tag)
+        if tag == "br":
+            say(" ")
+        elif tag == "p" and not own:
+            flush()
+        elif own and (tag in BLOCK or tag in SKIPPED):
+            if tag in BLOCK or tag in ("head", "dialog"):
+                flush()
+            close(own)
+        elif own > blocks[-1]:
+            close(own)
+
+    at, last = 0, {q: html.rfind(q) for q in "\"'"}
+    while at < len(html):
+        start = html.find("<", at)
+        if start < 0:
+            break
+        m = _OPEN.match(html, start)
+        if m:
+            say(html[at:start])
+            end = tag_end(html, m.end(), last)
+            at = end + 1 if end >= 0 else len(html)
+            if end < 0:
+                break
+            tag = m[2].lower()
+            if m[1]:
+                ended(tag)
+            elif tag in RAW:
+                if tag in CONTROLS:
+                    opened("input", "")
+                found = _RAW_END[tag].search(html, at)
+                at = found.end() if found else len(html)
+            else:
+                opened(tag, html[m.end() : end])
+        elif html.startswith(("<!", "<?", "</"), start):
+            say(html[at:start])
+            mark = "-->" if html.startswith("<!--", start) else ">"
+            end = html.find(mark, start + 2)
+            at = end + len(mark) if end >= 0 else len(html)
+        else:
+            say(html[at : start + 1])
+            at = start + 1
     say(html[at:])
     flush()
+    measured(nodes)
     return nodes
 
 
+def measured(nodes: list[Node]) -> None:
+    """Sets how much text stands in each form."""
+    if any(x.tag == "form" for x in nodes):
+        for x in reversed(nodes):
+            size = len(x.text) if x.text is not None else x.size
+            x.size = size
+            if x.parent >= 0:
+                nodes[x.parent].size += size
+
+
 def features_of(node: Node, nodes: list[Node]) -> list[str]:
     """What the unary potential sees of a node."""
     out = [f"tag={node.tag}"] + [f"hint={h}" for h in node.hints]
@@ -198,6 +257,8 @@ def features_of(node: Node, nodes: list[Node]) -> list[str]:
             out.append("ends")
         if share > 0.8 and n < 60:
             out.append("label")
+    elif node.tag == "form":
+        out.append(f"form={'text' if node.size >= 200 * node.controls else 'some' if node.size >= 60 * node.controls else 'controls'}")
     elif node.tag in ("ul", "ol", "div", "section"):
         out.append(f"kids={min(4, node.kids)}")
     return out

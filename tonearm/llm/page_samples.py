@@ -70,10 +70,19 @@ def aside_parts(r: random.Random) -> list[str]:
         f"<ul>{''.join(f'<li><a href=#>{words(r, 1, 4)}</a></li>' for _ in range(r.randint(3, 9)))}</ul>",
         f'<div role="{r.choice(("navigation", "banner", "contentinfo", "complementary", "search", "alert"))}">{some(r)}</div>',
         f"<div hidden>{prose(r)}</div>",
+        form(r),
+        f"<div{attrs(r, 'top bar links', 0.5)}>{r.choice(('', words(r, 1, 1) + ' '))}{' '.join(f'<a href=/{i}>{words(r, 1, 2)}</a>' for i in range(r.randint(1, 5)))}</div>",
         f'<p class="{r.choice(("notice", "copyright", "disclaimer", "advert", "share"))}">{sentence(r)}</p>',
     ]
 
 
+def form(r: random.Random) -> str:
+    """A form with fields, labels and at times a word of explanation."""
+    field = lambda: r.choice((f"<label>{words(r, 1, 2).capitalize()}</label><input name=x>", f"<p>{words(r, 1, 3)} <input type=text></p>", f"<select><option>{words(r, 1, 1)}</select>", f"<label>{words(r, 1, 2)} <textarea></textarea></label>"))
+    lead = r.choice(("", "", f"<h3>{words(r, 1, 4)}</h3>", f"<p>{sentence(r)}</p>", sentence(r)))
+    return f"<form{attrs(r, 'search contact newsletter login form', 0.5)}>{lead}{''.join(field() for _ in range(r.randint(1, 4)))}{r.choice(('<button>Go</button>', '<input type=submit>', ''))}{r.choice(('', '', sentence(r)))}</form>"
+
+
 def content_parts(r: random.Random) -> list[str]:
     """Paragraphs and other blocks of an article; their text carries the mark."""
     m = lambda text: MARK + text
@@ -84,6 +93,7 @@ def content_parts(r: random.Random) -> list[str]:
         f"<p>{m(prose(r, 1, 2))}</p>",
         f"<p>{m(linked)}</p>",
         f"<p>{m(words(r, 1, 3))}</p>",
+        f"<p>{m(sentence(r))} <button>{words(r, 1, 1)}</button> {sentence(r)}</p>",
         f"<p><b>{m(sentence(r))}<br>",
         f"<{(h := r.choice(('h1', 'h2', 'h3', 'h4')))}>{m(words(r, 1, 9))}</{h}>",
         f"<blockquote>{r.choice((m(prose(r, 1, 2)), f'<p>{m(prose(r, 1, 2))}</p>'))}</blockquote>",
@@ -111,7 +121,16 @@ def page(r: random.Random) -> str:
     core = wrap % inner
     if r.random() < 0.3:
         core = f"<div class='{r.choice(('wrapper', 'container', 'row', 'page', 'layout'))}'>{core}{r.choice(('', r.choice(parts)))}</div>"
+    if r.random() < 0.1:
+        # A table as layout: links in one cell, the article in another.
+        cells = [f"<td>{' '.join(f'<a href=/{i}>{words(r, 1, 2)}</a>' for i in range(r.randint(2, 8)))}</td>", f"<td>{core}</td>", f"<td>{r.choice(parts)}</td>"]
+        core = f"<table><tr>{''.join(cells[: r.randint(2, 3)])}</tr></table>"
     end = r.choice(("</body></html>", ""))
+    whole = r.random()
+    if whole < 0.08:
+        core = f"<form method=post><input type=hidden name=s value=1>{core}</form>"
+    elif whole < 0.16:
+        before, after = f"<form id=f1 method=post><input type=hidden name=s value=1>{before}", f"{after}</form>"
     return f"<!DOCTYPE html><html><head><title>{words(r, 1, 6)}</title><style>p{{}}</style></head><body>{before}{core}{after}{end}"
 
 
