@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import struct
 from collections import Counter, defaultdict
 from itertools import combinations
 from zlib import crc32
@@ -47,6 +48,68 @@ def test_fingerprints(spark, docs):
     assert near[:, 0].mean() > near[:, 1].mean() + 0.1
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of strings and longs, as a signed long."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed)
+    return seed - 2**64 if seed >> 63 else seed
+
+
+def brute_fingerprints(docs):
+    """(fingerprint, edited, near_edited, near_next) of each document, from the definitions."""
+    fp = fingerprints
+    terms = lambda t: {spark_hash(x) & -4 for x in re.split(r"[\s!-/:-@\[-`{-~]+", t.lower(), flags=re.ASCII) if x}
+    df = Counter(h for _, t in docs for h in terms(t))
+    low = max(2, round(fp.BAND[0] * len(docs)))
+    high = max(low, round(fp.BAND[1] * len(docs)))
+    code = lambda h: (spark_hash(h, fp.SEED) % fp.SUBSETS) << 56 | (h % 2**64) >> 8
+
+    def prints(codes):
+        out = {}
+        for c in sorted(codes):
+            out[c >> 56] = spark_hash(out[c >> 56], c) if c >> 56 in out else spark_hash(c)
+        return {k << 56 | (h % 2**64) >> 8 for k, h in out.items()}
+
+    def one(text):
+        every = [code(h) for h in terms(text)]
+        band = [code(h) for h in terms(text) if low <= df[h] <= high]
+        few = len(band) < max(fp.FEW, len(every) * fp.LEAST_SHARE)
+        used = sorted(every if few else band)
+        whole = f"{spark_hash(*used) % 2**64:016x}" if used else f"t{spark_hash(text) % 2**64:016x}"
+        return text, few, prints(band), prints(every), whole + "." + "".join(f"{x:016x}"[:6] for x in sorted(prints(used)))
+
+    def near(a, b):
+        p, q = (a[3], b[3]) if a[1] or b[1] else (a[2], b[2])
+        filled = len({x >> 56 for x in p | q})
+        return len(p & q) / filled if filled else float(a[0] == b[0])
+
+    down, out = docs[::-1], {}
+    for (i, text), (_, after) in zip(down, down[1:] + down[:1]):
+        half = len(text) // 2
+        a, b, c = one(text), one(text[: len(text) - half] + after[:half]), one(after)
+        out[i] = (a[4], b[4], near(a, b), near(a, c))
+    return out
+
+
+def test_fingerprints_match_their_definition(spark, docs):
+    got = by_id(fingerprints.op3_fingerprints(spark, SF).collect(), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    want = brute_fingerprints(docs)
+    assert {i: (a, b, round(x, 9), round(y, 9)) for i, (a, b, x, y) in got.items()} == {i: (a, b, round(x, 9), round(y, 9)) for i, (a, b, x, y) in want.items()}
+
+
+def test_fingerprints_of_uneven_ids(spark, docs, monkeypatch):
+    """One id far from the others doesn't put those in one range, and changes nothing else."""
+    monkeypatch.setattr(fingerprints, "DOCS_PER_RANGE", 8)
+    far = [(i if i < len(docs) - 1 else 10**15, t) for i, (_, t) in enumerate(docs)]
+    rows = spark.createDataFrame(far, "doc_id long, text string")
+    ranges = fingerprints.in_order(rows, "doc_id", "text").groupBy("part").count().collect()
+    assert max(r["count"] for r in ranges) <= 32
+    got = by_id(fingerprints.fingerprint_edits(rows).collect(), "fingerprint", "near_next")
+    want = brute_fingerprints(far)
+    assert {i: (a, round(x, 9)) for i, (a, x) in got.items()} == {i: (a, round(x, 9)) for i, (a, _, _, x) in want.items()}
+
+
 def test_fingerprints_of_large_groups_and_short_texts(spark):
     own = [" ".join(f"w{(i * 31 + k * 7) % 4000}" for k in range(120)) for i in range(400)]
     common = " ".join(f"c{k}" for k in range(120))

@@ -68,14 +68,21 @@ def lexicon(docs: DataFrame, text_col: str = "text", band=BAND, subsets: int = S
     return stored(kept.union(docs.sparkSession.range(1).select(F.lit(_ALWAYS).cast("long"), F.lit(-1).cast("long"))), "lexicon")
 
 
-def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Each document with the next one in descending order: id, rid, part, text, next_id, next_text, last."""
-    rows = with_order(docs, id_col, text_col).drop("other")
+def in_ranges(rows: DataFrame) -> DataFrame:
+    """id, rid, part and text: ``part`` cuts the numbers ``rid`` into ranges of equal width."""
     n, low, high = rows.agg(F.count("*"), F.min("rid"), F.max("rid")).first()
     ranges = min(MOST_RANGES, max(1, -(-n // DOCS_PER_RANGE)))
     width = float((high or 0) - (low or 0)) + 1.0
     part = F.least(F.floor((F.col("rid").cast("double") - float(low or 0)) / width * ranges), F.lit(ranges - 1)).cast("long")
-    rows = rows.select("id", "rid", part.alias("part"), "text")
+    return rows.select("id", "rid", part.alias("part"), "text")
+
+
+def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Each document with the next one in descending order: id, rid, part, text, next_id, next_text, last."""
+    rows = in_ranges(with_order(docs, id_col, text_col))
+    if (rows.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > 4 * max(DOCS_PER_RANGE, rows.count() // MOST_RANGES):
+        # Ids that lie far apart here and close there are numbered one by one first.
+        rows = in_ranges(with_order(docs, id_col, text_col, dense=True))
     down = Window.partitionBy("part").orderBy(F.desc("rid"))
     ranked = rows.withColumns({"place": F.row_number().over(down), "next_id": F.lead("id").over(down), "next_text": F.lead("text").over(down), "last": F.lead("rid").over(down).isNull()})
     tops = rows.groupBy("part").agg(F.max("rid").alias("top"))
