@@ -351,7 +351,7 @@ def gathered(rows, size, most: int = CHUNK):
 
 
 def repeated_spans(docs: DataFrame, dealt: DataFrame, length: int = LENGTH, q: int = Q, hot: int = HOT) -> DataFrame:
-    """``rid`` and ``span``: runs of bytes (start and end packed in a long) covered by strings that start earlier.
+    """``rid`` and ``spans``: runs of bytes (start and end packed in a long) covered by strings that start earlier.
 
     ``docs`` has ``rid`` and ``text``; ``dealt`` is the same dealt out by ``rid``.
     """
@@ -382,13 +382,20 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, length: int = LENGTH, q: i
         for some in gathered((b for b in buckets if len(b) > 1), lambda b: len(b) * 2 * length):
             yield repeats_of([row for one in some for row in one], length)
 
-    found = stored(docs.mapInPandas(anchors, "bucket long, rid long, place long, n long"), "anchors")
-    leads = found.filter("n > 0")
-    crowded = leads.groupBy("bucket").agg(F.sum("n").alias("_n")).filter("_n > 1").select("bucket")
-    wanted = leads.join(crowded, "bucket").select("rid", "place").union(found.filter("n = 0").select("rid", "place"))
-    wanted = wanted.groupBy("rid").agg(F.collect_list("place").alias("places"))
+    def crowded_places():
+        """The places of stretches whose bucket holds others, by ``rid``."""
+        found = stored(docs.mapInPandas(anchors, "bucket long, rid long, place long, n long"), "anchors")
+        leads = found.filter("n > 0")
+        crowded = leads.groupBy("bucket").agg(F.sum("n").alias("_n")).filter("_n > 1").select("bucket")
+        both = leads.join(crowded, "bucket").select("rid", "place").union(found.filter("n = 0").select("rid", "place"))
+        out = stored(both.groupBy("rid").agg(F.collect_list("place").alias("places")), "wanted")
+        discard(found)
+        return out
+
+    wanted = crowded_places()
     rows = stored(dealt.join(wanted.hint("shuffle_hash"), "rid").select("rid", "text", "places").mapInPandas(pieces, PIECES), "pieces")
-    discard(found)
+    discard(wanted)
+    made = [rows]
     spans = [rows.filter("span is not null").select("rid", "span")]
     for width in (CELL, 1, None):
         here = rows.filter("span is null").drop("span")
@@ -406,8 +413,12 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, length: int = LENGTH, q: i
                 yield finer(some, length, q, width)
 
         rows = stored(here.join(crowds, "bucket", "left_semi").mapInPandas(cells, PIECES), "pieces")
+        made.append(rows)
         spans.append(rows.filter("span is not null").select("rid", "span"))
-    return reduce(DataFrame.union, spans)
+    out = stored(reduce(DataFrame.union, spans).groupBy("rid").agg(F.collect_set("span").alias("spans")), "spans")
+    for table in made:
+        discard(table)
+    return out
 
 
 def cut(data: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, list]:
@@ -430,7 +441,6 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "rid")
     found = repeated_spans(rows.select("rid", "text"), dealt, length, q, hot)
-    found = found.groupBy("rid").agg(F.collect_set("span").alias("spans"))
 
     def apply(batches):
         for pdf in batches:
