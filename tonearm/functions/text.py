@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words and characters that clean-up rules look for.
-EDITION_WORDS = ("deluxe", "remaster", "remastered", "bonus track", "expanded", "anniversary", "special", "limited", "collector's", "super deluxe", r"\d+(?:st|nd|rd|th) anniversary")
-NOISE_PHRASES = ("free download", "single", "original mix")
+EDITION = r"(?i)\s*[\(\[](deluxe|remaster(?:ed)?|bonus\s+track(?:\s+version)?|expanded|anniversary|special|limited|collector'?s?|super\s+deluxe|\d+(?:st|nd|rd|th)\s+anniversary)(?:\s+edition)?[\)\]]"
+NOISE = r"(?iU)\b(free\s+download|single|original\s+mix)\b"
+VOLUME = r"(?i)(?:vol(?:ume)?|part|pt)\.?\s*(\d+|[IVXLC]+)"
 ROMAN = {"I": 1, "II": 2, "III": 3, "IV": 4, "V": 5, "VI": 6, "VII": 7, "VIII": 8, "IX": 9, "X": 10, "XI": 11, "XII": 12}
 TIERS = ((95, "exact"), (80, "high"), (60, "low"))
 UNSAFE_IN_PATHS = '<>:"|?*\x00'
@@ -23,23 +24,23 @@ def strip_punctuation(c: Column) -> Column:
 
 def strip_edition(c: Column) -> Column:
     """Without a bracketed remark about the edition."""
-    return F.regexp_replace(c, rf"(?i)\s*[\(\[](?:{'|'.join(EDITION_WORDS)})(?:\s+edition)?[\)\]]", "")
+    return F.regexp_replace(c, EDITION, "")
 
 
 def normalize_for_matching(c: Column) -> Column:
     """Clean-up before names are compared; catalogue numbers in square brackets go before edition remarks do."""
     c = F.regexp_replace(c, "[​‌‍﻿]", "")
-    c = F.regexp_replace(c, "[«»“”„‘’]", "")
-    c = F.regexp_replace(c, r"\[[A-Za-z0-9\s_-]+\]", "")
-    c = F.regexp_replace(c, rf"(?i)\b(?:{'|'.join(NOISE_PHRASES)})\b", "")
-    c = F.regexp_replace(c, "[-–—_:]", " ")
+    c = F.regexp_replace(c, "[«»“”„]", "")
+    c = F.regexp_replace(c, r"(?U)\[\w+\]", "")
+    c = F.regexp_replace(c, NOISE, "")
+    c = F.regexp_replace(c, r"[\u2010-\u2015\-_:]", " ")
     c = strip_punctuation(normalize(strip_edition(c)))
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def volume(c: Column) -> Column:
     """The first volume or part number, arabic or roman up to twelve."""
-    token = F.regexp_extract(c, r"(?i)\b(?:volume|vol|part|pt)\.?\s*(\d+|[ivxlcdm]+)\b", 1)
+    token = F.regexp_extract(c, VOLUME, 1)
     roman = F.create_map(*[F.lit(x) for kv in ROMAN.items() for x in kv])
     return F.coalesce(token.try_cast("int"), F.try_element_at(roman, F.upper(token)))
 
@@ -85,8 +86,11 @@ def clip(c: Column, width: int) -> Column:
 
 
 def path_segment(c: Column) -> Column:
+    """Safe as a file's name: at most 255 bytes of UTF-8, cut between characters."""
     c = F.translate(c, UNSAFE_IN_PATHS, "-" * len(UNSAFE_IN_PATHS))
     c = F.regexp_replace(F.trim(c), r"^\.+|\.+$", "")
+    head = F.make_valid_utf8(F.substring(F.encode(c, "UTF-8"), 1, 255).cast("string"))
+    c = F.when(F.octet_length(c) > 255, F.regexp_replace(head, "\ufffd+$", "")).otherwise(c)
     return F.when(c == "", "Unknown").otherwise(c)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonearm.functions.media import below
+
 
 def joined_names(child: DataFrame, key: str, value: str, name: str, sep: str = ", ") -> DataFrame:
     """A child table as one sorted text of distinct values per key, combined before the shuffle."""
@@ -47,3 +49,48 @@ def batches(df: DataFrame, order: str, key: str, size: int) -> DataFrame:
     """``batch`` numbers rows of each ``key`` by runs of ``size``."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(order))
     return df.withColumn("batch", F.floor((n - 1) / size).cast("long"))
+
+
+def find_tracks(tracks: DataFrame, contains: dict[str, str] | None = None, bpm_range: tuple[float, float] | None = None, key: str | None = None, limit: int | None = None) -> DataFrame:
+    """Tracks that are not deleted (a null flag counts as unknown and drops the row), whose named columns contain the given texts.
+
+    Texts are compared without regard to case, with ``%`` and ``_`` live. A limit takes the least ids; 0 is no limit.
+    """
+    out = tracks.filter("deleted <> 1")
+    for name, text in (contains or {}).items():
+        out = out.filter(F.col(name).ilike(f"%{text}%"))
+    if bpm_range:
+        out = out.filter(F.col("bpm").between(*bpm_range))
+    if key:
+        out = out.filter(F.col("key") == key)
+    return out.orderBy("id").limit(limit) if limit else out
+
+
+def visible_playlists(playlists: DataFrame) -> DataFrame:
+    """Playlists that are not hidden, by position."""
+    return playlists.filter("hidden <> 1").orderBy("position", "id")
+
+
+def visible_crates(crates: DataFrame) -> DataFrame:
+    """Crates that are shown, by name."""
+    return crates.filter("show = 1").orderBy("name")
+
+
+def members(parents: DataFrame, links: DataFrame, tracks: DataFrame, parent_key: str, *order: str) -> DataFrame:
+    """``parent_key``, the link's order columns and the tracks that a playlist or crate holds."""
+    rows = links.select(parent_key, F.col("track_id").alias("id"), *order).join(parents.select(F.col("id").alias(parent_key)), parent_key, "left_semi")
+    return rows.join(tracks, "id")
+
+
+def track_metadata(tracks: DataFrame, locations: DataFrame, crate_tracks: DataFrame, crates: DataFrame, root: str, since_ms: int | None = None) -> DataFrame:
+    """All columns of undeleted tracks with a file under ``root``, with file_path, relative_path and the sorted ``crates``.
+
+    ``since_ms`` keeps tracks synchronised later, or at no known time. Crates are joined once, as a list for each track.
+    """
+    rows = tracks.filter("deleted <> 1")
+    if since_ms is not None:
+        rows = rows.filter((F.col("source_synchronized_ms") > since_ms) | F.col("source_synchronized_ms").isNull())
+    paths = locations.select(F.col("id").alias("location"), F.col("location").alias("file_path")).filter("file_path <> ''")
+    rows = rows.join(paths, "location").withColumn("relative_path", below(F.col("file_path"), root)).filter("relative_path is not null")
+    names = crate_tracks.join(crates.select(F.col("id").alias("crate_id"), "name"), "crate_id").groupBy(F.col("track_id").alias("id")).agg(F.array_sort(F.collect_list("name")).alias("crates"))
+    return rows.join(names, "id", "left").withColumn("crates", F.coalesce("crates", F.array().cast("array<string>")))

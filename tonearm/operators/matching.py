@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions.similarity import partial_ratio_udf, ratio_udf, sorted_tokens, token_sort_ratio
-from tonearm.functions.text import tier
+from tonearm.functions.text import normalize_for_matching, tier
 
 #: Names on the right side that every task may hold; more are met through shared letter pairs, with the same result.
 MOST_NAMES = 20_000
@@ -154,3 +154,23 @@ def known_reason(post: DataFrame, local_urls: DataFrame, comments: DataFrame, fu
     rows = post.join(flag(local_urls, "_url"), url, "left").join(flag(comments, "_comment"), url, "left").join(near, key, "left")
     reason = F.when(F.col("_url"), "url").when(F.col("_comment"), "comment").when(F.col("_near"), "names")
     return rows.withColumn("reason", reason).drop("_url", "_comment", "_near")
+
+
+def duplicate_reasons(posts: DataFrame, local_urls: DataFrame, comments: DataFrame, albums: DataFrame, least: float = 80.0, least_album: float = 50.0) -> DataFrame:
+    """``posts(key, url, artist, album)`` with ``reason``: its URL was downloaded, a comment holds the URL, the names are alike, or null.
+
+    A comment holds a URL by LIKE: without regard to case, with ``%`` and ``_`` of the URL live; distinct URLs meet distinct comments in a
+    nested loop, as the URLs are those of one site's posts. Names are alike if the best of ``albums(artist, album)`` by 0.4 artist and 0.6 album
+    reaches ``least`` and its album ``least_album``. Such an album alone scores ``(least - 40) / 0.6`` or more, so candidates come from
+    :func:`name_pairs` without loss.
+    """
+    urls = posts.select("url").filter("url is not null").distinct()
+    said = comments.select("comment").filter("comment is not null").distinct()
+    found = urls.join(said, F.expr("comment ilike '%' || url || '%'"), "left_semi")
+    clean = lambda c: normalize_for_matching(F.col(c))
+    mine = posts.select("key", clean("artist").alias("_a"), clean("album").alias("_b")).filter("_a is not null and _b is not null")
+    local = albums.filter("artist is not null and album is not null").select(clean("artist").alias("_la"), clean("album").alias("_lb")).distinct()
+    near = name_pairs(mine.select("_b"), local.select("_lb"), max(0.0, (least - 40.0) / 0.6)).toDF("_b", "_lb", "_album")
+    both = mine.join(near, "_b").join(local, "_lb").withColumn("_score", 0.4 * token_sort_ratio(F.col("_a"), F.col("_la")) + 0.6 * F.col("_album"))
+    best = both.groupBy("key").agg(F.max(F.struct("_score", "_album")).alias("m")).select("key", F.col("m._score").alias("score"), F.col("m._album").alias("album_score"))
+    return known_reason(posts, local_urls, found, best.filter((F.col("score") >= least) & (F.col("album_score") >= least_album)), "key", "url")

@@ -10,9 +10,10 @@ from tonearm.functions.media import url_decoded
 # Patterns of credit lines, labels, speeds and numbered lines; categories that are genres.
 CREDITS = r"(?i)(?:written\s+(?:and\s+)?produced\s+by|produced\s+by|master(?:ed|ing)?\s+(?:by|at)|(?:artwork|art|cover\s+art)\s+(?:by|–)|released\s+by|compiled\s+by|mix(?:ed)?\s+by|design\s+by|letters?\s+by|logo\s+by)[:\s]+.+"
 RELEASED_BY = r"(?i)released\s+(?:by|on)[:\s]+(.+)"
-LABEL_ENDING = r"(?i)\s*(?:records?|recordings?|music|audio|label)\s*$"
+LABEL_IN_TITLE = r"(?i)\s*\([^)]*(?:records?|label|audio)\s*[^)]*\)\s*$"
 SPEED = r"(?i)[\[\(]\s*(\d{2,3}(?:\s*[-–]\s*\d{2,3})*)\s*bpms?\s*[\]\)]"
-NUMBERED = r"^(\d{1,3})\s*[.\-–—)]+\s*(.+)$"
+NUMBERED = r"^(\d{1,2})\s*[.\-–—)]+\s*(.+)$"
+IGNORED_IDS = (1, 3, 6, 42)
 GENRE_IDS = (7, 8, 9, 10, 11, 12, 14, 15, 16, 28, 29, 30, 33, 44, 47, 48, 69)
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&amp;": "&"}
 
@@ -30,7 +31,7 @@ def unescaped(c: Column) -> Column:
 
 def parse_title(c: Column) -> Column:
     """(artist, album) of a post's title: cut at the first en dash, em dash or spaced hyphen that has text on both sides."""
-    t = F.trim(F.regexp_replace(unescaped(c), r"(?i)\s*\([^)]*\b(?:records?|recordings?|label|audio|music)\b[^)]*\)\s*$", ""))
+    t = F.trim(F.regexp_replace(unescaped(c), LABEL_IN_TITLE, ""))
     various = t.rlike(r"(?i)^v/?a\b")
     rest = F.trim(F.regexp_replace(t, r"(?i)^v/?a\b\s*[-–—:]?\s*", ""))
     out = F.struct(F.lit("Various Artists").alias("artist"), t.alias("album"))
@@ -69,10 +70,11 @@ def cover_url(html: Column, fallback: Column) -> Column:
 def tracklist(html: Column) -> Column:
     """Numbered lines as (number, title, artist, bpm)."""
     def one(line):
-        rest = F.regexp_extract(line, NUMBERED, 2)
-        bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(rest, SPEED, "")), r"[\s.,;:]+$", ""))
+        rest = F.trim(F.regexp_extract(line, NUMBERED, 2))
+        bare = F.trim(F.regexp_replace(rest, SPEED + ".*$", ""))
         title, artist = F.regexp_extract(bare, r"^(.+?)\s*[-–—]\s+(.+)$", 1), F.regexp_extract(bare, r"^(.+?)\s*[-–—]\s+(.+)$", 2)
-        return F.struct(F.regexp_extract(line, NUMBERED, 1).try_cast("int").alias("number"), F.when(artist != "", F.trim(title)).otherwise(bare).alias("title"), F.nullif(F.trim(artist), F.lit("")).alias("artist"), F.nullif(F.regexp_extract(rest, SPEED, 1), F.lit("")).alias("bpm"))
+        name = F.regexp_replace(F.when(artist != "", title).otherwise(bare), r"[ \-–—.,;:]+$", "")
+        return F.struct(F.regexp_extract(line, NUMBERED, 1).try_cast("int").alias("number"), name.alias("title"), F.nullif(F.trim(artist), F.lit("")).alias("artist"), F.nullif(F.regexp_extract(rest, SPEED, 1), F.lit("")).alias("bpm"))
 
     return F.filter(F.transform(F.filter(text_lines(html), lambda x: x.rlike(NUMBERED)), one), lambda t: t["title"] != "")
 
@@ -82,13 +84,16 @@ def credit_text(html: Column) -> Column:
 
 
 def label_name(html: Column) -> Column:
-    """The name after the first "released by" or "released on", cut at the first other name and without endings such as Records."""
-    found = F.regexp_extract(F.array_join(text_lines(html), "\n"), RELEASED_BY, 1)
-    cut = F.substring_index(F.substring_index(F.substring_index(found, " & ", 1), " and ", 1), ", ", 1)
-    return F.nullif(F.trim(F.regexp_replace(F.trim(cut), LABEL_ENDING, "")), F.lit(""))
+    """The name after the first "released by" or "released on", cut at the first of " & ", " and " and ", " that it holds, in this order."""
+    found = F.regexp_replace(F.trim(F.regexp_extract(F.array_join(text_lines(html), "\n"), RELEASED_BY, 1)), "[.,;:]+$", "")
+    out = found
+    for mark in (", ", " and ", " & "):
+        at = F.instr(F.lower(found), mark)
+        out = F.when(at > 0, F.substring(found, F.lit(1), at - 1)).otherwise(out)
+    return F.nullif(out, F.lit(""))
 
 
-def category_kind(c: Column, ignored: tuple[int, ...] = (), genres: tuple[int, ...] = GENRE_IDS) -> Column:
+def category_kind(c: Column, ignored: tuple[int, ...] = IGNORED_IDS, genres: tuple[int, ...] = GENRE_IDS) -> Column:
     return F.when(c.isin(*ignored) if ignored else F.lit(False), "ignored").when(c.isin(*genres), "genre").otherwise("label")
 
 

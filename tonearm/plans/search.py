@@ -1,5 +1,8 @@
 """Search strings compiled to filters and semi-joins.
 
+Column clauses follow three-valued logic: a null is neither found nor, by the negated clause, left over. Phrases and child clauses
+are true or false of every row.
+
 Groups are parted by ``|`` or `` OR ``; a group's clauses all hold. A clause is a word or quoted phrase, looked up as the
 start of a phrase in the text columns, or ``field:value`` with ``=`` (exact), ``""`` (empty), ``a-b`` (range),
 ``>``, ``>=``, ``<``, ``<=``, or else contains. A leading ``-`` negates. A filter on a child table's field asks for a
@@ -47,6 +50,8 @@ class Catalog:
     text: list[str]
     children: dict[str, tuple[DataFrame, str, str]] = field(default_factory=dict)
     aliases: dict[str, str] = field(default_factory=dict)
+    #: Text columns for fields that aren't known; phrases are looked up in ``text``, which may hold the key too.
+    loose: list[str] | None = None
 
 
 def parse(query: str) -> list[list[Clause]]:
@@ -113,7 +118,7 @@ def condition(df: DataFrame, cat: Catalog, c: Clause) -> Column:
     else:
         name = cat.aliases.get(c.field, c.field)
         if name not in cat.fields:
-            out = reduce(lambda a, b: a | b, [F.coalesce(like(F.col(x), c.value), F.lit(False)) for x in cat.text])
+            out = reduce(lambda a, b: a | b, [like(F.col(x), c.value) for x in cat.loose or cat.text])
         else:
             col, kind = F.col(cat.fields[name]), dict(df.dtypes)[cat.fields[name]]
             if c.op == "exact":

@@ -44,7 +44,7 @@ def variables(template: str) -> set[str]:
 def render(df: DataFrame, template: str) -> Column:
     """The template as a column; missing, null and empty values read ``Unknown``."""
     rest = _PART.sub("", template)
-    if "{{" in rest or "}}" in rest:
+    if any(mark in rest for mark in ("{{", "}}", "{%", "%}", "{#", "#}")):
         raise TemplateError(f"can't read {template!r}")
     out, at = [], 0
     for m in _PART.finditer(template):
@@ -66,12 +66,23 @@ def render(df: DataFrame, template: str) -> Column:
 def link_paths(df: DataFrame, template: str, file_col: str, order_col: str, present_col: str | None = None) -> DataFrame:
     """``target`` and a unique ``link_path`` for each row with a file: rendered, made safe, with the file's extension.
 
-    Paths that collide get ``_1``, ``_2`` and so on, in ``order_col``'s order, before the extension.
+    Paths that collide get ``_1``, ``_2`` and so on, in ``order_col``'s order, before the extension; numbers that would give a path that another row
+    has by itself are passed over.
     """
     rows = df.filter(F.col(file_col).isNotNull() & (F.col(present_col) if present_col else F.lit(True)))
     ext = extension(F.col(file_col))
     made = path(render(df, template))
     rows = rows.select("*", F.when(F.endswith(made, ext), F.substring(made, F.lit(1), F.length(made) - F.length(ext))).otherwise(made).alias("_base"), ext.alias("_ext"))
     n = F.row_number().over(Window.partitionBy("_base", "_ext").orderBy(order_col)) - 1
-    name = F.concat(F.col("_base"), F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), F.col("_ext"))
-    return rows.select(F.col(order_col), F.col(file_col).alias("target"), name.alias("link_path"), (n > 0).alias("is_duplicate"))
+    rows = rows.select("_base", "_ext", n.cast("long").alias("_n"), F.col(order_col).alias("_order"), F.col(file_col).alias("_target"))
+    # Of the numbers s1 < s2 < ... that are taken, si leaves si - i free ones below it; the n-th duplicate passes over those with less than n.
+    number = F.regexp_extract("_base", r"^.*_([1-9]\d{0,17})$", 1).try_cast("long")
+    taken = rows.select(F.regexp_extract("_base", r"^(.*)_[1-9]\d{0,17}$", 1).alias("_base"), "_ext", number.alias("_s")).filter("_s is not null").distinct()
+    free = F.col("_s") - F.row_number().over(Window.partitionBy("_base", "_ext").orderBy("_s"))
+    taken = taken.select("_base", "_ext", free.alias("_n"), F.lit(1).alias("_taken"))
+    so_far = Window.partitionBy("_base", "_ext").orderBy("_n", "_taken").rowsBetween(Window.unboundedPreceding, -1)
+    both = rows.withColumn("_taken", F.lit(0)).unionByName(taken, allowMissingColumns=True)
+    # At equal values duplicates come first, as numbers with n free ones below them don't count.
+    both = both.withColumn("_k", F.col("_n") + F.coalesce(F.sum("_taken").over(so_far), F.lit(0))).filter("_taken = 0")
+    name = F.concat(F.col("_base"), F.when(F.col("_n") > 0, F.concat(F.lit("_"), F.col("_k").cast("string"))).otherwise(""), F.col("_ext"))
+    return both.select(F.col("_order").alias(order_col), F.col("_target").alias("target"), name.alias("link_path"), (F.col("_n") > 0).alias("is_duplicate"))

@@ -488,3 +488,165 @@ def match_known_reasons(spark, d):
 def stream_counts(spark, d):
     """Events per hour and type, counted by a stream that reads the table's files and ends once all are read."""
     return refresh.hourly_counts(spark, f"{d}/events.parquet", "ts", "event_type")
+
+
+# Values that must come out of names, posts and paths.
+
+_REMARK = "CASE p_partkey % 6 WHEN 0 THEN ' (Bonus Track Version)' WHEN 1 THEN ' [LIVE01]' WHEN 2 THEN ' [Live at Home]' WHEN 3 THEN ' (Collectors Edition)' WHEN 4 THEN ' ‐ ‘x’' ELSE ' (Free  Download)' END"
+
+
+@query("names_cleaned", "SELECT p_partkey, p_name || CASE p_partkey % 6 WHEN 2 THEN ' live at home' WHEN 4 THEN ' x' ELSE '' END AS name FROM part")
+def names_cleaned(spark, d):
+    p = table(spark, d, "part").withColumn("raw", F.expr(f"upper(p_name) || {_REMARK}"))
+    return p.select("p_partkey", T.normalize_for_matching(F.col("raw")).alias("name"))
+
+
+@query("name_parts", """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size::INT WHEN 1 THEN 4 END AS volume, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS artist,
+  CASE WHEN p_partkey % 3 = 0 THEN p_name || ' - ' || p_type ELSE p_name || '-' || p_type END AS title FROM part""")
+def name_parts(spark, d):
+    p = table(spark, d, "part")
+    said = F.expr("p_name || CASE p_partkey % 4 WHEN 0 THEN ' Vol. ' || p_size WHEN 1 THEN ' pt iv' WHEN 2 THEN ' Volume C' ELSE '' END")
+    whole = F.expr("CASE WHEN p_partkey % 3 = 0 THEN p_brand || ' – ' || p_name || '  -  ' || p_type ELSE p_name || '-' || p_type END")
+    made = T.embedded_artist(whole)
+    return p.select("p_partkey", T.volume(said).alias("volume"), made["artist"].alias("artist"), made["title"].alias("title"))
+
+
+@query("release_labels", """
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_brand || ' Records' WHEN 1 THEN p_brand || ', ' || p_type WHEN 2 THEN p_brand WHEN 3 THEN p_brand END AS label FROM part""")
+def release_labels(spark, d):
+    said = F.expr("CASE p_partkey % 5 WHEN 0 THEN 'Released by ' || p_brand || ' Records' WHEN 1 THEN 'released on: ' || p_brand || ', ' || p_type || ' &amp; ' || p_name WHEN 2 THEN 'Released by ' || p_brand || ' AND ' || p_name || ', x' WHEN 3 THEN 'Out now. Released by ' || p_brand || '.' ELSE p_name END")
+    return table(spark, d, "part").select("p_partkey", releases.label_name(F.concat(F.lit("<p>first</p><p>"), said, F.lit("</p>"))).alias("label"))
+
+
+@query("release_tracklists", """
+SELECT p_partkey, (p_partkey % 120)::INT AS number, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS artist, CASE WHEN p_partkey % 3 = 0 THEN '174' END AS bpm
+FROM part WHERE p_partkey % 120 < 100""")
+def release_tracklists(spark, d):
+    line = F.expr("(p_partkey % 120) || '. ' || p_name || CASE WHEN p_partkey % 2 = 0 THEN ' – ' || p_type ELSE ' -' END || CASE WHEN p_partkey % 3 = 0 THEN ' [174 bpms] extra' ELSE '' END")
+    rows = table(spark, d, "part").select("p_partkey", F.explode(releases.tracklist(F.concat(F.lit("<p>Tracks:<br>"), line, F.lit("</p>")))).alias("t"))
+    return rows.select("p_partkey", "t.number", "t.title", "t.artist", "t.bpm")
+
+
+@query("category_kinds_default", "SELECT p_partkey, CASE WHEN p_size IN (1, 3, 6, 42) THEN 'ignored' WHEN p_size IN (7, 8, 9, 10, 11, 12, 14, 15, 16, 28, 29, 30, 33, 44, 47, 48, 69) THEN 'genre' ELSE 'label' END AS kind FROM part")
+def category_kinds_default(spark, d):
+    return table(spark, d, "part").select("p_partkey", releases.category_kind(F.col("p_size")).alias("kind"))
+
+
+@query("path_segments_cut", "SELECT p_partkey, left(repeat('é', (p_size * 10)::INT), 127) AS two, left(repeat('ab-', (p_size * 10)::INT), 255) AS one FROM part")
+def path_segments_cut(spark, d):
+    many = lambda c: F.repeat(F.lit(c), F.expr("int(p_size * 10)"))
+    return table(spark, d, "part").select("p_partkey", T.path_segment(many("é")).alias("two"), T.path_segment(many("ab?")).alias("one"))
+
+
+@query("view_names_taken", """
+SELECT p_partkey, 'x.mp3' AS target, 'b' || (p_partkey // 4) || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 3 THEN '_1' ELSE '_' || (p_partkey % 4 + 1) END || '.mp3' AS link_path, p_partkey % 4 IN (1, 2) AS is_duplicate
+FROM part WHERE p_partkey >= 4""")
+def view_names_taken(spark, d):
+    """Three rows of four share a name; the fourth has by itself what the second would get."""
+    p = table(spark, d, "part").filter("p_partkey >= 4").select("p_partkey", F.lit("x.mp3").alias("file"), F.expr("'b' || (p_partkey div 4) || CASE WHEN p_partkey % 4 = 3 THEN '_1' ELSE '' END").alias("base"))
+    return template.link_paths(p, "{{ base }}", "file", "p_partkey")
+
+
+# Searches that meet nulls, with the key among the phrase columns.
+
+_HOLES = "(SELECT p_partkey, 'k' || p_partkey AS k, p_name, CASE WHEN p_size % 5 > 0 THEN p_brand END AS p_brand, CASE WHEN p_size % 3 > 0 THEN p_type END AS p_type, CASE WHEN p_size % 7 > 0 THEN p_size END AS p_size FROM part)"
+
+
+def holed_search(name: str, text: str, where: str) -> None:
+    def run(spark, d):
+        p = table(spark, d, "part").selectExpr("p_partkey", "'k' || p_partkey AS k", "p_name", "CASE WHEN p_size % 5 > 0 THEN p_brand END AS p_brand", "CASE WHEN p_size % 3 > 0 THEN p_type END AS p_type", "CASE WHEN p_size % 7 > 0 THEN p_size END AS p_size")
+        few = table(spark, d, "lineitem").filter("l_quantity > 47").select("l_partkey", "l_returnflag")
+        cat = Catalog("p_partkey", {"name": "p_name", "brand": "p_brand", "type": "p_type", "size": "p_size"}, ["k", "p_name", "p_brand", "p_type"], {"flag": (few, "l_partkey", "l_returnflag")}, loose=["p_name", "p_brand", "p_type"])
+        return search(p, cat, text)
+
+    query(name, f"SELECT * FROM {_HOLES} WHERE {where}")(run)
+
+
+_LOOSE = "(p_name ILIKE '%{v}%' OR p_brand ILIKE '%{v}%' OR p_type ILIKE '%{v}%')"
+_FEW = "p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 47 AND {})"
+holed_search("search_null_negated", '-brand:="brand#13" -type:promo', "lower(p_brand) <> 'brand#13' AND p_type NOT ILIKE '%promo%'")
+holed_search("search_null_compare", "-size:>20 | size:\"\"", "NOT p_size > 20 OR p_size IS NULL")
+holed_search("search_null_empty", 'brand:"" -type:""', "p_brand IS NULL AND p_type IS NOT NULL")
+holed_search("search_unknown_negated", "-colour:widget", f"NOT {_LOOSE.format(v='widget')}")
+holed_search("search_unknown_skips_key", "colour:k1", _LOOSE.format(v="k1"))
+holed_search("search_phrase_key", "k1 -widget", "k LIKE 'k1%' AND NOT (' ' || p_name || ' ' LIKE '% widget%')")
+holed_search("search_membership_few", "-flag:r size:<30", f"NOT {_FEW.format(chr(39) + 'r' + chr(39) + ' = lower(l_returnflag)')} AND p_size < 30")
+
+
+# The library's read side: customers as tracks, their nations as crates.
+
+_TRACKS = "(SELECT c_custkey AS id, c_name AS title, c_mktsegment AS genre, c_acctbal AS bpm, CASE c_custkey % 7 WHEN 0 THEN 1 WHEN 1 THEN NULL ELSE 0 END AS deleted, c_custkey AS location, CASE WHEN c_custkey % 4 > 0 THEN c_custkey * 1000 END AS source_synchronized_ms FROM customer)"
+_LOCATIONS = "(SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN '/other/' || c_name WHEN 1 THEN '' ELSE '/music/' || c_name END AS location FROM customer)"
+
+
+def library_of(spark, d):
+    c = table(spark, d, "customer")
+    tracks = c.selectExpr("c_custkey AS id", "c_name AS title", "c_mktsegment AS genre", "c_acctbal AS bpm", "CASE c_custkey % 7 WHEN 0 THEN 1 WHEN 1 THEN NULL ELSE 0 END AS deleted", "c_custkey AS location", "CASE WHEN c_custkey % 4 > 0 THEN c_custkey * 1000 END AS source_synchronized_ms")
+    locations = c.selectExpr("c_custkey AS id", "CASE c_custkey % 5 WHEN 0 THEN '/other/' || c_name WHEN 1 THEN '' ELSE '/music/' || c_name END AS location")
+    links = c.filter("c_custkey % 3 > 0").selectExpr("c_custkey AS track_id", "c_nationkey AS crate_id").union(c.selectExpr("c_custkey", "(c_nationkey + 1) % 25").filter("c_custkey % 3 = 1"))
+    return tracks, locations, links, table(spark, d, "nation").selectExpr("n_nationkey AS id", "n_name AS name", "CASE WHEN n_regionkey > 1 THEN 1 ELSE 0 END AS show", "CASE n_regionkey WHEN 0 THEN 1 WHEN 1 THEN NULL ELSE 0 END AS hidden", "25 - n_nationkey AS position")
+
+
+@query("library_find_tracks", f"SELECT id, title FROM {_TRACKS} WHERE deleted <> 1 AND genre ILIKE '%build%' AND title ILIKE '%1%' AND bpm BETWEEN 0 AND 5000")
+def library_find_tracks(spark, d):
+    return library.find_tracks(library_of(spark, d)[0], {"genre": "Build", "title": "1"}, (0, 5000), limit=0).select("id", "title")
+
+
+@query("library_find_limited", f"SELECT id FROM {_TRACKS} WHERE deleted <> 1 ORDER BY id LIMIT 25")
+def library_find_limited(spark, d):
+    return library.find_tracks(library_of(spark, d)[0], limit=25).select("id")
+
+
+@query("library_visible_lists", "SELECT 'crate' AS kind, n_name AS name FROM nation WHERE n_regionkey > 1 UNION ALL SELECT 'playlist', n_name FROM nation WHERE n_regionkey > 1")
+def library_visible_lists(spark, d):
+    n = library_of(spark, d)[3]
+    return library.visible_crates(n).select(F.lit("crate").alias("kind"), "name").union(library.visible_playlists(n).select(F.lit("playlist"), "name"))
+
+
+@query("library_crate_members", f"""
+SELECT n_nationkey AS crate_id, t.id, t.title FROM nation JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 3 > 0 JOIN {_TRACKS} t ON t.id = c_custkey WHERE n_regionkey > 1
+UNION ALL SELECT n_nationkey, t.id, t.title FROM nation JOIN customer ON (c_nationkey + 1) % 25 = n_nationkey AND c_custkey % 3 = 1 JOIN {_TRACKS} t ON t.id = c_custkey WHERE n_regionkey > 1""")
+def library_crate_members(spark, d):
+    tracks, _, links, crates = library_of(spark, d)
+    return library.members(library.visible_crates(crates), links, tracks.select("id", "title"), "crate_id").select("crate_id", "id", "title")
+
+
+_META = f"""
+SELECT t.id, t.title, l.location AS file_path, substr(l.location, 8) AS relative_path,
+  array_to_string(list_sort(CASE t.id % 3 WHEN 0 THEN [] WHEN 1 THEN [a.n_name, b.n_name] ELSE [a.n_name] END), '|') AS crates
+FROM {_TRACKS} t JOIN {_LOCATIONS} l ON l.id = t.location JOIN customer c ON c.c_custkey = t.id JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = (c_nationkey + 1) % 25
+WHERE t.deleted <> 1 AND l.location LIKE '/music/%'"""
+
+
+def metadata(spark, d, since=None):
+    out = library.track_metadata(*library_of(spark, d), "/music", since)
+    return out.select("id", "title", "file_path", "relative_path", F.array_join("crates", "|").alias("crates"))
+
+
+@query("library_metadata", _META)
+def library_metadata(spark, d):
+    return metadata(spark, d)
+
+
+@query("library_changed", _META + " AND (t.source_synchronized_ms > 500000 OR t.source_synchronized_ms IS NULL)")
+def library_changed(spark, d):
+    return metadata(spark, d, 500000)
+
+
+@query("library_missing_some", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
+def library_missing_some(spark, d):
+    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey").join(urgent, "c_custkey", "left_anti")
+
+
+@query("match_duplicates", _LCS.format(col="p_name", tab="part", least=66.66) + """
+SELECT p_partkey AS key, CASE WHEN p_partkey % 10 = 0 THEN 'url' WHEN p_partkey % 10 = 1 THEN 'comment'
+  WHEN p_name IN (SELECT a FROM scored WHERE b IN (SELECT p_name FROM part WHERE p_size < 3) AND 40 + 0.6 * score >= 80) THEN 'names' END AS reason FROM part""")
+def match_duplicates(spark, d):
+    p = table(spark, d, "part")
+    posts = p.select(F.col("p_partkey").alias("key"), F.expr("'https://x.example/p_' || p_partkey || '/'").alias("url"), F.lit("Some Artist").alias("artist"), F.initcap("p_name").alias("album"))
+    urls = posts.filter("key % 10 = 0").select("url")
+    comments = p.filter("p_partkey % 10 = 1").select(F.expr("'from HTTPS://X.example/p-' || p_partkey || '/ with thanks'").alias("comment"))
+    albums = p.filter("p_size < 3").select(F.lit("some artist").alias("artist"), F.upper("p_name").alias("album"))
+    return matching.duplicate_reasons(posts, urls, comments, albums).select("key", "reason")
