@@ -40,10 +40,7 @@ def sharing_pairs(a: DataFrame, b: DataFrame, near: Column, least: float) -> Dat
         return F.ceil(m * ((3.0 * least - 200.0) / (200.0 - least)) - 1.000001) if least < 200 else m
 
     def rows(d, name, s):
-        pairs = F.when(F.length(s) > 1, F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(F.col(s), i, F.lit(2)))).otherwise(F.expr("cast(array() as array<string>)"))
-        d = d.withColumn("_pairs", pairs)
-        told = F.transform("_pairs", lambda g, i: F.concat(g, F.size(F.filter(F.slice("_pairs", F.lit(1), i + 1), lambda x: x == g)).cast("string")))
-        return d.select(name, s, F.explode(told).alias("pair"))
+        return d.select(name, s, F.explode(letter_pairs(F.col(s))).alias("pair"))
 
     left, right = rows(a, "a", "sa"), rows(b, "b", "sb")
     seen = left.select("pair").union(right.select("pair")).groupBy("pair").agg(F.count("*").alias("seen"))
@@ -57,6 +54,12 @@ def sharing_pairs(a: DataFrame, b: DataFrame, near: Column, least: float) -> Dat
     return met.union(short).distinct()
 
 
+def letter_pairs(c: Column) -> Column:
+    """Pairs of neighbouring letters, repeats told apart by their number."""
+    pairs = F.when(F.length(c) > 1, F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+
+
 def best_match(pairs: DataFrame) -> DataFrame:
     """The best partner of each name, the first by name of equal ones, with its tier; combined before the shuffle."""
     best = pairs.groupBy("a").agg(F.max(F.struct("score", F.struct((-F.length("b")).alias("n")), "b")).alias("m"))

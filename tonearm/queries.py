@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tonearm.functions import media
 from tonearm.functions import text as T
-from tonearm.operators import changelog, cue, library, matching, releases
+from tonearm.operators import cascade, changelog, cue, library, matching, releases
 from tonearm.plans import template
 from tonearm.plans.search import Catalog, ordered, search
 from tonearm.sources.tables import table
@@ -650,3 +650,41 @@ def match_duplicates(spark, d):
     comments = p.filter("p_partkey % 10 = 1").select(F.expr("'from HTTPS://X.example/p-' || p_partkey || '/ with thanks'").alias("comment"))
     albums = p.filter("p_size < 3").select(F.lit("some artist").alias("artist"), F.upper("p_name").alias("album"))
     return matching.duplicate_reasons(posts, urls, comments, albums).select("key", "reason")
+
+
+# The matching phases over releases made of suppliers. Names are md5 texts: equal or far apart, so SQL can tell what each phase finds.
+
+def cascade_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Releases, their tracks and local files: by ``s_suppkey % 6`` a URL, a comment, a path, tags, a track or nothing tells them."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 6).alias("kind"), *[F.md5(F.concat(F.lit(c), F.col("s_suppkey").cast("string"))).alias(n) for c, n in (("b", "band"), ("a", "album"), ("t", "one"), ("u", "two"))])
+    url = F.concat(F.lit("https://s"), F.col("id").cast("string"), F.lit(".shop.example/album"))
+    releases = s.select(F.col("id").alias("release_id"), F.col("id").alias("seq"), "band", F.upper("album").alias("album"), url.alias("url"))
+    asked = s.filter("kind in (1, 4)").select(F.col("id").alias("release_id"), F.posexplode(F.array("one", "two")).alias("place", "title"))
+    folder = F.when(F.col("kind") == 1, F.concat(F.lit("inbox/"), F.col("album"))).when(F.col("kind") == 2, F.concat_ws("/", "band", "album")).otherwise(F.concat(F.lit("box/"), F.col("id").cast("string")))
+    each = s.select("*", folder.alias("folder"), url.alias("link"), F.posexplode(F.array("two", "one")).alias("n", "title"))
+    when = lambda kind, c: F.when(F.col("kind") == kind, c)
+    tracks = each.select(
+        F.concat_ws("-", F.col("id").cast("string"), F.col("n").cast("string")).alias("key"), F.concat(F.col("folder"), F.lit("/0"), F.col("n").cast("string"), F.lit(".flac")).alias("file"),
+        F.when(F.col("kind").isin(1, 2, 4), F.col("title")).alias("title"), F.when(F.col("kind").isin(3, 4), F.col("band")).alias("artist"), when(3, F.col("album")).alias("album"),
+        when(1, F.concat(F.lit("see "), F.col("link"))).alias("comment"), when(0, F.col("link")).alias("url"), F.lit(None).cast("string").alias("number"),
+    )
+    return releases, asked.withColumn("number", F.col("place")), tracks
+
+
+_PHASE = "CASE s_suppkey % 6 WHEN 0 THEN 'metadata' WHEN 1 THEN 'comment' WHEN 2 THEN 'folder' ELSE 'global' END"
+
+
+@query("match_cascade", f"""
+SELECT s_suppkey AS release_id, {_PHASE} AS phase, 100.0::DOUBLE AS score, 'exact' AS tier, s_suppkey || '-' || n AS key,
+  CASE WHEN s_suppkey % 6 IN (1, 4) THEN 1 - n END::INT AS place, 100.0::DOUBLE AS own
+FROM supplier CROSS JOIN (VALUES (0), (1)) AS v(n) WHERE s_suppkey % 6 < 5""")
+def match_cascade(spark, d):
+    return cascade.match_releases(*cascade_of(spark, d), "shop.example").drop("file")
+
+
+@query("match_cascade_stats", """
+SELECT count(*) AS total, count(*) FILTER (s_suppkey % 6 = 0) AS matched_metadata, count(*) FILTER (s_suppkey % 6 = 1) AS matched_comment, count(*) FILTER (s_suppkey % 6 = 2) AS matched_folder,
+  count(*) FILTER (s_suppkey % 6 IN (3, 4)) AS matched_global, count(*) FILTER (s_suppkey % 6 < 5) AS tier_exact, 0::BIGINT AS tier_high, 0::BIGINT AS tier_low, count(*) FILTER (s_suppkey % 6 = 5) AS unmatched FROM supplier""")
+def match_cascade_stats(spark, d):
+    releases, asked, tracks = cascade_of(spark, d)
+    return cascade.match_stats(releases, cascade.match_releases(releases, asked, tracks, "shop.example"))

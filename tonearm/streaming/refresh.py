@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.operators.changelog import current_values, operations, replace_keys
+from tonearm.sources.tables import shared_folder
 
 
 def follow_changes(spark: SparkSession, log_dir: str, schema: str, state: Callable[[], DataFrame | None], save: Callable[[DataFrame], None], checkpoint: str):
@@ -35,12 +35,7 @@ def hourly_counts(spark: SparkSession, path: str, ts: str, kind: str, lateness:
     The stream ends once all files are read. Each batch replaces the counts of the hours that it changed, so a batch
     that is run again gives the same table; the table and the stream's progress lie in the shared checkpoint folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    home = f"{base}/hourly-{uuid.uuid4().hex}"
+    home = f"{shared_folder(spark)}/hourly-{uuid.uuid4().hex}"
     # As a pattern, the path may name a file as well as a folder.
     rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn(ts, F.col(ts).cast("timestamp"))
     counts = rows.withWatermark(ts, lateness).groupBy(F.window(ts, "1 hour").alias("w"), kind).agg(F.count("*").alias("n"))
