@@ -352,3 +352,29 @@ def files_to_tag(matches: DataFrame, releases: DataFrame) -> DataFrame:
     """(file, url) of files that don't carry their release's URL yet."""
     urls = releases.filter("url is not null").select("release_id", "url")
     return matches.filter("phase <> 'metadata' and file is not null").join(urls, "release_id").select("file", "url")
+
+
+def repair_matches(broken: DataFrame, tracks: DataFrame, releases: DataFrame, release_tracks: DataFrame, formats: DataFrame, least: float = 60.0) -> DataFrame:
+    """The release that replaces each of ``broken(file)``: by artist and album, else by artist and title of one of its tracks.
+
+    ``tracks(file, artist, album, title, encoding)`` tells what the file was, ``formats(release_id, encoding)`` what a release is offered in. Without a
+    match ``release_id`` and ``score`` are null, the tier and ``match_type`` none; equal scores go to the least id. ``warning`` lists what is offered
+    where the encoding isn't.
+    """
+    clean = lambda c: T.normalize_for_matching(F.col(c))
+    known = settled(broken.join(tracks, "file", "left"))
+    albums = releases.select("release_id", clean("band").alias("n_artist"), clean("album").alias("n_title"))
+    songs = release_tracks.join(releases.select("release_id", "band"), "release_id").select("release_id", clean("band").alias("n_artist"), clean("title").alias("n_title"))
+
+    def best(files, name, theirs, kind):
+        mine = files.select("file", clean("artist").alias("artist"), clean(name).alias("title")).filter("artist <> '' and title <> ''")
+        names = weighed(mine, theirs.select("n_artist", "n_title"), ["file"], least, 0.0)
+        met = names.join(theirs, ["n_artist", "n_title"]).groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("s"), "release_id")).alias("m"))
+        return met.select("file", F.col("m.release_id").alias("release_id"), (-F.col("m.s")).alias("score"), F.lit(kind).alias("match_type"))
+
+    whole = settled(best(known, "album", albums, "release"))
+    both = whole.union(best(known.join(whole, "file", "left_anti"), "title", songs, "track"))
+    offered = formats.groupBy("release_id").agg(F.array_sort(F.collect_set("encoding")).alias("_have"))
+    rows = known.join(both, "file", "left").join(offered, "release_id", "left")
+    warning = F.when(~F.array_contains("_have", F.col("encoding")), F.concat(F.lit("Format '"), "encoding", F.lit("' not available; have: "), F.array_join("_have", ", ")))
+    return rows.select("file", "release_id", "score", T.tier(F.coalesce("score", F.lit(0.0))).alias("tier"), F.coalesce("match_type", F.lit("none")).alias("match_type"), "encoding", warning.alias("warning"))

@@ -74,3 +74,16 @@ def until_known(page: DataFrame, known: DataFrame, key: str, order: str) -> Data
     """Rows of a newest-first listing before the first one whose key is known."""
     first = page.join(known.select(key).distinct(), key, "left_semi").agg(F.min(order).alias("_stop"))
     return page.join(F.broadcast(first), F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))).drop("_stop")
+
+
+def build_tables(lines: DataFrame, files: DataFrame, present: DataFrame, fields: list[str], child: str, casts: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The current table and its child rows, built from all log lines.
+
+    The table has a row for each key with its ``file`` and whether it is ``present``: it has a file and its key is among ``present``. Child rows
+    are the values of the field ``child`` that aren't empty.
+    """
+    values = current_values(operations(lines))
+    here = present.select("key").distinct().withColumn("_here", F.lit(True))
+    rows = wide(values, fields, casts).join(files.select("key", "file"), "key", "left").join(here, "key", "left")
+    rows = rows.withColumn("present", F.col("file").isNotNull() & F.coalesce("_here", F.lit(False))).drop("_here")
+    return rows, values.filter((F.col("field") == child) & (F.col("value") != "")).select("key", F.col("value").alias(child))

@@ -94,3 +94,33 @@ def track_metadata(tracks: DataFrame, locations: DataFrame, crate_tracks: DataFr
     rows = rows.join(paths, "location").withColumn("relative_path", below(F.col("file_path"), root)).filter("relative_path is not null")
     names = crate_tracks.join(crates.select(F.col("id").alias("crate_id"), "name"), "crate_id").groupBy(F.col("track_id").alias("id")).agg(F.array_sort(F.collect_list("name")).alias("crates"))
     return rows.join(names, "id", "left").withColumn("crates", F.coalesce("crates", F.array().cast("array<string>")))
+
+
+def update_track(tracks: DataFrame, track_id, **values) -> DataFrame:
+    """The table with the given columns of one track set; None leaves a column as it is, a rating is held within 0 and 5."""
+    if values.get("rating") is not None:
+        values["rating"] = max(0, min(5, values["rating"]))
+    here = F.col("id") == F.lit(track_id)
+    return tracks.withColumns({c: F.when(here, F.lit(v).cast(tracks.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items() if v is not None})
+
+
+def append_to_lists(links: DataFrame, added: DataFrame, parent_key: str) -> DataFrame:
+    """``links(parent_key, track_id, position)`` with ``added(parent_key, track_id, position)``; rows without a position go to their list's end, by track."""
+    last = links.groupBy(parent_key).agg(F.max("position").alias("_last"))
+    n = F.row_number().over(Window.partitionBy(parent_key, F.col("position").isNull()).orderBy("track_id"))
+    rows = added.withColumn("_n", n).join(last, parent_key, "left")
+    rows = rows.withColumn("position", F.coalesce("position", F.coalesce("_last", F.lit(0)) + F.col("_n")).cast(links.schema["position"].dataType))
+    return links.unionByName(rows.select(links.columns))
+
+
+def remove_from_lists(links: DataFrame, removed: DataFrame, parent_key: str) -> DataFrame:
+    """``links`` without the first entry, by position, of each ``removed(parent_key, track_id)``; later entries of the track stay."""
+    keys = [parent_key, "track_id"]
+    first = links.join(removed.select(keys).distinct(), keys, "left_semi").groupBy(keys).agg(F.min("position").alias("position"))
+    return links.join(first, [*keys, "position"], "left_anti")
+
+
+def list_sizes(parents: DataFrame, links: DataFrame, parent_key: str) -> DataFrame:
+    """Parents with ``count``, the entries they have; counted afresh, as a kept counter would drift."""
+    counts = links.groupBy(F.col(parent_key).alias("id")).agg(F.count("*").alias("count"))
+    return parents.drop("count").join(counts, "id", "left").fillna(0, ["count"])

@@ -86,3 +86,10 @@ def link_paths(df: DataFrame, template: str, file_col: str, order_col: str, pres
     both = both.withColumn("_k", F.col("_n") + F.coalesce(F.sum("_taken").over(so_far), F.lit(0))).filter("_taken = 0")
     name = F.concat(F.col("_base"), F.when(F.col("_n") > 0, F.concat(F.lit("_"), F.col("_k").cast("string"))).otherwise(""), F.col("_ext"))
     return both.select(F.col("_order").alias(order_col), F.col("_target").alias("target"), name.alias("link_path"), (F.col("_n") > 0).alias("is_duplicate"))
+
+
+def expanded(df: DataFrame, children: DataFrame, key: str, name: str, template: str) -> DataFrame:
+    """A row for each child value, in column ``name``, if the template mentions it; rows without children stay as one row."""
+    if name not in variables(template):
+        return df
+    return df.drop(name).join(children.select(key, name).distinct(), key, "left")

@@ -688,3 +688,86 @@ SELECT count(*) AS total, count(*) FILTER (s_suppkey % 6 = 0) AS matched_metadat
 def match_cascade_stats(spark, d):
     releases, asked, tracks = cascade_of(spark, d)
     return cascade.match_stats(releases, cascade.match_releases(releases, asked, tracks, "shop.example"))
+
+
+@query("match_repairs", """
+SELECT 'f' || s_suppkey AS file, CASE WHEN s_suppkey % 6 < 5 THEN s_suppkey END AS release_id, CASE WHEN s_suppkey % 6 < 5 THEN 100.0::DOUBLE END AS score,
+  CASE WHEN s_suppkey % 6 < 5 THEN 'exact' ELSE 'none' END AS tier, CASE s_suppkey % 6 WHEN 5 THEN 'none' WHEN 4 THEN 'track' ELSE 'release' END AS match_type,
+  CASE WHEN s_suppkey % 2 = 0 THEN 'flac' ELSE 'wav' END AS encoding, CASE WHEN s_suppkey % 6 IN (1, 3) THEN 'Format ''wav'' not available; have: aac, flac' END AS warning FROM supplier""")
+def match_repairs(spark, d):
+    releases, asked, _ = cascade_of(spark, d)
+    kind = F.col("release_id") % 6
+    file = F.concat(F.lit("f"), F.col("release_id").cast("string")).alias("file")
+    songs = asked.filter("place = 1").select("release_id", "title")
+    tracks = releases.join(songs, "release_id", "left").select(
+        file, F.when(kind < 5, F.col("band")).alias("artist"), F.when(kind != 4, F.lower("album")).otherwise(F.md5(F.concat(F.lit("z"), file))).alias("album"), "title",
+        F.when(F.col("release_id") % 2 == 0, "flac").otherwise("wav").alias("encoding"))
+    formats = releases.select("release_id", F.explode(F.array(F.lit("flac"), F.lit("aac"))).alias("encoding"))
+    return cascade.repair_matches(releases.select(file), tracks, releases, asked, formats)
+
+
+# A table built from logs, rows expanded for views, lists written to.
+
+_LINES = "(SELECT user_id AS key, event_type AS field, unnest(['A' || (event_id % 7), 'B' || (event_id % 5)]) AS value, unnest(['+', '-']) AS op, event_id AS line_no, unnest([1, 2]) AS pos FROM events)"
+
+
+def built(spark, d):
+    e = table(spark, d, "events")
+    line = F.concat(F.lit("1700000000s "), F.col("event_type"), F.lit(" +A"), (F.col("event_id") % 7).cast("string"), F.lit(" -B"), (F.col("event_id") % 5).cast("string"))
+    lines = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("line_no"), line.alias("line"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("file"))
+    return changelog.build_tables(lines, c.filter("key % 3 > 0"), c.filter("key % 2 = 0"), ["view", "error"], "click")
+
+
+_BUILT = f"SELECT key, field, value FROM {_LINES} GROUP BY key, field, value HAVING arg_max(op, line_no * 10 + pos) = '+'"
+
+
+@query("build_table", f"""
+SELECT key, min(value) FILTER (field = 'view') AS view, min(value) FILTER (field = 'error') AS error, any_value(CASE WHEN key % 3 > 0 THEN c_name END) AS file,
+  coalesce(any_value(c_name IS NOT NULL AND key % 3 > 0 AND key % 2 = 0), false) AS present
+FROM ({_BUILT}) LEFT JOIN customer ON c_custkey = key GROUP BY key""")
+def build_table(spark, d):
+    return built(spark, d)[0]
+
+
+@query("build_children", f"SELECT key, value AS click FROM ({_BUILT}) WHERE field = 'click'")
+def build_children(spark, d):
+    return built(spark, d)[1]
+
+
+@query("view_expanded", """
+SELECT p_partkey, coalesce(flag, 'Unknown') || '/' || p_name AS path FROM part LEFT JOIN (SELECT DISTINCT l_partkey, l_returnflag AS flag FROM lineitem WHERE l_quantity > 45) ON l_partkey = p_partkey
+UNION ALL SELECT p_partkey, p_name FROM part""")
+def view_expanded(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    flags = table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"), F.col("l_returnflag").alias("flag"))
+    out = [template.expanded(p, flags, "p_partkey", "flag", t) for t in ("{{ flag }}/{{ p_name }}", "{{ p_name }}")]
+    return out[0].select("p_partkey", template.render(out[0], "{{ flag }}/{{ p_name }}").alias("path")).union(out[1].select("p_partkey", template.render(out[1], "{{ p_name }}")))
+
+
+@query("library_update_track", "SELECT c_custkey AS id, CASE c_custkey WHEN 7 THEN 'New' ELSE c_name END AS title, CASE c_custkey WHEN 7 THEN 5 ELSE 1 END::INT AS rating, c_mktsegment AS genre FROM customer")
+def library_update_track(spark, d):
+    t = table(spark, d, "customer").selectExpr("c_custkey AS id", "c_name AS title", "1 AS rating", "c_mktsegment AS genre")
+    return library.update_track(t, 7, title="New", rating=9, genre=None)
+
+
+_LISTS = "(SELECT l_orderkey AS list_id, l_suppkey % 3 AS track_id, l_linenumber AS position FROM lineitem)"
+
+
+@query("library_lists_written", f"""
+SELECT list_id, track_id, position FROM (SELECT *, row_number() OVER (PARTITION BY list_id, track_id ORDER BY position) AS n FROM {_LISTS}) WHERE NOT (track_id = 1 AND list_id % 2 = 0 AND n = 1)
+UNION ALL SELECT o_orderkey, 3, m + 1 FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS m FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE m IS NOT NULL
+UNION ALL SELECT o_orderkey, 3, 1 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)
+UNION ALL SELECT o_orderkey, 4, 99 FROM orders""")
+def library_lists_written(spark, d):
+    links = table(spark, d, "lineitem").selectExpr("l_orderkey AS list_id", "l_suppkey % 3 AS track_id", "l_linenumber AS position")
+    o = table(spark, d, "orders")
+    added = o.selectExpr("o_orderkey AS list_id", "3L AS track_id", "cast(null AS int) AS position").union(o.selectExpr("o_orderkey", "4L", "99"))
+    grown = library.append_to_lists(links, added, "list_id")
+    return library.remove_from_lists(grown, o.filter("o_orderkey % 2 = 0").selectExpr("o_orderkey AS list_id", "1L AS track_id"), "list_id")
+
+
+@query("library_list_sizes", "SELECT o_orderkey AS id, coalesce(n, 0)::BIGINT AS \"count\" FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 30 GROUP BY 1) ON l_orderkey = o_orderkey")
+def library_list_sizes(spark, d):
+    links = table(spark, d, "lineitem").filter("l_quantity > 30").selectExpr("l_orderkey AS list_id")
+    return library.list_sizes(table(spark, d, "orders").selectExpr("o_orderkey AS id"), links, "list_id")
