@@ -116,8 +116,10 @@ def append_to_lists(links: DataFrame, added: DataFrame, parent_key: str) -> Data
 def remove_from_lists(links: DataFrame, removed: DataFrame, parent_key: str) -> DataFrame:
     """``links`` without the first entry, by position, of each ``removed(parent_key, track_id)``; later entries of the track stay."""
     keys = [parent_key, "track_id"]
-    first = links.join(removed.select(keys).distinct(), keys, "left_semi").groupBy(keys).agg(F.min("position").alias("position"))
-    return links.join(first, [*keys, "position"], "left_anti")
+    hit = removed.select(keys).distinct().withColumn("_hit", F.lit(True))
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy("position"))
+    rows = links.join(hit, keys, "left").withColumn("_n", n)
+    return rows.filter(F.col("_hit").isNull() | (F.col("_n") > 1)).select(links.columns)
 
 
 def list_sizes(parents: DataFrame, links: DataFrame, parent_key: str) -> DataFrame:
