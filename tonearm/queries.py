@@ -700,7 +700,7 @@ def match_repairs(spark, d):
     file = F.concat(F.lit("f"), F.col("release_id").cast("string")).alias("file")
     songs = asked.filter("place = 1").select("release_id", "title")
     tracks = releases.join(songs, "release_id", "left").select(
-        file, F.when(kind < 5, F.col("band")).alias("artist"), F.when(kind != 4, F.lower("album")).otherwise(F.md5(F.concat(F.lit("z"), file))).alias("album"), "title",
+        file, F.when(kind < 5, F.col("band")).alias("artist"), F.when(kind != 4, F.lower("album")).otherwise("q").alias("album"), "title",
         F.when(F.col("release_id") % 2 == 0, "flac").otherwise("wav").alias("encoding"))
     formats = releases.select("release_id", F.explode(F.array(F.lit("flac"), F.lit("aac"))).alias("encoding"))
     return cascade.repair_matches(releases.select(file), tracks, releases, asked, formats)
