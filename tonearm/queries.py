@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tonearm.functions import media
 from tonearm.functions import text as T
-from tonearm.operators import cascade, changelog, cue, library, matching, releases
+from tonearm.operators import cascade, changelog, cue, library, matching, releases, runs
 from tonearm.plans import template
 from tonearm.plans.search import Catalog, ordered, search
 from tonearm.sources.tables import table
@@ -771,3 +771,68 @@ def library_lists_written(spark, d):
 def library_list_sizes(spark, d):
     links = table(spark, d, "lineitem").filter("l_quantity > 30").selectExpr("l_orderkey AS list_id")
     return library.list_sizes(table(spark, d, "orders").selectExpr("o_orderkey AS id"), links, "list_id")
+
+
+# Repeated runs over files.
+
+@query("runs_up_to_date", """
+SELECT p_partkey, coalesce((p_size + 1000 <= m), false) AS skip FROM part LEFT JOIN (SELECT l_partkey, max(l_quantity) + 980 AS m FROM lineitem WHERE l_quantity < 40 GROUP BY 1) ON l_partkey = p_partkey""")
+def runs_up_to_date(spark, d):
+    sources = table(spark, d, "part").selectExpr("p_partkey", "p_size + 1000 AS mtime")
+    outputs = table(spark, d, "lineitem").filter("l_quantity < 40").selectExpr("l_partkey AS p_partkey", "l_quantity + 980 AS mtime")
+    return runs.up_to_date(sources, outputs, "p_partkey").drop("mtime")
+
+
+_BEFORE = "(SELECT c_custkey AS file, CASE c_custkey % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'warning' WHEN 2 THEN 'error' END AS status FROM customer WHERE c_custkey % 3 > 0)"
+
+
+@query("runs_carried_over", f"SELECT file, status FROM {_BEFORE} WHERE status IN ('ok', 'warning') UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey NOT IN (SELECT file FROM {_BEFORE} WHERE status IN ('ok', 'warning'))")
+def runs_carried_over(spark, d):
+    files = table(spark, d, "customer").select(F.col("c_custkey").alias("file"))
+    before = files.filter("file % 3 > 0").selectExpr("file", "CASE file % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'warning' WHEN 2 THEN 'error' END AS status")
+    kept, rest = runs.carried_over(files, before)
+    return kept.union(rest.withColumn("status", F.lit("new")))
+
+
+@query("runs_all_there", "SELECT l_orderkey, bool_and(l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 45)) AS complete FROM lineitem GROUP BY 1")
+def runs_all_there(spark, d):
+    return runs.all_there(table(spark, d, "lineitem"), table(spark, d, "part").filter("p_size < 45").select(F.col("p_partkey").alias("l_partkey")), "l_orderkey", "l_partkey")
+
+
+@query("runs_first_of", """
+SELECT o_custkey, arg_min(o_orderpriority, list_position(['2-high', '1-urgent', '5-low'], lower(o_orderpriority))) AS o_orderpriority FROM orders
+WHERE lower(o_orderpriority) IN ('2-high', '1-urgent', '5-low') GROUP BY 1""")
+def runs_first_of(spark, d):
+    return runs.first_of(table(spark, d, "orders"), "o_custkey", "o_orderpriority", ["2-high", "1-urgent", "5-low"])
+
+
+@query("runs_first_seen", """
+SELECT k, min(part)::INT AS part FROM (SELECT o_custkey AS k, 0 AS part FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT c_custkey, 1 FROM customer WHERE c_acctbal > 0 UNION ALL SELECT o_custkey, 2 FROM orders) GROUP BY 1""")
+def runs_first_seen(spark, d):
+    o, c = table(spark, d, "orders").withColumnRenamed("o_custkey", "k"), table(spark, d, "customer").withColumnRenamed("c_custkey", "k")
+    return runs.first_seen([o.filter("o_orderstatus = 'F'"), c.filter("c_acctbal > 0"), o], "k")
+
+
+@query("runs_tools_missing", """
+SELECT p_brand AS extension, count(*) AS files, coalesce(any_value(missing), '') AS missing FROM part LEFT JOIN (
+  SELECT p_brand AS b, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS missing FROM part WHERE p_size > 47 AND p_type NOT ILIKE '%brass%' GROUP BY 1) ON b = p_brand GROUP BY 1""")
+def runs_tools_missing(spark, d):
+    p = table(spark, d, "part")
+    tools = p.filter("p_size > 47").select(F.col("p_brand").alias("extension"), F.col("p_type").alias("tool"))
+    out = runs.tools_missing(p, tools, p.filter("p_type ILIKE '%brass%'").select(F.col("p_type").alias("tool")), F.col("p_brand"))
+    return out.withColumn("missing", F.array_join("missing", "|"))
+
+
+@query("runs_report_rows", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'high' ELSE 'none' END AS tier, CASE WHEN c_custkey % 3 = 0 THEN round_even(c_custkey / 2.0, 0)::DOUBLE END AS score FROM customer")
+def runs_report_rows(spark, d):
+    c = table(spark, d, "customer").select("c_custkey")
+    return runs.report_rows(c, c.filter("c_custkey % 3 = 0").select("c_custkey", F.lit("high").alias("tier"), (F.col("c_custkey") / 2).alias("score")), "c_custkey")
+
+
+@query("runs_names_of", """
+SELECT c_custkey, array_to_string(list_filter([b.n_name, a.n_name, b.n_name], lambda x: x IS NOT NULL), '|') AS names FROM customer
+LEFT JOIN nation a ON a.n_nationkey = c_nationkey AND a.n_regionkey > 0 LEFT JOIN nation b ON b.n_nationkey = (c_nationkey + 5) % 25 AND b.n_regionkey > 0""")
+def runs_names_of(spark, d):
+    ids = table(spark, d, "customer").selectExpr("c_custkey", "array((c_nationkey + 5) % 25, c_nationkey, (c_nationkey + 5) % 25, 99) AS ids")
+    names = table(spark, d, "nation").filter("n_regionkey > 0").selectExpr("n_nationkey AS id", "n_name AS name")
+    return runs.names_of(ids, "c_custkey", "ids", names).withColumn("names", F.array_join("names", "|"))
