@@ -40,6 +40,13 @@ def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([best_window(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def window_bound_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    """What no window's ratio exceeds: a window as long as all that both strings have in common, and alike throughout."""
+    common = [(common_length(x or "", y or ""), min(len(x or ""), len(y or ""))) for x, y in zip(a, b)]
+    return pd.Series([200.0 * c / (n + c) if n else 0.0 for c, n in common], dtype="float64")
+
+
 def best_window(a: str, b: str) -> float:
     """The best ratio of the shorter string against windows of the longer, shorter ones at its edges."""
     short, long_ = sorted((a, b), key=len)

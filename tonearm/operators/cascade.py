@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions import text as T
-from tonearm.functions.similarity import partial_ratio_udf, ratio_udf, sorted_tokens
+from tonearm.functions.similarity import partial_ratio_udf, ratio_udf, sorted_tokens, window_bound_udf
 from tonearm.operators.matching import band_candidates, letter_pairs, name_pairs, one_to_one, safe_partial, url_matches
 from tonearm.sources.tables import settled
 
@@ -90,7 +90,8 @@ def partial_pairs(left: DataFrame, right: DataFrame, least: float, on: tuple[str
     out = parts[0].select(*on, "a", "b")
     for p in parts[1:]:
         out = out.union(p.select(*on, "a", "b"))
-    return out.distinct()
+    # Names under four letters may be compared in another way than by windows.
+    return out.distinct().filter((F.least(F.length("a"), F.length("b")) < 4) | (window_bound_udf("a", "b") >= least))
 
 
 def safe_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
