@@ -71,22 +71,25 @@ def _file(spark: SparkSession, path: str):
 def with_order(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None, dense: bool = False) -> DataFrame:
     """``id``, ``text``, ``other`` (a struct of the columns to carry) and ``rid``, a unique long in the documents' order.
 
-    Unique ids serve as they are, unless ``dense`` numbers are asked for. Where ids repeat or are null, rows are numbered by (id, a hash of the text, text) and
-    then by a hash of what they carry; repeats of a row come after it. Numbers are counted within ranges of ids, and rows of one
-    id within buckets of the hash, so no task sees all rows, or all of one id.
+    Ids are of any type that sorts. Unique whole numbers serve as they are, unless ``dense`` numbers are asked for. Otherwise, and where ids repeat or are null (null ones come first), rows are
+    numbered by (id, a hash of the text, text) and then by a hash of what they carry; repeats of a row come after it. How many rows
+    each id has in each of 4,096 buckets of the hash is counted first; these counts are sorted over the cluster, and a range's number of rows begins
+    where the ranges before it end. So no task sees all rows, or all of one id, and no expression grows with the number of partitions.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry or [])]).alias("other"))
-    odd = dense or rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").limit(1).count()
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    odd = dense or not whole or rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").limit(1).count()
     if not odd:
         return rows.select("id", "text", "other", F.col("id").cast("long").alias("rid"))
     keyed = rows.withColumn("key", F.md5("text")).withColumn("bucket", F.substring("key", 1, 3))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = sorted(set((rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 10000)).first()[0]) or []))
-    part = sum([F.when(F.col("id") > e, 1).otherwise(0) for e in edges], F.lit(0)) + F.when(F.col("id").isNull(), 0).otherwise(1)
-    sums = keyed.groupBy("id", "bucket").agg(F.count("*").alias("n")).withColumn("part", part)
+    sums = keyed.groupBy("id", "bucket").agg(F.count("*").alias("n"))
+    # Stored, because the ranges of another run over the same rows may differ.
+    sums = stored(sums.repartitionByRange(parts, "id", "bucket").withColumn("part", F.spark_partition_id()), "order")
     base = sums.groupBy("part").agg(F.sum("n").alias("all"))
     base = base.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("base"))
     within = F.sum("n").over(Window.partitionBy("part").orderBy("id", "bucket")) - F.col("n")
+    # A row for each partition at most.
     begin = sums.withColumn("within", within).join(F.broadcast(base), "part").select(F.col("id").alias("_id"), F.col("bucket").alias("_bucket"), (F.col("base") + F.col("within")).alias("begin"))
     place = F.row_number().over(Window.partitionBy("id", "bucket").orderBy("key", "text", F.xxhash64(F.to_json("other")))) - 1
     placed = keyed.withColumn("place", place).join(begin, F.col("id").eqNullSafe(F.col("_id")) & (F.col("bucket") == F.col("_bucket")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tonearm.llm import brown, chat, decontaminate, fingerprints, html, mixing, quality, simhash, substrings, toxicity
+from tonearm.llm import brown, chat, decontaminate, filters, fingerprints, html, mixing, quality, ranked, sharding, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,9 +16,12 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,
     "op10_brown": brown.op10_brown,
+    "op11_sharding": sharding.op11_sharding,
+    "op12_search": ranked.op12_search,
+    "op13_filters": filters.op13_filters,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op4_chat": chat.OP4_SQL}
+ORACLE_SQL = {"op4_chat": chat.OP4_SQL, "op12_search": ranked.OP12_SQL, "op13_filters": filters.OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
