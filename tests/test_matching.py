@@ -22,11 +22,10 @@ def names():
     return sorted(out)
 
 
-def test_more_names_than_tasks_may_hold_lose_no_pair(spark, monkeypatch):
+def test_name_pairs_lose_no_pair(spark):
     own = names()
     df = spark.createDataFrame([(x,) for x in own], "name string")
     plain = {x: " ".join(sorted(x.split())) for x in own}
-    monkeypatch.setattr(matching, "MOST_NAMES", 0)
     for least in (80, 60):
         want = {(x, y) for x in own for y in own if ratio(plain[x], plain[y]) >= least}
         got = [(r["a"], r["b"]) for r in matching.name_pairs(df, df, least).collect()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,9 +31,60 @@ def sorted_tokens(c: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(c, r"\s+"), lambda x: x != "")), " ")
 
 
+#: Pairs whose rows are moved on together, and the most letters of the shorter string of such a pair.
+LANES, WORD = 4096, 64
+
+
+def letters(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of strings as rows padded with -1, and the strings' lengths."""
+    sizes = np.fromiter(map(len, names), dtype=np.int64, count=len(names))
+    flat = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    out = np.full((len(names), int(sizes.max(initial=0))), -1, dtype=np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = flat
+    return out, sizes
+
+
+def common_lengths(left: list[str], right: list[str]) -> np.ndarray:
+    """:func:`common_length` of each pair; the rows of many pairs are moved on together, one letter of the longer strings at a time."""
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(left, right)]
+    out = np.zeros(len(pairs), dtype=np.int64)
+    order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][1]))
+    while order and len(pairs[order[-1]][0]) > WORD:
+        out[order[-1]] = common_length(*pairs[order.pop()])
+    for at in range(0, len(order), LANES):
+        some = order[at : at + LANES]
+        wide = [i for i in some if len(pairs[i][0]) > WORD]
+        out[wide] = [common_length(*pairs[i]) for i in wide]
+        some = [i for i in some if 0 < len(pairs[i][0]) <= WORD]
+        if not some:
+            continue
+        short, sizes = letters([pairs[i][0] for i in some])
+        long_, _ = letters([pairs[i][1] for i in some])
+        alphabet = np.unique(short[short >= 0])
+        rows = np.arange(len(some))
+        masks = np.zeros((len(some), len(alphabet) + 1), dtype=np.uint64)
+        for k in range(short.shape[1]):
+            here = np.nonzero(short[:, k] >= 0)[0]
+            masks[here, np.searchsorted(alphabet, short[here, k])] |= np.uint64(1 << k)
+        place = np.minimum(np.searchsorted(alphabet, long_), len(alphabet) - 1)
+        place[alphabet[place] != long_] = len(alphabet)
+        full = np.where(sizes == WORD, np.uint64(2**64 - 1), (np.uint64(1) << sizes.astype(np.uint64) % np.uint64(WORD)) - np.uint64(1))
+        row = full.copy()
+        for k in range(long_.shape[1]):
+            hit = row & masks[rows, place[:, k]]
+            row = ((row + hit) | (row - hit)) & full
+        out[some] = sizes - np.bitwise_count(row)
+    return out
+
+
+def ratios(left: list[str], right: list[str]) -> np.ndarray:
+    sizes = np.array([len(x) + len(y) for x, y in zip(left, right)], dtype=np.int64)
+    return np.where(sizes > 0, 200.0 * common_lengths(left, right) / np.maximum(sizes, 1), 100.0)
+
+
 @F.pandas_udf(DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series(ratios(a.fillna("").tolist(), b.fillna("").tolist()), dtype="float64")
 
 
 @F.pandas_udf(DoubleType())
@@ -40,20 +92,51 @@ def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([best_window(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf(DoubleType())
-def window_bound_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """What no window's ratio exceeds: a window as long as all that both strings have in common, and alike throughout."""
-    common = [(common_length(x or "", y or ""), min(len(x or ""), len(y or ""))) for x, y in zip(a, b)]
-    return pd.Series([200.0 * c / (n + c) if n else 0.0 for c, n in common], dtype="float64")
+def partial_from_udf(least: float):
+    """The partial ratio, or null where the strings have too few letters in common for any window to reach ``least``, so that no window is read.
+
+    A window's ratio doesn't exceed that of one as long as all that both have in common, and alike throughout. Filters on it stay above it, so it is computed once.
+    """
+
+    @F.pandas_udf(DoubleType())
+    def partial(a: pd.Series, b: pd.Series) -> pd.Series:
+        left, right = a.fillna("").tolist(), b.fillna("").tolist()
+        common, short = common_lengths(left, right), np.array([min(len(x), len(y)) for x, y in zip(left, right)], dtype=np.int64)
+        near = (200.0 * common >= least * (short + common) - 1e-9) & (short > 0)
+        return pd.Series([best_window(x, y) if n else None for x, y, n in zip(left, right, near)], dtype="float64")
+
+    return partial.asNondeterministic()
+
+
+#: :func:`ratio_udf`, computed once where its value is both filtered and kept.
+ratio_once_udf = F.pandas_udf(lambda a, b: pd.Series(ratios(a.fillna("").tolist(), b.fillna("").tolist()), dtype="float64"), DoubleType()).asNondeterministic()
 
 
 def best_window(a: str, b: str) -> float:
-    """The best ratio of the shorter string against windows of the longer, shorter ones at its edges."""
+    """The best ratio of the shorter string against windows of the longer, shorter ones at its edges.
+
+    All windows are read in one pass: each has its own lane of bits in one large number, wide enough that no lane's carry reaches the next,
+    and the letters that windows meet next are the lanes of the longer string's letters, moved on by one.
+    """
     short, long_ = sorted((a, b), key=len)
     if not short:
         return 100.0 if not long_ else 0.0
-    n = len(short)
-    return max(ratio(short, long_[max(0, i) : i + n]) for i in range(1 - n, len(long_)))
+    n, m = len(short), len(long_)
+    size = n // 8 + 1
+    at: dict[str, int] = {}
+    for i, c in enumerate(short):
+        at[c] = at.get(c, 0) | 1 << i
+    lanes = m + n - 1
+    marks = int.from_bytes(b"".join(at.get(c, 0).to_bytes(size, "little") for c in long_), "little")
+    full = int.from_bytes(((1 << n) - 1).to_bytes(size, "little") * lanes, "little")
+    row = full
+    for k in range(n - 1, -1, -1):
+        hit = row & marks << 8 * size * k
+        row = ((row + hit) | (row - hit)) & full
+    left = np.bitwise_count(np.frombuffer(row.to_bytes(size * lanes, "little"), dtype=np.uint8)).reshape(lanes, size).sum(axis=1, dtype=np.int64)
+    end = np.arange(lanes)
+    seen = np.minimum(end, m - 1) - np.maximum(end - n + 1, 0) + 1
+    return float((200.0 * (n - left) / (n + seen)).max())
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:

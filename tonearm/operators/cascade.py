@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions import text as T
-from tonearm.functions.similarity import partial_ratio_udf, ratio_udf, sorted_tokens, window_bound_udf
-from tonearm.operators.matching import band_candidates, letter_pairs, name_pairs, one_to_one, safe_partial, url_matches
-from tonearm.sources.tables import settled
+from tonearm.functions.similarity import partial_from_udf, ratio_once_udf, sorted_tokens
+from tonearm.operators.components import components
+from tonearm.operators.matching import SHORT, band_candidates, covered, least_common, letter_pairs, name_pairs, one_to_one, safe_partial, subsequences_udf, url_matches, window_subsequences_udf
+from tonearm.sources.tables import stored
 
 # Least scores, weights and the bonus for alike numbers of tracks.
 LEAST_OF_PHASES, LEAST_PART, LEAST_TRACK = 75.0, 50.0, 50.0
@@ -61,7 +62,8 @@ def partial_pairs(left: DataFrame, right: DataFrame, least: float, on: tuple[str
     """Candidates (*on, a, b) among which are all whose best window of the longer name reaches ``least`` against the shorter.
 
     Such a window is at least ``least / (200 - least)`` as long as the shorter name and shares letter pairs with it in proportion, so
-    the longer name holds one of the shorter one's rarest. Names too short for the bound are compared with all that ``near`` allows.
+    the longer name holds one of the shorter one's rarest. A name of up to five letters, too short for the bound, shares a subsequence with some window
+    of its own length, so both meet on it. Below a score of about 69 the bound fails for longer names too; only then all pairs that ``near`` allows are met.
     """
     a, b = left.filter("a <> ''").distinct(), right.filter("b <> ''").distinct()
     share = (3 * least / 200 - 1) * 200 / (200 - least) if least < 200 else 1.0
@@ -81,17 +83,24 @@ def partial_pairs(left: DataFrame, right: DataFrame, least: float, on: tuple[str
 
     near = F.lit(True) if near is None else near
     first, then = near & (F.length("a") <= F.length("b")), near & (F.length("b") < F.length("a"))
-    brief = lambda d, name: d.filter(bound(name) < 1)
-    join = lambda x, y, how: x.join(y, list(on)).filter(how) if on else x.join(y, how)
-    parts = [
-        rarest(all_a, "a").join(all_b, keys).filter(first), all_a.join(rarest(all_b, "b"), keys).filter(then),
-        join(brief(a, "a"), b, first), join(a, brief(b, "b"), then),
-    ]
+    parts = [rarest(all_a, "a").join(all_b, keys).filter(first), all_a.join(rarest(all_b, "b"), keys).filter(then)]
+    if covered(least):
+        whole, window = subsequences_udf(least), window_subsequences_udf(least, SHORT)
+        brief = lambda d, name: d.filter(F.length(name) <= SHORT).select(*on, name, F.length(name).alias("n"), F.explode(whole(name)).alias("key")).filter(F.length("key") == fewest(F.col("n"), least))
+        longer = lambda d, name: d.select(*on, name, F.inline(window(name)))
+        parts += [brief(a, "a").join(longer(b, "b"), [*on, "n", "key"]).filter(first), longer(a, "a").join(brief(b, "b"), [*on, "n", "key"]).filter(then)]
+    else:
+        short = lambda d, name: d.filter(bound(name) < 1)
+        join = lambda x, y, how: x.join(y, list(on)).filter(how) if on else x.join(y, how)
+        parts += [join(short(a, "a"), b, first), join(a, short(b, "b"), then)]
     out = parts[0].select(*on, "a", "b")
     for p in parts[1:]:
         out = out.union(p.select(*on, "a", "b"))
-    # Names under four letters may be compared in another way than by windows.
-    return out.distinct().filter((F.least(F.length("a"), F.length("b")) < 4) | (window_bound_udf("a", "b") >= least))
+    return out.distinct()
+
+
+def fewest(n: Column, least: float) -> Column:
+    return F.array(*[F.lit(least_common(i, least)) for i in range(1, SHORT + 1)])[n - 1]
 
 
 def safe_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -99,7 +108,12 @@ def safe_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     short = F.when(F.length("a") <= F.length("b"), F.col("a")).otherwise(F.col("b"))
     wide = F.least(F.length("a"), F.length("b")) * 200 >= least * F.greatest(F.length("a"), F.length("b"))
     pairs = partial_pairs(left, right, least, near=wide | short.contains(" "))
-    return pairs.withColumn("score", safe_partial(F.col("a"), F.col("b"))).filter(F.col("score") >= least)
+    # Only names under four letters are compared whole, only the others by windows.
+    tiny = F.least(F.length("a"), F.length("b")) < 4
+    only = lambda c, when: F.when(when, c).otherwise("")
+    a, b = F.col("a"), F.col("b")
+    scored = pairs.withColumns({"_whole": ratio_once_udf(only(sorted_tokens(a), tiny), only(sorted_tokens(b), tiny)), "_part": partial_from_udf(least)(only(a, ~tiny), only(b, ~tiny))})
+    return scored.withColumn("score", safe_partial(a, b, whole=F.col("_whole"), part=F.col("_part"))).filter(F.col("score") >= least).select("a", "b", "score")
 
 
 def alike(a: str, b: str, least: float) -> Column:
@@ -108,7 +122,7 @@ def alike(a: str, b: str, least: float) -> Column:
 
 
 def token_ratio(a: str, b: str) -> Column:
-    return ratio_udf(sorted_tokens(F.col(a)), sorted_tokens(F.col(b)))
+    return ratio_once_udf(sorted_tokens(F.col(a)), sorted_tokens(F.col(b)))
 
 
 def single_files(releases: DataFrame, files: DataFrame, on: list[str], least: float) -> DataFrame:
@@ -128,37 +142,53 @@ def files_taken(pool: DataFrame, release_tracks: DataFrame) -> DataFrame:
     pairs = pool.filter("n_title <> ''").join(asked, "release_id").filter(alike("asked", "n_title", LEAST_TRACK - NUMBER_BONUS))
     bonus = F.when(F.col("_number") == F.col("number"), NUMBER_BONUS).otherwise(0.0)
     scored = pairs.withColumn("own", F.least(F.lit(100.0), token_ratio("asked", "n_title") + bonus))
-    placed = settled(one_to_one(scored, ["release_id", "folder"], "place", "key", "place", "own", LEAST_TRACK))
-    rest = pool.join(placed.select("release_id", "folder").distinct(), ["release_id", "folder"], "left_anti")
-    columns = ["release_id", "folder", "key", "place", "own"]
-    empty = F.lit(None).cast(placed.schema["place"].dataType)
-    return placed.select(columns).union(rest.withColumns({"place": empty, "own": F.col("score")}).select(columns))
+    placed = one_to_one(scored, ["release_id", "folder"], "place", "key", "place", "own", LEAST_TRACK).withColumn("_given", F.lit(True))
+    empty = F.lit(None).cast(release_tracks.schema["place"].dataType)
+    columns = ["release_id", "folder", "key", "place", "own", "_given"]
+    rows = placed.select(columns).union(pool.withColumns({"place": empty, "own": F.col("score"), "_given": F.lit(False)}).select(columns))
+    # A window over the files of one folder.
+    any_ = F.max("_given").over(Window.partitionBy("release_id", "folder"))
+    return rows.withColumn("_any", any_).filter(F.col("_given") == F.col("_any")).drop("_given", "_any")
 
 
 def parts_of(edges: DataFrame) -> DataFrame:
-    """(release_id, part): releases that share folders, directly or through others, share a part; rounds grow with the longest chain."""
-    edges = settled(edges.select("release_id", "folder").distinct())
-    label = edges.select("release_id").distinct().withColumn("part", F.col("release_id"))
-    while True:
-        least = edges.join(label, "release_id").groupBy("folder").agg(F.min("part").alias("part"))
-        new = settled(edges.join(least, "folder").groupBy("release_id").agg(F.min("part").alias("part")))
-        if new.exceptAll(label).isEmpty():
-            return new
-        label = new
+    """(release_id, part): releases that share folders, directly or through others, share a part."""
+    first = edges.groupBy("folder").agg(F.min("release_id").alias("b"))
+    found = components(edges.join(first, "folder").select(F.col("release_id").alias("a"), "b")).toDF("release_id", "part")
+    return edges.select("release_id").distinct().join(found, "release_id", "left").withColumn("part", F.coalesce("part", "release_id"))
 
 
 FOLDER, FILE, TAKEN = 0, 1, 2
 CLAIM_COLUMNS = ["part", "rank", "seq", "release_id", "kind", "folder", "key", "score", "odd", "alone"]
 
 
+def claims_of(folders: DataFrame, files: DataFrame | None = None, taken: DataFrame | None = None) -> DataFrame:
+    """What releases may take, a row each: folders in their order of preference, single files, and the files that come with a folder."""
+    none = {"odd": F.lit(False), "alone": F.lit(False), "then": F.lit(0.0), "best": F.col("score")}
+    columns = ["release_id", "kind", "folder", "key", "score", "odd", "alone", "best", "then", "first", "own", "place"]
+    rows = folders.withColumns({"kind": F.lit(FOLDER), "key": F.lit(""), "own": F.col("score"), "place": F.lit(None).cast(taken.schema["place"].dataType if taken is not None else "int")}).select(columns)
+    if files is not None:
+        single = files.withColumns({"kind": F.lit(FILE), "first": F.col("key"), "own": F.col("score"), "place": F.lit(None).cast(taken.schema["place"].dataType), **none})
+        whole = taken.withColumn("score", F.col("own")).withColumns({"kind": F.lit(TAKEN), "first": F.col("key"), **none})
+        rows = rows.union(single.select(columns)).union(whole.select(columns))
+    return rows
+
+
+def in_order(claims: DataFrame, releases: DataFrame, ranked: bool = False) -> DataFrame:
+    """Claims with their release's ``part``, ``rank`` and ``seq``; the best folder's score ranks releases if ``ranked``."""
+    parts = parts_of(claims.filter(F.col("kind") != TAKEN).select("release_id", "folder"))
+    best = F.max(F.when(F.col("kind") == FOLDER, F.col("score"))).over(Window.partitionBy("release_id"))
+    rows = claims.withColumn("rank", best if ranked else F.lit(0.0))
+    return rows.join(parts, "release_id").join(releases.select("release_id", "seq"), "release_id")
+
+
 def decide(rows: DataFrame) -> DataFrame:
     """(release_id, folder, key, score): the folder or the single file that each release gets, in order of ``rank`` and ``seq``.
 
     Folder rows come in order of preference. The first free one wins unless it is ``odd`` (another volume); a release that is ``alone`` takes one
     free file of it if any fits; without a folder any free file does. What a release takes is taken for all later ones of its part.
     """
-    kinds = rows.select(*CLAIM_COLUMNS, "best", "then", "first")
-    ordered = kinds.repartition("part").sortWithinPartitions("part", F.desc("rank"), "seq", "release_id", "kind", F.desc("best"), F.desc("then"), "first", "folder")
+    ordered = rows.repartition("part").sortWithinPartitions("part", F.desc("rank"), "seq", "release_id", "kind", F.desc("best"), F.desc("then"), "first", "folder")
     schema = f"release_id {rows.schema['release_id'].dataType.simpleString()}, folder string, key string, score double"
 
     def walk(batches):
@@ -187,60 +217,53 @@ def decide(rows: DataFrame) -> DataFrame:
                 out = []
         yield pd.DataFrame(out, columns=["release_id", "folder", "key", "score"])
 
-    return settled(ordered.select(CLAIM_COLUMNS).mapInPandas(walk, schema))
-
-
-def claim_rows(folders: DataFrame, files: DataFrame, taken: DataFrame, releases: DataFrame, ranked: bool = False) -> DataFrame:
-    """Rows for :func:`decide` from folder candidates, single files and the files that come with a folder."""
-    none = {"odd": F.lit(False), "alone": F.lit(False), "then": F.lit(0.0), "best": F.col("score")}
-    f = folders.withColumns({"kind": F.lit(FOLDER), "key": F.lit("")})
-    s = files.withColumns({"kind": F.lit(FILE), "first": F.col("key"), **none})
-    t = taken.withColumn("score", F.col("own")).withColumns({"kind": F.lit(TAKEN), "first": F.col("key"), **none})
-    columns = ["release_id", "kind", "folder", "key", "score", "odd", "alone", "best", "then", "first"]
-    rows = f.select(columns).union(s.select(columns)).union(t.select(columns))
-    parts = parts_of(folders.select("release_id", "folder").union(files.select("release_id", "folder")))
-    rank = folders.groupBy("release_id").agg(F.max("score").alias("rank")) if ranked else releases.select("release_id", F.lit(0.0).alias("rank"))
-    return rows.join(parts, "release_id").join(rank, "release_id").join(releases.select("release_id", "seq"), "release_id")
+    return ordered.select(CLAIM_COLUMNS).mapInPandas(walk, schema)
 
 
 def given(decided: DataFrame, taken: DataFrame, phase: str) -> DataFrame:
-    """The files of each decision: those that come with the folder, or the single one."""
-    one = decided.filter("key is not null").select("release_id", "score", "key", F.lit(None).cast(taken.schema["place"].dataType).alias("place"), F.col("score").alias("own"))
-    whole = decided.filter("key is null").drop("key").join(taken, ["release_id", "folder"]).select("release_id", "score", "key", "place", "own")
-    return whole.union(one).withColumn("phase", F.lit(phase))
+    """The files of each decision: those that come with the folder, which is named, or the single one."""
+    files = taken.select(F.col("release_id").alias("_release"), F.col("folder").alias("_folder"), F.col("key").alias("_file"), "place", "own")
+    rows = decided.join(files, (F.col("release_id") == F.col("_release")) & (F.col("folder") == F.col("_folder")), "left")
+    one = F.col("key").isNotNull()
+    return rows.filter(one | F.col("_file").isNotNull()).select(
+        "release_id", "score", F.coalesce("key", "_file").alias("key"), "place", F.when(one, F.col("score")).otherwise(F.col("own")).alias("own"), "folder", F.lit(phase).alias("phase"))
 
 
 def other_volume(folder: Column) -> Column:
     return F.coalesce(T.volume(folder) != F.col("volume"), F.lit(False))
 
 
-def comment_phase(releases: DataFrame, tracks: DataFrame, release_tracks: DataFrame, folders: DataFrame, keys: DataFrame, least: float):
-    """Folders whose files' comments link to the release's sub-domain and whose last part is like the album; else such a single file."""
+def comment_phase(releases: DataFrame, tracks: DataFrame, release_tracks: DataFrame, folders: DataFrame, keys: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Folders whose files' comments link to the release's sub-domain and whose last part is like the album; else such a single file.
+
+    Like the phases after it: what releases get, and the files that come with what they get.
+    """
     mine = releases.filter("sub is not null")
     files = tracks.filter("folder <> ''").withColumn("sub", F.explode("subs"))
     shown = files.groupBy("sub", "folder").agg(F.count("*").alias("n_files"), F.min("key").alias("first")).withColumn("b", T.normalize_for_matching(F.regexp_extract("folder", "([^/]*)$", 1)))
     pairs = partial_pairs(mine.select("sub", F.col("title").alias("a")), shown.select("sub", "b"), least, on=("sub",))
-    scored = pairs.withColumn("score", partial_ratio_udf("a", "b")).filter(F.col("score") >= least)
+    scored = pairs.withColumn("score", partial_from_udf(least)("a", "b")).filter(F.col("score") >= least)
     met = mine.withColumnRenamed("title", "a").join(scored, ["sub", "a"]).join(shown, ["sub", "b"]).join(folders, "folder", "left_anti")
-    found = settled(met.select(
+    found = stored(met.select(
         "release_id", "sub", "folder", "score", other_volume(F.col("folder")).alias("odd"), ((F.col("n_tracks") == 1) & (F.col("n_files") > 1)).alias("alone"),
         F.col("score").alias("best"), F.lit(0.0).alias("then"), "first",
     ))
-    singles = settled(single_files(mine, files, ["sub"], least).join(keys, "key", "left_anti"))
+    singles = single_files(mine, files, ["sub"], least).join(keys, "key", "left_anti")
     pool = found.select("release_id", "sub", "folder", "score").join(files.select("sub", "folder", "key", "n_title", "number"), ["sub", "folder"])
-    taken = settled(files_taken(pool, release_tracks))
-    return decide(claim_rows(found, singles, taken, mine)), taken
+    claims = stored(claims_of(found, singles, files_taken(pool, release_tracks)))
+    return decide(in_order(claims, mine)), claims.filter(F.col("kind") == TAKEN)
 
 
-def folder_phase(releases: DataFrame, tracks: DataFrame, release_tracks: DataFrame, folders: DataFrame, keys: DataFrame, least: float):
+def folder_phase(releases: DataFrame, tracks: DataFrame, release_tracks: DataFrame, folders: DataFrame, keys: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """Each release's best folder, whose path names artist and album; the best release gets it, others a single file of it."""
     files = tracks.filter("folder <> ''")
     shown = files.groupBy("folder").agg(F.count("*").alias("n_files")).join(folders, "folder", "left_anti")
-    named = settled(shown.select("folder", F.explode(filled(F.transform(F.split("folder", "/"), T.normalize_for_matching))).alias("b")))
+    named = shown.select("folder", F.explode(filled(F.transform(F.split("folder", "/"), T.normalize_for_matching))).alias("b"))
+    # Artists and albums meet the parts of paths together; each then takes its own pairs.
+    pairs = stored(safe_pairs(releases.select(F.explode(F.array_union("artists", "albums")).alias("a")), named.select("b"), least))
 
     def scores(names, score):
         mine = releases.select("release_id", F.explode(names).alias("a"))
-        pairs = safe_pairs(mine.select("a"), named.select("b"), least)
         return mine.join(pairs, "a").join(named, "b").groupBy("release_id", "folder").agg(F.max("score").alias(score))
 
     both = scores("artists", "_artist").join(scores("albums", "_album"), ["release_id", "folder"])
@@ -248,14 +271,14 @@ def folder_phase(releases: DataFrame, tracks: DataFrame, release_tracks: DataFra
     bonus = F.when(F.col("n_tracks") > 0, COUNT_BONUS * F.least("n_tracks", "n_files") / F.greatest("n_tracks", "n_files")).otherwise(0.0)
     met = met.withColumn("score", F.col("_artist") * ARTIST + F.col("_album") * TITLE + bonus)
     best = met.groupBy("release_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "folder")).alias("m"))
-    found = settled(best.select(
+    found = stored(best.select(
         "release_id", F.col("m.folder").alias("folder"), (-F.col("m.s")).alias("score"), F.lit(False).alias("odd"), F.lit(False).alias("alone"),
         (-F.col("m.s")).alias("best"), F.lit(0.0).alias("then"), F.lit("").alias("first"),
     ))
-    pool = settled(found.select("release_id", "folder", "score").join(files.select("folder", "key", "n_title", "number"), "folder"))
+    pool = found.select("release_id", "folder", "score").join(files.select("folder", "key", "n_title", "number"), "folder")
     singles = single_files(releases.join(found.select("release_id", "folder"), "release_id"), files, ["folder"], least).join(keys, "key", "left_anti")
-    taken = settled(files_taken(pool, release_tracks))
-    return decide(claim_rows(found, settled(singles), taken, releases, ranked=True)), taken
+    claims = stored(claims_of(found, singles, files_taken(pool, release_tracks)))
+    return decide(in_order(claims, releases, ranked=True)), claims.filter(F.col("kind") == TAKEN)
 
 
 def weighed(mine: DataFrame, theirs: DataFrame, group: list[str], least: float, gate: float) -> DataFrame:
@@ -264,8 +287,8 @@ def weighed(mine: DataFrame, theirs: DataFrame, group: list[str], least: float,
     Of two parts whose weighted mean reaches a score one reaches it alone, so pairs come from alike artists and from alike titles.
     """
     theirs = theirs.filter("n_artist <> '' and n_title <> ''").distinct()
-    artists = settled(name_pairs(mine.select("artist"), theirs.select("n_artist"), least)).toDF("artist", "n_artist", "_a")
-    titles = settled(name_pairs(mine.select("title"), theirs.select("n_title"), least)).toDF("title", "n_title", "_t")
+    artists = name_pairs(mine.select("artist"), theirs.select("n_artist"), least).toDF("artist", "n_artist", "_a")
+    titles = name_pairs(mine.select("title"), theirs.select("n_title"), least).toDF("title", "n_title", "_t")
     rest_artist, rest_title = (least - 100 * TITLE) / ARTIST, (least - 100 * ARTIST) / TITLE
     by_artist = mine.join(artists, "artist").join(theirs, "n_artist").filter(alike("title", "n_title", max(gate, rest_title)))
     by_title = mine.join(titles, "title").join(theirs, "n_title").filter(alike("artist", "n_artist", max(gate, rest_artist)))
@@ -275,17 +298,16 @@ def weighed(mine: DataFrame, theirs: DataFrame, group: list[str], least: float,
     return met.groupBy(*group, "n_artist", "n_title").agg(F.max("score").alias("score")).filter(F.col("score") >= least)
 
 
-def global_phase(releases: DataFrame, tracks: DataFrame, folders: DataFrame, least: float):
+def global_phase(releases: DataFrame, tracks: DataFrame, folders: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """The free folder that holds most files of like artist and album."""
     mine = releases.select("release_id", F.explode("artists").alias("artist"), "albums").select("release_id", "artist", F.explode("albums").alias("title"))
     local = tracks.select("key", "folder", "n_artist", F.col("n_album").alias("n_title"))
     names = weighed(mine, local.select("n_artist", "n_title"), ["release_id"], least, LEAST_PART)
     met = names.join(local, ["n_artist", "n_title"]).join(releases.select("release_id", "volume"), "release_id").join(folders, "folder", "left_anti").filter(~other_volume(F.col("folder")))
-    rows = settled(met.select("release_id", "folder", "key", F.lit(None).cast("int").alias("place"), F.col("score").alias("own")))
+    rows = stored(met.select("release_id", "folder", "key", F.lit(None).cast("int").alias("place"), F.col("score").alias("own")))
     found = rows.groupBy("release_id", "folder").agg(F.avg("own").alias("score"), F.count("*").cast("double").alias("best"), F.round(F.sum("own"), 6).alias("then"), F.min("key").alias("first"))
-    found = settled(found.withColumns({"odd": F.lit(False), "alone": F.lit(False)}))
-    none = rows.select("release_id", "folder", "key", F.col("own").alias("score")).limit(0)
-    return decide(claim_rows(found, none, rows.limit(0), releases)), rows
+    found = found.withColumns({"odd": F.lit(False), "alone": F.lit(False)})
+    return decide(in_order(claims_of(found), releases)), rows
 
 
 def track_phase(releases: DataFrame, tracks: DataFrame, release_tracks: DataFrame, least: float) -> DataFrame:
@@ -305,26 +327,25 @@ def match_releases(releases: DataFrame, release_tracks: DataFrame, tracks: DataF
     ``place`` is the release's track that a file was given to, ``own`` that file's own score. Each phase sees the releases that
     earlier ones left, and the folders and files they left free.
     """
-    mine, local = settled(release_names(releases, release_tracks, domain)), settled(local_names(tracks, domain))
+    mine, local = stored(release_names(releases, release_tracks, domain)), stored(local_names(tracks, domain))
     least_here = max(least, LEAST_OF_PHASES)
     place = release_tracks.schema["place"].dataType
-    columns = ["release_id", "phase", "score", "key", "place", "own"]
-    out = url_matches(mine, local, "url", "release_id", "key").withColumns({"phase": F.lit("metadata"), "place": F.lit(None).cast(place), "own": F.col("score")}).select(columns)
-    out = settled(out)
-    folders = local.join(out.select("key").distinct(), "key", "left_semi").filter("folder <> ''").select("folder").distinct()
-    left = mine
-
-    for phase, run in (("comment", comment_phase), ("folder", folder_phase)):
-        left = left.join(out.select("release_id").distinct(), "release_id", "left_anti")
-        decided, taken = run(left, local, release_tracks, folders, out.select("key").distinct(), least_here)
-        out = settled(out.union(given(decided, taken, phase).select(columns)))
-        folders = settled(folders.union(decided.filter("folder is not null").select("folder")).distinct())
-
-    left = left.join(out.select("release_id").distinct(), "release_id", "left_anti")
-    decided, taken = global_phase(left, local, folders, least_here)
-    out = settled(out.union(given(decided, taken, "global").withColumn("place", F.col("place").cast(place)).select(columns)))
-    left = left.join(out.select("release_id").distinct(), "release_id", "left_anti")
-    out = settled(out.union(track_phase(left, local, release_tracks, least_here).select(columns)))
+    columns = ["release_id", "phase", "score", "key", "place", "own", "folder"]
+    met = url_matches(mine, local, "url", "release_id", "key").join(local.select("key", F.nullif(F.col("folder"), F.lit("")).alias("folder")), "key")
+    out = met.withColumns({"phase": F.lit("metadata"), "place": F.lit(None).cast(place), "own": F.col("score")}).select(columns)
+
+    def left() -> DataFrame:
+        return mine.join(out.select("release_id").distinct(), "release_id", "left_anti")
+
+    for phase in ("comment", "folder", "global"):
+        folders = out.select("folder").filter("folder is not null").distinct()
+        if phase == "global":
+            decided, taken = global_phase(left(), local, folders, least_here)
+        else:
+            run = comment_phase if phase == "comment" else folder_phase
+            decided, taken = run(left(), local, release_tracks, folders, out.select("key").distinct(), least_here)
+        out = stored(out.union(given(decided, taken, phase).withColumn("place", F.col("place").cast(place)).select(columns)))
+    out = stored(out.drop("folder").union(track_phase(left(), local, release_tracks, least_here).select(columns[:-1])))
     return out.join(local.select("key", "file"), "key").select("release_id", "phase", "score", T.tier(F.col("score")).alias("tier"), "key", "file", "place", "own")
 
 
@@ -363,7 +384,7 @@ def repair_matches(broken: DataFrame, tracks: DataFrame, releases: DataFrame, re
     where the encoding isn't.
     """
     clean = lambda c: T.normalize_for_matching(F.col(c))
-    known = settled(broken.join(tracks, "file", "left"))
+    known = stored(broken.join(tracks, "file", "left"))
     albums = releases.select("release_id", clean("band").alias("n_artist"), clean("album").alias("n_title"))
     songs = release_tracks.join(releases.select("release_id", "band"), "release_id").select("release_id", clean("band").alias("n_artist"), clean("title").alias("n_title"))
 
@@ -373,7 +394,7 @@ def repair_matches(broken: DataFrame, tracks: DataFrame, releases: DataFrame, re
         met = names.join(theirs, ["n_artist", "n_title"]).groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("s"), "release_id")).alias("m"))
         return met.select("file", F.col("m.release_id").alias("release_id"), (-F.col("m.s")).alias("score"), F.lit(kind).alias("match_type"))
 
-    whole = settled(best(known, "album", albums, "release"))
+    whole = stored(best(known, "album", albums, "release"))
     both = whole.union(best(known.join(whole, "file", "left_anti"), "title", songs, "track"))
     offered = formats.groupBy("release_id").agg(F.array_sort(F.collect_set("encoding")).alias("_have"))
     rows = known.join(both, "file", "left").join(offered, "release_id", "left")

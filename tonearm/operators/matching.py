@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+from itertools import combinations
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonearm.functions.similarity import partial_ratio_udf, ratio_udf, sorted_tokens, token_sort_ratio
+from tonearm.functions.similarity import partial_ratio_udf, ratio_once_udf, sorted_tokens, token_sort_ratio
 from tonearm.functions.text import normalize_for_matching, tier
 
-#: Names on the right side that every task may hold; more are met through shared letter pairs, with the same result.
-MOST_NAMES = 20_000
+#: Names up to this long are met through their subsequences where their letter pairs tell nothing.
+SHORT = 5
 
 
 def name_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(a, b, score) of distinct names whose token-sort ratio reaches ``least``.
 
-    Few right names are sent to all tasks; more are met by :func:`sharing_pairs`, which loses no pair. Lengths that can't
-    reach the score are dropped before any string is compared.
+    Candidates come from :func:`sharing_pairs`, which loses no pair. Lengths that can't reach the score are dropped before any string is compared.
     """
     a = left.select(F.col(left.columns[0]).alias("a")).filter("a is not null").distinct().withColumn("sa", sorted_tokens(F.col("a")))
     b = right.select(F.col(right.columns[0]).alias("b")).filter("b is not null").distinct().withColumn("sb", sorted_tokens(F.col("b")))
     near = 200.0 * F.least(F.length("sa"), F.length("sb")) >= least * (F.length("sa") + F.length("sb"))
-    if b.limit(MOST_NAMES + 1).count() <= MOST_NAMES:
-        pairs = a.join(F.broadcast(b), near)
-    else:
-        pairs = sharing_pairs(a, b, near, least)
-    return pairs.withColumn("score", ratio_udf("sa", "sb")).filter(F.col("score") >= least).select("a", "b", "score")
+    return sharing_pairs(a, b, near, least).withColumn("score", ratio_once_udf("sa", "sb")).filter(F.col("score") >= least).select("a", "b", "score")
 
 
 def sharing_pairs(a: DataFrame, b: DataFrame, near: Column, least: float) -> DataFrame:
@@ -33,7 +33,8 @@ def sharing_pairs(a: DataFrame, b: DataFrame, near: Column, least: float) -> Dat
 
     A common subsequence of L of m and n letters leaves 3L - m - n - 1 pairs of neighbouring letters in common, repeats told
     apart. With the least L and n that reach the score, that is a bound for each name alone, so two such names
-    share one of the rarest letter pairs of each. Names too short for the bound are compared with one another.
+    share one of the rarest letter pairs of each. Names too short for the bound meet on what they have in common, which is one of at most 31
+    subsequences of each; below a score of about 69 the bound fails for longer names too, and those meet all short ones by length.
     """
     def bound(s):
         m = F.length(s)
@@ -50,14 +51,66 @@ def sharing_pairs(a: DataFrame, b: DataFrame, near: Column, least: float) -> Dat
         return d.join(seen, "pair").withColumn("_place", place).filter(F.col("_place") <= F.length(s) - F.greatest(bound(s), F.lit(1))).select(name, s, "pair")
 
     met = rarest(left, "a", "sa").join(rarest(right, "b", "sb"), "pair").filter(near).select("a", "b", "sa", "sb").distinct()
-    short = a.filter(bound("sa") < 1).join(b.filter(bound("sb") < 1), near).select("a", "b", "sa", "sb")
-    return met.union(short).distinct()
+    if not covered(least):
+        return met.union(a.filter(bound("sa") < 1).join(b.filter(bound("sb") < 1), near).select("a", "b", "sa", "sb")).distinct()
+    left_of = subsequences_udf(least)
+    brief = lambda d, s: d.filter(F.length(s).between(1, SHORT)).withColumn("key", F.explode(left_of(s)))
+    short = brief(a, "sa").join(brief(b, "sb"), "key").filter(near).select("a", "b", "sa", "sb")
+    blank = a.filter("sa = ''").join(b.filter("sb = ''"), F.col("sa") == F.col("sb")).select("a", "b", "sa", "sb")
+    return met.union(short).union(blank).distinct()
+
+
+def covered(least: float) -> bool:
+    """Whether names of more than ``SHORT`` letters that reach ``least`` share a letter pair."""
+    return least >= 200 or math.ceil((SHORT + 1) * ((3.0 * least - 200.0) / (200.0 - least)) - 1.000001) >= 1
 
 
 def letter_pairs(c: Column) -> Column:
-    """Pairs of neighbouring letters, repeats told apart by their number."""
+    """Pairs of neighbouring letters, sorted, repeats told apart by their number."""
     pairs = F.when(F.length(c) > 1, F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.expr("cast(array() as array<string>)"))
-    return F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+    # An array of one holds the sorted pairs, so that they are sorted once.
+    return F.transform(F.array(F.array_sort(pairs)), lambda s: F.transform(s, lambda g, i: F.concat(g, (i - F.array_position(s, g) + 2).cast("string"))))[0]
+
+
+@lru_cache(maxsize=None)
+def kept_letters(n: int, count: int) -> tuple[tuple[int, ...], ...]:
+    return tuple(combinations(range(n), count))
+
+
+def least_common(n: int, least: float) -> int:
+    """The fewest letters that a name of ``n`` has in common with any string, if their ratio reaches ``least``: the string is all of them."""
+    return max(1, math.ceil(n * least / (200.0 - least) - 1e-9))
+
+
+def subsequences_udf(least: float):
+    """All that may be left of a short name, at most 31 strings: its subsequences of :func:`least_common` letters and more."""
+
+    @F.pandas_udf("array<string>")
+    def left(names: pd.Series) -> pd.Series:
+        return pd.Series([sorted({"".join([x[i] for i in keep]) for count in range(least_common(len(x), least), len(x) + 1) for keep in kept_letters(len(x), count)}) for x in names], dtype=object)
+
+    return left
+
+
+def window_subsequences_udf(least: float, most: int):
+    """``n`` and ``key`` of what a short name of each length up to ``most`` may share with a window of that length: all its subsequences of the fewest letters.
+
+    Each starts at its window's first letter, so a name gives a fixed number of keys for each of its letters.
+    """
+
+    @F.pandas_udf("array<struct<n:int,key:string>>")
+    def shared(names: pd.Series) -> pd.Series:
+        out = []
+        for x in names:
+            keys = set()
+            for n in range(1, most + 1):
+                rest = kept_letters(n - 1, least_common(n, least) - 1)
+                for at in range(len(x)):
+                    keys.update((n, x[at] + "".join([x[at + 1 + i] for i in keep])) for keep in rest if not keep or at + 1 + keep[-1] < len(x))
+            out.append([{"n": n, "key": key} for n, key in sorted(keys)])
+        return pd.Series(out, dtype=object)
+
+    return shared
 
 
 def best_match(pairs: DataFrame) -> DataFrame:
@@ -83,10 +136,11 @@ def band_candidates(name: Column) -> Column:
     return F.array_distinct(F.concat(three, two, F.array(name)))
 
 
-def safe_partial(query: Column, target: Column, least: int = 4) -> Column:
+def safe_partial(query: Column, target: Column, least: int = 4, whole: Column | None = None, part: Column | None = None) -> Column:
     """Partial ratio, lowered where lengths differ much; short names are compared whole.
 
-    A shorter name of two or more words that all stand in the longer one loses at most 15 %.
+    A shorter name of two or more words that all stand in the longer one loses at most 15 %. ``whole`` and ``part`` are the token-sort and partial ratios where they
+    are known; a null one gives a null.
     """
     q, t = F.length(query), F.length(target)
     share = F.least(q, t) / F.greatest(q, t)
@@ -94,8 +148,8 @@ def safe_partial(query: Column, target: Column, least: int = 4) -> Column:
     short, long_ = F.when(q <= t, query).otherwise(target), F.when(q <= t, target).otherwise(query)
     inside = (F.size(words(short)) >= 2) & (F.size(F.array_except(words(short), words(long_))) == 0)
     factor = F.when(share >= 0.5, 1.0).when(inside, F.greatest(2 * share, F.lit(0.85))).otherwise(2 * share)
-    whole = F.least(q, t) < least
-    score = F.when(whole, token_sort_ratio(query, target)).otherwise(partial_ratio_udf(query, target) * factor)
+    whole, part = token_sort_ratio(query, target) if whole is None else whole, partial_ratio_udf(query, target) if part is None else part
+    score = F.when(F.least(q, t) < least, whole).otherwise(part * factor)
     return F.when((q > 0) & (t > 0), score).otherwise(F.lit(0.0))
 
 

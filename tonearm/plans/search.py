@@ -174,3 +174,25 @@ def ordered(df: DataFrame, by: str, then: tuple[str, ...] = ()) -> DataFrame:
     name = by.lstrip("-")
     key = F.lower(name) if dict(df.dtypes)[name] == "string" else F.col(name)
     return df.orderBy(key.desc_nulls_first() if by.startswith("-") else key.asc_nulls_last(), *then)
+
+
+def default_order(found: DataFrame, query: str, artist: str, title: str) -> DataFrame:
+    """Hits of a search string by artist and title, bytes compared and nulls first; without a clause the rows stay as they come."""
+    return found.orderBy(F.col(artist).asc_nulls_first(), F.col(title).asc_nulls_first()) if parse(query) else found
+
+
+def chosen_columns(found: DataFrame, names: str, known: dict[str, str]) -> DataFrame:
+    """The columns of a comma-separated list, in its order; ``known`` gives what each name stands for, and another name is an error that tells the known ones."""
+    wanted = [n.strip() for n in names.split(",")]
+    odd = [n for n in wanted if n not in known]
+    if odd:
+        raise SearchError(names, f"unknown column {odd[0]}; available: {', '.join(known)}")
+    return found.select(*[F.col(known[n]).alias(n) for n in dict.fromkeys(wanted)])
+
+
+def json_rows(found: DataFrame, fields: dict[str, str], key: str, children: DataFrame, child: str, name: str) -> DataFrame:
+    """``json``: each hit as an object of the given fields, null ones too, with its sorted child values as an array; the rows are the array's elements."""
+    lists = children.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_set(child)).alias("_list"))
+    rows = found.join(lists, F.col(key) == F.col("_key"), "left")
+    values = [F.col(c).alias(n) for n, c in fields.items()] + [F.coalesce("_list", F.array().cast("array<string>")).alias(name)]
+    return rows.select(F.to_json(F.struct(*values), {"ignoreNullFields": "false"}).alias("json"))

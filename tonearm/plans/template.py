@@ -93,3 +93,39 @@ def expanded(df: DataFrame, children: DataFrame, key: str, name: str, template:
     if name not in variables(template):
         return df
     return df.drop(name).join(children.select(key, name).distinct(), key, "left")
+
+
+# What a strict path may not hold.
+UNSAFE_STRICT = r'[<>:"|?*\x00-\x1f]'
+
+
+def track_columns(df: DataFrame, file: str = "file") -> DataFrame:
+    """The columns that templates know of tracks: those of the table, ``filename`` and ``ext`` made of its file, ``key`` from ``key_musical`` where that exists."""
+    path = F.nullif(F.col(file), F.lit(""))
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    out = df.withColumns({"filename": F.regexp_replace(name, r"(?<=[^.])\.[^.]*$", ""), "ext": F.regexp_extract(name, r"[^.]\.([^.]*)$", 1)})
+    return out.withColumn("key", F.col("key_musical")) if "key_musical" in df.columns else out
+
+
+def strict_path(df: DataFrame, template: str, known: tuple[str, ...] = ("genre", "label", "artist", "album", "year")) -> tuple[Column, bool]:
+    """A release's folder, and whether the template could be read: one that can't be, or that names something else than ``known``, gives ``artist - album`` or ``Unknown``.
+
+    Null values read as empty ones. Unsafe characters go, as do blanks and dots at the ends of segments and segments that are then empty; a path without any is ``Unknown``.
+    """
+    full = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in known if c in df.columns])
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in full.columns else F.lit("") for c in known}
+    readable = variables(template) <= set(known) and not any(mark in _PART.sub("", template) for mark in ("{{", "}}", "{%", "%}", "{#", "#}"))
+    parts, at = [], 0
+    for m in _PART.finditer(template) if readable else ():
+        value = text[m[1]]
+        for name, args in _FILTER.findall(m[2]):
+            if name not in FILTERS:
+                readable = False
+                continue
+            value = FILTERS[name](value, *([a.strip().strip("'\"") for a in args.split(",")] if args else []))
+        parts += [F.lit(template[at : m.start()]), value]
+        at = m.end()
+    other = F.when((text["artist"] != "") & (text["album"] != ""), F.concat(text["artist"], F.lit(" - "), text["album"])).otherwise("Unknown")
+    made = F.concat(*parts, F.lit(template[at:])) if readable else other
+    segments = F.transform(F.split(made, "/"), lambda p: F.regexp_replace(F.regexp_replace(p, UNSAFE_STRICT, ""), r"^[ .]+|[ .]+$", ""))
+    return F.coalesce(F.nullif(F.array_join(F.filter(segments, lambda p: p != ""), "/"), F.lit("")), F.lit("Unknown")), readable

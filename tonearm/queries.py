@@ -10,23 +10,10 @@ from tonearm.functions import text as T
 from tonearm.operators import cascade, changelog, cue, library, matching, releases, runs
 from tonearm.plans import template
 from tonearm.plans.search import Catalog, ordered, search
+from tonearm.registry import ORACLE_SQL, QUERIES, query
 from tonearm.sources.tables import table
 from tonearm.streaming import refresh
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
 # Search strings over parts (as tracks) with their order lines' flags (as crates).
 
 PART_FIELDS = {"name": "p_name", "brand": "p_brand", "type": "p_type", "size": "p_size", "price": "p_retailprice"}
@@ -836,3 +823,6 @@ def runs_names_of(spark, d):
     ids = table(spark, d, "customer").selectExpr("c_custkey", "array((c_nationkey + 5) % 25, c_nationkey, (c_nationkey + 5) % 25, 99) AS ids")
     names = table(spark, d, "nation").filter("n_regionkey > 0").selectExpr("n_nationkey AS id", "n_name AS name")
     return runs.names_of(ids, "c_custkey", "ids", names).withColumn("names", F.array_join("names", "|"))
+
+
+from tonearm import queries_more  # noqa: E402, F401  (registers its own)

@@ -1,34 +1,47 @@
-"""A change-log folder followed as a stream: each run replays only keys with new files."""
+"""A change-log folder followed as a stream: each batch is merged into what is known of its keys."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.operators.changelog import current_values, operations, replace_keys
-from tonearm.sources.tables import shared_folder
+from tonearm.operators.changelog import operations
+from tonearm.operators.versions import KeyedTable
+from tonearm.sources.tables import settled, shared_folder
 
+LAST = "key string, field string, value string, op string, line_no bigint, pos int"
 
-def follow_changes(spark: SparkSession, log_dir: str, schema: str, state: Callable[[], DataFrame | None], save: Callable[[DataFrame], None], checkpoint: str):
-    """Starts a stream of (key, line_no, line) files that ends once all are read.
 
-    Every batch replays the logs of its keys from all lines read so far and replaces their rows in the table that
-    ``state`` reads and ``save`` writes.
+def last_operations(ops: DataFrame) -> DataFrame:
+    """The last operation on each value with its place, so that logs may be replayed piece by piece."""
+    last = F.max(F.struct("line_no", "pos", "op")).alias("m")
+    return ops.filter("op is not null").groupBy("key", "field", "value").agg(last).select("key", "field", "value", "m.op", "m.line_no", "m.pos")
+
+
+def follow_changes(spark: SparkSession, log_dir: str, schema: str, table: KeyedTable, checkpoint: str):
+    """Starts a stream of (key, line_no, line) files that ends once all are read; ``table`` has the columns ``LAST``.
+
+    A batch reads its own lines and the known last operations of its keys, never older logs; the later operation stays, whichever comes first. So a batch that
+    is run again changes nothing, and only the buckets that hold its keys are written. Values that stand are those of :func:`standing`.
     """
     lines = spark.readStream.schema(schema).parquet(log_dir)
 
-    def apply(batch: DataFrame, _: int) -> None:
-        keys = batch.select("key").distinct()
-        fresh = current_values(operations(spark.read.schema(schema).parquet(log_dir).join(keys, "key", "left_semi")))
-        base = state()
-        save(fresh if base is None else replace_keys(base, fresh, keys, "key"))
+    def apply(batch: DataFrame, number: int) -> None:
+        new = settled(last_operations(operations(batch.withColumn("key", F.col("key").cast("string")))))
+        keys = new.select("key").distinct()
+        known = table.read().join(keys, "key", "left_semi")
+        table.replace(keys, last_operations(known.unionByName(new.select(known.columns))), f"batch {number}")
 
     return lines.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def standing(table: KeyedTable) -> DataFrame:
+    """(key, field, value) after all batches."""
+    return table.read().filter("op = '+'").select("key", "field", "value")
+
+
 def hourly_counts(spark: SparkSession, path: str, ts: str, kind: str, lateness: str = "1 hour") -> DataFrame:
     """``start``, ``kind`` and ``n``: rows per hour and kind, by a windowed aggregation with a watermark over a file stream.
 
