@@ -38,7 +38,7 @@ FEW = 8
 LEAST_SHARE = 0.1
 MOST_TERMS = 400_000
 DOCS_PER_RANGE = 512
-MOST_RANGES = 1 << 16
+MOST_RANGES = 1 << 20
 SEED = "i-match-1"
 _SPLIT = r"[\s\p{Punct}]+"
 #: A term that every text has, so that texts without lexicon terms keep their rows.
@@ -153,9 +153,14 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     whole = whole.select(*keys, *[x for v in (0, 1, 2) for x in (band_of(v), every_of(v))])
     few = lambda v: F.size(f"codes{v}") < F.greatest(F.lit(float(FEW)), F.size(f"every{v}") * LEAST_SHARE)
     whole = whole.select("*", *[few(v).alias(f"few{v}") for v in (0, 1, 2)])
-    whole = whole.select("*", *[hashes(F.col(f"codes{v}")).alias(f"prints{v}") for v in (0, 1, 2)], *[hashes(F.col(f"every{v}")).alias(f"wide{v}") for v in (0, 1, 2)])
     down = Window.partitionBy("part").orderBy(F.desc("rid"))
-    whole = whole.select("*", *[F.when(F.col("last"), F.col(f"{c}2")).otherwise(F.lead(f"{c}0").over(down)).alias(f"next_{c}") for c in ("prints", "wide", "few")])
+    after = lambda c: F.when(F.col("last"), F.col(f"{c}2")).otherwise(F.lead(f"{c}0").over(down)).alias(f"next_{c}")
+    whole = whole.select("*", after("few"), F.lag("few0").over(down).alias("few_before"))
+    # All terms are hashed only where a comparison takes them: with the edited text, the next text, or the one whose next text this is.
+    asked = (F.col("few0") | F.col("few1") | F.col("next_few") | F.coalesce("few_before", F.lit(False)), F.col("few0") | F.col("few1"), F.col("last") & (F.col("few0") | F.col("few2")))
+    wide = [F.when(need, hashes(F.col(f"every{v}"))).otherwise(F.expr("cast(array() as array<bigint>)")).alias(f"wide{v}") for v, need in enumerate(asked)]
+    whole = whole.select("*", *[hashes(F.col(f"codes{v}")).alias(f"prints{v}") for v in (0, 1, 2)], *wide)
+    whole = whole.select("*", after("prints"), after("wide"))
     own = lambda v, c: F.when(F.col(f"few{v}"), F.col(f"every{v}" if c == "codes" else f"wide{v}")).otherwise(F.col(f"{c}{v}"))
     near = lambda other, text: F.when(F.col("few0") | F.col(other.format("few")), likeness(F.col("wide0"), F.col(other.format("wide")), F.col("own"), F.col(text))).otherwise(likeness(F.col("prints0"), F.col(other.format("prints")), F.col("own"), F.col(text)))
     return whole.select(
