@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import struct
 from collections import Counter, defaultdict
@@ -408,8 +409,39 @@ def test_short_items_and_several_blocks(spark):
     items = [(1, "the cat sat on a mat"), (2, "yes"), (3, "yes no"), (4, "Long benchmark passages are compare with some edits allowed, and this is one of these passages."), (5, ""), (6, None), (7, "42 yes")]
     df = docs_df(spark, [(i, t, "en", "web", None) for i, t in enumerate(texts)])
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = {0: [2], 1: [1], 2: [1], 3: [], 4: [], 5: [3], 6: [], 7: [], 8: [4]}
+    want = {0: [2], 1: [1, 2], 2: [1], 3: [], 4: [], 5: [2, 3], 6: [], 7: [], 8: [4]}
     for most in (decontaminate.BLOCK_BYTES, 60):
         got = {r["doc_id"]: sorted(h["item_id"] for h in r["hits"]) for r in decontaminate.find_leaks(df, bench, most_bytes=most).collect()}
         assert got == want
         assert {r["doc_id"] for r in decontaminate.drop_leaks(df, bench, most_bytes=most).collect()} == {i for i, x in want.items() if not x}
+
+
+def test_repeated_grams_and_short_items_against_every_alignment():
+    """Items and texts of a small alphabet, whose q-grams repeat: hits are those of a plain alignment of every item with every text."""
+    rng = random.Random(7)
+    some = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    items = [(i, x) for i, x in enumerate(["0" * 40, "ab" * 20, "aab " * 9, "a", "ab", "b a", *[some(rng.randint(3, 60)) for _ in range(25)]])]
+    texts = ["0" * 500, "x" + "ab" * 60, "aab " * 40, "0" * 20 + "1" + "0" * 25, *[some(rng.randint(1, 300)) for _ in range(60)]]
+    index = decontaminate.Index(items)
+    data = [decontaminate.normalised(t) for t in texts]
+
+    def plain(item, text, k):
+        if len(item) < decontaminate.MIN_ITEM:
+            return 0 if f" {item.decode()} " in f" {text.decode()} " else None
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(item, 1):
+            row, old = [i], row
+            for j, t in enumerate(text, 1):
+                row.append(min(old[j - 1] + (c != t), old[j] + 1, row[-1] + 1))
+        return min(row) if min(row) <= k else None
+
+    want = {(t, i): d for t, text in enumerate(data) for i, item in enumerate(index.items) if (d := plain(item, text, int(index.edits[i]))) is not None}
+    assert {(t, i): d for t, i, d, *_ in index.matches(data)} == want
+    assert any(d for d in want.values())
+
+
+def test_hits_are_bounded():
+    """A text of one repeated letter touches each band once for a place, not once for each place of the item."""
+    index = decontaminate.Index([(1, "0" * 200), (2, "0" * 200 + "1")])
+    assert len(index.codes) == 2 and index.count.max() == 2
+    assert {i for _, i, *_ in index.matches([b"0" * 100_000])} == {0, 1}

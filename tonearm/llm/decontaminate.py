@@ -4,14 +4,15 @@ Texts and benchmark items are compared in lower case, with every run of other AS
 and digits read as one space. An item of ``m`` bytes may be matched with ``k = floor(RATE * m)`` edits. By the q-gram
 lemma such a match shares ``m + 1 - q - k * q`` q-grams with the item, all within ``k`` diagonals of its own; the
 shared q-grams are counted in diagonal bands that overlap by half, so that each match lies whole in one.
-Bands that reach the bound are verified by alignment within the band.
+Bands that reach the bound are verified by alignment within the band. A q-gram of a text counts once in a band, however often the item repeats it, since a match
+gives it one place; and hits are counted ``HITS`` at a time, so repeated and frequent q-grams cost time, not memory.
 
 The benchmark is held by the tasks in blocks of at most ``BLOCK_BYTES``, one at a time; a larger one takes more passes
 over the documents, whose hits meet in a join.
 
 Defined results: null and empty texts, and texts shorter than an item less its edits, have no match with it;
-items under ``MIN_ITEM`` bytes once normalised are matched without edits, between blanks; those under ``Q`` bytes only by a text that
-is equal to them; those that are null or empty match nothing. For others ``k`` is reduced until the bound is at
+items under ``MIN_ITEM`` bytes once normalised are matched without edits, as whole words, those under ``Q`` bytes by a look-up of the text's words;
+those that are null or empty match nothing. For others ``k`` is reduced until the bound is at
 least one q-gram; long texts are read whole; repeated rows and repeated items are each reported; an empty
 benchmark leaves every document clean. Only the named columns are read; the filter returns all columns as they are.
 """
@@ -33,6 +34,7 @@ RATE = 0.1
 MIN_ITEM = 24
 BLOCK_BYTES = 16 << 20
 CHUNK = 1 << 19
+HITS = 1 << 20
 _BITS = 22
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _KEEP = bytes(c if c >= 128 or chr(c) in string.ascii_letters + string.digits else 32 for c in range(256))
@@ -67,16 +69,22 @@ class Index:
         self.tiny: dict[bytes, list[int]] = {}
         for place, (_, n) in enumerate(kept):
             if len(n) < Q:
-                self.tiny.setdefault(n, []).append(place)
+                self.tiny.setdefault(n.split(b" ", 1)[0], []).append(place)
         self.least = self.sizes + 1 - Q - self.edits * Q
         self.step = 2 * self.edits + 1
         codes = [grams(n) for n in self.items]
         flat = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
         place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, np.int64)
-        order = np.argsort(flat, kind="stable")
-        self.codes, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
-        self.item, self.place = item[order], place[order]
+        order = np.lexsort((place, item, flat))
+        flat, item, place = flat[order], item[order], place[order]
+        # Places of a q-gram in one item that lie a step apart or less touch all bands between them; such runs are one entry.
+        new = np.ones(len(flat), dtype=bool)
+        new[1:] = (flat[1:] != flat[:-1]) | (item[1:] != item[:-1]) | (place[1:] - place[:-1] > self.step[item[1:]])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(flat))[: len(first)] - 1
+        self.item, self.low, self.high = item[first], place[first], place[last]
+        self.codes, self.first, self.count = np.unique(flat[first], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << _BITS, dtype=bool)
         self.seen[(self.codes * _ODD) >> np.uint64(64 - _BITS)] = True
 
@@ -91,14 +99,17 @@ class Index:
         at = np.searchsorted(self.codes, code[maybe])
         hit = self.codes[np.minimum(at, len(self.codes) - 1)] == code[maybe]
         at, pos = at[hit], maybe[hit]
-        n = self.count[at]
-        which = np.repeat(self.first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pos, item = np.repeat(pos, n), self.item[which]
-        text = np.searchsorted(begin, pos, side="right") - 1
-        # Diagonals start at 0 when the item starts its own length before the text does.
-        band = (pos - begin[text] - self.place[which] + self.sizes[item]) // self.step[item]
-        key = (text << 44) | (item << 26) | (band + 1)
-        key, n = np.unique(key, return_counts=True)
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ends = np.cumsum(self.count[at])
+        done = 0
+        while done < len(at):
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + HITS, side="right")))
+            for key in self.touched(at[done:upto], pos[done:upto], begin):
+                merged, back = np.unique(np.concatenate([keys, key]), return_inverse=True)
+                counts = np.bincount(back, weights=np.concatenate([counts, np.ones(len(key), np.int64)]), minlength=len(merged)).astype(np.int64)
+                keys = merged
+            done = upto
+        key, n = keys, counts
         after = np.searchsorted(key, key + 1)
         after = np.where((after < len(key)) & (key[np.minimum(after, len(key) - 1)] == key + 1), after, -1)
         before = np.full(len(key), -1)
@@ -109,9 +120,29 @@ class Index:
         key = np.unique(np.concatenate(found))
         return np.column_stack([key >> 44, (key >> 26) & ((1 << 18) - 1), (key & ((1 << 26) - 1)) - 1])
 
+    def touched(self, at: np.ndarray, pos: np.ndarray, begin: np.ndarray):
+        """Keys (text, item, band) of the bands that the q-grams ``at`` of the positions touch, each band once for a position; about ``HITS`` at a time."""
+        n = self.count[at]
+        which = np.repeat(self.first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pos, item = np.repeat(pos, n), self.item[which]
+        text = np.searchsorted(begin, pos, side="right") - 1
+        # Diagonals start at 0 when the item starts its own length before the text does.
+        diagonal = pos - begin[text] + self.sizes[item]
+        least, most = (diagonal - self.high[which]) // self.step[item], (diagonal - self.low[which]) // self.step[item]
+        head = (text << 44) | (item << 26) | (least + 1)
+        more = most - least
+        yield head
+        step = 1
+        while (more >= step).any():
+            yield (head + step)[more >= step]
+            step += 1
+
     def matches(self, texts: list[bytes]):
         """(text, item, distance, start, end) of verified matches; the best of each text and item."""
-        best = {(t, i): (0, 0, len(x)) for t, x in enumerate(texts) for i in self.tiny.get(x, ())} if self.tiny else {}
+        best = {}
+        for t, x in enumerate(texts) if self.tiny else ():
+            for word in self.tiny.keys() & set(x.split(b" ")):
+                best |= {(t, i): found for i in self.tiny[word] if (found := between_blanks(self.items[i], x))}
         for text, item, band in self.candidates(texts).tolist():
             k, m, step = int(self.edits[item]), int(self.sizes[item]), int(self.step[item])
             low = band * step - m
