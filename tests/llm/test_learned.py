@@ -86,11 +86,27 @@ OTHER_LAYOUTS = {
     "control in a sentence": (f"<article><p>{PROSE}</p><p>Use the <button>Go</button> key.</p><p>{PROSE}</p></article>", f"{PROSE.strip()} Use the key. {PROSE.strip()}"),
     "table layout": (f"<table><tr><td><a href=a>One</a> <a href=b>Two</a> <a href=c>Three</a></td><td><p>{PROSE}<p>{PROSE}</td></tr></table>", f"{PROSE.strip()} {PROSE.strip()}"),
     "line breaks": (f"<body><div>{PROSE}<br><br>{PROSE}</div><div class=footer>&copy; 2020 Some House</div>", f"{PROSE.strip()} {PROSE.strip()}"),
+    "own header and footer": (f"<article><header><h1>Lamps</h1></header><p>{PROSE}</p><footer>Tags</footer></article>", PROSE.strip()),
+    "one short paragraph": ("<article><p>Short.</p></article>", "Short."),
+    "short paragraph beside a menu": ("<nav><a href=/>Home</a></nav><article><p>Short.</p></article><footer>&copy; Some House</footer>", "Short."),
+    "linked paragraph and sources": (f"<article><p>{PROSE}</p><p><a href='/q'>The full report of the commission</a></p><h2>Sources</h2><ul><li><a href='/a'>Harbour rolls</a></li><li><a href='/b'>City archive</a></li></ul></article>", f"{PROSE.strip()} The full report of the commission Sources Harbour rolls City archive"),
+    "list of comments": (f"<article><h1>Lamps</h1><p>{PROSE}</p></article><h3>Responses</h3><ol class=\"commentlist\"><li><p>What a nice piece, thanks for it.</p></li><li><p>I do not agree at all.</p></li></ol>", f"Lamps {PROSE.strip()}"),
     "search form": (f"<form class=search><label>Find</label><input name=q><button>Go</button></form><main><p>{PROSE}</p><p>{PROSE}</p></main>", f"{PROSE.strip()} {PROSE.strip()}"),
     "quotation marks": (f"<main><p title=it's>{PROSE}</p><p data-x='a>b'>{PROSE}</p><p>1 < 2 &amp; 3 &gt; 2, as everybody knows by now.</p></main>", f"{PROSE.strip()} {PROSE.strip()} 1 < 2 & 3 > 2, as everybody knows by now."),
 }
 
 
+def test_shipped_weights_are_those_of_the_samples():
+    made, found = html.retrain(), html.trained_model()
+    assert set(made.weights) == set(found.weights)
+    assert max(abs(v - found.weights[k]) for k, v in made.weights.items()) < 1e-3 and np.allclose(made.pairs, found.pairs, atol=1e-3)
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "u", "<article><p>Short.</p></article>", "x", "y", "z")], "page_id long, url string, html string, text string, _html string, n_chars string")
+    assert [tuple(r) for r in html.extract_pages(rows).collect()] == [(1, "u", "Short.")]
+
+
 @pytest.mark.parametrize("name", OTHER_LAYOUTS)
 def test_layouts_that_the_samples_do_not_have(name):
     page, want = OTHER_LAYOUTS[name]

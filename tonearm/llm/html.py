@@ -4,7 +4,10 @@ A page is a tree of block elements and runs of text. Each node is content or not
 seen at the node (its tag, words in its class, id and role, its text and links), and a two-by-two potential connects
 it with its parent. Messages pass up from the leaves and down from the root (sum-product), which gives every
 run's exact marginal; the runs likelier content than not are the main text. Both potentials are
-trained on labelled pages, which :mod:`tonearm.llm.page_samples` makes.
+trained on labelled pages, which :mod:`tonearm.llm.page_samples` makes; the weights that :func:`trained_model` learns lie beside this module, so that nothing
+is trained when a job starts, and :func:`retrain` makes them anew.
+
+Headers are left out wherever they stand: a title in an article's own ``header`` is part of that header, one outside it is part of the article.
 
 Scripts, styles, templates, the head, controls and other elements that never show prose are left out when the tree is built, as are comments.
 A form is a block like any other, and the model judges it: some pages stand in a form as a whole. Controls don't cut the block they stand in.
@@ -17,9 +20,11 @@ same text; an empty table gives no rows. Only the named columns are read.
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 from html import unescape
+from importlib import resources
 from math import exp, log
 
 import numpy as np
@@ -56,15 +61,18 @@ HINTS = {
     "main": "article content main post entry story body text page article-body prose maincontent",
     "hide": "hidden hide invisible none sr visually",
 }
+#: Elements that say which part of a page they hold, and those that head what follows.
+ZONES, HEADINGS = frozenset("article main nav header footer aside form".split()), frozenset("h1 h2 h3 h4 h5 h6".split())
 _HINT_OF = {w: k for k, words in HINTS.items() for w in words.split()}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "hints", "text", "linked", "kids", "controls", "size")
+    __slots__ = ("tag", "parent", "hints", "text", "linked", "kids", "controls", "size", "zone", "before", "lead", "replies")
 
     def __init__(self, tag, parent, hints=frozenset()):
         self.tag, self.parent, self.hints = tag, parent, hints
         self.text, self.linked, self.kids, self.controls, self.size = None, 0, 0, 0, 0
+        self.zone, self.before, self.lead, self.replies = "none", "none", "none", False
 
 
 def hints_of(attrs: str) -> frozenset:
@@ -235,7 +243,18 @@ def tree(html: str) -> list[Node]:
 
 
 def measured(nodes: list[Node]) -> None:
-    """Sets how much text stands in each form."""
+    """Sets how much text stands in each form, the part of the page that each node stands in, what kind of node stands before it and before the list it is in, and whether it stands among readers' comments or heads them."""
+    last: dict[int, tuple[str, Node]] = {}
+    for x in nodes[1:]:
+        x.zone = x.tag if x.tag in ZONES else nodes[x.parent].zone
+        x.before, own = last.get(x.parent, ("none", x))
+        x.lead = x.before if x.tag in ("ul", "ol") else nodes[x.parent].lead
+        x.replies = "comment" in x.hints and x.tag not in ("html", "body")
+        if x.replies and x.before == "head":
+            own.replies = True
+        last[x.parent] = "head" if x.tag in HEADINGS else "list" if x.tag in ("ul", "ol", "dl") else "text" if x.tag in ("p", "#text") else "block", x
+    for x in nodes[1:]:
+        x.replies = x.replies or nodes[x.parent].replies
     if any(x.tag == "form" for x in nodes):
         for x in reversed(nodes):
             size = len(x.text) if x.text is not None else x.size
@@ -247,9 +266,14 @@ def measured(nodes: list[Node]) -> None:
 def features_of(node: Node, nodes: list[Node]) -> list[str]:
     """What the unary potential sees of a node."""
     out = [f"tag={node.tag}"] + [f"hint={h}" for h in node.hints]
+    out.append(f"zone={node.zone}")
+    if node.replies:
+        out.append("among replies")
     if node.text is not None:
         n = len(node.text)
         share = node.linked / n
+        if share > 0.8:
+            out += [f"link zone={node.zone}", f"link in list after={node.lead} zone={node.zone}"]
         out += [f"len={min(8, int(log(n + 1, 2)))}", f"links={'all' if share > 0.8 else 'some' if share > 0.3 else 'few'}", f"in={nodes[node.parent].tag}"]
         if node.text[0] in "©" or "©" in node.text[:40]:
             out.append("copyright")
@@ -261,6 +285,8 @@ def features_of(node: Node, nodes: list[Node]) -> list[str]:
         out.append(f"form={'text' if node.size >= 200 * node.controls else 'some' if node.size >= 60 * node.controls else 'controls'}")
     elif node.tag in ("ul", "ol", "div", "section"):
         out.append(f"kids={min(4, node.kids)}")
+        if node.tag in ("ul", "ol"):
+            out.append(f"list after={node.before} zone={node.zone}")
     return out
 
 
@@ -372,13 +398,27 @@ def train(pages: list[tuple[list[Node], list[int]]], steps: int = 60, rate: floa
     return PageModel({f: float(theta[i]) for f, i in place.items()}, theta[len(place) :].reshape(2, 2, 2))
 
 
-@lru_cache(maxsize=2)
-def trained_model(pages: int = 300, seed: int = 11) -> PageModel:
+WEIGHTS = "page_weights.json"
+
+
+def retrain(pages: int = 400, seed: int = 11) -> PageModel:
+    """A model trained on labelled pages made from ``seed``; the same arguments give the same weights."""
     from tonearm.llm.page_samples import labelled_pages
 
     return train(labelled_pages(pages, seed))
 
 
+def saved(model: PageModel) -> str:
+    return json.dumps({"weights": {k: round(v, 5) for k, v in sorted(model.weights.items())}, "pairs": [[[round(v, 5) for v in row] for row in table] for table in model.pairs]}, indent=0, ensure_ascii=True)
+
+
+@lru_cache(maxsize=1)
+def trained_model() -> PageModel:
+    """The model whose weights are part of this package, as :func:`retrain` makes them."""
+    found = json.loads(resources.files("tonearm.llm").joinpath(WEIGHTS).read_text(encoding="ascii"))
+    return PageModel(found["weights"], np.array(found["pairs"]))
+
+
 def extract_pages(pages: DataFrame, model: PageModel | None = None, html_col: str = "html", keep: tuple = ("page_id", "url")) -> DataFrame:
     """The columns to keep, and ``text``: the page's main text."""
     shared = pages.sparkSession.sparkContext.broadcast(model or trained_model())

@@ -51,7 +51,7 @@ def some(r: random.Random) -> str:
 def aside_parts(r: random.Random) -> list[str]:
     """Parts that are not content, each as one snippet."""
     div = lambda names, body, tags="div div section aside": f"<{(t := r.choice(tags.split()))}{attrs(r, names, 0.0)}>{body}</{t}>"
-    comment = lambda: f"<{(t := r.choice(('div', 'li', 'article', 'section')))}{attrs(r, 'comment comment-body reply review')}><b>{words(r, 1, 2)}</b><p>{prose(r, 1, 4)}</p></{t}>"
+    comment = lambda: f"<{(t := r.choice(('div', 'li', 'article', 'section')))}{attrs(r, 'comment comment-body reply review', 0.0 if t == 'article' else 0.15)}><b>{words(r, 1, 2)}</b><p>{prose(r, 1, 4)}</p></{t}>"
     return [
         f"<nav{attrs(r, 'nav menu main-nav', 0.5)}>{links(r)}</nav>",
         f"<header{attrs(r, 'header masthead', 0.5)}>{r.choice((sentence(r, 1, 4), links(r), f'<h1>{words(r, 1, 3)}</h1><p>{sentence(r)}</p>'))}</header>",
@@ -70,12 +70,21 @@ def aside_parts(r: random.Random) -> list[str]:
         f"<ul>{''.join(f'<li><a href=#>{words(r, 1, 4)}</a></li>' for _ in range(r.randint(3, 9)))}</ul>",
         f'<div role="{r.choice(("navigation", "banner", "contentinfo", "complementary", "search", "alert"))}">{some(r)}</div>',
         f"<div hidden>{prose(r)}</div>",
+        comment_list(r),
         form(r),
         f"<div{attrs(r, 'top bar links', 0.5)}>{r.choice(('', words(r, 1, 1) + ' '))}{' '.join(f'<a href=/{i}>{words(r, 1, 2)}</a>' for i in range(r.randint(1, 5)))}</div>",
         f'<p class="{r.choice(("notice", "copyright", "disclaimer", "advert", "share"))}">{sentence(r)}</p>',
     ]
 
 
+def comment_list(r: random.Random) -> str:
+    """Readers' comments as a list, at times under a heading and in a box that tells nothing."""
+    item = lambda: f"<li{r.choice(('', attrs(r, 'comment reply')))}>{r.choice((f'<p>{prose(r, 1, 3)}</p>', prose(r, 1, 2), f'<b>{words(r, 1, 2)}</b><p>{prose(r, 1, 3)}</p>'))}</li>"
+    name = r.choice(("commentlist", "comments", "comment-list", "comments-list", "replies", "discussion", "reviews"))
+    made = f"{r.choice(('', f'<h3>{words(r, 1, 2)}</h3>'))}<{(t := r.choice(('ol', 'ul')))} class={name}>{''.join(item() for _ in range(r.randint(1, 5)))}</{t}>"
+    return r.choice((made, made, f"<div>{made}</div>"))
+
+
 def form(r: random.Random) -> str:
     """A form with fields, labels and at times a word of explanation."""
     field = lambda: r.choice((f"<label>{words(r, 1, 2).capitalize()}</label><input name=x>", f"<p>{words(r, 1, 3)} <input type=text></p>", f"<select><option>{words(r, 1, 1)}</select>", f"<label>{words(r, 1, 2)} <textarea></textarea></label>"))
@@ -104,20 +113,38 @@ def content_parts(r: random.Random) -> list[str]:
         f"<div>{m(prose(r))}</div>",
         f'<p class="{r.choice(("lead", "intro", "text", "body"))}">{m(prose(r))}</p>',
         f"<dl><dt>{m(words(r, 1, 3))}</dt><dd>{m(prose(r, 1, 2))}</dd></dl>",
+        f"<p><a href=/x>{m(words(r, 1, 8))}</a></p>",
+        sources(r),
     ]
 
 
+def sources(r: random.Random) -> str:
+    """What an article was made of: links under a heading of its own."""
+    n, t = r.randint(2, 4), r.choice(("ul", "ol"))
+    return f"<h{n}>{MARK}{words(r, 1, 3)}</h{n}><{t}>{''.join(f'<li><a href=/{i}>{MARK}{words(r, 1, 6)}</a></li>' for i in range(r.randint(1, 5)))}</{t}>"
+
+
 def page(r: random.Random) -> str:
-    body = [r.choice(content_parts(r)) if r.random() < 0.5 else r.choice((f"<p>{MARK}{prose(r)}</p>",)) for _ in range(r.randint(1, 14))]
+    body = [r.choice(content_parts(r)) if r.random() < 0.5 else r.choice((f"<p>{MARK}{prose(r)}</p>",)) for _ in range(r.choice((1, 1, 2, 3, r.randint(1, 14), r.randint(1, 14), r.randint(1, 14), r.randint(1, 14))))]
     if r.random() < 0.8:
         body.insert(0, f"<h1>{MARK}{words(r, 1, 12)}</h1>")
     for _ in range(r.choice((0, 0, 0, 1, 2))):
-        body.insert(r.randint(0, len(body)), r.choice(aside_parts(r)))
+        # Within an article something tells what isn't part of it; a bare list of links may be one of sources.
+        body.insert(r.randint(0, len(body)), r.choice([x for x in aside_parts(r) if not x.startswith(("<ul>", "<div>"))]))
     inner = "".join(body)
     wrap = r.choice(("<article>%s</article>", "<article>%s</article>", "<main>%s</main>", "<main><article>%s</article></main>", "<div class='content'>%s</div>", "<div id=main><div class='post entry-content'>%s</div></div>", "<section class='story'>%s</section>", "<div>%s</div>", "<div><div>%s</div></div>", "%s"))
+    if ("article" in wrap or "main" in wrap) and r.random() < 0.3:
+        inner += sources(r)
+    if "article" in wrap and r.random() < 0.5:
+        # An article with a header and a footer of its own.
+        head = r.choice(("", f"<header>{r.choice((f'<h1>{words(r, 1, 6)}</h1>', f'<h1>{words(r, 1, 6)}</h1><p>{words(r, 1, 4)}</p>', f'<p>{sentence(r)}</p>'))}</header>"))
+        inner = f"{head}{inner}{r.choice(('', f'<footer>{r.choice((words(r, 1, 4), sentence(r), links(r, 2, 4)))}</footer>'))}"
     parts = aside_parts(r)
     before = "".join(r.choice(parts[:12]) for _ in range(r.randint(0, 4)))
     after = "".join(r.choice(parts) for _ in range(r.randint(0, 4)))
+    if r.random() < 0.15:
+        # Nothing but the article.
+        before, after = "", ""
     core = wrap % inner
     if r.random() < 0.3:
         core = f"<div class='{r.choice(('wrapper', 'container', 'row', 'page', 'layout'))}'>{core}{r.choice(('', r.choice(parts)))}</div>"
