@@ -147,12 +147,18 @@ def child_keys(cat: Catalog, c: Clause) -> DataFrame:
 def search(df: DataFrame, cat: Catalog, query: str) -> DataFrame:
     """The rows that the search string finds; an empty one finds all.
 
-    Column clauses become one filter, which reaches the scan. A clause on a child table joins a flag column made of the
-    distinct matching keys, so that it may stand in any group and be negated.
+    Column clauses become one filter, which reaches the scan. In a string of one group a clause on a child table is a semi-join, negated an anti-join; else it joins a flag
+    column made of the distinct matching keys, so that it may stand in any group.
     """
     groups = parse(query)
     if not groups:
         return df
+    if len(groups) == 1:
+        own = [condition(df, cat, c) for c in groups[0] if c.field not in cat.children]
+        out = df.filter(reduce(lambda a, b: a & b, own)) if own else df
+        for c in (c for c in groups[0] if c.field in cat.children):
+            out = out.join(child_keys(cat, c), cat.key, "left_anti" if c.negated != (c.op == "empty") else "left_semi")
+        return out
     out, conditions, flags = df, [], []
     for group in groups:
         parts = []

@@ -156,12 +156,6 @@ def cdc_watermark(spark, d):
     return changelog.newer_than(table(spark, d, "events"), "event_id", 500).select("event_id", "user_id")
 
 
-@query("cdc_early_stop", "SELECT event_id, user_id FROM events WHERE event_id < (SELECT min(event_id) FROM events WHERE event_id % 97 = 96)")
-def cdc_early_stop(spark, d):
-    e = table(spark, d, "events").select("event_id", "user_id")
-    return changelog.until_known(e, e.filter("event_id % 97 = 96").select("event_id"), "event_id", "event_id")
-
-
 @query("cdc_early_stop_half", """
 SELECT event_id, user_id FROM events WHERE event_id < (SELECT min(event_id) FROM events WHERE event_id * 2 > (SELECT max(event_id) FROM events))""")
 def cdc_early_stop_half(spark, d):
@@ -402,13 +396,6 @@ def release_discography(spark, d):
     return releases.discography(li.groupBy("l_orderkey").agg(F.collect_list(item).alias("items")), known, "release_id", "items")
 
 
-@query("match_by_url", "SELECT c_custkey, s_suppkey, 100.0::DOUBLE AS score, 'exact' AS tier FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey % 10 = 0 AND s_suppkey % 5 = 0")
-def match_by_url(spark, d):
-    c = table(spark, d, "customer").filter("c_custkey % 10 = 0").select("c_custkey", F.col("c_nationkey").alias("url"))
-    s = table(spark, d, "supplier").filter("s_suppkey % 5 = 0").select("s_suppkey", F.col("s_nationkey").alias("url"))
-    return matching.url_matches(c, s, "url", "c_custkey", "s_suppkey")
-
-
 @query("match_by_url_all", """
 SELECT c_custkey, s_suppkey, 100.0::DOUBLE AS score, 'exact' AS tier FROM customer JOIN supplier
 ON 'https://shop.example/' || (c_custkey // 3) = 'https://shop.example/' || (s_suppkey // 2 * 2)""")
