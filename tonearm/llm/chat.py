@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 from hashlib import sha256
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -72,12 +73,17 @@ def loss_mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     return mask
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str):
-    """The tokenizer at ``path`` with the control strings as added tokens; its own special tokens are ordinary text."""
+    """The tokenizer of a file that the driver can read."""
+    return tokenizer_of(Path(path).read_text(encoding="utf-8"))
+
+
+@lru_cache(maxsize=2)
+def tokenizer_of(definition: str):
+    """The tokenizer with the control strings as added tokens; its own special tokens are ordinary text."""
     from tokenizers import AddedToken, Tokenizer, decoders, pre_tokenizers
 
-    t = Tokenizer.from_file(path)
+    t = Tokenizer.from_str(definition)
     t.encode_special_tokens = True
     t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
     t.decoder = decoders.ByteLevel()
@@ -93,8 +99,11 @@ def format_chats(turns: DataFrame, tokenizer_path: str = TOKENIZER, conv_col: st
     rows = turns.select(F.col(conv_col).alias("conv"), F.struct(F.col(turn_col).alias("turn"), blank(role_col).alias("role"), blank(text_col).alias("text")).alias("t"))
     whole = rows.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("conv", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
+    # A vocabulary of a few megabytes, whatever the input; executors need no copy of the file.
+    definition = turns.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
+
     def run(batches):
-        t = tokenizer(tokenizer_path)
+        t = tokenizer_of(definition.value)
         for pdf in batches:
             for at in range(0, len(pdf), ENCODED):
                 part = pdf.iloc[at : at + ENCODED]
