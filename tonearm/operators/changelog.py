@@ -87,3 +87,8 @@ def build_tables(lines: DataFrame, files: DataFrame, present: DataFrame, fields:
     rows = wide(values, fields, casts).join(files.select("key", "file"), "key", "left").join(here, "key", "left")
     rows = rows.withColumn("present", F.col("file").isNotNull() & F.coalesce("_here", F.lit(False))).drop("_here")
     return rows, values.filter((F.col("field") == child) & (F.col("value") != "")).select("key", F.col("value").alias(child))
+
+
+def replace_children(children: DataFrame, fresh: DataFrame, parents: DataFrame, key: str, title: str) -> DataFrame:
+    """The child table in which the rows of ``parents(key)`` are ``fresh``, of which those without a title are left out."""
+    return replace_keys(children, fresh.filter(F.coalesce(F.col(title), F.lit("")) != "").join(parents.select(key).distinct(), key, "left_semi").select(children.columns), parents, key)

@@ -119,3 +119,15 @@ def discography(bundles: DataFrame, known: DataFrame, key: str, items: str) -> D
     rows = bundles.select(F.explode(items).alias("i")).select(F.coalesce(F.col("i.id"), F.col("i.art_id")).alias(key), F.col("i.title").alias("title"))
     rows = rows.filter(F.col(key).isNotNull() & (F.coalesce("title", F.lit("")) != "")).dropDuplicates([key])
     return rows.join(known.select(key).distinct(), key, "left_anti")
+
+
+def digital_items(html: Column, schema: str) -> Column:
+    """(items, error): the page data's ``digital_items``, or why there are none; ``schema`` is that of an item."""
+    data = page_data(html, f"digital_items array<{schema}>")
+    error = F.when(data.isNull() | data["digital_items"].isNull(), "no page data").when(F.size(data["digital_items"]) == 0, "no items")
+    return F.struct(F.coalesce(data["digital_items"], F.from_json(F.lit("[]"), f"array<{schema}>")).alias("items"), error.alias("error"))
+
+
+def release_json(fields: dict[str, Column]) -> Column:
+    """A release's record as JSON text, null fields too."""
+    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]), {"ignoreNullFields": "false"})

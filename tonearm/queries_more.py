@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.functions import media
-from tonearm.operators import arguments, cascade, checks, lists, moves, versions, writeback
+from tonearm.functions import text as T
+from tonearm.operators import arguments, cascade, changelog, checks, lists, moves, releases, versions, writeback
 from tonearm.operators.changelog import current_values, operations
 from tonearm.plans import search as searches
 from tonearm.plans import template
 from tonearm.registry import query
-from tonearm.sources import sheets
+from tonearm.sources import reports, sheets
 from tonearm.sources.tables import shared_folder, table
 from tonearm.streaming import moves as stream_moves
 from tonearm.streaming import refresh
@@ -465,6 +466,89 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.dropDuplicates(keys).join(old.select(keys), keys, "left_anti").select(old.columns))
 
 
+# Fields, pages and reports that the queries above don't reach.
+
+@query("field_texts", """
+SELECT o_orderkey, split_part(o_orderpriority, ' ', 1) AS open_key, CASE o_orderkey % 4 WHEN 0 THEN 'P' WHEN 1 THEN 'C' ELSE '?' END AS kind, printf('#%06X', o_orderkey * 977) AS color,
+  CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus WHEN o_orderkey % 3 = 1 THEN o_orderpriority END AS first, round_even(o_totalprice / 1000, 0)::BIGINT::VARCHAR AS bpm,
+  printf('%02d', o_orderkey % 30) || ' - ' || CASE WHEN o_orderkey % 5 = 0 THEN 'Track ' || o_orderkey % 30 ELSE 'A_B' END || '.flac' AS track, CASE WHEN o_orderkey % 2 = 0 THEN 'download' ELSE 'x_y' END AS name,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'plain' ELSE 'Öl ' || o_orderstatus END AS decoded, epoch_ms(o_orderdate) + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE -7200000 END AS millis,
+  CASE o_orderkey % 3 WHEN 0 THEN 'front' WHEN 1 THEN 'back' END AS side, 'a+b c/' || o_orderkey AS url, o_orderkey % 2 = 0 AS broken FROM orders""")
+def field_texts(spark, d):
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    stamp = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.when(k % 2 == 0, "").otherwise("+02:00"))
+    return o.select(
+        "o_orderkey", media.before_space(F.col("o_orderpriority")).alias("open_key"), media.lookup(F.element_at(F.array(*[F.lit(x) for x in ("p", "c", "q")], F.lit(None).cast("string")), (k % 4 + 1).cast("int")), media.RELEASE_TYPES, "?").alias("kind"),
+        T.color_hex(k * 977).alias("color"), media.first_filled(F.when(k % 3 == 0, F.col("o_orderstatus")), F.when(k % 3 == 1, F.col("o_orderpriority")), F.lit("")).alias("first"),
+        media.bpm_whole(F.col("o_totalprice") / 1000).alias("bpm"), media.track_file((k % 30).cast("int"), F.when(k % 5 == 0, "").otherwise(" .A<>B")).alias("track"), media.safe_name(F.when(k % 2 == 0, " . ").otherwise("x:/y."), "download").alias("name"),
+        T.decoded(F.when(k % 2 == 0, "plain").otherwise(F.concat(F.lit("!"), F.base64(F.concat(F.lit("Öl "), "o_orderstatus").cast("binary"))))).alias("decoded"), media.epoch_millis(stamp).alias("millis"),
+        media.cover_side(F.element_at(F.array(F.lit("My Cover.jpg"), F.lit("BACK.png"), F.lit("x.png")), (k % 3 + 1).cast("int")), F.lit(2)).alias("side"), media.url_decoded(F.concat(F.lit("a+b%20c%2F"), k.cast("string"))).alias("url"),
+        media.cue_problem(F.when(k % 2 == 0, "FILE x\n").otherwise(' FILE "x" WAVE\r\n  TRACK 01 AUDIO')).alias("broken"))
+
+
+_POST = """'<p>Intro</p><img class="c" src="/s' || p_partkey || '.jpg"' || CASE WHEN p_partkey % 2 = 0 THEN ' srcset="/a.jpg 300w, /b' || p_partkey || '.jpg 900w, /c.jpg 900w"' ELSE '' END || '><p>Written and produced by ' || p_brand || '</p><a href="https://dl.example/x/' || p_partkey || '%20WAV.zip">w</a> <a href="https://dl.example/one.mp3.rar">m</a><a href="https://dl.example/two.mp3.zip">m</a><a href="https://other.example/y.zip">o</a><a href="https://dl.example/first.zip">f</a><a href="https://dl.example/second.RAR">s</a><p>Artwork by ' || p_name || '</p><p>Released by ' || p_type || ' &amp; Sons.</p>'"""
+
+
+@query("post_content", """
+SELECT p_partkey, 'https://dl.example/x/' || p_partkey || '%20WAV.zip' AS wav, 'https://dl.example/two.mp3.zip' AS mp3, 'https://dl.example/first.zip' AS other,
+  CASE WHEN p_partkey % 2 = 0 THEN '/b' || p_partkey || '.jpg' ELSE '/s' || p_partkey || '.jpg' END AS cover, 'Written and produced by ' || p_brand || '; Artwork by ' || p_name || '; Released by ' || p_type || ' & Sons.' AS credits, p_type AS label, p_brand AS artist, p_name AS album FROM part""")
+def post_content(spark, d):
+    posts = table(spark, d, "part").withColumns({"html": F.expr(_POST), "title": F.concat_ws(" – ", "p_brand", "p_name"), "media": F.lit("/m.jpg")})
+    made = releases.release_content(posts, "html", "title", "dl.example", "media")
+    return made.select("p_partkey", F.try_element_at("downloads", F.lit("wav")).alias("wav"), F.try_element_at("downloads", F.lit("mp3")).alias("mp3"), F.try_element_at("downloads", F.lit("download")).alias("other"), F.col("cover_art_url").alias("cover"), "credits", "label", "artist", "album")
+
+
+@query("store_items", """
+SELECT p_partkey, CASE WHEN p_partkey % 3 > 1 THEN p_name || '|' || p_brand ELSE '' END AS titles, CASE p_partkey % 3 WHEN 0 THEN 'no page data' WHEN 1 THEN 'no items' END AS error FROM part""")
+def store_items(spark, d):
+    blob = F.expr("""case p_partkey % 3 when 1 then '{&quot;digital_items&quot;:[]}' else concat('{&quot;digital_items&quot;:[{&quot;title&quot;:&quot;', p_name, '&quot;},{&quot;title&quot;:&quot;', p_brand, '&quot;}]}') end""")
+    html = F.when(F.col("p_partkey") % 3 == 0, "<html><div id='x'></div>").otherwise(F.concat(F.lit('<div id="pagedata" class="a" data-blob="'), blob, F.lit('"></div>')))
+    found = releases.digital_items(html, "struct<title:string>")
+    return table(spark, d, "part").select("p_partkey", F.array_join(found["items"]["title"], "|").alias("titles"), found["error"].alias("error"))
+
+
+@query("failed_files", f"""
+WITH e AS (SELECT o_orderkey, 'f' || o_orderkey AS file, CASE o_orderkey % 3 WHEN 0 THEN 'error' ELSE 'ok' END AS status FROM orders)
+SELECT file, 'flac: ' || repeat('x', least(100, (o_orderkey % 150)::INT)) || '; sox: ' AS error FROM e WHERE status = 'error'""")
+def failed_files(spark, d):
+    errors = F.array(F.struct(F.lit("flac").alias("tool"), F.repeat(F.lit("x"), (F.col("o_orderkey") % 150).cast("int")).alias("output")), F.struct(F.lit("sox").alias("tool"), F.lit(None).cast("string").alias("output")))
+    one = F.struct(F.concat(F.lit("f"), "o_orderkey").alias("file"), F.when(F.col("o_orderkey") % 3 == 0, "error").otherwise("ok").alias("status"), errors.alias("errors"))
+    # One report for each customer.
+    return reports.failed_files(table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(one).alias("results")))
+
+
+@query("missing_json", """
+WITH m AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS segment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 8 = 0))
+SELECT '{"version":1,"count":' || count(*) || ',"releases":[' || string_agg('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","segment":' || coalesce('"' || segment || '"', 'null') || '}', ',' ORDER BY c_custkey) || ']}' AS json FROM m""")
+def missing_json(spark, d):
+    have = table(spark, d, "orders").filter("o_orderkey % 8 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    rows = table(spark, d, "customer").join(have, "c_custkey", "left_anti").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("segment"))
+    return reports.json_summary(rows, "c_custkey", "releases", version=1)
+
+
+@query("release_records", """SELECT p_partkey, '{"artist":"' || p_brand || '","album":"' || p_name || '","date":null,"genres":["' || p_type || '"]}' AS json FROM part""")
+def release_records(spark, d):
+    return table(spark, d, "part").select("p_partkey", releases.release_json({"artist": F.col("p_brand"), "album": F.col("p_name"), "date": F.lit(None).cast("string"), "genres": F.array("p_type")}).alias("json"))
+
+
+@query("children_replaced", """
+SELECT l_orderkey, l_returnflag AS title FROM lineitem WHERE l_orderkey % 3 > 0 AND l_linenumber < 3
+UNION ALL SELECT l_orderkey, l_linestatus FROM lineitem WHERE l_orderkey % 3 = 0 AND l_linenumber > 1 AND l_quantity > 10""")
+def children_replaced(spark, d):
+    li = table(spark, d, "lineitem")
+    old = li.filter("l_linenumber < 3").select("l_orderkey", F.col("l_returnflag").alias("title"))
+    fresh = li.filter("l_linenumber > 1").select("l_orderkey", F.when(F.col("l_quantity") > 10, F.col("l_linestatus")).otherwise(F.when(F.col("l_quantity") > 5, "")).alias("title"))
+    return changelog.replace_children(old, fresh, li.filter("l_orderkey % 3 = 0").select("l_orderkey"), "l_orderkey", "title")
+
+
+@query("match_listed", f"""
+WITH r AS (SELECT s_suppkey, n, 100.0 * (32 - (s_suppkey // 5) % 6) / 32 AS score FROM supplier CROSS JOIN (VALUES (0), (1)) AS v(n) WHERE s_suppkey % 5 IN (0, 1))
+SELECT s_suppkey AS release_id, 'comment' AS phase, round_even(score, 2)::DOUBLE AS score, string_agg(s_suppkey || '-' || n, ',' ORDER BY n) AS keys FROM r GROUP BY s_suppkey, score""")
+def match_listed(spark, d):
+    found = cascade.match_releases(*scored_releases(spark, d), "shop.example")
+    return cascade.match_list(found).filter("release_id % 5 < 2").select("release_id", "phase", "score", F.array_join(F.col("files.key"), ",").alias("keys"))
+
+
 # Scores of the matching phases that differ.
 
 def scored_releases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -66,3 +66,13 @@ def key_files(lines: DataFrame) -> DataFrame:
     """Tab-separated ``key, file`` lines (with ``line_no``); the last line of a key counts."""
     part = F.split("line", "\t", 2)
     return lines.filter(F.contains(F.col("line"), F.lit("\t"))).groupBy(part[0].alias("key")).agg(F.max_by(part[1], "line_no").alias("file"))
+
+
+def clear_tables(spark: SparkSession, home: str, derived: list[str]) -> list[str]:
+    """Deletes the named tables below ``home`` that can be built again, and no others; returns those that were there."""
+    jvm, conf, gone = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for name in derived:
+        path = jvm.org.apache.hadoop.fs.Path(f"{home}/{name}")
+        if path.getFileSystem(conf).delete(path, True):
+            gone.append(name)
+    return gone
