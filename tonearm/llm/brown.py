@@ -1,15 +1,16 @@
 """Language-model scores by Brown class bigrams.
 
 Every token belongs to a class. Exchange clustering forms the classes: first the ``SEEDS`` most frequent words are moved one
-by one to wherever the likelihood of the class bigrams gains most. Then every other word of the ``HEAD`` most frequent ones, by how often which classes
-stand before and after it in all training texts, goes to the class where it gains most; the words beyond go together with all that share
-their last two bytes. The number of classes grows with the vocabulary. A text's probability is the product of class transitions,
+by one to wherever the likelihood of the class bigrams gains most. Then the ``HEAD`` most frequent words, and the words beyond together with all that share
+their last two bytes, are exchanged in rounds: tasks propose for each the class in which it gains most, by how often which classes
+stand before and after it in all training texts, and the driver applies the proposals as long as the likelihood rises. The bigrams of these units are counted once and kept
+sparse, over tasks; the driver holds one class for each unit and the table of class bigrams. The number of classes grows with the vocabulary. A text's probability is the product of class transitions,
 ``P(class | class before)``, and emissions, ``(c + 0.5) / (tokens of the class + 0.5 * (words of the class + 1))``,
 so every class keeps the mass of one unseen word. Word counts, contexts, class sizes and transitions cover all training
 texts; bounded are only the words that a task holds one by one.
 
 What a text holds of words beyond the ``HEAD`` most frequent meets its counts in a join on the word. Counts are combined within tasks first.
-Texts are read in five passes: word counts, bigrams of seeds, contexts of the other words, transitions, scores.
+Texts are read in three passes: word counts, bigrams, scores.
 
 Defined results: null and empty texts are one end token; long texts are read whole; repeated rows are scored
 alike and each counts in training; a null id is in no fold: it is neither held out nor learnt from; without any
@@ -27,11 +28,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonearm.llm.common import fold, read, stored
+from tonearm.llm.common import discard, fold, read, stored
 
 #: Words that the driver moves one by one, how often it goes through them, and the most classes.
 SEEDS = 1200
 SWEEPS = 4
+#: Rounds in which all units may move, after the first one, which gives classes to those that the driver didn't move.
+ROUNDS = 4
 MOST_CLASSES = 256
 #: The most words whose counts every task holds.
 HEAD = 200_000
@@ -174,56 +177,110 @@ def exchange(table: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarra
     return cls
 
 
-def placed(train: DataFrame, shared, cls: np.ndarray, moves: np.ndarray, seeds: int) -> np.ndarray:
-    """A class for every unit: the seeds' own, and for others the one that gains most likelihood, with the classes of ``moves`` as they are.
+def contexts_of(train: DataFrame, shared) -> DataFrame:
+    """``unit``, ``side``, ``other`` and ``n``: how often ``other`` stands before (side 0) or after (1) each unit, sorted by unit within files."""
+    size, parts = shared.value.size, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    To first order a unit with r[c] tokens of class c after it and l[c] before it adds to class k
-    ``sum r[c] log(moves[k, c]) + sum l[c] log(moves[c, k])``, less its tokens times the logs of k's sums.
-    """
-    size, k = shared.value.size, len(moves)
-    known = np.full(size, -1)
-    known[:seeds] = cls
-    known[1] = -1
-
-    def contexts(text):
+    def pairs(text):
         before, after = shared.value.pairs(text)
-        a, b = known[before], known[after]
-        left, right = (a >= 0) & (b < 0), (b >= 0) & (a < 0)
-        return np.concatenate([(after[left] * 2) * k + a[left], (before[right] * 2 + 1) * k + b[right]])
+        return before * size + after
+
+    found = stored(key_counts(train, pairs).groupBy("key").agg(F.sum("n").alias("n")), "bigrams")
+    before, after = F.expr(f"int(key div {size})"), F.expr(f"int(key % {size})")
+    rows = found.select(after.alias("unit"), F.lit(0).alias("side"), before.alias("other"), "n").union(found.select(before, F.lit(1), after, "n"))
+    out = stored(rows.repartition(parts, "unit").sortWithinPartitions("unit"), "contexts")
+    discard(found)
+    return out
+
+
+def class_moves(contexts: DataFrame, cls: np.ndarray, classes: int) -> np.ndarray:
+    """How often a token of each class follows one of each class."""
+
+    def run(batches):
+        sums = np.zeros(classes * classes)
+        for pdf in batches:
+            sums += np.bincount(cls[pdf["unit"].to_numpy()] * classes + cls[pdf["other"].to_numpy()], weights=pdf["n"].to_numpy(), minlength=len(sums))
+        key = np.flatnonzero(sums)
+        yield pd.DataFrame({"key": key, "n": sums[key].astype(np.int64)})
+
+    return table_of(contexts.filter("side = 1").select("unit", "other", "n").mapInPandas(run, "key long, n long"), classes)
+
+
+def likelihood(moves: np.ndarray) -> float:
+    """What the classes add to the log likelihood of the training texts."""
+    return float(_f(moves).sum() - _f(moves.sum(0)).sum() - _f(moves.sum(1)).sum())
 
+
+def proposed(contexts: DataFrame, cls: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """For every unit the class that gains most likelihood, the other units' classes as they are; units without a class (-1) tell nothing of their neighbours.
+
+    To first order a unit with r[c] tokens of class c after it and l[c] before it adds to class k
+    ``sum r[c] log(moves[k, c]) + sum l[c] log(moves[c, k])``, less its tokens times the logs of k's sums. A task sends the gains themselves only of its first and
+    its last unit, which the next files may go on with.
+    """
+    k = len(moves)
     full = np.log(moves + 0.5)
     gain = np.stack([full - full.mean(), full.T - full.mean()])  # [side][class of the neighbour][own class]
     gain[0] -= np.log(moves.sum(0) + 0.5 * k)
     gain[1] -= np.log(moves.sum(1) + 0.5 * k)
-    gain[:, :, 0] = -np.inf
+    gain[:, :, 0] = -1e9
+    gain = gain.astype(np.float32)
 
     def best(batches):
-        last, held = -1, np.zeros(k)
+        last, held, first = -1, np.zeros(k), True
         for pdf in batches:
-            key, n = pdf["key"].to_numpy(), pdf["n"].to_numpy(dtype=float)
-            if len(key):
-                unit = key // (2 * k)
-                heads = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-                sums, unit = np.add.reduceat(gain[key // k % 2, key % k] * n[:, None], heads), unit[heads]
-                if unit[0] == last:
-                    sums[0] += held
-                else:
-                    sums, unit = np.concatenate([held[None], sums]), np.concatenate([[last], unit])
-                last, held = unit[-1], sums[-1]
-                keep = unit[:-1] >= 0
-                yield pd.DataFrame({"unit": unit[:-1][keep], "cls": sums[:-1][keep].argmax(1)})
+            unit, side, near, n = (pdf[c].to_numpy() for c in ("unit", "side", "other", "n"))
+            near = cls[near]
+            keep = near >= 0
+            unit, side, near, n = unit[keep], side[keep], near[keep], n[keep].astype(np.float32)
+            if not len(unit):
+                continue
+            heads = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+            sums, unit = np.add.reduceat(gain[side, near] * n[:, None], heads).astype(float), unit[heads]
+            if unit[0] == last:
+                sums[0] += held
+            elif last >= 0:
+                sums, unit = np.concatenate([held[None], sums]), np.concatenate([[last], unit])
+            last, held = unit[-1], sums[-1]
+            done, found = unit[:-1], sums[:-1]
+            if len(done):
+                gains = [None] * len(done)
+                if first:
+                    gains[0], first = found[0].tolist(), False
+                yield pd.DataFrame({"unit": done, "cls": found.argmax(1), "gains": pd.Series(gains, dtype=object)})
         if last >= 0:
-            yield pd.DataFrame({"unit": [last], "cls": [int(held.argmax())]})
-
-    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = key_counts(train, contexts).repartition(parts, F.expr(f"key div {2 * k}")).sortWithinPartitions("key")
-    found = rows.mapInPandas(best, "unit long, cls long").toArrow()
-    out = np.full(size, cls[1])
-    out[found["unit"].to_numpy()] = found["cls"].to_numpy()
-    out[:seeds] = cls
+            yield pd.DataFrame({"unit": [last], "cls": [int(held.argmax())], "gains": pd.Series([held.tolist()], dtype=object)})
+
+    found = contexts.mapInPandas(best, "unit long, cls long, gains array<double>").toArrow()
+    out = np.where(cls >= 0, cls, 1)
+    whole = found.filter(found["gains"].is_null())
+    out[whole["unit"].to_numpy()] = whole["cls"].to_numpy()
+    parted: dict[int, np.ndarray] = {}
+    for unit, gains in zip(*(found.filter(found["gains"].is_valid())[c].to_pylist() for c in ("unit", "gains"))):
+        parted[unit] = parted.get(unit, 0) + np.array(gains)
+    for unit, gains in parted.items():
+        out[unit] = int(gains.argmax())
+    out[0] = 0
     return out
 
 
+def exchanged(contexts: DataFrame, cls: np.ndarray, classes: int, moves: np.ndarray, seeds: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """A class for every unit and the class bigrams, by rounds of proposals from the seeds' classes on; in the first the seeds stay."""
+    first = proposed(contexts, cls, moves)
+    first[:seeds] = np.where(cls[:seeds] >= 0, cls[:seeds], first[:seeds])
+    cls, moves = first, class_moves(contexts, first, classes)
+    for _ in range(rounds):
+        new = proposed(contexts, cls, moves)
+        new_moves = class_moves(contexts, new, classes)
+        if likelihood(new_moves) <= likelihood(moves):
+            break
+        moved = (new != cls).mean()
+        cls, moves = new, new_moves
+        if moved < 0.005:
+            break
+    return cls, moves
+
+
 @dataclass
 class BrownModel:
     """``units``, the class ``cls`` of each, its ``mass`` if it is a head word (else 0), and ``gain``: see :func:`fit`."""
@@ -278,20 +335,16 @@ def fit(train: DataFrame, counts: DataFrame, seeds: int = SEEDS, most_head: int
     n_seeds = 2 + min(seeds, len(head))
     classes = int(np.clip(round(distinct ** (1 / 3)), 8, MOST_CLASSES))
 
-    def seed_pairs(text):
-        before, after = (np.where(x < n_seeds, x, 1) for x in shared.value.pairs(text))
-        return before * n_seeds + after
-
-    pairs = table_of(key_counts(train, seed_pairs), n_seeds)
-    cls = exchange(pairs, classes)
-    onehot = np.eye(classes)[cls]
-    cls = placed(train, shared, cls, onehot.T @ pairs @ onehot, n_seeds)
-
-    def class_pairs(text):
-        before, after = shared.value.pairs(text)
-        return cls[before] * classes + cls[after]
-
-    moves = table_of(key_counts(train, class_pairs), classes)
+    contexts = contexts_of(train, shared)
+    seed = lambda c: F.when(F.col(c) < n_seeds, F.col(c)).otherwise(1)
+    pairs = table_of(contexts.filter("side = 1").select((seed("unit") * n_seeds + seed("other")).cast("long").alias("key"), "n"), n_seeds)
+    own = exchange(pairs, classes)
+    onehot = np.eye(classes)[own]
+    cls = np.full(units.size, -1)
+    cls[:n_seeds] = own
+    cls[1] = -1
+    cls, moves = exchanged(contexts, cls, classes, onehot.T @ pairs @ onehot, n_seeds)
+    discard(contexts)
     n, words = class_sizes(counts, shared, cls)
     n, words = (np.concatenate([x, np.zeros(classes - len(x))]) for x in (n, words))
     share = (n + 0.5) / (n + 0.5).sum()
