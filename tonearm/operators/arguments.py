@@ -87,9 +87,13 @@ def clean_segments(path: Column) -> Column:
 
 
 def relative_target(target: Column, link: Column) -> Column:
-    """``target`` as seen from the folder of ``link``: up to what both share, then down; both start from the same folder."""
+    """``target`` as seen from the folder of ``link``: up to what both share, then down; both start from the same folder.
+
+    Null where the link lies above that folder, whose name isn't known.
+    """
     a, b = clean_segments(target), clean_segments(F.regexp_extract(link, r"^(.*?)/?[^/]*$", 1))
     same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
     shared = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)).cast("int"), F.size(same) + 1) - 1
     steps = F.concat(F.array_repeat(F.lit(".."), F.size(b) - shared), F.slice(a, shared + 1, F.greatest(F.size(a) - shared, F.lit(0))))
-    return F.when(target.isNotNull() & link.isNotNull(), F.when(F.size(steps) == 0, ".").otherwise(F.array_join(steps, "/")))
+    known = ~F.array_contains(F.slice(b, shared + 1, F.greatest(F.size(b) - shared, F.lit(0))), "..")
+    return F.when(target.isNotNull() & link.isNotNull() & known, F.when(F.size(steps) == 0, ".").otherwise(F.array_join(steps, "/")))
