@@ -34,7 +34,9 @@ from tonearm.llm.common import discard, fold, read, stored
 SEEDS = 1200
 SWEEPS = 4
 #: Rounds in which all units may move, after the first one, which gives classes to those that the driver didn't move.
-ROUNDS = 4
+ROUNDS = 2
+#: Bigrams of units that are stored as one row.
+PACKED = 1 << 16
 MOST_CLASSES = 256
 #: The most words whose counts every task holds.
 HEAD = 200_000
@@ -178,7 +180,7 @@ def exchange(table: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarra
 
 
 def contexts_of(train: DataFrame, shared) -> DataFrame:
-    """``unit``, ``side``, ``other`` and ``n``: how often ``other`` stands before (side 0) or after (1) each unit, sorted by unit within files."""
+    """How often ``other`` stands before (side 0) or after (1) each unit: rows of up to ``PACKED`` such counts, sorted by unit, as four packed columns."""
     size, parts = shared.value.size, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pairs(text):
@@ -187,23 +189,49 @@ def contexts_of(train: DataFrame, shared) -> DataFrame:
 
     found = stored(key_counts(train, pairs).groupBy("key").agg(F.sum("n").alias("n")), "bigrams")
     before, after = F.expr(f"int(key div {size})"), F.expr(f"int(key % {size})")
-    rows = found.select(after.alias("unit"), F.lit(0).alias("side"), before.alias("other"), "n").union(found.select(before, F.lit(1), after, "n"))
-    out = stored(rows.repartition(parts, "unit").sortWithinPartitions("unit"), "contexts")
+    rows = found.select(after.alias("unit"), (before * 2).alias("other"), "n").union(found.select(before, after * 2 + 1, "n"))
+
+    def pack(batches):
+        held, n = [], 0
+        for pdf in batches:
+            held.append(pdf)
+            n += len(pdf)
+            if n >= PACKED:
+                yield packed(held)
+                held, n = [], 0
+        if held:
+            yield packed(held)
+
+    def packed(held):
+        whole = pd.concat(held)
+        unit, other, n = whole["unit"].to_numpy(np.int32), whole["other"].to_numpy(), whole["n"].to_numpy(np.int64)
+        return pd.DataFrame({"unit": [unit.tobytes()], "side": [(other % 2).astype(np.int8).tobytes()], "other": [(other // 2).astype(np.int32).tobytes()], "n": [n.tobytes()]})
+
+    ordered = rows.repartition(parts, "unit").sortWithinPartitions("unit")
+    out = stored(ordered.mapInPandas(pack, "unit binary, side binary, other binary, n binary"), "contexts")
     discard(found)
     return out
 
 
+def unpacked(batches):
+    """(unit, side, other, n) of each row that :func:`contexts_of` packed."""
+    for pdf in batches:
+        for unit, side, other, n in zip(pdf["unit"], pdf["side"], pdf["other"], pdf["n"]):
+            yield np.frombuffer(unit, np.int32), np.frombuffer(side, np.int8), np.frombuffer(other, np.int32), np.frombuffer(n, np.int64)
+
+
 def class_moves(contexts: DataFrame, cls: np.ndarray, classes: int) -> np.ndarray:
     """How often a token of each class follows one of each class."""
 
     def run(batches):
         sums = np.zeros(classes * classes)
-        for pdf in batches:
-            sums += np.bincount(cls[pdf["unit"].to_numpy()] * classes + cls[pdf["other"].to_numpy()], weights=pdf["n"].to_numpy(), minlength=len(sums))
+        for unit, side, other, n in unpacked(batches):
+            after = side == 1
+            sums += np.bincount(cls[unit[after]] * classes + cls[other[after]], weights=n[after], minlength=len(sums))
         key = np.flatnonzero(sums)
         yield pd.DataFrame({"key": key, "n": sums[key].astype(np.int64)})
 
-    return table_of(contexts.filter("side = 1").select("unit", "other", "n").mapInPandas(run, "key long, n long"), classes)
+    return table_of(contexts.mapInPandas(run, "key long, n long"), classes)
 
 
 def likelihood(moves: np.ndarray) -> float:
@@ -215,51 +243,64 @@ def proposed(contexts: DataFrame, cls: np.ndarray, moves: np.ndarray) -> np.ndar
     """For every unit the class that gains most likelihood, the other units' classes as they are; units without a class (-1) tell nothing of their neighbours.
 
     To first order a unit with r[c] tokens of class c after it and l[c] before it adds to class k
-    ``sum r[c] log(moves[k, c]) + sum l[c] log(moves[c, k])``, less its tokens times the logs of k's sums. A task sends the gains themselves only of its first and
-    its last unit, which the next files may go on with.
+    ``sum r[c] log(moves[k, c]) + sum l[c] log(moves[c, k])``, less its tokens times the logs of k's sums. A packed row's first and last unit may go on in
+    others, so their gains are summed over rows first.
     """
     k = len(moves)
+    parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     full = np.log(moves + 0.5)
     gain = np.stack([full - full.mean(), full.T - full.mean()])  # [side][class of the neighbour][own class]
     gain[0] -= np.log(moves.sum(0) + 0.5 * k)
     gain[1] -= np.log(moves.sum(1) + 0.5 * k)
     gain[:, :, 0] = -1e9
-    gain = gain.astype(np.float32)
+    gain = gain.astype(np.float32).reshape(2 * k, k)
 
     def best(batches):
-        last, held, first = -1, np.zeros(k), True
-        for pdf in batches:
-            unit, side, near, n = (pdf[c].to_numpy() for c in ("unit", "side", "other", "n"))
-            near = cls[near]
+        for unit, side, other, n in unpacked(batches):
+            near = cls[other]
             keep = near >= 0
-            unit, side, near, n = unit[keep], side[keep], near[keep], n[keep].astype(np.float32)
-            if not len(unit):
+            if not keep.any():
                 continue
+            unit, near, n = unit[keep], (side * k + near)[keep], n[keep]
             heads = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-            sums, unit = np.add.reduceat(gain[side, near] * n[:, None], heads).astype(float), unit[heads]
-            if unit[0] == last:
-                sums[0] += held
-            elif last >= 0:
-                sums, unit = np.concatenate([held[None], sums]), np.concatenate([[last], unit])
-            last, held = unit[-1], sums[-1]
-            done, found = unit[:-1], sums[:-1]
-            if len(done):
-                gains = [None] * len(done)
-                if first:
-                    gains[0], first = found[0].tolist(), False
-                yield pd.DataFrame({"unit": done, "cls": found.argmax(1), "gains": pd.Series(gains, dtype=object)})
-        if last >= 0:
-            yield pd.DataFrame({"unit": [last], "cls": [int(held.argmax())], "gains": pd.Series([held.tolist()], dtype=object)})
-
-    found = contexts.mapInPandas(best, "unit long, cls long, gains array<double>").toArrow()
+            times = np.diff(np.append(heads, len(unit)))
+            sums = np.empty((len(heads), k), dtype=np.float32)
+            # Neighbours of frequent units are counted by class first.
+            many = np.flatnonzero(times > 2 * k)
+            for i in many:
+                own = slice(heads[i], heads[i] + times[i])
+                sums[i] = np.bincount(near[own], weights=n[own], minlength=2 * k).astype(np.float32) @ gain
+            few = np.flatnonzero(times <= 2 * k)
+            if len(few):
+                rest = np.repeat(times <= 2 * k, times)
+                starts = np.cumsum(times[few]) - times[few]
+                sums[few] = np.add.reduceat(gain[near[rest]] * n[rest, None].astype(np.float32), starts)
+            gains = [None] * len(heads)
+            gains[0], gains[-1] = sums[0].tolist(), sums[-1].tolist()
+            yield pd.DataFrame({"unit": unit[heads], "cls": sums.argmax(1), "gains": pd.Series(gains, dtype=object)})
+
+    def settle(batches):
+        own, held = None, None
+        for pdf in batches:
+            out = []
+            for unit, c, gains in zip(pdf["unit"], pdf["cls"], pdf["gains"]):
+                if unit != own:
+                    if held is not None:
+                        out.append((own, int(held.argmax())))
+                    own, held = unit, None
+                if gains is None:
+                    out.append((unit, c))
+                else:
+                    held = gains if held is None else held + gains
+            yield pd.DataFrame(out, columns=["unit", "cls"])
+        if held is not None:
+            yield pd.DataFrame({"unit": [own], "cls": [int(held.argmax())]})
+
+    # One class for each unit reaches the driver.
+    each = contexts.mapInPandas(best, "unit int, cls int, gains array<float>").repartition(parts, "unit").sortWithinPartitions("unit")
+    found = each.mapInPandas(settle, "unit int, cls int").toArrow()
     out = np.where(cls >= 0, cls, 1)
-    whole = found.filter(found["gains"].is_null())
-    out[whole["unit"].to_numpy()] = whole["cls"].to_numpy()
-    parted: dict[int, np.ndarray] = {}
-    for unit, gains in zip(*(found.filter(found["gains"].is_valid())[c].to_pylist() for c in ("unit", "gains"))):
-        parted[unit] = parted.get(unit, 0) + np.array(gains)
-    for unit, gains in parted.items():
-        out[unit] = int(gains.argmax())
+    out[found["unit"].to_numpy()] = found["cls"].to_numpy()
     out[0] = 0
     return out
 
@@ -336,8 +377,15 @@ def fit(train: DataFrame, counts: DataFrame, seeds: int = SEEDS, most_head: int
     classes = int(np.clip(round(distinct ** (1 / 3)), 8, MOST_CLASSES))
 
     contexts = contexts_of(train, shared)
-    seed = lambda c: F.when(F.col(c) < n_seeds, F.col(c)).otherwise(1)
-    pairs = table_of(contexts.filter("side = 1").select((seed("unit") * n_seeds + seed("other")).cast("long").alias("key"), "n"), n_seeds)
+
+    def seed_pairs(batches):
+        for unit, side, other, n in unpacked(batches):
+            after = side == 1
+            before_, after_ = (np.where(x[after] < n_seeds, x[after], 1).astype(np.int64) for x in (unit, other))
+            key, back = np.unique(before_ * n_seeds + after_, return_inverse=True)
+            yield pd.DataFrame({"key": key, "n": np.bincount(back, weights=n[after], minlength=len(key)).astype(np.int64)})
+
+    pairs = table_of(contexts.mapInPandas(seed_pairs, "key long, n long"), n_seeds)
     own = exchange(pairs, classes)
     onehot = np.eye(classes)[own]
     cls = np.full(units.size, -1)
