@@ -42,10 +42,11 @@ def create_crates(crates: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Data
 
     A crate's name stands once: names that exist are refused, and of equal new ones all but the first.
     """
-    n = F.row_number().over(Window.partitionBy("name").orderBy("seq"))
+    # A name that many ask for meets its first row by both columns, so no task gets all rows of a name.
+    first = wanted.groupBy("name").agg(F.min("seq").alias("seq")).withColumn("_first", F.lit(True))
     known = crates.select("name").distinct().withColumn("_known", F.lit(True))
-    judged = wanted.withColumn("_nth", n).join(known, "name", "left")
-    error = F.when(F.col("name").isNull() | (F.col("name") == ""), "no name").when(F.col("_known"), "exists").when(F.col("_nth") > 1, "repeated")
+    judged = wanted.join(first, ["name", "seq"], "left").join(known, "name", "left")
+    error = F.when(F.col("name").isNull() | (F.col("name") == ""), "no name").when(F.col("_known"), "exists").when(F.col("_first").isNull(), "repeated")
     judged = settled(judged.select("seq", "name", error.alias("error")))
     first = F.broadcast(_next(crates, "id").withColumn("_one", F.lit(1)))
     new = numbered(judged.filter("error is null"), ["seq"], "_n", 0).withColumn("_one", F.lit(1)).join(first, "_one")

@@ -20,7 +20,10 @@ POINTER = "version bigint, source string, at timestamp, changed bigint, total bi
 
 
 class KeyedTable:
-    """A table by ``key`` in ``home``; ``schema`` holds the key. Null keys aren't kept."""
+    """A table by ``key`` in ``home``; ``schema`` holds the key. Null keys aren't kept.
+
+    A pointer names ``buckets`` folders at most, and a run rewrites those that it touches, so there should be as many as keep one to some gigabytes.
+    """
 
     def __init__(self, spark: SparkSession, home: str, schema: str, key: str = "key", buckets: int = 64):
         self.spark, self.home, self.schema, self.key, self.buckets = spark, home, schema, key, buckets
@@ -50,7 +53,8 @@ class KeyedTable:
             old = self.read(list(touched)).join(keys, self.key, "left_anti")
             rows = old.unionByName(fresh.select(old.columns).filter(F.col(self.key).isNotNull())).withColumn("_bucket", bucket)
             run = f"{self.home}/data/{uuid.uuid4().hex}"
-            rows.repartition("_bucket").write.partitionBy("_bucket").parquet(run)
+            # Small buckets share tasks and large ones split, by the sizes that come up.
+            rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(run)
             made = {r["_bucket"] for r in self.spark.read.schema(f"{self.schema}, _bucket int").parquet(run).select("_bucket").distinct().collect()}
             folders = {b: f for b, f in folders.items() if b not in touched} | {b: f"{run}/_bucket={b}" for b in made}
         self.point(now, source, sum(touched.values()), folders)

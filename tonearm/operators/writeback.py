@@ -26,7 +26,7 @@ def write_back(changes: DataFrame, order: list[str], size: int, home: str, write
     spark, plan, ledger = changes.sparkSession, f"{home}/plan", f"{home}/ledger"
     if not _is_there(spark, f"{plan}/_SUCCESS"):
         rows = numbered(changes, order, "_n", 0)
-        rows.withColumn("batch", F.floor(F.col("_n") / size).cast("long")).drop("_n").write.mode("overwrite").partitionBy("batch").parquet(plan)
+        rows.withColumn("batch", F.floor(F.col("_n") / size).cast("long")).drop("_n").hint("rebalance", "batch").write.mode("overwrite").partitionBy("batch").parquet(plan)
     planned = spark.read.schema(StructType([*changes.schema.fields, StructField("batch", LongType())])).parquet(plan)
     batches = planned.select("batch").distinct()
     done = spark.read.schema("batch long").parquet(ledger) if _is_there(spark, ledger) else spark.createDataFrame([], "batch long")
