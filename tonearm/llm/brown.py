@@ -34,7 +34,7 @@ from tonearm.llm.common import discard, fold, read, stored
 SEEDS = 1200
 SWEEPS = 4
 #: Rounds in which all units may move, after the first one, which gives classes to those that the driver didn't move.
-ROUNDS = 2
+ROUNDS = 1
 #: Bigrams of units that are stored as one row.
 PACKED = 1 << 16
 MOST_CLASSES = 256
@@ -217,7 +217,7 @@ def unpacked(batches):
     """(unit, side, other, n) of each row that :func:`contexts_of` packed."""
     for pdf in batches:
         for unit, side, other, n in zip(pdf["unit"], pdf["side"], pdf["other"], pdf["n"]):
-            yield np.frombuffer(unit, np.int32), np.frombuffer(side, np.int8), np.frombuffer(other, np.int32), np.frombuffer(n, np.int64)
+            yield np.frombuffer(unit, np.int32), np.frombuffer(side, np.int8).astype(np.int64), np.frombuffer(other, np.int32), np.frombuffer(n, np.int64)
 
 
 def class_moves(contexts: DataFrame, cls: np.ndarray, classes: int) -> np.ndarray:
