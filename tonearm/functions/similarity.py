@@ -77,6 +77,116 @@ def common_lengths(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
+#: Names whose rows are moved on together where all meet all.
+BLOCK = 16384
+
+
+class Names:
+    """Names ordered by length, at most ``BLOCK``, ready to be met by any string: for each letter where it stands in each name, and how often."""
+
+    def __init__(self, names: list[str]):
+        self.names = sorted(names, key=len)
+        flat, self.sizes = letters(self.names)
+        longest = flat.shape[1]
+        kind = np.uint32 if longest <= 32 else np.uint64
+        bits = 8 * np.dtype(kind).itemsize
+        words = max(1, -(-longest // bits))
+        alphabet = np.unique(flat[flat >= 0])
+        self.at = np.zeros((len(alphabet), words, len(names)), dtype=kind)
+        self.counts = np.zeros((len(alphabet), len(names)), dtype=np.uint16 if longest > 255 else np.uint8)
+        for k in range(longest):
+            here = np.nonzero(flat[:, k] >= 0)[0]
+            code = np.searchsorted(alphabet, flat[here, k])
+            self.at[code, k // bits, here] |= kind(1 << k % bits)
+            self.counts[code, here] += 1
+        self.place = {chr(c): i for i, c in enumerate(alphabet.tolist())}
+        self.full = np.zeros((words, len(names)), dtype=kind)
+        for w in range(words):
+            held = np.clip(self.sizes - w * bits, 0, bits)
+            self.full[w] = np.where(held == bits, kind(2**bits - 1), (kind(1) << (held % bits).astype(kind)) - kind(1))
+
+    def bound(self, other: str, at: slice) -> np.ndarray:
+        """The number of letters that ``other`` shares with each name in any order: no common subsequence is longer."""
+        top, counts = np.iinfo(self.counts.dtype).max, self.counts
+        out = np.zeros(len(range(*at.indices(len(self.names)))), dtype=np.int32 if len(other) > 255 else np.uint8)
+        for c in set(other):
+            if c in self.place:
+                out += np.minimum(counts[self.place[c], at], counts.dtype.type(min(other.count(c), top))).astype(out.dtype, copy=False)
+        return out
+
+    def common(self, other: str, at: slice | np.ndarray) -> np.ndarray:
+        """Lengths of the longest common subsequences of ``other`` and the names at the given places."""
+        full = self.full[:, at]
+        seen = {c: self.at[self.place[c]][:, at] for c in set(other) if c in self.place}
+        row, hit, kept = full.copy(), np.empty_like(full), np.empty_like(full)
+        for c in other:
+            if c not in seen:
+                continue
+            np.bitwise_and(row, seen[c], out=hit)
+            np.subtract(row, hit, out=kept)
+            if len(full) == 1:
+                np.add(row, hit, out=row)
+            else:
+                carry = np.zeros(full.shape[1], dtype=full.dtype)
+                for w in range(len(full)):
+                    first = row[w] + hit[w]
+                    total = first + carry
+                    carry = ((first < hit[w]) | (total < first)).astype(full.dtype)
+                    row[w] = total
+            np.bitwise_or(row, kept, out=row)
+        np.bitwise_and(row, full, out=row)
+        return self.sizes[at] - np.bitwise_count(row).sum(axis=0, dtype=np.int64)
+
+    def meet(self, other: str, at: slice, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places within ``at`` whose names have ``least`` letters or more in common with ``other``, in order, and how many."""
+        kept = np.nonzero(self.bound(other, at) >= least)[0]
+        if not len(kept):
+            return kept, kept
+        # Half of the names cost as much picked as all of them read in place.
+        if 2 * len(kept) > len(least):
+            found = self.common(other, at)[kept]
+        else:
+            found = self.common(other, kept + at.start)
+        good = found >= least[kept]
+        return kept[good] + at.start, found[good]
+
+
+def blocks(names: list[str]) -> list[tuple[int, Names]]:
+    """``names``, which come by length, as :class:`Names` of some 64 MB at most, each with the place of its first name."""
+    cells = max(1, len(set().union(*names))) * (max(map(len, names), default=0) // 64 + 1)
+    size = max(256, min(BLOCK, 8_000_000 // cells))
+    return [(at, Names(names[at : at + size])) for at in range(0, len(names), size)]
+
+
+def ratio_from(block: Names, other: str, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the names whose ratio with ``other`` reaches ``least``, and their ratios."""
+    n, share = len(other), least / (200.0 - least)
+    low = int(np.searchsorted(block.sizes, n * share - 1e-6))
+    high = int(np.searchsorted(block.sizes, n / share + 1e-6, "right")) if share > 0 else len(block.names)
+    need = np.ceil(least * (block.sizes[low:high] + n) / 200.0 - 1e-9)
+    at, common = block.meet(other, slice(low, high), need)
+    total = block.sizes[at] + n
+    score = np.where(total > 0, 200.0 * common / np.maximum(total, 1), 100.0)
+    return at[score >= least], score[score >= least]
+
+
+def part_from(block: Names, other: str, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the names whose partial ratio with ``other`` reaches ``least``, and these ratios.
+
+    Names more than ``200 / least`` times as long as the others only where the shorter one has a blank, as :func:`~tonearm.operators.matching.safe_partial` lowers the rest.
+    """
+    n, sizes = len(other), block.sizes
+    wide = int(np.searchsorted(sizes, n * least / 200.0 - 1e-6))
+    low = 0 if any(" " in x for x in block.names[:wide]) else wide
+    high = len(sizes) if " " in other else int(np.searchsorted(sizes, n * 200.0 / least + 1e-6, "right"))
+    # A window's ratio doesn't exceed that of one as long as all that both have in common, and alike throughout.
+    need = np.ceil(least * np.minimum(sizes[low:high], n) / (200.0 - least) - 1e-9)
+    at, _ = block.meet(other, slice(low, high), np.maximum(need, 1))
+    at = np.array([i for i in at if i >= wide or " " in block.names[i]], dtype=np.int64)
+    score = np.array([best_window(block.names[i], other) for i in at], dtype=np.float64)
+    return at[score >= least], score[score >= least]
+
+
 def ratios(left: list[str], right: list[str]) -> np.ndarray:
     sizes = np.array([len(x) + len(y) for x, y in zip(left, right)], dtype=np.int64)
     return np.where(sizes > 0, 200.0 * common_lengths(left, right) / np.maximum(sizes, 1), 100.0)

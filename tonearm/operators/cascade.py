@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions import text as T
-from tonearm.functions.similarity import partial_from_udf, ratio_once_udf, sorted_tokens
+from tonearm.functions.similarity import part_from, partial_from_udf, ratio_once_udf, sorted_tokens
 from tonearm.operators.components import components
-from tonearm.operators.matching import SHORT, band_candidates, covered, least_common, letter_pairs, name_pairs, one_to_one, safe_partial, subsequences_udf, url_matches, window_subsequences_udf
+from tonearm.operators.matching import SHORT, band_candidates, covered, least_common, letter_pairs, met, name_pairs, one_to_one, safe_partial, subsequences_udf, url_matches, window_subsequences_udf
 from tonearm.sources.tables import stored
 
 # Least scores, weights and the bonus for alike numbers of tracks.
@@ -104,16 +104,14 @@ def fewest(n: Column, least: float) -> Column:
 
 
 def safe_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b, score) of names whose guarded partial ratio reaches ``least``."""
-    short = F.when(F.length("a") <= F.length("b"), F.col("a")).otherwise(F.col("b"))
-    wide = F.least(F.length("a"), F.length("b")) * 200 >= least * F.greatest(F.length("a"), F.length("b"))
-    pairs = partial_pairs(left, right, least, near=wide | short.contains(" "))
-    # Only names under four letters are compared whole, only the others by windows.
-    tiny = F.least(F.length("a"), F.length("b")) < 4
-    only = lambda c, when: F.when(when, c).otherwise("")
-    a, b = F.col("a"), F.col("b")
-    scored = pairs.withColumns({"_whole": ratio_once_udf(only(sorted_tokens(a), tiny), only(sorted_tokens(b), tiny)), "_part": partial_from_udf(least)(only(a, ~tiny), only(b, ~tiny))})
-    return scored.withColumn("score", safe_partial(a, b, whole=F.col("_whole"), part=F.col("_part"))).filter(F.col("score") >= least).select("a", "b", "score")
+    """(a, b, score) of names whose guarded partial ratio reaches ``least``: those under four letters are compared whole, only the others by windows."""
+    a, b = left.filter("a <> ''").distinct(), right.filter("b <> ''").distinct()
+    tiny = lambda c: F.length(c) < 4
+    text = lambda d, c: d.filter(~tiny(c)).select(F.col(c).alias("name"), F.col(c).alias("text"))
+    whole = name_pairs(a.filter(tiny("a")), b, least).union(name_pairs(a.filter(~tiny("a")), b.filter(tiny("b")), least))
+    parts = met(text(a, "a"), text(b, "b"), part_from, least)
+    scored = whole.union(parts).withColumn("score", safe_partial(F.col("a"), F.col("b"), whole=F.col("score"), part=F.col("score")))
+    return scored.filter(F.col("score") >= least)
 
 
 def alike(a: str, b: str, least: float) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import combinations
 
@@ -10,54 +11,64 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonearm.functions.similarity import partial_ratio_udf, ratio_once_udf, sorted_tokens, token_sort_ratio
+from tonearm.functions.similarity import BLOCK, blocks, partial_ratio_udf, ratio_from, sorted_tokens, token_sort_ratio
 from tonearm.functions.text import normalize_for_matching, tier
+from tonearm.sources.tables import stored
 
 #: Names up to this long are met through their subsequences where their letter pairs tell nothing.
 SHORT = 5
 
 
-def name_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b, score) of distinct names whose token-sort ratio reaches ``least``.
+#: Names that a task holds at once, and names of the other side that it reads against them.
+HELD, READ = BLOCK, BLOCK // 4
 
-    Candidates come from :func:`sharing_pairs`, which loses no pair. Lengths that can't reach the score are dropped before any string is compared.
-    """
-    a = left.select(F.col(left.columns[0]).alias("a")).filter("a is not null").distinct().withColumn("sa", sorted_tokens(F.col("a")))
-    b = right.select(F.col(right.columns[0]).alias("b")).filter("b is not null").distinct().withColumn("sb", sorted_tokens(F.col("b")))
-    near = 200.0 * F.least(F.length("sa"), F.length("sb")) >= least * (F.length("sa") + F.length("sb"))
-    return sharing_pairs(a, b, near, least).withColumn("score", ratio_once_udf("sa", "sb")).filter(F.col("score") >= least).select("a", "b", "score")
 
+def name_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b, score) of distinct names whose token-sort ratio reaches ``least``; all meet all in :func:`met`, which loses no pair."""
+    a = left.select(F.col(left.columns[0]).alias("name")).filter("name is not null").distinct()
+    b = right.select(F.col(right.columns[0]).alias("name")).filter("name is not null").distinct()
+    text = sorted_tokens(F.col("name")).alias("text")
+    return met(a.select("name", text), b.select("name", text), ratio_from, least)
 
-def sharing_pairs(a: DataFrame, b: DataFrame, near: Column, least: float) -> DataFrame:
-    """Pairs (a, b, sa, sb) of ``a(a, sa)`` and ``b(b, sb)`` among which are all whose ratio reaches ``least``.
 
-    A common subsequence of L of m and n letters leaves 3L - m - n - 1 pairs of neighbouring letters in common, repeats told
-    apart. With the least L and n that reach the score, that is a bound for each name alone, so two such names
-    share one of the rarest letter pairs of each. Names too short for the bound meet on what they have in common, which is one of at most 31
-    subsequences of each; below a score of about 69 the bound fails for longer names too, and those meet all short ones by length.
+def met(left: DataFrame, right: DataFrame, kernel: Callable, least: float) -> DataFrame:
+    """(a, b, score) of all names of ``left(name, text)`` and ``right(name, text)`` whose texts ``kernel(block, text, least)`` finds alike.
+
+    Every text meets every other one, as common letter pairs tell too little at such scores. Both sides are dealt into cells of a grid: of a cell's rows a task
+    holds the left names, ``HELD`` or so, and reads the right ones one by one. Lengths and then letters in any order rule most of the held names out before any order of letters is read.
     """
-    def bound(s):
-        m = F.length(s)
-        return F.ceil(m * ((3.0 * least - 200.0) / (200.0 - least)) - 1.000001) if least < 200 else m
-
-    def rows(d, name, s):
-        return d.select(name, s, F.explode(letter_pairs(F.col(s))).alias("pair"))
-
-    left, right = rows(a, "a", "sa"), rows(b, "b", "sb")
-    seen = left.select("pair").union(right.select("pair")).groupBy("pair").agg(F.count("*").alias("seen"))
-
-    def rarest(d, name, s):
-        place = F.row_number().over(Window.partitionBy(name).orderBy("seen", "pair"))
-        return d.join(seen, "pair").withColumn("_place", place).filter(F.col("_place") <= F.length(s) - F.greatest(bound(s), F.lit(1))).select(name, s, "pair")
-
-    met = rarest(left, "a", "sa").join(rarest(right, "b", "sb"), "pair").filter(near).select("a", "b", "sa", "sb").distinct()
-    if not covered(least):
-        return met.union(a.filter(bound("sa") < 1).join(b.filter(bound("sb") < 1), near).select("a", "b", "sa", "sb")).distinct()
-    left_of = subsequences_udf(least)
-    brief = lambda d, s: d.filter(F.length(s).between(1, SHORT)).withColumn("key", F.explode(left_of(s)))
-    short = brief(a, "sa").join(brief(b, "sb"), "key").filter(near).select("a", "b", "sa", "sb")
-    blank = a.filter("sa = ''").join(b.filter("sb = ''"), F.col("sa") == F.col("sb")).select("a", "b", "sa", "sb")
-    return met.union(short).union(blank).distinct()
+    left, right = stored(left), stored(right)
+    rows, columns = max(1, math.ceil(left.count() / HELD)), max(1, math.ceil(right.count() / READ))
+    dealt = lambda n: F.pmod(F.xxhash64("name"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    held = left.select("name", "text", F.lit(0).alias("side"), dealt(rows).alias("row"), every(columns).alias("column"))
+    read = right.select("name", "text", F.lit(1).alias("side"), every(rows).alias("row"), dealt(columns).alias("column"))
+    cells = held.union(read).withColumn("cell", F.col("row") * columns + F.col("column")).repartition(rows * columns, "cell")
+
+    def walk(batches):
+        own, names, found, size, out = None, [], None, 0, []
+        for pdf in batches:
+            for cell, side, name, text in zip(*(pdf[c].tolist() for c in ("cell", "side", "name", "text"))):
+                if cell != own:
+                    own, names, found = cell, [], None
+                if side == 0:
+                    names.append((text, name))
+                    continue
+                if found is None:
+                    names.sort(key=lambda x: len(x[0]))
+                    found = blocks([x for x, _ in names])
+                for start, block in found:
+                    at, score = kernel(block, text, least)
+                    if len(at):
+                        out.append(pd.DataFrame({"a": [names[start + i][1] for i in at.tolist()], "b": name, "score": score}))
+                        size += len(at)
+                if size >= 50_000:
+                    yield pd.concat(out)
+                    size, out = 0, []
+        if out:
+            yield pd.concat(out)
+
+    return cells.select("cell", "side", "name", "text").sortWithinPartitions("cell", "side").mapInPandas(walk, "a string, b string, score double")
 
 
 def covered(least: float) -> bool:
