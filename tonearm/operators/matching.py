@@ -224,17 +224,36 @@ def known_reason(post: DataFrame, local_urls: DataFrame, comments: DataFrame, fu
     return rows.withColumn("reason", reason).drop("_url", "_comment", "_near")
 
 
+def said_urls(urls: DataFrame, comments: DataFrame) -> DataFrame:
+    """Those of distinct ``urls(url)`` that one of distinct ``comments(comment)`` holds by ILIKE.
+
+    A comment holds all of what stands between a URL's wildcards, so both meet on the piece of it, of 7, 5 or 3 letters, that the fewest comments hold.
+    Only URLs without three letters in a row meet all comments.
+    """
+    holds = F.expr("comment ilike '%' || url || '%'")
+    cut = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.expr("cast(array() as array<string>)"))
+    longest = lambda c: F.when(F.length(c) >= 7, cut(c, 7)).when(F.length(c) >= 5, cut(c, 5)).otherwise(cut(c, 3))
+    # A backslash escapes the letter after it; both are left out.
+    cuts = urls.withColumn("pieces", F.array_distinct(F.flatten(F.transform(F.split(F.lower("url"), r"(?s)\\.|[%_]"), longest))))
+    low = F.lower("comment")
+    parts = comments.select("comment", F.explode(F.array_distinct(F.concat(cut(low, 7), cut(low, 5), cut(low, 3)))).alias("piece"))
+    seen = parts.groupBy("piece").agg(F.count("*").alias("n"))
+    rows = cuts.select("url", F.explode("pieces").alias("piece")).join(seen, "piece", "left")
+    key = rows.groupBy("url").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("m")).filter("m.n > 0").select("url", F.col("m.piece").alias("piece"))
+    met_ = key.join(parts, "piece").filter(holds).select("url")
+    return met_.union(cuts.filter(F.size("pieces") == 0).select("url").join(comments, holds, "left_semi")).distinct()
+
+
 def duplicate_reasons(posts: DataFrame, local_urls: DataFrame, comments: DataFrame, albums: DataFrame, least: float = 80.0, least_album: float = 50.0) -> DataFrame:
     """``posts(key, url, artist, album)`` with ``reason``: its URL was downloaded, a comment holds the URL, the names are alike, or null.
 
-    A comment holds a URL by LIKE: without regard to case, with ``%`` and ``_`` of the URL live; distinct URLs meet distinct comments in a
-    nested loop, as the URLs are those of one site's posts. Names are alike if the best of ``albums(artist, album)`` by 0.4 artist and 0.6 album
+    A comment holds a URL by LIKE: without regard to case, with ``%`` and ``_`` of the URL live; see :func:`said_urls`. Names are alike if the best of ``albums(artist, album)`` by 0.4 artist and 0.6 album
     reaches ``least`` and its album ``least_album``. Such an album alone scores ``(least - 40) / 0.6`` or more, so candidates come from
     :func:`name_pairs` without loss.
     """
     urls = posts.select("url").filter("url is not null").distinct()
     said = comments.select("comment").filter("comment is not null").distinct()
-    found = urls.join(said, F.expr("comment ilike '%' || url || '%'"), "left_semi")
+    found = said_urls(urls, said)
     clean = lambda c: normalize_for_matching(F.col(c))
     mine = posts.select("key", clean("artist").alias("_a"), clean("album").alias("_b")).filter("_a is not null and _b is not null")
     local = albums.filter("artist is not null and album is not null").select(clean("artist").alias("_la"), clean("album").alias("_lb")).distinct()
