@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +20,17 @@ GENRE_IDS = (7, 8, 9, 10, 11, 12, 14, 15, 16, 28, 29, 30, 33, 44, 47, 48, 69)
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&amp;": "&"}
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` computed once, however often it is named: an array of one holds it."""
+    return F.transform(F.array(c), use)[0]
+
+
 def unescaped(c: Column) -> Column:
     """Named references of ``ENTITIES``, and all decimal and hexadecimal ones, decoded."""
     parts = F.split(c, r"(?<=;)|(?=&#)")
     code = lambda p: F.coalesce(F.regexp_extract(p, r"^&#(\d+);$", 1).try_cast("int"), F.conv(F.nullif(F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]+);$", 1), F.lit("")), 16, 10).try_cast("int"))
     char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    out = F.array_join(F.transform(parts, lambda p: F.when(code(p).isNotNull(), char(code(p))).otherwise(p)), "")
+    out = F.array_join(F.transform(parts, lambda p: F.when(p.startswith("&#"), once(code(p), lambda n: F.when(n.isNotNull(), char(n)).otherwise(p))).otherwise(p)), "")
     for name, char_ in ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(char_))
     return out
@@ -31,7 +38,10 @@ def unescaped(c: Column) -> Column:
 
 def parse_title(c: Column) -> Column:
     """(artist, album) of a post's title: cut at the first en dash, em dash or spaced hyphen that has text on both sides."""
-    t = F.trim(F.regexp_replace(unescaped(c), LABEL_IN_TITLE, ""))
+    return once(F.trim(F.regexp_replace(unescaped(c), LABEL_IN_TITLE, "")), _cut_title)
+
+
+def _cut_title(t: Column) -> Column:
     various = t.rlike(r"(?i)^v/?a\b")
     rest = F.trim(F.regexp_replace(t, r"(?i)^v/?a\b\s*[-–—:]?\s*", ""))
     out = F.struct(F.lit("Various Artists").alias("artist"), t.alias("album"))
@@ -53,9 +63,11 @@ def download_urls(html: Column, domain: str) -> Column:
     low = lambda u: F.lower(url_decoded(u))
     own = F.filter(links, lambda u: F.contains(u, F.lit(domain)) & low(u).rlike(r"\.(?:zip|rar)$"))
     kind = lambda u: F.when(F.contains(low(u), F.lit("wav")), "wav").when(F.contains(low(u), F.lit("mp3")), "mp3").otherwise("download")
-    pick = lambda k, last: F.try_element_at(F.filter(own, lambda u: kind(u) == k), F.lit(-1 if last else 1))
-    pairs = F.array(*[F.struct(F.lit(k).alias("k"), pick(k, k != "download").alias("v")) for k in ("wav", "mp3", "download")])
-    return F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
+    # Each own link with its kind, which is told once.
+    kinds = F.transform(own, lambda u: F.struct(kind(u).alias("k"), u.alias("v")))
+    pick = lambda all_, k, last: F.try_element_at(F.filter(all_, lambda u: u["k"] == k), F.lit(-1 if last else 1))
+    picked = once(kinds, lambda all_: F.array(*[pick(all_, k, k != "download") for k in ("wav", "mp3", "download")]))
+    return F.map_from_entries(F.filter(picked, lambda p: p.isNotNull()))
 
 
 def cover_url(html: Column, fallback: Column) -> Column:
@@ -80,17 +92,21 @@ def tracklist(html: Column) -> Column:
 
 
 def credit_text(html: Column) -> Column:
-    return F.nullif(F.array_join(F.filter(text_lines(html), lambda x: x.rlike(CREDITS)), "; "), F.lit(""))
+    return once(F.array_join(F.filter(text_lines(html), lambda x: x.rlike(CREDITS)), "; "), lambda x: F.nullif(x, F.lit("")))
 
 
 def label_name(html: Column) -> Column:
     """The name after the first "released by" or "released on", cut at the first of " & ", " and " and ", " that it holds, in this order."""
     found = F.regexp_replace(F.trim(F.regexp_extract(F.array_join(text_lines(html), "\n"), RELEASED_BY, 1)), "[.,;:]+$", "")
-    out = found
-    for mark in (", ", " and ", " & "):
-        at = F.instr(F.lower(found), mark)
-        out = F.when(at > 0, F.substring(found, F.lit(1), at - 1)).otherwise(out)
-    return F.nullif(out, F.lit(""))
+
+    def cut(name: Column) -> Column:
+        out = name
+        for mark in (", ", " and ", " & "):
+            at = F.instr(F.lower(name), mark)
+            out = F.when(at > 0, F.substring(name, F.lit(1), at - 1)).otherwise(out)
+        return F.nullif(out, F.lit(""))
+
+    return once(found, cut)
 
 
 def category_kind(c: Column, ignored: tuple[int, ...] = IGNORED_IDS, genres: tuple[int, ...] = GENRE_IDS) -> Column:
@@ -111,7 +127,8 @@ def release_content(posts: DataFrame, html: str, title: str, domain: str, media:
 def page_data(html: Column, schema: str) -> Column:
     """The JSON that a store page holds in ``data-blob`` of its pagedata (or home page) element."""
     blob = lambda i: F.regexp_extract(html, rf'<div[^>]*id="{i}"[^>]*data-blob="([^"]*)"', 1)
-    return F.from_json(unescaped(F.coalesce(F.nullif(blob("pagedata"), F.lit("")), blob("HomepageApp"))), schema)
+    text = once(blob("pagedata"), lambda x: F.when(x != "", x).otherwise(blob("HomepageApp")))
+    return F.from_json(unescaped(text), schema)
 
 
 def discography(bundles: DataFrame, known: DataFrame, key: str, items: str) -> DataFrame:
@@ -123,9 +140,13 @@ def discography(bundles: DataFrame, known: DataFrame, key: str, items: str) -> D
 
 def digital_items(html: Column, schema: str) -> Column:
     """(items, error): the page data's ``digital_items``, or why there are none; ``schema`` is that of an item."""
-    data = page_data(html, f"digital_items array<{schema}>")
-    error = F.when(data.isNull() | data["digital_items"].isNull(), "no page data").when(F.size(data["digital_items"]) == 0, "no items")
-    return F.struct(F.coalesce(data["digital_items"], F.from_json(F.lit("[]"), f"array<{schema}>")).alias("items"), error.alias("error"))
+    none = F.from_json(F.lit("[]"), f"array<{schema}>")
+
+    def told(data: Column) -> Column:
+        error = F.when(data.isNull() | data["digital_items"].isNull(), "no page data").when(F.size(data["digital_items"]) == 0, "no items")
+        return F.struct(F.coalesce(data["digital_items"], none).alias("items"), error.alias("error"))
+
+    return once(page_data(html, f"digital_items array<{schema}>"), told)
 
 
 def release_json(fields: dict[str, Column]) -> Column:
