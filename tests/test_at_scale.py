@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonearm import queries_more
-from tonearm.operators import writeback
+from tonearm.operators import cascade, writeback
 from tonearm.sources.tables import shared_folder
 
 
@@ -44,3 +44,18 @@ def test_entries_beyond_a_million(spark):
     spark.createDataFrame([(5,), (6,), (1000001,), (1000005,)], "p_partkey long").write.parquet(f"{where}/part.parquet")
     got = sorted(map(tuple, queries_more.entries_refused(spark, where).collect()))
     assert got == [(1, 1000001, "track not found"), (1, 1000005, "track not found"), (1000001, 6, "list not found")]
+
+
+def test_repairs_with_an_equal_partner_meet_no_others(spark, monkeypatch):
+    met, weighed = [], cascade.weighed
+    monkeypatch.setattr(cascade, "weighed", lambda mine, *rest: met.extend(r["file"] for r in mine.select("file").collect()) or weighed(mine, *rest))
+    songs = [("f1", "The Band", "First Album"), ("f2", "the bant", "secont album"), ("f3", "the band", "q"), ("f4", "band the", "album third"), ("f5", "x", "y"), ("f6", None, "First Album")]
+    tracks = spark.createDataFrame([(f, a, b, None, "flac") for f, a, b in songs], "file string, artist string, album string, title string, encoding string")
+    releases = spark.createDataFrame([(7, "The Band", "First Album"), (8, "the band", "second album"), (5, "The Band", "Third Album"), (4, "the band", "third album")], "release_id long, band string, album string")
+    none = spark.createDataFrame([], "release_id long, place int, title string")
+    formats = spark.createDataFrame([], "release_id long, encoding string")
+    got = {r["file"]: (r["release_id"], r["score"] and round(r["score"], 3), r["match_type"]) for r in cascade.repair_matches(tracks.select("file"), tracks, releases, none, formats).collect()}
+    near = 0.4 * 100 * 7 / 8 + 0.6 * 100 * 11 / 12
+    assert got == {"f1": (7, 100.0, "release"), "f2": (8, round(near, 3), "release"), "f4": (4, 100.0, "release"), **{f: (None, None, "none") for f in ("f3", "f5", "f6")}}
+    # All six met all names before: f3 and f5 are too short for any album.
+    assert met == ["f2"]

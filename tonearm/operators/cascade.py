@@ -296,6 +296,32 @@ def weighed(mine: DataFrame, theirs: DataFrame, group: list[str], least: float,
     return met.groupBy(*group, "n_artist", "n_title").agg(F.max("score").alias("score")).filter(F.col("score") >= least)
 
 
+def best_weighed(mine: DataFrame, theirs: DataFrame, group: list[str], least: float) -> DataFrame:
+    """As :func:`weighed` without a gate, for those who keep each group's best only: all of the best are there, others may be missing.
+
+    Nothing scores more than equal words in artist and title do, and nothing else as much; only groups without such a partner meet all names.
+    """
+    theirs = theirs.filter("n_artist <> '' and n_title <> ''").distinct()
+    words = lambda d, artist, title: d.withColumns({"_artist": sorted_tokens(F.col(artist)), "_title": sorted_tokens(F.col(title))})
+    same = words(mine, "artist", "title").join(words(theirs, "n_artist", "n_title"), ["_artist", "_title"])
+    same = stored(same.select(*group, "n_artist", "n_title", F.lit(100.0).alias("score")).filter(F.col("score") >= least).distinct())
+    rest = stored(reachable(mine.join(same.select(group).distinct(), group, "left_anti"), theirs, least))
+    return same if rest.isEmpty() else same.union(weighed(rest, theirs, group, least, 0.0).select(same.columns))
+
+
+def reachable(mine: DataFrame, theirs: DataFrame, least: float) -> DataFrame:
+    """Rows of ``mine(artist, title)`` that by the lengths of names alone may reach ``least`` against some of ``theirs(n_artist, n_title)``.
+
+    Only different pairs of lengths meet, and these are few.
+    """
+    size = lambda c: F.length(sorted_tokens(F.col(c)))
+    most = lambda x, y: F.when(F.col(x) + F.col(y) > 0, 200.0 * F.least(x, y) / (F.col(x) + F.col(y))).otherwise(100.0)
+    sized = mine.withColumns({"_m": size("artist"), "_n": size("title")})
+    there = theirs.select(size("n_artist").alias("_x"), size("n_title").alias("_y")).distinct()
+    good = sized.select("_m", "_n").distinct().join(there, ARTIST * most("_m", "_x") + TITLE * most("_n", "_y") >= least - 1e-6, "left_semi")
+    return sized.join(good, ["_m", "_n"], "left_semi").drop("_m", "_n")
+
+
 def global_phase(releases: DataFrame, tracks: DataFrame, folders: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """The free folder that holds most files of like artist and album."""
     mine = releases.select("release_id", F.explode("artists").alias("artist"), "albums").select("release_id", "artist", F.explode("albums").alias("title"))
@@ -312,7 +338,7 @@ def track_phase(releases: DataFrame, tracks: DataFrame, release_tracks: DataFram
     """Releases without a folder: the best file anywhere for each of their tracks, whoever else has it."""
     asked = release_tracks.select("release_id", "place", T.normalize_for_matching(F.col("title")).alias("title")).filter("title <> ''")
     mine = releases.select("release_id", F.explode("artists").alias("artist")).join(asked, "release_id")
-    names = weighed(mine, tracks.select("n_artist", "n_title"), ["release_id", "place"], least, 0.0)
+    names = best_weighed(mine, tracks.select("n_artist", "n_title"), ["release_id", "place"], least)
     met = names.join(tracks.groupBy("n_artist", "n_title").agg(F.min("key").alias("key")), ["n_artist", "n_title"])
     best = met.groupBy("release_id", "place").agg(F.min(F.struct((-F.col("score")).alias("s"), "key")).alias("m")).select("release_id", "place", F.col("m.key").alias("key"), (-F.col("m.s")).alias("own"))
     mean = best.groupBy("release_id").agg(F.avg("own").alias("score"))
@@ -388,7 +414,7 @@ def repair_matches(broken: DataFrame, tracks: DataFrame, releases: DataFrame, re
 
     def best(files, name, theirs, kind):
         mine = files.select("file", clean("artist").alias("artist"), clean(name).alias("title")).filter("artist <> '' and title <> ''")
-        names = weighed(mine, theirs.select("n_artist", "n_title"), ["file"], least, 0.0)
+        names = best_weighed(mine, theirs.select("n_artist", "n_title"), ["file"], least)
         met = names.join(theirs, ["n_artist", "n_title"]).groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("s"), "release_id")).alias("m"))
         return met.select("file", F.col("m.release_id").alias("release_id"), (-F.col("m.s")).alias("score"), F.lit(kind).alias("match_type"))
 
