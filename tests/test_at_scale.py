@@ -1,5 +1,6 @@
 """Faults that only larger tables showed, at a size that shows them."""
 
+import random
 import time
 import uuid
 
@@ -7,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonearm import queries_more
-from tonearm.operators import cascade, writeback
+from tonearm.functions.similarity import ratio
+from tonearm.operators import cascade, matching, writeback
 from tonearm.sources.tables import shared_folder
 
 
@@ -59,3 +61,17 @@ def test_repairs_with_an_equal_partner_meet_no_others(spark, monkeypatch):
     assert got == {"f1": (7, 100.0, "release"), "f2": (8, round(near, 3), "release"), "f4": (4, 100.0, "release"), **{f: (None, None, "none") for f in ("f3", "f5", "f6")}}
     # All six met all names before: f3 and f5 are too short for any album.
     assert met == ["f2"]
+
+
+def test_single_files_meet_within_their_group(spark, monkeypatch):
+    monkeypatch.setattr(matching, "HELD", 16)
+    monkeypatch.setattr(matching, "READ", 8)
+    monkeypatch.setattr(cascade, "name_pairs", None)
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("abc ") for _ in range(rng.randint(1, 7))).strip() or "a"
+    albums = [(i, rng.choice(["one", "one", "two", "x"]), [name(), name()]) for i in range(60)]
+    files = [(f"k{i}", rng.choice(["one", "one", "two", "y"]), "f", [name(), name()]) for i in range(80)]
+    got = cascade.single_files(spark.createDataFrame(albums, "release_id long, sub string, albums array<string>"), spark.createDataFrame(files, "key string, sub string, folder string, names array<string>"), ["sub"], 75.0)
+    words = lambda x: " ".join(sorted(x.split()))
+    best = {(r, k): max(ratio(words(a), words(b)) for a in xs for b in ys) for r, s, xs in albums for k, t, _, ys in files if s == t}
+    assert {(r["release_id"], r["key"]): r["score"] for r in got.collect()} == {at: s for at, s in best.items() if s >= 75.0}

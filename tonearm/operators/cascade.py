@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tonearm.functions import text as T
 from tonearm.functions.similarity import part_from, partial_from_udf, ratio_once_udf, sorted_tokens
 from tonearm.operators.components import components
-from tonearm.operators.matching import SHORT, band_candidates, covered, least_common, letter_pairs, met, name_pairs, one_to_one, safe_partial, subsequences_udf, url_matches, window_subsequences_udf
+from tonearm.operators.matching import SHORT, band_candidates, covered, least_common, letter_pairs, met, name_pairs, name_pairs_within, one_to_one, safe_partial, subsequences_udf, url_matches, window_subsequences_udf
 from tonearm.sources.tables import stored
 
 # Least scores, weights and the bonus for alike numbers of tracks.
@@ -114,6 +114,13 @@ def safe_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     return scored.filter(F.col("score") >= least)
 
 
+def safe_scores(pairs: DataFrame, least: float) -> DataFrame:
+    """``pairs(a, b)`` whose guarded partial ratio reaches ``least``, with their ``score``; the same as :func:`safe_pairs` gives, for pairs that are known."""
+    parts = pairs.withColumns({"_whole": token_ratio("a", "b"), "_part": partial_from_udf(least)("a", "b")})
+    scored = parts.withColumn("score", safe_partial(F.col("a"), F.col("b"), whole=F.col("_whole"), part=F.col("_part")))
+    return scored.filter(F.col("score") >= least).drop("_whole", "_part")
+
+
 def alike(a: str, b: str, least: float) -> Column:
     """Whether lengths allow a token-sort ratio of ``least``."""
     return 200.0 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b)) - 200
@@ -124,10 +131,10 @@ def token_ratio(a: str, b: str) -> Column:
 
 
 def single_files(releases: DataFrame, files: DataFrame, on: list[str], least: float) -> DataFrame:
-    """(release_id, folder, key, score): files that share ``on`` with a release, whose title or name is like its album's."""
+    """(release_id, folder, key, score): files that share ``on`` with a release, whose title or name is like its album's. Only names that share ``on`` meet."""
     mine = releases.select("release_id", *on, F.explode("albums").alias("a"))
     theirs = files.select(*{*on, "folder", "key"}, F.explode("names").alias("b"))
-    met = mine.join(name_pairs(mine.select("a"), theirs.select("b"), least), "a").join(theirs, [*on, "b"])
+    met = mine.join(name_pairs_within(mine, theirs, on, least), [*on, "a"]).join(theirs, [*on, "b"])
     return met.groupBy("release_id", "folder", "key").agg(F.max("score").alias("score"))
 
 
@@ -257,14 +264,12 @@ def folder_phase(releases: DataFrame, tracks: DataFrame, release_tracks: DataFra
     files = tracks.filter("folder <> ''")
     shown = files.groupBy("folder").agg(F.count("*").alias("n_files")).join(folders, "folder", "left_anti")
     named = shown.select("folder", F.explode(filled(F.transform(F.split("folder", "/"), T.normalize_for_matching))).alias("b"))
-    # Artists and albums meet the parts of paths together; each then takes its own pairs.
-    pairs = stored(safe_pairs(releases.select(F.explode(F.array_union("artists", "albums")).alias("a")), named.select("b"), least))
-
-    def scores(names, score):
-        mine = releases.select("release_id", F.explode(names).alias("a"))
-        return mine.join(pairs, "a").join(named, "b").groupBy("release_id", "folder").agg(F.max("score").alias(score))
-
-    both = scores("artists", "_artist").join(scores("albums", "_album"), ["release_id", "folder"])
+    # A path must name both, so albums meet the parts of all paths, and artists only those of paths that name an album of theirs.
+    titles = releases.select("release_id", F.explode("albums").alias("a"))
+    albums = stored(titles.join(safe_pairs(titles.select("a"), named.select("b"), least), "a").join(named, "b").groupBy("release_id", "folder").agg(F.max("score").alias("_album")))
+    sung = albums.join(releases.select("release_id", F.explode("artists").alias("a")), "release_id").join(named, "folder")
+    alike_ = safe_scores(sung.select("a", "b").distinct(), least)
+    both = sung.join(alike_, ["a", "b"]).groupBy("release_id", "folder", "_album").agg(F.max("score").alias("_artist"))
     met = both.join(releases, "release_id").join(shown, "folder").filter(~other_volume(F.col("folder")))
     bonus = F.when(F.col("n_tracks") > 0, COUNT_BONUS * F.least("n_tracks", "n_files") / F.greatest("n_tracks", "n_files")).otherwise(0.0)
     met = met.withColumn("score", F.col("_artist") * ARTIST + F.col("_album") * TITLE + bonus)

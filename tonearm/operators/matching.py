@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonearm.functions.similarity import BLOCK, blocks, partial_ratio_udf, ratio_from, sorted_tokens, token_sort_ratio
+from tonearm.functions.similarity import BLOCK, blocks, partial_ratio_udf, ratio, ratio_from, sorted_tokens, token_sort_ratio
 from tonearm.functions.text import normalize_for_matching, tier
 from tonearm.sources.tables import stored
 
@@ -22,6 +22,9 @@ SHORT = 5
 #: Names that a task holds at once, and names of the other side that it reads against them.
 HELD, READ = BLOCK, BLOCK // 4
 
+#: So few held names are compared one by one.
+FEW = 8
+
 
 def name_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(a, b, score) of distinct names whose token-sort ratio reaches ``least``; all meet all in :func:`met`, which loses no pair."""
@@ -43,32 +46,58 @@ def met(left: DataFrame, right: DataFrame, kernel: Callable, least: float) -> Da
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     held = left.select("name", "text", F.lit(0).alias("side"), dealt(rows).alias("row"), every(columns).alias("column"))
     read = right.select("name", "text", F.lit(1).alias("side"), every(rows).alias("row"), dealt(columns).alias("column"))
-    cells = held.union(read).withColumn("cell", F.col("row") * columns + F.col("column")).repartition(rows * columns, "cell")
+    # A cell is a task: hashed cells would leave some tasks with several and others with none.
+    cells = held.union(read).withColumn("cell", F.col("row") * columns + F.col("column")).repartitionById(rows * columns, F.col("cell").cast("int"))
+    return cells.select("cell", "side", "name", "text").sortWithinPartitions("cell", "side").mapInPandas(met_in_cells(kernel, least, ["cell"]), "cell long, a string, b string, score double").drop("cell")
+
+
+def name_pairs_within(left: DataFrame, right: DataFrame, on: list[str], least: float) -> DataFrame:
+    """(*on, a, b, score) of distinct names ``left(*on, a)`` and ``right(*on, b)`` that share ``on`` and whose token-sort ratio reaches ``least``.
+
+    Names meet within their group only; a large group is dealt into cells as in :func:`met`.
+    """
+    a = left.select(*on, F.col("a").alias("name")).filter("name is not null").distinct()
+    b = right.select(*on, F.col("b").alias("name")).filter("name is not null").distinct()
+    cells = lambda d, n, size: d.groupBy(*on).agg(F.ceil(F.count("*") / size).alias(n))
+    sizes = cells(a, "rows", HELD).join(cells(b, "columns", READ), on)
+    dealt = lambda n: F.pmod(F.xxhash64("name"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    keys, rest = [*on, "row", "column"], ["name", sorted_tokens(F.col("name")).alias("text")]
+    held = a.join(sizes, on).select(*on, dealt("rows").alias("row"), every("columns").alias("column"), F.lit(0).alias("side"), *rest)
+    read = b.join(sizes, on).select(*on, every("rows").alias("row"), dealt("columns").alias("column"), F.lit(1).alias("side"), *rest)
+    schema = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in on) + ", row long, column long, a string, b string, score double"
+    return held.union(read).repartition(*keys).sortWithinPartitions(*keys, "side").mapInPandas(met_in_cells(ratio_from, least, keys, ratio), schema).drop("row", "column")
+
+
+def met_in_cells(kernel: Callable, least: float, keys: list[str], one: Callable | None = None) -> Callable:
+    """Reads rows (*keys, side, name, text) sorted by cell and side; a cell's names of side 0 are held and meet those of side 1. Few held ones meet by ``one(text, text)``."""
 
     def walk(batches):
-        own, names, found, size, out = None, [], None, 0, []
+        own, names, found, out = None, [], None, []
         for pdf in batches:
-            for cell, side, name, text in zip(*(pdf[c].tolist() for c in ("cell", "side", "name", "text"))):
+            for *cell, side, name, text in zip(*(pdf[c].tolist() for c in (*keys, "side", "name", "text"))):
                 if cell != own:
                     own, names, found = cell, [], None
                 if side == 0:
                     names.append((text, name))
                     continue
-                if found is None:
-                    names.sort(key=lambda x: len(x[0]))
-                    found = blocks([x for x, _ in names])
-                for start, block in found:
-                    at, score = kernel(block, text, least)
-                    if len(at):
-                        out.append(pd.DataFrame({"a": [names[start + i][1] for i in at.tolist()], "b": name, "score": score}))
-                        size += len(at)
-                if size >= 50_000:
-                    yield pd.concat(out)
-                    size, out = 0, []
+                if one and len(names) <= FEW:
+                    hits = [(name_, score) for text_, name_ in names if (score := one(text_, text)) >= least]
+                    out += [(*cell, a, name, score) for a, score in hits]
+                else:
+                    if found is None:
+                        names.sort(key=lambda x: len(x[0]))
+                        found = blocks([x for x, _ in names])
+                    for start, block in found:
+                        at, score = kernel(block, text, least)
+                        out += [(*cell, names[start + i][1], name, x) for i, x in zip(at.tolist(), score.tolist())]
+                if len(out) >= 50_000:
+                    yield pd.DataFrame(out, columns=[*keys, "a", "b", "score"])
+                    out = []
         if out:
-            yield pd.concat(out)
+            yield pd.DataFrame(out, columns=[*keys, "a", "b", "score"])
 
-    return cells.select("cell", "side", "name", "text").sortWithinPartitions("cell", "side").mapInPandas(walk, "a string, b string, score double")
+    return walk
 
 
 def covered(least: float) -> bool:
