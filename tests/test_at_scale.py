@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonearm import queries_more
-from tonearm.functions.similarity import ratio
+from tonearm.functions.similarity import best_window, ratio
 from tonearm.operators import cascade, matching, writeback
 from tonearm.sources.tables import shared_folder
 
@@ -75,3 +75,14 @@ def test_single_files_meet_within_their_group(spark, monkeypatch):
     words = lambda x: " ".join(sorted(x.split()))
     best = {(r, k): max(ratio(words(a), words(b)) for a in xs for b in ys) for r, s, xs in albums for k, t, _, ys in files if s == t}
     assert {(r["release_id"], r["key"]): r["score"] for r in got.collect()} == {at: s for at, s in best.items() if s >= 75.0}
+
+
+def test_partial_candidates_within_groups(spark):
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("ab ") for _ in range(rng.randint(1, 9))).strip() or "a"
+    left, right = sorted({(rng.choice("xyz"), name()) for _ in range(80)}), sorted({(rng.choice("xyw"), name()) for _ in range(80)})
+    # Long names only: their windows need no list.
+    left, right = left + [("long", "abcdefgh")], right + [("long", "abcdefgx")]
+    got = cascade.partial_pairs(spark.createDataFrame(left, "sub string, a string"), spark.createDataFrame(right, "sub string, b string"), 75.0, on=("sub",)).collect()
+    pairs = {(s, a, b) for s, a in left for t, b in right if s == t}
+    assert {x for x in pairs if best_window(*x[1:]) >= 75.0} <= {tuple(r) for r in got} <= pairs and len(got) == len({tuple(r) for r in got})

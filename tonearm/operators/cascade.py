@@ -58,6 +58,11 @@ def filled(names: Column) -> Column:
     return F.array_distinct(F.filter(names, lambda x: x.isNotNull() & (x != "")))
 
 
+def dealt(d: DataFrame, *keys: str) -> DataFrame:
+    """Rows spread over tasks by ``keys``: names are few bytes but much work, and a small table would come as one task."""
+    return d.repartition(d.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def partial_pairs(left: DataFrame, right: DataFrame, least: float, on: tuple[str, ...] = (), near: Column | None = None) -> DataFrame:
     """Candidates (*on, a, b) among which are all whose best window of the longer name reaches ``least`` against the shorter.
 
@@ -66,6 +71,10 @@ def partial_pairs(left: DataFrame, right: DataFrame, least: float, on: tuple[str
     of its own length, so both meet on it. Below a score of about 69 the bound fails for longer names too; only then all pairs that ``near`` allows are met.
     """
     a, b = left.filter("a <> ''").distinct(), right.filter("b <> ''").distinct()
+    if on:
+        # Only names of groups that both sides have meet.
+        a, b = a.join(b.select(*on).distinct(), [*on], "left_semi"), b.join(a.select(*on).distinct(), [*on], "left_semi")
+    a, b = dealt(a, *on, "a"), dealt(b, *on, "b")
     share = (3 * least / 200 - 1) * 200 / (200 - least) if least < 200 else 1.0
     bound = lambda c: F.ceil(F.length(c) * share - 1.000001)
     keys = [*on, "pair"]
@@ -88,7 +97,9 @@ def partial_pairs(left: DataFrame, right: DataFrame, least: float, on: tuple[str
         whole, window = subsequences_udf(least), window_subsequences_udf(least, SHORT)
         brief = lambda d, name: d.filter(F.length(name) <= SHORT).select(*on, name, F.length(name).alias("n"), F.explode(whole(name)).alias("key")).filter(F.length("key") == fewest(F.col("n"), least))
         longer = lambda d, name: d.select(*on, name, F.inline(window(name)))
-        parts += [brief(a, "a").join(longer(b, "b"), [*on, "n", "key"]).filter(first), longer(a, "a").join(brief(b, "b"), [*on, "n", "key"]).filter(then)]
+        # A name's windows are many, so they are listed only in groups where the other side has a short name.
+        beside = lambda d, other, name: d.join(other.filter(F.length(name) <= SHORT).select(*on).distinct(), [*on], "left_semi") if on else d
+        parts += [brief(a, "a").join(longer(beside(b, a, "a"), "b"), [*on, "n", "key"]).filter(first), longer(beside(a, b, "b"), "a").join(brief(b, "b"), [*on, "n", "key"]).filter(then)]
     else:
         short = lambda d, name: d.filter(bound(name) < 1)
         join = lambda x, y, how: x.join(y, list(on)).filter(how) if on else x.join(y, how)
@@ -356,7 +367,7 @@ def match_releases(releases: DataFrame, release_tracks: DataFrame, tracks: DataF
     ``place`` is the release's track that a file was given to, ``own`` that file's own score. Each phase sees the releases that
     earlier ones left, and the folders and files they left free.
     """
-    mine, local = stored(release_names(releases, release_tracks, domain)), stored(local_names(tracks, domain))
+    mine, local = stored(release_names(dealt(releases, "release_id"), release_tracks, domain)), stored(local_names(dealt(tracks, "key"), domain))
     least_here = max(least, LEAST_OF_PHASES)
     place = release_tracks.schema["place"].dataType
     columns = ["release_id", "phase", "score", "key", "place", "own", "folder"]
