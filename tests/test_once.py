@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tonearm.operators import releases
+from tonearm.operators import cue, releases
 
 
 def plan_of(df):
@@ -20,3 +20,12 @@ def test_label_and_title_are_read_once(spark):
     label, title = posts.select(releases.label_name(F.col("html")).alias("l")), posts.select(releases.parse_title(F.col("title")).alias("t"))
     assert plan_of(label).count("released") == 1 and label.first()[0] == "X"
     assert plan_of(title).count("&quot;") == 1 and tuple(title.first()["t"]) == ("A", "B 0")
+
+
+def test_cue_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([("a", 1, 'TITLE "All"'), ("a", 2, "TRACK 01 AUDIO"), ("a", 3, "INDEX 01 00:01:00")], "key string, line_no int, line string")
+    tracks = cue.cue_tracks(lines)
+    plan = plan_of(tracks)
+    # Before, for each of two joined sides, once to filter and once to keep.
+    assert plan.count(r"^(\w+)") == 1 and plan.count(r"^\w+\s+(.*)$") == 1
+    assert [(r["track_num"], r["album"], r["start_samples"]) for r in tracks.collect()] == [(1, "All", 44100)]
