@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tonearm import queries_more
 from tonearm.functions.similarity import best_window, ratio
-from tonearm.operators import cascade, matching, writeback
+from tonearm.operators import cascade, library, matching, writeback
 from tonearm.sources.tables import shared_folder
 
 
@@ -86,3 +86,24 @@ def test_partial_candidates_within_groups(spark):
     got = cascade.partial_pairs(spark.createDataFrame(left, "sub string, a string"), spark.createDataFrame(right, "sub string, b string"), 75.0, on=("sub",)).collect()
     pairs = {(s, a, b) for s, a in left for t, b in right if s == t}
     assert {x for x in pairs if best_window(*x[1:]) >= 75.0} <= {tuple(r) for r in got} <= pairs and len(got) == len({tuple(r) for r in got})
+
+
+def test_lists_are_written_in_tasks_of_bounded_size(spark):
+    rng = random.Random(7)
+    links = [(rng.choice([1, 2, 3, None]), rng.choice([1, 2, None]), rng.choice([1, 2, 2, 3, None])) for _ in range(60)]
+    removed = [(1, 1), (1, 1), (2, 2), (3, 7), (None, 1), (1, None)]
+    df = spark.createDataFrame(links, "list_id long, track_id int, position int")
+    out = library.remove_from_lists(df, spark.createDataFrame(removed, "list_id long, track_id long"), "list_id", tasks=5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    left = list(links)
+    for key in {r for r in removed if None not in r}:
+        mine = sorted((x for x in left if x[:2] == key), key=lambda x: (x[2] is not None, x[2] or 0))
+        if mine:
+            left.remove(mine[0])
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(left, key=repr) and out.schema == df.schema
+    added = spark.createDataFrame([(1, 9, None), (1, 8, None), (4, 9, None), (2, 9, 50)], "list_id long, track_id int, position int")
+    grown = library.append_to_lists(df, added, "list_id", tasks=5)
+    last = max(p for i, _, p in links if i == 1 and p is not None)
+    assert sorted(map(tuple, grown.collect()), key=repr) == sorted([*links, (1, 8, last + 1), (1, 9, last + 2), (4, 9, 1), (2, 9, 50)], key=repr)
+    # Before, entries and removed ones were sorted twice, to be joined and to be numbered, in as many tasks at any size.
+    assert "Join" not in plan and plan.count("Sort [") == 1 and "list_id#" in plan and ", 5)" in plan

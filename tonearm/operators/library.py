@@ -104,22 +104,34 @@ def update_track(tracks: DataFrame, track_id, **values) -> DataFrame:
     return tracks.withColumns({c: F.when(here, F.lit(v).cast(tracks.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items() if v is not None})
 
 
-def append_to_lists(links: DataFrame, added: DataFrame, parent_key: str) -> DataFrame:
-    """``links(parent_key, track_id, position)`` with ``added(parent_key, track_id, position)``; rows without a position go to their list's end, by track."""
-    last = links.groupBy(parent_key).agg(F.max("position").alias("_last"))
+def append_to_lists(links: DataFrame, added: DataFrame, parent_key: str, tasks: int | None = None) -> DataFrame:
+    """``links(parent_key, track_id, position)`` with ``added(parent_key, track_id, position)``; rows without a position go to their list's end, by track.
+
+    Lists are dealt into ``tasks``, where given, so that what a task sorts doesn't grow with the tables.
+    """
+    last = dealt(links.select(parent_key, "position"), tasks, parent_key).groupBy(parent_key).agg(F.max("position").alias("_last"))
     n = F.row_number().over(Window.partitionBy(parent_key, F.col("position").isNull()).orderBy("track_id"))
-    rows = added.withColumn("_n", n).join(last, parent_key, "left")
+    rows = dealt(added, tasks, parent_key).withColumn("_n", n).join(last, parent_key, "left")
     rows = rows.withColumn("position", F.coalesce("position", F.coalesce("_last", F.lit(0)) + F.col("_n")).cast(links.schema["position"].dataType))
     return links.unionByName(rows.select(links.columns))
 
 
-def remove_from_lists(links: DataFrame, removed: DataFrame, parent_key: str) -> DataFrame:
-    """``links`` without the first entry, by position, of each ``removed(parent_key, track_id)``; later entries of the track stay."""
+def remove_from_lists(links: DataFrame, removed: DataFrame, parent_key: str, tasks: int | None = None) -> DataFrame:
+    """``links`` without the first entry, by position, of each ``removed(parent_key, track_id)``; later entries of the track stay.
+
+    What is removed is sorted ahead of the entries, so one sort does for both; lists are dealt into ``tasks`` as in :func:`append_to_lists`.
+    """
     keys = [parent_key, "track_id"]
-    hit = removed.select(keys).distinct().withColumn("_hit", F.lit(True))
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy("position"))
-    rows = links.join(hit, keys, "left").withColumn("_n", n)
-    return rows.filter(F.col("_hit").isNull() | (F.col("_n") > 1)).select(links.columns)
+    hit = removed.select(keys).dropna().withColumn("_hit", F.lit(True))
+    rows = dealt(links.withColumn("_hit", F.lit(False)).unionByName(hit, allowMissingColumns=True), tasks, *keys)
+    # The row before the first entry tells whether it goes; no row is before the first of those to stay.
+    gone = F.lag("_hit", 1, False).over(Window.partitionBy(*keys).orderBy(F.desc("_hit"), "position"))
+    kept = rows.withColumn("_gone", gone).filter(~F.col("_hit") & ~F.col("_gone"))
+    return kept.select([F.col(c).cast(links.schema[c].dataType) for c in links.columns])
+
+
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    return df.repartition(tasks, *keys) if tasks else df
 
 
 def list_sizes(parents: DataFrame, links: DataFrame, parent_key: str) -> DataFrame:

@@ -737,8 +737,10 @@ def library_lists_written(spark, d):
     links = table(spark, d, "lineitem").selectExpr("l_orderkey AS list_id", "l_suppkey % 3 AS track_id", "l_linenumber AS position")
     o = table(spark, d, "orders")
     added = o.selectExpr("o_orderkey AS list_id", "3L AS track_id", "cast(null AS int) AS position").union(o.selectExpr("o_orderkey", "4L", "99"))
-    grown = library.append_to_lists(links, added, "list_id")
-    return library.remove_from_lists(grown, o.filter("o_orderkey % 2 = 0").selectExpr("o_orderkey AS list_id", "1L AS track_id"), "list_id")
+    # A task sorts some million rows; counts come from the files' footers.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(links.count() + 2 * o.count()) // 1_000_000))
+    grown = library.append_to_lists(links, added, "list_id", tasks)
+    return library.remove_from_lists(grown, o.filter("o_orderkey % 2 = 0").selectExpr("o_orderkey AS list_id", "1L AS track_id"), "list_id", tasks)
 
 
 @query("library_list_sizes", "SELECT o_orderkey AS id, coalesce(n, 0)::BIGINT AS \"count\" FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 30 GROUP BY 1) ON l_orderkey = o_orderkey")
