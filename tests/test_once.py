@@ -29,3 +29,5 @@ def test_cue_lines_are_parsed_once(spark):
     # Before, for each of two joined sides, once to filter and once to keep.
     assert plan.count(r"^(\w+)") == 1 and plan.count(r"^\w+\s+(.*)$") == 1
     assert [(r["track_num"], r["album"], r["start_samples"]) for r in tracks.collect()] == [(1, "All", 44100)]
+    dealt = cue.cue_tracks(lines, tasks=7)
+    assert ", 7)" in dealt._jdf.queryExecution().executedPlan().toString() and dealt.collect() == tracks.collect()

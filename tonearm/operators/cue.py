@@ -11,13 +11,13 @@ _COMMANDS = ("FILE", "TRACK", "TITLE", "PERFORMER", "SONGWRITER", "ISRC", "INDEX
 _REMARKS = ("GENRE", "DATE", "DISCID")
 
 
-def cue_tracks(lines: DataFrame, key: str = "key", order: str = "line_no", text: str = "line") -> DataFrame:
+def cue_tracks(lines: DataFrame, key: str = "key", order: str = "line_no", text: str = "line", tasks: int | None = None) -> DataFrame:
     """Tracks of sheets given as lines: key, file, track_num, title, performer, songwriter, isrc, album, genre, date,
     disc_id, start_samples and end_samples (the next track's start in the same file).
 
     What stands before the first TRACK holds for the whole sheet; a TITLE there is the album. Only INDEX 01 counts;
     other commands are ignored. A line is parsed once, before the shuffle, and only lines that count are shuffled; that one shuffle by sheet serves
-    all windows. What comes first is track 0 of its sheet.
+    all windows. What comes first is track 0 of its sheet. Sheets are dealt into ``tasks``, where given, so that what a task sorts doesn't grow with the lines.
     """
     line = F.trim(text)
     command = F.upper(F.regexp_extract(line, r"^(\w+)", 1)).alias("cmd")
@@ -32,6 +32,7 @@ def cue_tracks(lines: DataFrame, key: str = "key", order: str = "line_no", text:
     for name in _REMARKS:
         kind, value = kind.when(remark(name), name), value.when(remark(name), plain(F.trim(F.substring("arg", len(name) + 2, 1 << 30))))
     rows = rows.select(key, order, kind.alias("kind"), value.otherwise(plain(arg)).alias("value")).filter("kind is not null")
+    rows = rows.repartition(tasks, key) if tasks else rows
     so_far = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     said = lambda c: F.max_by("value", F.when(F.col("kind") == c, F.col(order)))
     rows = rows.withColumns({

@@ -371,7 +371,9 @@ def cue_sheets(spark, d):
     k = F.col("l_orderkey").cast("string")
     head = F.array(F.struct(F.lit(0).alias("line_no"), F.lit('PERFORMER "Customer"').alias("line")), F.struct(F.lit(1).alias("line_no"), F.lit('TITLE "Orders"').alias("line")), F.struct(F.lit(2).alias("line_no"), F.concat(F.lit('FILE "Order '), k, F.lit('.wav" WAVE')).alias("line")))
     lines = li.select("l_orderkey", F.explode(body).alias("x")).union(li.select("l_orderkey").distinct().select("l_orderkey", F.explode(head).alias("x")))
-    tracks = cue.cue_tracks(lines.select(F.col("l_orderkey").alias("key"), "x.*"))
+    # Some million lines a task; the count comes from the files' footers.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, d, "lineitem").count() // 300_000))
+    tracks = cue.cue_tracks(lines.select(F.col("l_orderkey").alias("key"), "x.*"), tasks=tasks)
     return tracks.select("key", "file", "track_num", "title", "performer", "album", "start_samples", "end_samples")
 
 
