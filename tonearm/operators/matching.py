@@ -254,23 +254,31 @@ def known_reason(post: DataFrame, local_urls: DataFrame, comments: DataFrame, fu
 
 
 def said_urls(urls: DataFrame, comments: DataFrame) -> DataFrame:
-    """Those of distinct ``urls(url)`` that one of distinct ``comments(comment)`` holds by ILIKE.
+    """Those of ``urls(url)``, each once, that one of ``comments(comment)`` holds by ILIKE.
 
     A comment holds all of what stands between a URL's wildcards, so both meet on the piece of it, of 7, 5 or 3 letters, that the fewest comments hold.
-    Only URLs without three letters in a row meet all comments.
+    Only URLs without three letters in a row meet all comments, which are dealt out to tasks. Pieces outnumber comments by far, which Spark's estimate of their size
+    doesn't tell, so no side is broadcast; pieces go with their comment's hash, not its text.
     """
+    # Short texts, but of many pieces: they are dealt out by their number, not by their size.
+    tasks = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    urls, comments = urls.select("url").repartition(tasks, "url").distinct(), comments.select("comment").repartition(tasks, "comment").distinct()
     holds = F.expr("comment ilike '%' || url || '%'")
     cut = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.expr("cast(array() as array<string>)"))
     longest = lambda c: F.when(F.length(c) >= 7, cut(c, 7)).when(F.length(c) >= 5, cut(c, 5)).otherwise(cut(c, 3))
     # A backslash escapes the letter after it; both are left out.
     cuts = urls.withColumn("pieces", F.array_distinct(F.flatten(F.transform(F.split(F.lower("url"), r"(?s)\\.|[%_]"), longest))))
-    low = F.lower("comment")
-    parts = comments.select("comment", F.explode(F.array_distinct(F.concat(cut(low, 7), cut(low, 5), cut(low, 3)))).alias("piece"))
+    low, mark = F.lower("comment"), F.xxhash64("comment")
+    parts = comments.select(mark.alias("mark"), F.explode(F.array_distinct(F.concat(cut(low, 7), cut(low, 5), cut(low, 3)))).alias("piece"))
     seen = parts.groupBy("piece").agg(F.count("*").alias("n"))
-    rows = cuts.select("url", F.explode("pieces").alias("piece")).join(seen, "piece", "left")
-    key = rows.groupBy("url").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("m")).filter("m.n > 0").select("url", F.col("m.piece").alias("piece"))
-    met_ = key.join(parts, "piece").filter(holds).select("url")
-    return met_.union(cuts.filter(F.size("pieces") == 0).select("url").join(comments, holds, "left_semi")).distinct()
+    rows = cuts.select("url", F.explode_outer("pieces").alias("piece")).join(seen.hint("merge"), "piece", "left")
+    rarest = rows.groupBy("url").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("m"))
+    key = rarest.filter("m.n > 0").select("url", F.col("m.piece").alias("piece"))
+    # Comments of one hash come all, as the text decides.
+    met_ = key.join(parts.hint("merge"), "piece").join(comments.select(mark.alias("mark"), "comment").hint("merge"), "mark").filter(holds).select("url")
+    bare = rarest.filter("m.piece is null").select("url", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("cell"))
+    dealt = comments.select("comment", F.pmod(mark, F.lit(tasks)).cast("int").alias("at"))
+    return met_.union(bare.join(dealt.hint("merge"), (F.col("cell") == F.col("at")) & holds, "left_semi").select("url")).distinct()
 
 
 def duplicate_reasons(posts: DataFrame, local_urls: DataFrame, comments: DataFrame, albums: DataFrame, least: float = 80.0, least_album: float = 50.0) -> DataFrame:
@@ -278,15 +286,20 @@ def duplicate_reasons(posts: DataFrame, local_urls: DataFrame, comments: DataFra
 
     A comment holds a URL by LIKE: without regard to case, with ``%`` and ``_`` of the URL live; see :func:`said_urls`. Names are alike if the best of ``albums(artist, album)`` by 0.4 artist and 0.6 album
     reaches ``least`` and its album ``least_album``. Such an album alone scores ``(least - 40) / 0.6`` or more, so candidates come from
-    :func:`name_pairs` without loss.
+    :func:`name_pairs` without loss. Posts of one artist and album are scored once.
+
+    All sides grow with the tables, whose files are far smaller than what comes of them, so none is broadcast but by its measured size.
     """
-    urls = posts.select("url").filter("url is not null").distinct()
-    said = comments.select("comment").filter("comment is not null").distinct()
-    found = said_urls(urls, said)
+    found = said_urls(posts.filter("url is not null"), comments.filter("comment is not null"))
     clean = lambda c: normalize_for_matching(F.col(c))
-    mine = posts.select("key", clean("artist").alias("_a"), clean("album").alias("_b")).filter("_a is not null and _b is not null")
-    local = albums.filter("artist is not null and album is not null").select(clean("artist").alias("_la"), clean("album").alias("_lb")).distinct()
-    near = name_pairs(mine.select("_b"), local.select("_lb"), max(0.0, (least - 40.0) / 0.6)).toDF("_b", "_lb", "_album")
-    both = mine.join(near, "_b").join(local, "_lb").withColumn("_score", 0.4 * token_sort_ratio(F.col("_a"), F.col("_la")) + 0.6 * F.col("_album"))
-    best = both.groupBy("key").agg(F.max(F.struct("_score", "_album")).alias("m")).select("key", F.col("m._score").alias("score"), F.col("m._album").alias("album_score"))
-    return known_reason(posts, local_urls, found, best.filter((F.col("score") >= least) & (F.col("album_score") >= least_album)), "key", "url")
+    names = lambda d: d.select("artist", "album").filter("artist is not null and album is not null").distinct()
+    # Stored, so that no filter on cleaned names goes below the distinct ones, to all rows.
+    mine = stored(names(posts).select("artist", "album", clean("artist").alias("_a"), clean("album").alias("_b")))
+    local = stored(names(albums).select(clean("artist").alias("_la"), clean("album").alias("_lb")).distinct())
+    alike = name_pairs(mine.select("_b"), local.select("_lb"), max(0.0, (least - 40.0) / 0.6)).toDF("_b", "_lb", "_album")
+    both = mine.join(alike.hint("merge"), "_b").join(local.hint("merge"), "_lb").withColumn("_score", 0.4 * token_sort_ratio(F.col("_a"), F.col("_la")) + 0.6 * F.col("_album"))
+    scored = both.groupBy("artist", "album").agg(F.max(F.struct("_score", "_album")).alias("m"))
+    # A left join, as its left side is never broadcast.
+    best = posts.select("key", "artist", "album").join(scored, ["artist", "album"], "left").groupBy("key").agg(F.max("m").alias("m")).select("key", F.col("m._score").alias("score"), F.col("m._album").alias("album_score"))
+    near = best.filter((F.col("score") >= least) & (F.col("album_score") >= least_album))
+    return known_reason(posts, local_urls.hint("merge"), found.hint("merge"), near.hint("merge"), "key", "url")
