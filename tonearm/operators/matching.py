@@ -265,18 +265,19 @@ def said_urls(urls: DataFrame, comments: DataFrame) -> DataFrame:
     urls, comments = urls.select("url").repartition(tasks, "url").distinct(), comments.select("comment").repartition(tasks, "comment").distinct()
     holds = F.expr("comment ilike '%' || url || '%'")
     cut = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.expr("cast(array() as array<string>)"))
-    longest = lambda c: F.when(F.length(c) >= 7, cut(c, 7)).when(F.length(c) >= 5, cut(c, 5)).otherwise(cut(c, 3))
+    # A run of letters needs not all its pieces: every fourth and the last one leave out no letter.
+    some = lambda c: F.transform(F.array_union(F.sequence(F.lit(1), F.greatest(F.length(c) - 6, F.lit(1)), F.lit(4)), F.array(F.length(c) - 6)), lambda i: F.substring(c, i, F.lit(7)))
+    longest = lambda c: F.when(F.length(c) >= 7, some(c)).when(F.length(c) >= 5, cut(c, 5)).otherwise(cut(c, 3))
     # A backslash escapes the letter after it; both are left out.
     cuts = urls.withColumn("pieces", F.array_distinct(F.flatten(F.transform(F.split(F.lower("url"), r"(?s)\\.|[%_]"), longest))))
     low, mark = F.lower("comment"), F.xxhash64("comment")
     parts = comments.select(mark.alias("mark"), F.explode(F.array_distinct(F.concat(cut(low, 7), cut(low, 5), cut(low, 3)))).alias("piece"))
     seen = parts.groupBy("piece").agg(F.count("*").alias("n"))
     rows = cuts.select("url", F.explode_outer("pieces").alias("piece")).join(seen.hint("merge"), "piece", "left")
-    rarest = rows.groupBy("url").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("m"))
-    key = rarest.filter("m.n > 0").select("url", F.col("m.piece").alias("piece"))
+    key = rows.groupBy("url").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("m")).filter("m.n > 0").select("url", F.col("m.piece").alias("piece"))
     # Comments of one hash come all, as the text decides.
     met_ = key.join(parts.hint("merge"), "piece").join(comments.select(mark.alias("mark"), "comment").hint("merge"), "mark").filter(holds).select("url")
-    bare = rarest.filter("m.piece is null").select("url", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("cell"))
+    bare = urls.filter(~F.rlike(F.regexp_replace(F.lower("url"), r"(?s)\\.", "%"), F.lit("[^%_]{3}"))).select("url", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("cell"))
     dealt = comments.select("comment", F.pmod(mark, F.lit(tasks)).cast("int").alias("at"))
     return met_.union(bare.join(dealt.hint("merge"), (F.col("cell") == F.col("at")) & holds, "left_semi").select("url")).distinct()
 
