@@ -272,7 +272,8 @@ def said_urls(urls: DataFrame, comments: DataFrame) -> DataFrame:
     cuts = urls.withColumn("pieces", F.array_distinct(F.flatten(F.transform(F.split(F.lower("url"), r"(?s)\\.|[%_]"), longest))))
     low, mark = F.lower("comment"), F.xxhash64("comment")
     parts = comments.select(mark.alias("mark"), F.explode(F.array_distinct(F.concat(cut(low, 7), cut(low, 5), cut(low, 3)))).alias("piece"))
-    seen = parts.groupBy("piece").agg(F.count("*").alias("n"))
+    # Stored, so that the join is one of two plain shuffles, where Spark can split what most URLs have in common.
+    seen = stored(parts.groupBy("piece").agg(F.count("*").alias("n")))
     rows = cuts.select("url", F.explode_outer("pieces").alias("piece")).join(seen.hint("merge"), "piece", "left")
     key = rows.groupBy("url").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("m")).filter("m.n > 0").select("url", F.col("m.piece").alias("piece"))
     # Comments of one hash come all, as the text decides.
